@@ -72,22 +72,21 @@ def add_calendar(df: DataFrame, ts: str = "ts", cyclic: bool = True) -> DataFram
     return df.withColumns(cols)
 
 
+def slice_bounds(start: str, end: str):
+    """``(lo, hi)`` TIMESTAMP_NTZ columns of the half-open range of P6."""
+    lo = F.lit(_unit_start(start)).cast("timestamp_ntz")
+    hi = F.lit(_unit_start(end)).cast("timestamp_ntz")
+    unit = _unit_of(end)
+    if unit == "instant":
+        return lo, F.timestamp_add("MICROSECOND", F.lit(1), hi)
+    return lo, F.timestamp_add(unit.upper(), F.lit(1), hi)
+
+
 def date_slice(df: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
     """``.loc[start:end]`` with both ends inclusive; an end given as a day
     (``YYYY-MM-DD``) or month (``YYYY-MM``) covers the whole day / month.
     Written as a half-open range on ``ts`` so it pushes down to the scan."""
-    lo = F.lit(_unit_start(start)).cast("timestamp_ntz")
-    hi_start = _unit_start(end)
-    unit = _unit_of(end)
-    hi = F.lit(hi_start).cast("timestamp_ntz")
-    if unit == "month":
-        hi = F.timestamp_add("MONTH", F.lit(1), hi)
-    elif unit == "day":
-        hi = F.timestamp_add("DAY", F.lit(1), hi)
-    elif unit == "year":
-        hi = F.timestamp_add("YEAR", F.lit(1), hi)
-    else:
-        return df.where((F.col(ts) >= lo) & (F.col(ts) <= hi))
+    lo, hi = slice_bounds(start, end)
     return df.where((F.col(ts) >= lo) & (F.col(ts) < hi))
 
 

@@ -33,21 +33,23 @@ def spine(bounds: DataFrame, key: str, lo: str, hi: str, chunk: int = CHUNK) ->
 
 
 def reindex(values: DataFrame, key: str, unit: str, cols: list[str],
-            chunk: int = CHUNK) -> DataFrame:
+            chunk: int = CHUNK, bounds: DataFrame | None = None) -> DataFrame:
     """Left-join ``values`` (one row per ``(key, unit)``) onto a gap-free
     spine from each series' first to last unit. Missing units get NULLs.
 
     Both join inputs are hash-partitioned on ``(key, unit)``; when ``values``
     comes from a ``groupBy(key, unit)`` the aggregate's partitioning is reused
-    and only the spine is shuffled.
+    and only the spine is shuffled. ``bounds`` ``(key, _lo, _hi)`` overrides
+    the observed range (used by sliced grids).
     """
-    bounds = values.groupBy(key).agg(F.min(unit).alias("_lo"), F.max(unit).alias("_hi"))
+    if bounds is None:
+        bounds = values.groupBy(key).agg(F.min(unit).alias("_lo"), F.max(unit).alias("_hi"))
     sp = spine(bounds, key, "_lo", "_hi", chunk).withColumnRenamed("_unit", unit)
     return sp.join(values.select(key, unit, *cols), [key, unit], "left")
 
 
 def hourly_mean(df: DataFrame, cols: list[str], key: str = "series_id",
-                ts: str = "ts", chunk: int = CHUNK) -> DataFrame:
+                ts: str = "ts", chunk: int = CHUNK, bounds: DataFrame | None = None) -> DataFrame:
     """A1: ``resample('H').mean()`` per series.
 
     Left-closed, left-labelled hours; the mean skips NULLs; every hour between
@@ -56,7 +58,32 @@ def hourly_mean(df: DataFrame, cols: list[str], key: str = "series_id",
     """
     binned = df.select(key, hour_number(hour_floor(ts)).alias("_hr"), *cols)
     agg = binned.groupBy(key, "_hr").agg(*[F.avg(c).alias(c) for c in cols])
-    grid = reindex(agg, key, "_hr", cols, chunk)
+    grid = reindex(agg, key, "_hr", cols, chunk, bounds)
+    return grid.select(key, hour_ts("_hr").alias("ts"), "idx", *cols)
+
+
+def hourly_mean_sliced(df: DataFrame, cols: list[str], start, end, key: str = "series_id",
+                       ts: str = "ts", chunk: int = CHUNK) -> DataFrame:
+    """P6 applied before A1, with the same rows as slicing the full grid.
+
+    The slice filter reaches the Parquet scan for the value columns; the
+    spine still runs over the series' full hourly range clipped to the
+    slice (a second scan reads only ``key`` and ``ts``). ``idx`` stays
+    relative to the series' first hour. ``start`` / ``end`` are TIMESTAMP_NTZ
+    columns, ``end`` exclusive.
+    """
+    hr = hour_number(hour_floor(ts))
+    full = df.select(key, hr.alias("_hr")).groupBy(key).agg(F.min("_hr").alias("_f"), F.max("_hr").alias("_l"))
+    s_hr = F.ceil(F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), start) / 60.0)
+    e_hr = F.ceil(F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), end) / 60.0) - 1
+    bounds = full.select(key, "_f", F.greatest(F.col("_f"), s_hr).alias("_lo"), F.least(F.col("_l"), e_hr).alias("_hi")) \
+        .where(F.col("_lo") <= F.col("_hi"))
+    rows = df.where((F.col(ts) >= start) & (F.col(ts) < end))
+    binned = rows.select(key, hr.alias("_hr"), *cols)
+    agg = binned.groupBy(key, "_hr").agg(*[F.avg(c).alias(c) for c in cols])
+    grid = reindex(agg, key, "_hr", cols, chunk, bounds.select(key, "_lo", "_hi"))
+    grid = grid.join(bounds.select(key, "_f", "_lo"), key, "inner") \
+        .withColumn("idx", F.col("idx") + F.col("_lo") - F.col("_f")).drop("_f", "_lo")
     return grid.select(key, hour_ts("_hr").alias("ts"), "idx", *cols)
 
 
