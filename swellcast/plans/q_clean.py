@@ -24,9 +24,9 @@ def _p3_sql_cols() -> str:
     for c in RAW_MET:
         if c in SENTINELS:
             vals = ", ".join(repr(v) for v in SENTINELS[c])
-            out.append(f"ROUND(CASE WHEN {c} IN ({vals}) THEN NULL ELSE {c} END, 6) AS {c}")
+            out.append(rnd(f"CASE WHEN {c} IN ({vals}) THEN NULL ELSE {c} END", c))
         else:
-            out.append(f"ROUND({c}, 6) AS {c}")
+            out.append(rnd(c, c))
     return ", ".join(out)
 
 
@@ -42,9 +42,9 @@ def _p4_sql() -> str:
             continue
         if c in SENTINELS:
             vals = ", ".join(repr(v) for v in SENTINELS[c])
-            cols.append(f"ROUND(CASE WHEN {c} IN ({vals}) THEN NULL ELSE {c} END, 6) AS {c}")
+            cols.append(rnd(f"CASE WHEN {c} IN ({vals}) THEN NULL ELSE {c} END", c))
         else:
-            cols.append(f"ROUND({c}, 6) AS {c}")
+            cols.append(rnd(c, c))
     for c in ("WDIR", "MWD"):
         g = f"CASE WHEN {c} BETWEEN 0 AND 360 THEN {c} END"
         cols.append(rnd(f"sin(radians({g}))", f"{c}_sin"))
