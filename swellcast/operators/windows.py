@@ -133,7 +133,13 @@ def fill_leading(df: DataFrame, cols: list[str], key: str = KEY, idx: str = IDX)
 
 # --------------------------------------------------------------- chunk + carry
 def _carry_fill(df: DataFrame, cols: list[str], forward: bool, key: str, idx: str,
-                chunk: int) -> DataFrame:
+                chunk: int, leading: bool = False) -> DataFrame:
+    """Fill from the nearest valid value before (``forward``) or after.
+
+    In-chunk window + one per-chunk summary (boundary value, and for
+    ``leading`` the first valid value of the chunk) + a window over the
+    summaries + one join back: the input is read by exactly two branches.
+    """
     x = df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk)))
     w = Window.partitionBy(key, "_chunk").orderBy(idx)
     if forward:
@@ -145,8 +151,10 @@ def _carry_fill(df: DataFrame, cols: list[str], forward: bool, key: str, idx: st
     x = x.withColumns(inner)
     # per-chunk boundary value: last valid (forward) / first valid (backward)
     pick = F.max_by if forward else F.min_by
-    summ = df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk))).groupBy(key, "_chunk").agg(
-        *[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(idx))).alias(f"_b_{c}") for c in cols])
+    aggs = [pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(idx))).alias(f"_b_{c}") for c in cols]
+    if leading:
+        aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(idx))).alias(f"_f_{c}") for c in cols]
+    summ = x.groupBy(key, "_chunk").agg(*aggs)
     wc = Window.partitionBy(key).orderBy("_chunk")
     if forward:
         carry_frame = wc.rowsBetween(Window.unboundedPreceding, -1)
@@ -154,17 +162,24 @@ def _carry_fill(df: DataFrame, cols: list[str], forward: bool, key: str, idx: st
     else:
         carry_frame = wc.rowsBetween(1, Window.unboundedFollowing)
         carry = {f"_cy_{c}": F.first(f"_b_{c}", ignorenulls=True).over(carry_frame) for c in cols}
+    if leading:
+        everything = wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        carry.update({f"_ld_{c}": F.first(f"_f_{c}", ignorenulls=True).over(everything) for c in cols})
     summ = summ.select(key, "_chunk", *[v.alias(k) for k, v in carry.items()])
     x = x.join(summ, [key, "_chunk"], "left")
-    x = x.withColumns({c: F.coalesce(F.col(f"_in_{c}"), F.col(f"_cy_{c}")) for c in cols})
-    return x.drop("_chunk", *[f"_in_{c}" for c in cols], *[f"_cy_{c}" for c in cols])
+    rep = {}
+    for c in cols:
+        parts = [F.col(f"_in_{c}"), F.col(f"_cy_{c}")] + ([F.col(f"_ld_{c}")] if leading else [])
+        rep[c] = F.coalesce(*parts)
+    x = x.withColumns(rep)
+    return x.drop("_chunk", *[f"_in_{c}" for c in cols], *[f"_cy_{c}" for c in cols],
+                  *([f"_ld_{c}" for c in cols] if leading else []))
 
 
 def ffill(df: DataFrame, cols: list[str], bfill_leading: bool = True, key: str = KEY,
           idx: str = IDX, chunk: int = CHUNK) -> DataFrame:
     """Forward fill; then (default) leading NULLs take the first valid value."""
-    out = _carry_fill(df, cols, True, key, idx, chunk)
-    return fill_leading(out, cols, key, idx) if bfill_leading else out
+    return _carry_fill(df, cols, True, key, idx, chunk, leading=bfill_leading)
 
 
 def bfill(df: DataFrame, cols: list[str], key: str = KEY, idx: str = IDX,

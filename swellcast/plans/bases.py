@@ -8,12 +8,13 @@ from ..config import CHUNK, CLEAN_COLUMNS, TARGETS
 from ..operators.clean import preprocess
 from ..operators.grid import hourly_mean
 from ..operators.windows import ffill
+from ..session import materialize
 from . import views
 
 
 def met_hourly(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     """P19 grid: ``(series_id, ts, idx, WSPD ... MWD_cos)``."""
-    return preprocess(views.met(spark, sf_dir), chunk=chunk)
+    return materialize(preprocess(views.met(spark, sf_dir), chunk=chunk))
 
 
 def met_filled(spark: SparkSession, sf_dir: str, cols: list[str] | None = None,
@@ -21,7 +22,7 @@ def met_filled(spark: SparkSession, sf_dir: str, cols: list[str] | None = None,
     """``hourly_filled``: P19 grid, W7 forward fill (+ leading back-fill)."""
     cols = cols or CLEAN_COLUMNS
     g = met_hourly(spark, sf_dir, chunk).select("series_id", "ts", "idx", *cols)
-    return ffill(g, cols, chunk=chunk)
+    return materialize(ffill(g, cols, chunk=chunk))
 
 
 def targets_filled(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
@@ -29,8 +30,8 @@ def targets_filled(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> Data
 
 
 def obs_hourly(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
-    return hourly_mean(views.obs(spark, sf_dir), ["value"], chunk=chunk)
+    return materialize(hourly_mean(views.obs(spark, sf_dir), ["value"], chunk=chunk))
 
 
 def obs_filled(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
-    return ffill(obs_hourly(spark, sf_dir, chunk), ["value"], chunk=chunk)
+    return materialize(ffill(obs_hourly(spark, sf_dir, chunk), ["value"], chunk=chunk))

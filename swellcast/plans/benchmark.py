@@ -21,6 +21,7 @@ from ..operators.forecast import ensemble_fit, naive_predict
 from ..operators.metrics import aggregate_blocks, block_scores
 from ..operators.scaling import apply_scaler, fit_scaler, to_long, unscale_long
 from ..operators.windows import ffill
+from ..session import materialize
 from . import views
 
 KEY = "series_id"
@@ -29,7 +30,7 @@ NAIVE = {"WVHT": "last", "APD": "mean"}
 
 def prepared(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     """The shared prefix: met view -> P19 hourly grid."""
-    return preprocess(views.met(spark, sf_dir), chunk=chunk)
+    return materialize(preprocess(views.met(spark, sf_dir), chunk=chunk))
 
 
 def block_benchmark(hourly: DataFrame, strategies: dict[str, str] | None = None,
@@ -41,9 +42,9 @@ def block_benchmark(hourly: DataFrame, strategies: dict[str, str] | None = None,
     strategies = strategies or NAIVE
     targets = list(strategies)
     y = hourly.select(KEY, "idx", *targets)
-    split = assign_blocks(train_test_split(y, horizon * n_blocks), horizon)
+    split = materialize(assign_blocks(train_test_split(y, horizon * n_blocks), horizon))
     train = split.where(~F.col("is_test")).select(KEY, "idx", *targets)
-    filled = ffill(train, targets, chunk=chunk)
+    filled = materialize(ffill(train, targets, chunk=chunk))
     state = fit_scaler(filled, targets)
     scaled = apply_scaler(filled, state, targets)
     model = ensemble_fit(to_long(scaled, targets, [KEY, "idx"]), strategies)

@@ -60,6 +60,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
+    """Reliable checkpoint into the shared checkpoint folder (never a local one).
+
+    Used where one derived table (the hourly grid, a filled grid) feeds
+    several branches of a plan: it is computed once, written to shared
+    storage, and later stages read it back - so the plan stays small, the
+    upstream shuffles run once, and a lost executor costs a re-read rather
+    than a recompute of the whole lineage. The hash partitioning of the
+    written data is kept, so joins on the series key do not re-shuffle it.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+materialize = cut_lineage
