@@ -33,24 +33,40 @@ def prepared(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     return materialize(preprocess(views.met(spark, sf_dir), chunk=chunk))
 
 
-def block_benchmark(hourly: DataFrame, strategies: dict[str, str] | None = None,
-                    horizon: int = HORIZON, n_blocks: int = 3,
-                    scorers: tuple[str, ...] = ("rmspe", "mape"),
-                    chunk: int = CHUNK) -> DataFrame:
-    """Block benchmark on a P19 grid; returns ``(series_id, metric, value)``
-    with ``block_{i}_{Scorer}``, ``avg_{Scorer}``, ``std_{Scorer}`` rows."""
-    strategies = strategies or NAIVE
+def fit_naive(hourly: DataFrame, strategies: dict[str, str], test_size: int, horizon: int = HORIZON,
+              chunk: int = CHUNK):
+    """Split, fill and scale the train rows, fit the naive ensemble on the
+    scaled values. Returns ``(split, state, model)``; ``split`` is
+    materialised (it feeds the fit, the truth and the block tables)."""
     targets = list(strategies)
     y = hourly.select(KEY, "idx", *targets)
-    split = materialize(assign_blocks(train_test_split(y, horizon * n_blocks), horizon))
+    split = materialize(assign_blocks(train_test_split(y, test_size), horizon))
     train = split.where(~F.col("is_test")).select(KEY, "idx", *targets)
     filled = materialize(ffill(train, targets, chunk=chunk))
     state = fit_scaler(filled, targets)
     scaled = apply_scaler(filled, state, targets)
     model = ensemble_fit(to_long(scaled, targets, [KEY, "idx"]), strategies)
-    truth = to_long(split.where(F.col("block_id").isNotNull()), targets, [KEY, "idx", "block_id"]) \
-        .withColumnRenamed("value", "y")
-    pred = unscale_long(naive_predict(model, truth), state, "yhat")
+    return split, state, model
+
+
+def forecast_rows(split: DataFrame, state: DataFrame, model: DataFrame, targets: list[str],
+                  only_blocks: bool = True) -> DataFrame:
+    """Truth ``y`` (raw hourly, may be NULL) and unscaled prediction ``yhat``
+    per ``(series, col, idx, block_id)`` of the test rows."""
+    rows = split.where(F.col("block_id").isNotNull()) if only_blocks else split.where(F.col("is_test"))
+    truth = to_long(rows, targets, [KEY, "idx", "block_id"]).withColumnRenamed("value", "y")
+    return unscale_long(naive_predict(model, truth), state, "yhat")
+
+
+def block_benchmark(hourly: DataFrame, strategies: dict[str, str] | None = None,
+                    horizon: int = HORIZON, n_blocks: int = 3,
+                    scorers: tuple[str, ...] = ("rmspe", "mape"),
+                    chunk: int = CHUNK) -> DataFrame:
+    """Block benchmark on a P19 grid; returns ``(series_id, metric, value)``
+    with ``block_{i}_{Scorer}``, ``avg_{Scorer}``, ``std_{Scorer}`` rows."""
+    strategies = strategies or NAIVE
+    split, state, model = fit_naive(hourly, strategies, horizon * n_blocks, horizon, chunk)
+    pred = forecast_rows(split, state, model, list(strategies))
     bs = block_scores(pred, list(scorers))
     agg = aggregate_blocks(bs)
     return bs.select(KEY, "metric", "value").unionByName(agg)

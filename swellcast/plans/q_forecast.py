@@ -11,3 +11,286 @@ from .queries import register
 def m14_block_benchmark(spark, sf_dir):
     """Flagship: naive ensemble scored over three 72-hour test blocks."""
     return benchmark.run(spark, sf_dir)
+
+from pyspark.sql import functions as F
+
+from ..config import HORIZON, TARGETS
+from ..operators import cv
+from ..operators.blocks import assign_blocks, train_test_split
+from ..operators.metrics import best_fold, cv_summary, fold_scores, score
+from ..operators.scaling import to_long
+from ..session import materialize
+from . import bases
+from .oracles import rnd
+from .q_windows import FOLD_H, FOLD_S, FOLD_W, _filled
+
+TEST_SIZE = HORIZON * 3
+ENSEMBLE = {"WVHT": "last", "APD": "mean"}
+
+
+def _naive_sql(strategies: dict[str, str]) -> str:
+    """CTEs: split on the raw hourly targets, fill on train, levels per col."""
+    fill = O.ffill_cte("train", TARGETS, "tf", keep="series_id, idx")
+    lv = ", ".join((f"arg_max({c}, idx) AS lv_{c}" if s == "last" else f"avg({c}) AS lv_{c}")
+                   for c, s in strategies.items())
+    return O.met_hourly_prefix() + f""",
+n AS (SELECT series_id, max(idx) + 1 AS n_rows FROM hourly GROUP BY 1),
+sp AS (SELECT h.series_id, h.idx, h.WVHT, h.APD, n.n_rows, n.n_rows - {TEST_SIZE} AS test_start,
+       CASE WHEN h.idx >= n.n_rows - {TEST_SIZE} AND floor((h.idx - (n.n_rows - {TEST_SIZE})) / {HORIZON}) + 1
+                 <= floor({TEST_SIZE} / {HORIZON})
+            THEN CAST(floor((h.idx - (n.n_rows - {TEST_SIZE})) / {HORIZON}) + 1 AS BIGINT) END AS block_id
+       FROM hourly h JOIN n USING (series_id)),
+train AS (SELECT series_id, idx, WVHT, APD FROM sp WHERE idx < test_start),
+{fill},
+lv AS (SELECT series_id, {lv} FROM tf GROUP BY 1),
+pred AS ({' UNION ALL '.join(f"SELECT sp.series_id, '{c}' AS col, sp.idx, sp.block_id, sp.{c} AS y, lv.lv_{c} AS yhat FROM sp JOIN lv USING (series_id) WHERE sp.idx >= sp.test_start" for c in strategies)})"""
+
+
+def _naive_query(spark, sf, strategies):
+    split, state, model = benchmark.fit_naive(benchmark.prepared(spark, sf), strategies, TEST_SIZE)
+    return benchmark.forecast_rows(split, state, model, list(strategies), only_blocks=False) \
+        .select("series_id", "col", "idx", "yhat")
+
+
+@register("m1_naive_last", _naive_sql({"WVHT": "last", "APD": "last"}) +
+          f"\nSELECT series_id, col, idx, {rnd('yhat', 'yhat')} FROM pred")
+def m1_naive_last(spark, sf):
+    """Naive 'last' forecast of both targets over the 216 test hours."""
+    return _naive_query(spark, sf, {"WVHT": "last", "APD": "last"})
+
+
+@register("m2_naive_mean", _naive_sql({"WVHT": "mean", "APD": "mean"}) +
+          f"\nSELECT series_id, col, idx, {rnd('yhat', 'yhat')} FROM pred")
+def m2_naive_mean(spark, sf):
+    return _naive_query(spark, sf, {"WVHT": "mean", "APD": "mean"})
+
+
+@register("m3_ensemble_pairs", _naive_sql(ENSEMBLE) +
+          f"\nSELECT series_id, col, idx, block_id, {rnd('y', 'y')}, {rnd('yhat', 'yhat')} FROM pred WHERE block_id IS NOT NULL")
+def m3_ensemble_pairs(spark, sf):
+    """Column ensemble (WVHT last, APD mean): truth joined to prediction for
+    every block row (J6)."""
+    split, state, model = benchmark.fit_naive(benchmark.prepared(spark, sf), ENSEMBLE, TEST_SIZE)
+    return benchmark.forecast_rows(split, state, model, TARGETS).select("series_id", "col", "idx", "block_id", "y", "yhat")
+
+
+_PE = "(y - yhat) / greatest(abs(y), 2.220446049250313e-16)"
+
+
+@register("a2_a4_percentage_errors", _naive_sql(ENSEMBLE) + f""",
+s AS (SELECT series_id, col, avg(({_PE}) * ({_PE})) AS mspe, sqrt(avg(({_PE}) * ({_PE}))) AS rmspe,
+      avg(abs({_PE})) AS mape FROM pred WHERE y IS NOT NULL GROUP BY 1, 2)
+SELECT series_id, col, 'mspe' AS metric, {rnd('mspe', 'value')} FROM s UNION ALL
+SELECT series_id, col, 'rmspe', {rnd('rmspe', 'value')} FROM s UNION ALL
+SELECT series_id, col, 'mape', {rnd('mape', 'value')} FROM s""")
+def a2_a4_percentage_errors(spark, sf):
+    """MSPE, RMSPE, MAPE per series and target over all 216 test hours."""
+    split, state, model = benchmark.fit_naive(benchmark.prepared(spark, sf), ENSEMBLE, TEST_SIZE)
+    pairs = benchmark.forecast_rows(split, state, model, TARGETS, only_blocks=False)
+    parts = [score(pairs, ["series_id"], [m], per_column=True).withColumn("metric", F.lit(m)) for m in
+             ("mspe", "rmspe", "mape")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("a6_block_scores", O.block_benchmark_sql().replace(
+    "SELECT series_id, metric, ROUND", "SELECT * FROM (SELECT series_id, metric, ROUND") + ") WHERE metric LIKE 'block_%'")
+def a6_block_scores(spark, sf):
+    return benchmark.run(spark, sf).where(F.col("metric").startswith("block_"))
+
+
+@register("a7_block_aggregate", O.block_benchmark_sql().replace(
+    "SELECT series_id, metric, ROUND", "SELECT * FROM (SELECT series_id, metric, ROUND") + ") WHERE metric NOT LIKE 'block_%'")
+def a7_block_aggregate(spark, sf):
+    return benchmark.run(spark, sf).where(~F.col("metric").startswith("block_"))
+
+
+# ------------------------------------------------------------------ CV
+def _cv_sql() -> str:
+    lv = " UNION ALL ".join(
+        (f"SELECT series_id, fold_id, '{c}' AS col, arg_max({c}, idx) AS yhat FROM tr GROUP BY 1, 2" if s == "last"
+         else f"SELECT series_id, fold_id, '{c}' AS col, avg({c}) AS yhat FROM tr GROUP BY 1, 2")
+        for c, s in ENSEMBLE.items())
+    te = " UNION ALL ".join(f"SELECT series_id, fold_id, '{c}' AS col, idx, step, {c} AS y FROM te" for c in TARGETS)
+    return _filled() + f""",
+n AS (SELECT series_id, max(idx) + 1 AS n_rows FROM filled GROUP BY 1),
+k AS (SELECT series_id, CAST(floor((n_rows - {FOLD_H + FOLD_W}) / {FOLD_S}) + 1 AS BIGINT) AS nk FROM n),
+f AS (SELECT series_id, range AS fold_id FROM k, range(0, nk)),
+tr AS (SELECT h.*, f.fold_id FROM filled h JOIN f ON h.series_id = f.series_id
+       AND h.idx >= f.fold_id * {FOLD_S} AND h.idx < f.fold_id * {FOLD_S} + {FOLD_W}),
+te AS (SELECT h.*, f.fold_id, h.idx - (f.fold_id * {FOLD_S} + {FOLD_W}) + 1 AS step FROM filled h JOIN f
+       ON h.series_id = f.series_id AND h.idx >= f.fold_id * {FOLD_S} + {FOLD_W}
+       AND h.idx < f.fold_id * {FOLD_S} + {FOLD_W + FOLD_H}),
+lv AS ({lv}),
+tl AS ({te}),
+pairs AS (SELECT tl.*, lv.yhat FROM tl JOIN lv USING (series_id, fold_id, col)),
+fs AS (SELECT series_id, fold_id, col, avg(({_PE}) * ({_PE})) AS mspe, avg(abs({_PE})) AS mape
+       FROM pairs WHERE y IS NOT NULL GROUP BY 1, 2, 3),
+fsl AS (SELECT series_id, fold_id, col, 'test_MeanSquaredPercentageError' AS metric, mspe AS value FROM fs
+        UNION ALL SELECT series_id, fold_id, col, 'test_MeanAbsolutePercentageError', mape FROM fs)"""
+
+
+def cv_scores(spark, sf):
+    """Fold scores of the naive ensemble over the sliding folds (materialised:
+    feeds the summary, the best-fold pick and the hold-out run)."""
+    f = bases.targets_filled(spark, sf)
+    pairs = cv.naive_cv(f, TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
+    fs = fold_scores(pairs, ["mspe", "mape"])
+    return materialize(fs.withColumn("metric", F.concat(F.lit("test_"), F.col("metric"))))
+
+
+@register("m10_cv_naive", _cv_sql() + f"\nSELECT series_id, fold_id, col, metric, {rnd('value', 'value')} FROM fsl")
+def m10_cv_naive(spark, sf):
+    """Refit-per-fold back-test (w 336, h 72, s 72): score per fold, metric, target."""
+    return cv_scores(spark, sf)
+
+
+@register("a5_cv_summary", _cv_sql() + f"""
+SELECT series_id, metric, col, {rnd('avg(value)', 'mean_value')}, count(*) AS n_folds FROM fsl GROUP BY 1, 2, 3""")
+def a5_cv_summary(spark, sf):
+    return cv_summary(cv_scores(spark, sf))
+
+
+_BEST_SQL = """,
+pf AS (SELECT series_id, fold_id, avg(value) AS score FROM fsl WHERE metric = 'test_MeanSquaredPercentageError'
+       GROUP BY 1, 2),
+best AS (SELECT series_id, arg_min(fold_id, (score, fold_id)) AS best_fold, min(score) AS best_score FROM pf GROUP BY 1)"""
+
+
+@register("a8_best_fold", _cv_sql() + _BEST_SQL + f"\nSELECT series_id, best_fold, {rnd('best_score', 'best_score')} FROM best")
+def a8_best_fold(spark, sf):
+    """Arg-min fold of the column-averaged MSPE (first fold on ties)."""
+    return best_fold(cv_scores(spark, sf), "test_MeanSquaredPercentageError")
+
+
+@register("j8_chosen_fold", _cv_sql() + f"""
+SELECT series_id, col, idx, step, {rnd('y', 'y')}, {rnd('yhat', 'yhat')} FROM pairs WHERE fold_id = 2""")
+def j8_chosen_fold(spark, sf):
+    """Predictions and truth of fold 2, on the original scale."""
+    f = bases.targets_filled(spark, sf)
+    pairs = cv.naive_cv(f, TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
+    return pairs.where(F.col("fold_id") == 2).select("series_id", "col", "idx", "step", "y", "yhat")
+
+
+def _holdout_sql() -> str:
+    """Best-fold naive model forecast through the gap to the hold-out rows."""
+    lvb = " UNION ALL ".join(
+        (f"SELECT tr.series_id, '{c}' AS col, arg_max(tr.{c}, tr.idx) AS yhat FROM tr JOIN best b "
+         f"ON b.series_id = tr.series_id AND b.best_fold = tr.fold_id GROUP BY 1" if s == "last" else
+         f"SELECT tr.series_id, '{c}' AS col, avg(tr.{c}) AS yhat FROM tr JOIN best b "
+         f"ON b.series_id = tr.series_id AND b.best_fold = tr.fold_id GROUP BY 1") for c, s in ENSEMBLE.items())
+    ho = " UNION ALL ".join(
+        f"SELECT h.series_id, '{c}' AS col, h.idx, h.{c} AS y FROM hourly h JOIN n USING (series_id) "
+        f"WHERE h.idx >= n.n_rows - {TEST_SIZE}" for c in TARGETS)
+    return _cv_sql() + _BEST_SQL + f""",
+lvb AS ({lvb}),
+ho AS ({ho}),
+hp AS (SELECT ho.*, lvb.yhat FROM ho JOIN lvb USING (series_id, col))"""
+
+
+def holdout_pairs(spark, sf):
+    """M13 + M17: the best fold's model predicts every hour from its cutoff
+    + 1 to the last hold-out hour (flat for naive); only hold-out rows are
+    kept; truth is the raw hourly value."""
+    f = bases.targets_filled(spark, sf)
+    b = best_fold(cv_scores(spark, sf), "test_MeanSquaredPercentageError")
+    member = cv.sliding_folds(f, FOLD_W, FOLD_H, FOLD_S).where(F.col("role") == "train") \
+        .join(b.select("series_id", F.col("best_fold").alias("fold_id")), ["series_id", "fold_id"], "left_semi")
+    long = to_long(member, TARGETS, ["series_id", "idx"]).withColumn("_strategy", cv._strategy_col(ENSEMBLE))
+    model = long.groupBy("series_id", "col").agg(cv._level(F.col("_strategy")).alias("yhat"))
+    h = bases.met_hourly(spark, sf).select("series_id", "idx", *TARGETS)
+    ho = train_test_split(h, TEST_SIZE).where(F.col("is_test"))
+    truth = to_long(ho, TARGETS, ["series_id", "idx"]).withColumnRenamed("value", "y")
+    return truth.join(model, ["series_id", "col"], "inner")
+
+
+@register("m13_forecast_gap", _holdout_sql() + f"\nSELECT series_id, col, idx, {rnd('yhat', 'yhat')} FROM hp")
+def m13_forecast_gap(spark, sf):
+    return holdout_pairs(spark, sf).select("series_id", "col", "idx", "yhat")
+
+
+@register("m17_best_fold_holdout", _holdout_sql() + f""",
+s AS (SELECT series_id, avg(m) AS mspe FROM (SELECT series_id, col, avg(({_PE}) * ({_PE})) AS m FROM hp
+      WHERE y IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+a AS (SELECT series_id, avg(m) AS mape FROM (SELECT series_id, col, avg(abs({_PE})) AS m FROM hp
+      WHERE y IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT series_id, 'MeanSquaredPercentageError' AS metric, {rnd('mspe', 'value')} FROM s UNION ALL
+SELECT series_id, 'MeanAbsolutePercentageError', {rnd('mape', 'value')} FROM a""")
+def m17_best_fold_holdout(spark, sf):
+    """Best-fold model on the hold-out, scored on the original scale."""
+    return score(holdout_pairs(spark, sf), ["series_id"], ["mspe", "mape"])
+
+
+@register("j2_key_check", _holdout_sql() + """,
+exp AS (SELECT h.series_id, count(*) AS n_expected FROM hourly h JOIN n USING (series_id)
+        WHERE h.idx >= n.n_rows - 216 GROUP BY 1)
+SELECT series_id, n_expected, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM exp""")
+def j2_key_check(spark, sf):
+    """Forecast keys must equal the hold-out keys exactly (both anti joins empty)."""
+    h = bases.met_hourly(spark, sf).select("series_id", "idx")
+    expected = train_test_split(h, TEST_SIZE).where(F.col("is_test")).select("series_id", "idx")
+    got = holdout_pairs(spark, sf).where(F.col("col") == TARGETS[0]).select("series_id", "idx")
+    return cv.key_mismatch(expected, got, ["series_id", "idx"])
+
+
+@register("m16_predict_block", _naive_sql(ENSEMBLE) +
+          f"\nSELECT series_id, col, idx, {rnd('yhat', 'yhat')} FROM pred WHERE block_id = 2")
+def m16_predict_block(spark, sf):
+    """Predict one block (block 2) at its absolute times (semi join of the block's rows)."""
+    split, state, model = benchmark.fit_naive(benchmark.prepared(spark, sf), ENSEMBLE, TEST_SIZE)
+    rows = benchmark.forecast_rows(split, state, model, TARGETS)
+    return rows.where(F.col("block_id") == 2).select("series_id", "col", "idx", "yhat")
+
+
+def _expanding_sql() -> str:
+    full = O.ffill_cte("sp", TARGETS, "ff", keep="series_id, idx, block_id, test_start")
+    lv = " UNION ALL ".join(
+        (f"SELECT b.series_id, b.block_id, '{c}' AS col, arg_max(ff.{c}, ff.idx) AS yhat FROM blocks_ b JOIN ff "
+         f"ON ff.series_id = b.series_id AND ff.idx < b.bstart GROUP BY 1, 2" if s == "last" else
+         f"SELECT b.series_id, b.block_id, '{c}' AS col, avg(ff.{c}) AS yhat FROM blocks_ b JOIN ff "
+         f"ON ff.series_id = b.series_id AND ff.idx < b.bstart GROUP BY 1, 2") for c, s in ENSEMBLE.items())
+    tr = " UNION ALL ".join(f"SELECT series_id, block_id, '{c}' AS col, {c} AS y FROM sp WHERE block_id IS NOT NULL"
+                            for c in TARGETS)
+    return _naive_sql(ENSEMBLE) + f""",
+{full},
+blocks_ AS (SELECT DISTINCT series_id, block_id, test_start + (block_id - 1) * {HORIZON} AS bstart FROM sp
+            WHERE block_id IS NOT NULL),
+lvx AS ({lv}),
+tx AS ({tr}),
+px AS (SELECT tx.*, lvx.yhat FROM tx JOIN lvx USING (series_id, block_id, col) WHERE tx.y IS NOT NULL),
+pc AS (SELECT series_id, block_id, col, sqrt(avg(({_PE}) * ({_PE}))) AS rmspe, avg(abs({_PE})) AS mape
+       FROM px GROUP BY 1, 2, 3),
+bk AS (SELECT series_id, block_id, avg(rmspe) AS rmspe, avg(mape) AS mape FROM pc GROUP BY 1, 2)
+SELECT series_id, 'block_' || block_id || '_MeanSquaredPercentageError' AS metric, {rnd('rmspe', 'value')} FROM bk
+UNION ALL SELECT series_id, 'block_' || block_id || '_MeanAbsolutePercentageError', {rnd('mape', 'value')} FROM bk"""
+
+
+@register("m15_expanding_blocks", _expanding_sql())
+def m15_expanding_blocks(spark, sf):
+    """Blocks one after another, each fitted on all actuals before it
+    (forward-filled), scored per block."""
+    h = benchmark.prepared(spark, sf).select("series_id", "idx", *TARGETS)
+    split = materialize(assign_blocks(train_test_split(h, TEST_SIZE), HORIZON))
+    filled = cv.expanding_blocks(
+        benchmark.ffill(split.select("series_id", "idx", "test_start", "n_blocks", *TARGETS), TARGETS),
+        TARGETS, ENSEMBLE, horizon=HORIZON)
+    truth = to_long(split.where(F.col("block_id").isNotNull()), TARGETS, ["series_id", "idx", "block_id"]) \
+        .withColumnRenamed("value", "y")
+    pairs = truth.join(filled.withColumnRenamed("level", "yhat"), ["series_id", "block_id", "col"], "inner")
+    from ..operators.metrics import block_scores
+    return block_scores(pairs, ["rmspe", "mape"]).select("series_id", "metric", "value")
+
+
+@register("a13_run_facts", _naive_sql(ENSEMBLE) + f""",
+nb AS (SELECT series_id, count(DISTINCT block_id) AS n_blocks FROM sp GROUP BY 1)
+SELECT nb.series_id, nb.n_blocks, CAST({HORIZON} AS BIGINT) AS block_size,
+  CAST(floor((n.n_rows - {FOLD_H + FOLD_W}) / {FOLD_S}) + 1 AS BIGINT) AS n_folds
+FROM nb JOIN n USING (series_id)""")
+def a13_run_facts(spark, sf):
+    """Number of blocks, block size and number of folds per series."""
+    h = benchmark.prepared(spark, sf).select("series_id", "idx")
+    b = assign_blocks(train_test_split(h, TEST_SIZE), HORIZON)
+    from ..operators.blocks import n_folds
+    return b.groupBy("series_id").agg(F.count_distinct("block_id").alias("n_blocks"),
+                                      F.max("n_rows").alias("_n")) \
+        .select("series_id", "n_blocks", F.lit(HORIZON).cast("long").alias("block_size"),
+                n_folds(F.col("_n"), FOLD_W, FOLD_H, FOLD_S).alias("n_folds"))
