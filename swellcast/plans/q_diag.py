@@ -1,3 +1,138 @@
-"""Registered queries."""
+"""Registered queries: series diagnostics (ACF, seasonality, White test, PACF)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import CLEAN_COLUMNS, Z_975
+from ..operators import diagnostics as D
+from ..operators.scaling import apply_scaler, fit_scaler, to_long
+from ..session import materialize
+from . import bases
+from .oracles import rnd
+from .q_windows import _filled
+from .queries import register
+
+MAX_LAG = 72
+PK = "PARTITION BY series_id, col ORDER BY idx"
+
+
+def scaled_long(spark, sf):
+    """Every cleaned column, filled and z-scored over the whole series, in
+    long form ``(series_id, col, idx, value)`` (materialised: it feeds all
+    diagnostics)."""
+    f = bases.met_filled(spark, sf)
+    st = fit_scaler(f, CLEAN_COLUMNS)
+    return materialize(to_long(apply_scaler(f, st, CLEAN_COLUMNS), CLEAN_COLUMNS, ["series_id", "idx"]))
+
+
+def _long_sql() -> str:
+    lng = " UNION ALL ".join(f"SELECT series_id, '{c}' AS col, idx, {c} AS value FROM filled" for c in CLEAN_COLUMNS)
+    return _filled(CLEAN_COLUMNS) + f""",
+lng AS ({lng}),
+mz AS (SELECT series_id, col, avg(value) AS m,
+       CASE WHEN coalesce(stddev_pop(value), 0) = 0 THEN 1 ELSE stddev_pop(value) END AS s FROM lng GROUP BY 1, 2),
+z AS (SELECT l.series_id, l.col, l.idx, (l.value - mz.m) / mz.s AS value FROM lng l JOIN mz USING (series_id, col))"""
+
+
+def _acf_sql(k: int = MAX_LAG) -> str:
+    lags = ", ".join(f"lag(d, {i}) OVER ({PK}) AS l{i}" for i in range(1, k + 1))
+    sums = ", ".join(f"sum(d * l{i}) AS c{i}" for i in range(1, k + 1))
+    r = ", ".join(["1.0"] + [f"c{i} / c0" for i in range(1, k + 1)])
+    return _long_sql() + f""",
+mom AS (SELECT series_id, col, count(value) AS n, avg(value) AS m, min(value) AS lo, max(value) AS hi FROM z GROUP BY 1, 2),
+dv AS (SELECT z.series_id, z.col, z.idx, z.value - mom.m AS d FROM z JOIN mom USING (series_id, col)),
+lg AS (SELECT series_id, col, d, {lags} FROM dv),
+sm AS (SELECT series_id, col, sum(d * d) AS c0, {sums} FROM lg GROUP BY 1, 2),
+acf AS (SELECT sm.series_id, sm.col, mom.n, mom.lo = mom.hi AS is_constant,
+        CASE WHEN mom.lo <> mom.hi THEN list_value({r}) END AS r FROM sm JOIN mom USING (series_id, col))"""
+
+
+@register("d6_acf", _acf_sql() + f"""
+SELECT series_id, col, CAST(g.k AS BIGINT) AS lag, {rnd('r[g.k + 1]', 'r')} FROM acf, range(0, {MAX_LAG + 1}) g(k)""")
+def d6_acf(spark, sf):
+    """Biased ACF, lags 0..72, of every z-scored column (long form)."""
+    a = D.acf(scaled_long(spark, sf), MAX_LAG)
+    return a.select("series_id", "col", F.posexplode("r").alias("lag", "r")) \
+        .withColumn("lag", F.col("lag").cast("long"))
+
+
+_CANDS = f"list_filter(range(1, {MAX_LAG}), lambda k: r[k + 1] > r[k] AND r[k + 1] > r[k + 2])"
+
+
+@register("d8_acf_maxima", _acf_sql() + f"""
+SELECT series_id, col, CAST(unnest({_CANDS}) AS BIGINT) AS lag FROM acf WHERE r IS NOT NULL""")
+def d8_acf_maxima(spark, sf):
+    """Local maxima of the ACF (strict, ends excluded)."""
+    a = D.acf(scaled_long(spark, sf), MAX_LAG)
+    return a.where(F.col("r").isNotNull()).select("series_id", "col", F.explode(D.local_maxima(F.col("r"))).alias("lag")) \
+        .withColumn("lag", F.col("lag").cast("long"))
+
+
+def _seas_sql() -> str:
+    r1 = f"list_slice(r, 2, {MAX_LAG + 1})"
+    bart = (f"CASE WHEN c - 1 = 1 THEN sqrt(1.0 / n) ELSE sqrt((1 + 2 * coalesce(list_sum(list_transform("
+            f"list_slice({r1}, 1, c - 2), lambda x: x * x)), 0)) / n) END")
+    return _acf_sql() + f""",
+sa AS (SELECT *, {_CANDS} AS cands,
+       list_avg({r1}) + {Z_975} * list_var_pop({r1}) AS band FROM acf WHERE r IS NOT NULL),
+sb AS (SELECT *, list_filter(cands, lambda c: r[c + 1] > ({bart}) * band) AS ok FROM sa)"""
+
+
+@register("d9_bartlett_band", _seas_sql() + f""",
+ex AS (SELECT series_id, col, n, r, band, unnest(cands) AS c FROM sb)
+SELECT series_id, col, CAST(c AS BIGINT) AS lag, {rnd('r[c + 1]', 'r')},
+  {rnd(f"CASE WHEN c - 1 = 1 THEN sqrt(1.0 / n) ELSE sqrt((1 + 2 * coalesce(list_sum(list_transform(list_slice(list_slice(r, 2, {MAX_LAG + 1}), 1, c - 2), lambda x: x * x)), 0)) / n) END", 'bartlett_se')},
+  {rnd('band', 'band')} FROM ex""")
+def d9_bartlett_band(spark, sf):
+    """Bartlett standard error and significance band at every ACF candidate."""
+    a = D.acf(scaled_long(spark, sf), MAX_LAG).where(F.col("r").isNotNull())
+    r = F.col("r")
+    r1 = F.slice(r, 2, F.size(r) - 1)
+    k = F.size(r1).cast("double")
+    mean1 = F.aggregate(r1, F.lit(0.0), lambda acc, x: acc + x) / k
+    var1 = F.aggregate(r1, F.lit(0.0), lambda acc, x: acc + (x - mean1) * (x - mean1)) / k
+    x = a.select("series_id", "col", "n", "r", (mean1 + F.lit(Z_975) * var1).alias("band"),
+                 F.explode(D.local_maxima(r)).alias("c"))
+    return x.select("series_id", "col", F.col("c").cast("long").alias("lag"), F.element_at("r", F.col("c") + 1).alias("r"),
+                    D.bartlett_se(F.slice(F.col("r"), 2, F.size("r") - 1), F.col("c") - 1, F.col("n").cast("double"))
+                    .alias("bartlett_se"), "band")
+
+
+@register("d10_seasonality", _acf_sql() + f""",
+sa AS (SELECT *, CASE WHEN r IS NOT NULL THEN {_CANDS} END AS cands,
+       list_avg(list_slice(r, 2, {MAX_LAG + 1})) + {Z_975} * list_var_pop(list_slice(r, 2, {MAX_LAG + 1})) AS band FROM acf),
+sb AS (SELECT *, list_filter(cands, lambda c: r[c + 1] > (CASE WHEN c - 1 = 1 THEN sqrt(1.0 / n) ELSE sqrt((1 + 2 * coalesce(list_sum(
+       list_transform(list_slice(list_slice(r, 2, {MAX_LAG + 1}), 1, c - 2), lambda x: x * x)), 0)) / n) END) * band) AS ok FROM sa)
+SELECT series_id, col, n, is_constant,
+  CASE WHEN is_constant OR len(cands) = 0 THEN false ELSE list_min(ok) IS NOT NULL END AS seasonal,
+  CAST(CASE WHEN is_constant OR len(cands) = 0 THEN 0 ELSE coalesce(list_min(ok), 0) END AS BIGINT) AS seasonal_period,
+  CAST(coalesce(len(cands), 0) AS BIGINT) AS n_candidates, CAST(list_min(cands) AS BIGINT) AS first_candidate
+FROM sb""")
+def d10_seasonality(spark, sf):
+    """Seasonality check (max lag 72, 5 %) of every z-scored column; includes
+    the constant test (A12), candidate membership (J10) and the first
+    admissible candidate (T6)."""
+    return D.seasonality(D.acf(scaled_long(spark, sf), MAX_LAG))
+
+
+@register("d5_white_test", _long_sql() + f""",
+p1 AS (SELECT series_id, col, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a, count(value) AS n,
+       avg(idx) AS tm FROM z GROUP BY 1, 2),
+p2 AS (SELECT z.series_id, z.col, p1.n, corr(power(z.value - (p1.a + p1.b * z.idx), 2), z.idx - p1.tm) AS r1,
+       corr(power(z.value - (p1.a + p1.b * z.idx), 2), (z.idx - p1.tm) * (z.idx - p1.tm)) AS r2
+       FROM z JOIN p1 USING (series_id, col) GROUP BY 1, 2, 3),
+p3 AS (SELECT *, power(coalesce(r1, 0), 2) + power(coalesce(r2, 0), 2) AS rsq FROM p2)
+SELECT series_id, col, n, (exp(-n * rsq / 2) < 0.05 AND power(1 - rsq, (n - 3) / 2.0) < 0.05) AS heteroscedastic,
+  {rnd('n * rsq', 'lm_statistic')}, {rnd('exp(-n * rsq / 2)', 'lm_p_value')}, {rnd('power(1 - rsq, (n - 3) / 2.0)', 'f_p_value')}
+FROM p3""")
+def d5_white_test(spark, sf):
+    """White heteroscedasticity test of every z-scored column."""
+    return D.white_test(scaled_long(spark, sf))
+
+
+@register("d7_pacf")
+def d7_pacf(spark, sf):
+    """Partial autocorrelation to lag 72 (Durbin-Levinson on the ACF)."""
+    p = D.pacf(D.acf(scaled_long(spark, sf), MAX_LAG).where(F.col("r").isNotNull()))
+    return p.select("series_id", "col", F.posexplode("pacf").alias("lag", "pacf")).withColumn("lag", F.col("lag").cast("long"))
