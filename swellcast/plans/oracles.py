@@ -86,9 +86,14 @@ dgrid AS (SELECT s.series_id, s.d, CAST(date_diff('day', s.lo, s.d) AS BIGINT) A
 
 
 # --------------------------------------------------------------- flagship
-def block_benchmark_sql(test_size: int = 216, horizon: int = 72) -> str:
-    """M14 with the naive ensemble (WVHT last, APD mean) on the met grid."""
-    return met_hourly_prefix() + f""",
+def block_benchmark_sql(test_size: int = 216, horizon: int = 72, strategies: dict | None = None,
+                        final: bool = True) -> str:
+    """M14 with naive forecasters (default: WVHT last, APD mean) on the met grid.
+    ``final=False`` leaves the CTE ``outp(series_id, metric, value)`` open."""
+    strategies = strategies or {"WVHT": "last", "APD": "mean"}
+    lw = "arg_max(WVHT, idx)" if strategies["WVHT"] == "last" else "avg(WVHT)"
+    la = "arg_max(APD, idx)" if strategies["APD"] == "last" else "avg(APD)"
+    body = met_hourly_prefix() + f""",
 y AS (SELECT series_id, idx, WVHT, APD FROM hourly),
 n AS (SELECT series_id, max(idx) + 1 AS n_rows FROM y GROUP BY 1),
 split AS (SELECT y.*, n.n_rows, n.n_rows - {test_size} AS test_start FROM y JOIN n USING (series_id)),
@@ -99,7 +104,7 @@ st AS (SELECT series_id, avg(WVHT) AS m_w, CASE WHEN coalesce(stddev_pop(WVHT),
        FROM filled GROUP BY 1),
 sc AS (SELECT f.series_id, f.idx, (f.WVHT - st.m_w) / st.s_w AS WVHT, (f.APD - st.m_a) / st.s_a AS APD
        FROM filled f JOIN st USING (series_id)),
-model AS (SELECT series_id, arg_max(WVHT, idx) AS lw, avg(APD) AS la FROM sc GROUP BY 1),
+model AS (SELECT series_id, {lw} AS lw, {la} AS la FROM sc GROUP BY 1),
 test AS (SELECT series_id, idx, WVHT, APD, CAST(floor((idx - test_start) / {horizon}) AS BIGINT) + 1 AS block_id,
          CAST(floor((n_rows - test_start) / {horizon}) AS BIGINT) AS nb FROM split WHERE idx >= test_start),
 pairs AS (
@@ -117,5 +122,7 @@ blong AS (
 outp AS (
   SELECT series_id, 'block_' || block_id || '_' || scorer AS metric, value FROM blong
   UNION ALL SELECT series_id, 'avg_' || scorer, avg(value) FROM blong GROUP BY series_id, scorer
-  UNION ALL SELECT series_id, 'std_' || scorer, stddev_pop(value) FROM blong GROUP BY series_id, scorer)
-SELECT series_id, metric, {rnd('value', 'value')} FROM outp"""
+  UNION ALL SELECT series_id, 'std_' || scorer, stddev_pop(value) FROM blong GROUP BY series_id, scorer)"""
+    if not final:
+        return body
+    return body + f"\nSELECT series_id, metric, {rnd('value', 'value')} FROM outp"

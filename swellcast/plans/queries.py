@@ -34,4 +34,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_clean, q_diag, q_forecast, q_misc, q_windows  # noqa: F401
+    from . import q_clean, q_diag, q_forecast, q_misc, q_runs, q_windows  # noqa: F401
