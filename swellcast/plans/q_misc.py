@@ -1,3 +1,46 @@
-"""Registered queries."""
+"""Registered queries: file scans and sinks round-tripped through the
+shared checkpoint folder (the data written is derived from the given tables)."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
+from ..sources import text
+from . import views
+from .oracles import rnd
+from .queries import register
+from .views import DAILY_SQL, MET_SQL
+
+RAW = ["WDIR", "WSPD", "GST", "WVHT", "DPD", "APD", "MWD", "PRES", "ATMP", "WTMP", "DEWP", "VIS", "TIDE"]
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local
+    on a cluster)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/swellcast-{name}-{uuid.uuid4().hex}"
+
+
+@register("s1_buoy_scan", f"WITH met AS ({MET_SQL})\nSELECT series_id, date_trunc('minute', ts) AS ts, "
+          + ", ".join(rnd(c, c) for c in RAW) + " FROM met")
+def s1_buoy_scan(spark, sf):
+    """Write the buoy-like view as one blank-delimited text file per series
+    (two '#' header lines), then parse the files back with the buoy scanner."""
+    path = scratch(spark, "buoy")
+    text.write_buoy(views.met(spark, sf), path, RAW)
+    return text.read_buoy(spark, f"{path}/*/*.txt", series_pattern=r"series_id=([^/]+)/")
+
+
+@register("s2_dated_csv", f"""WITH daily AS ({DAILY_SQL})
+SELECT series_id, d AS Date, {rnd('value', 'value')} FROM daily""")
+def s2_dated_csv(spark, sf):
+    """Write the daily series as dated CSV (S3 sink, one folder per series),
+    read it back with the dated-CSV scanner (S2)."""
+    path = scratch(spark, "csv")
+    d = views.daily(spark, sf).select("series_id", F.col("d").alias("Date"), "value")
+    d.write.mode("errorifexists").partitionBy("series_id").option("header", True).csv(path)
+    back = text.read_dated_csv(spark, path, ["value"])  # series_id from partition discovery
+    return back.select(F.col("series_id").cast("string"), "Date", "value")
