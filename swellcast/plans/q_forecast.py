@@ -294,3 +294,26 @@ def a13_run_facts(spark, sf):
                                       F.max("n_rows").alias("_n")) \
         .select("series_id", "n_blocks", F.lit(HORIZON).cast("long").alias("block_size"),
                 n_folds(F.col("_n"), FOLD_W, FOLD_H, FOLD_S).alias("n_folds"))
+
+
+@register("m9_gbt_direct")
+def m9_gbt_direct(spark, sf):
+    """Direct boosted trees (one pooled MLlib GBT per target, W15 lags +
+    calendar) scored over the three 72-hour test blocks."""
+    from ..config import DIRECT_LAGS
+    from ..operators.metrics import aggregate_blocks, block_scores
+    from ..operators.models import direct_features, fit_predict_direct
+    f = bases.targets_filled(spark, sf)
+    feats_df, feats = direct_features(f, TARGETS, DIRECT_LAGS, HORIZON)
+    split = materialize(assign_blocks(train_test_split(feats_df, TEST_SIZE), HORIZON))
+    truth = bases.met_hourly(spark, sf).select("series_id", "idx", *TARGETS)
+    parts = []
+    for c in TARGETS:
+        pred = fit_predict_direct(split.where(~F.col("is_test")), split.where(F.col("block_id").isNotNull()),
+                                  feats, c)
+        parts.append(pred.select("series_id", "idx", "block_id", F.lit(c).alias("col"), "yhat"))
+    pred = parts[0].unionByName(parts[1])
+    y = to_long(truth, TARGETS, ["series_id", "idx"]).withColumnRenamed("value", "y")
+    pairs = pred.join(y, ["series_id", "idx", "col"], "inner")
+    bs = block_scores(pairs, ["rmspe", "mape"])
+    return bs.select("series_id", "metric", "value").unionByName(aggregate_blocks(bs))
