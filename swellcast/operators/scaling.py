@@ -67,3 +67,24 @@ def unscale_long(df: DataFrame, state: DataFrame, value: str, key: str = KEY) ->
     st = state.select(key, "col", F.col("mean").alias("_m"), F.col("std").alias("_s"))
     return df.join(st, [key, "col"], "left") \
         .withColumn(value, F.col(value) * F.col("_s") + F.col("_m")).drop("_m", "_s")
+
+
+def state_path(base: str, cols: list[str], fingerprint: str = "") -> str:
+    """S6 key: the state folder is named by a hash of the columns and a
+    caller fingerprint (e.g. the train time range), so a changed input never
+    reuses a stale state (the reference reuses whatever file exists)."""
+    import hashlib
+    h = hashlib.sha1(("|".join(cols) + "#" + fingerprint).encode()).hexdigest()[:16]
+    return f"{base.rstrip('/')}/scaler-{h}"
+
+
+def fit_or_load_scaler(df: DataFrame, cols: list[str], path: str, key: str = KEY) -> DataFrame:
+    """Reuse the saved scaler state at ``path`` if present, else fit on
+    ``df``, save it as Parquet and return what was written."""
+    from pyspark.errors import AnalysisException
+    spark = df.sparkSession
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        fit_scaler(df, cols, key).write.mode("errorifexists").parquet(path)
+        return spark.read.parquet(path)

@@ -44,3 +44,41 @@ def s2_dated_csv(spark, sf):
     d.write.mode("errorifexists").partitionBy("series_id").option("header", True).csv(path)
     back = text.read_dated_csv(spark, path, ["value"])  # series_id from partition discovery
     return back.select(F.col("series_id").cast("string"), "Date", "value")
+
+
+def _p15_sql():
+    from .q_windows import _filled, _round_all, _scaler_sql
+    from ..config import TARGETS
+    return _filled() + _scaler_sql(TARGETS) + f"\nSELECT series_id, ts, idx, is_test, {_round_all(TARGETS)} FROM scaled"
+
+
+@register("s6_scaler_state", _p15_sql())
+def s6_scaler_state(spark, sf):
+    """Fit the target scaler on train rows, save its state table, load it
+    back (a second call reuses it) and apply it: equals P15."""
+    from ..config import HORIZON, TARGETS
+    from ..operators.blocks import train_test_split
+    from ..operators.scaling import apply_scaler, fit_or_load_scaler, state_path
+    from . import bases
+    f = bases.targets_filled(spark, sf)
+    sp = train_test_split(f, HORIZON * 3)
+    path = state_path(scratch(spark, "state"), TARGETS, f"{sf}|train")
+    fit_or_load_scaler(sp.where(~F.col("is_test")), TARGETS, path)
+    state = fit_or_load_scaler(sp.where(~F.col("is_test")), TARGETS, path)   # reused, not refitted
+    return apply_scaler(sp, state, TARGETS).select("series_id", "ts", "idx", "is_test", *TARGETS)
+
+
+def _m10_sql():
+    from .q_forecast import _cv_sql
+    return _cv_sql() + f"\nSELECT series_id, fold_id, col, metric, {rnd('value', 'value')} FROM fsl"
+
+
+@register("s7_cv_results", _m10_sql())
+def s7_cv_results(spark, sf):
+    """Write the CV fold scores as a Parquet table partitioned by metric,
+    read it back."""
+    from .q_forecast import cv_scores
+    path = scratch(spark, "cv")
+    cv_scores(spark, sf).write.mode("errorifexists").partitionBy("metric").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("series_id", "fold_id", "col", F.col("metric").cast("string"), "value")
