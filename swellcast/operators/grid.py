@@ -106,7 +106,8 @@ def infer_step(df: DataFrame, key: str = "series_id", ts: str = "ts",
     difference is the step; anything else (or fewer than 3 points, where the
     frequency cannot be inferred) falls back to ``default_seconds``.
     """
-    secs = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
+    secs = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts)) \
+        / F.lit(1_000_000)  # NTZ arithmetic: independent of the session time zone
     x = df.select(key, secs.alias("_s")).distinct() \
         .withColumn("_chunk", F.floor(F.col("_s") / (3600 * chunk_hours)))
     w = Window.partitionBy(key, "_chunk").orderBy("_s")
