@@ -332,3 +332,66 @@ def w6_feature_union(spark, sf):
     names = [c for c in feats.columns if c not in ("series_id", "ts", "idx", "is_test")]
     state = fit_scaler(feats.where(~F.col("is_test")), names)
     return apply_scaler(feats, state, names).select("series_id", "ts", "idx", *names)
+
+
+# ------------------------------------------------------------ row sets
+@register("j3_concat_xy", O.met_hourly_prefix() + f""",
+xs AS (SELECT series_id, ts, {', '.join(EXOGENOUS)} FROM hourly),
+ys AS (SELECT series_id, ts, {', '.join(TARGETS)} FROM hourly)
+SELECT coalesce(xs.series_id, ys.series_id) AS series_id, coalesce(xs.ts, ys.ts) AS ts,
+  {', '.join(rnd(f'xs.{c}', c) for c in EXOGENOUS)}, {', '.join(rnd(f'ys.{c}', c) for c in TARGETS)}
+FROM xs FULL OUTER JOIN ys ON xs.series_id = ys.series_id AND xs.ts = ys.ts""")
+def j3_concat_xy(spark, sf):
+    """Column-wise concat of X and y on the time key (full outer join)."""
+    h = bases.met_hourly(spark, sf)
+    x = h.select("series_id", "ts", *EXOGENOUS)
+    y = h.select("series_id", "ts", *TARGETS)
+    return x.join(y, ["series_id", "ts"], "full_outer")
+
+
+@register("j4_union_sorted", O.obs_hourly_prefix() + f"""
+SELECT series_id, ts, idx, {rnd('value', 'value')} FROM hourly ORDER BY series_id, ts""")
+def j4_union_sorted(spark, sf):
+    """Train and test rows concatenated back (no dedupe) and sorted by time
+    at the sink (T2)."""
+    h = blocks.train_test_split(bases.obs_hourly(spark, sf), TEST_SIZE)
+    train = h.where(~F.col("is_test")).select("series_id", "ts", "idx", "value")
+    test = h.where(F.col("is_test")).select("series_id", "ts", "idx", "value")
+    return train.unionByName(test).orderBy("series_id", "ts")
+
+
+@register("t3_head", O.obs_hourly_prefix() + f"""
+SELECT series_id, ts, idx, {rnd('value', 'value')} FROM hourly
+QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts) <= 5""")
+def t3_head(spark, sf):
+    """First five rows of every series."""
+    from ..operators.seasonal import head
+    return head(bases.obs_hourly(spark, sf), 5)
+
+
+def _m18_sql(p: int = 24) -> str:
+    h = p // 2
+    parts = []
+    for c in TARGETS:
+        fr_in = f"({P} ROWS BETWEEN {h - 1} PRECEDING AND {h - 1} FOLLOWING)"
+        fr = f"({P} ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+        parts.append(f"CASE WHEN count({c}) OVER {fr} = {2 * h + 1} THEN (sum({c}) OVER {fr_in} + 0.5 * "
+                     f"(lag({c}, {h}) OVER ({P}) + lead({c}, {h}) OVER ({P}))) / {float(p)} END AS tr_{c}")
+    ph = " UNION ALL ".join(
+        f"SELECT series_id, ph, '{c}' AS col, avg({c} - tr_{c}) AS raw FROM tr GROUP BY 1, 2" for c in TARGETS)
+    sel = ", ".join(rnd(f"tr.{c} - (SELECT s FROM seas WHERE seas.series_id = tr.series_id AND seas.ph = tr.ph "
+                        f"AND seas.col = '{c}')", c) for c in TARGETS)
+    return _filled() + f""",
+tr AS (SELECT series_id, ts, idx, idx % {p} AS ph, {', '.join(TARGETS)}, {', '.join(parts)} FROM filled),
+raw AS ({ph}),
+seas AS (SELECT series_id, ph, col, raw - avg(raw) OVER (PARTITION BY series_id, col) AS s FROM raw)
+SELECT series_id, ts, idx, {sel} FROM tr"""
+
+
+@register("m18_deseasonalize", _m18_sql())
+def m18_deseasonalize(spark, sf):
+    """Additive seasonal adjustment, period 24 (inactive in the reference's
+    pipelines, available as an operator)."""
+    from ..operators.seasonal import deseasonalize
+    f = bases.targets_filled(spark, sf).select("series_id", "ts", "idx", *TARGETS)
+    return deseasonalize(f, TARGETS, 24)
