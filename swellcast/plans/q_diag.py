@@ -136,3 +136,11 @@ def d7_pacf(spark, sf):
     """Partial autocorrelation to lag 72 (Durbin-Levinson on the ACF)."""
     p = D.pacf(D.acf(scaled_long(spark, sf), MAX_LAG).where(F.col("r").isNotNull()))
     return p.select("series_id", "col", F.posexplode("pacf").alias("lag", "pacf")).withColumn("lag", F.col("lag").cast("long"))
+
+
+@register("d1_adf")
+def d1_adf(spark, sf):
+    """Augmented Dickey-Fuller (constant, AIC lag choice up to 50) of every
+    z-scored column; stationary when p < 0.05."""
+    from ..operators.adf import adf
+    return adf(scaled_long(spark, sf), maxlag=50, regression="c")
