@@ -317,3 +317,18 @@ def m9_gbt_direct(spark, sf):
     pairs = pred.join(y, ["series_id", "idx", "col"], "inner")
     bs = block_scores(pairs, ["rmspe", "mape"])
     return bs.select("series_id", "metric", "value").unionByName(aggregate_blocks(bs))
+
+
+@register("m4_arima_blocks")
+def m4_arima_blocks(spark, sf):
+    """ARIMA(1,0,1) per target after scaling and the lag-24 difference,
+    scored over the three 72-hour test blocks."""
+    return benchmark.arima_benchmark(benchmark.prepared(spark, sf))
+
+
+@register("m4_arima_fit")
+def m4_arima_fit(spark, sf):
+    """Hannan-Rissanen ARIMA(1,0,1) coefficients of every z-scored column."""
+    from ..operators.arima import hannan_rissanen
+    from .q_diag import scaled_long
+    return hannan_rissanen(scaled_long(spark, sf)).drop("last_idx")

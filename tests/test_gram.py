@@ -51,3 +51,33 @@ def test_adf_matches_bruteforce_chunked(spark):
         assert got[name]["used_lag"] == lag
         assert abs(got[name]["adf_stat"] - t) < 1e-6 * max(1, abs(t))
     assert got["ar1"]["stationary"] and not got["walk"]["stationary"]
+
+
+def _hr_brute(y: np.ndarray, m: int):
+    n = len(y)
+    x = np.column_stack([np.ones(n - m)] + [y[m - k:n - k] for k in range(1, m + 1)])
+    a, *_ = np.linalg.lstsq(x, y[m:], rcond=None)
+    e = np.full(n, np.nan)
+    e[m:] = y[m:] - x @ a
+    x2 = np.column_stack([np.ones(n - m - 1), y[m:n - 1], e[m:n - 1]])
+    b, *_ = np.linalg.lstsq(x2, y[m + 1:], rcond=None)
+    return b, e[-1]
+
+
+def test_hannan_rissanen_matches_bruteforce(spark):
+    from swellcast.operators.arima import forecast, hannan_rissanen
+    rng = np.random.default_rng(11)
+    n, phi, theta = 1500, 0.6, 0.3
+    w = rng.normal(size=n)
+    y = np.zeros(n)
+    for t in range(1, n):
+        y[t] = 0.5 + phi * y[t - 1] + w[t] + theta * w[t - 1]
+    df = _long(spark, {"arma": y})
+    r = hannan_rissanen(df, m=15, chunk=211).collect()[0]
+    b, e_last = _hr_brute(y, 15)
+    assert np.allclose([r["c"], r["phi"], r["theta"]], b, atol=1e-8)
+    assert abs(r["e_last"] - e_last) < 1e-8 and r["last_idx"] == n - 1
+    assert abs(r["phi"] - phi) < 0.1 and abs(r["theta"] - theta) < 0.15
+    f = {x["step"]: x["yhat"] for x in forecast(hannan_rissanen(df, m=15), 3).collect()}
+    f1 = b[0] + b[1] * y[-1] + b[2] * e_last
+    assert abs(f[1] - f1) < 1e-8 and abs(f[2] - (b[0] + b[1] * f1)) < 1e-8
