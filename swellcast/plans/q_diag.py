@@ -144,3 +144,79 @@ def d1_adf(spark, sf):
     z-scored column; stationary when p < 0.05."""
     from ..operators.adf import adf
     return adf(scaled_long(spark, sf), maxlag=50, regression="c")
+
+
+# ------------------------------------------------------------ Mann-Kendall
+def filled_long(spark, sf):
+    """Every cleaned column, filled, long form (trend tests are invariant to
+    the positive scaling the reference applies first)."""
+    f = bases.met_filled(spark, sf)
+    return materialize(to_long(f, CLEAN_COLUMNS, ["series_id", "idx"]))
+
+
+def _filled_long_sql() -> str:
+    lng = " UNION ALL ".join(f"SELECT series_id, '{c}' AS col, idx, {c} AS value FROM filled" for c in CLEAN_COLUMNS)
+    return _filled(CLEAN_COLUMNS) + f",\nlng AS ({lng})"
+
+
+def _mk_sql(src: str, part: str = "") -> str:
+    """S, tie-corrected variance and z over CTE ``src(series_id, col[, phase], idx, value)``."""
+    pk = "series_id, col" + (", " + part if part else "")
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in pk.split(","))
+    return f""",
+pr AS (SELECT {', '.join('a.' + k.strip() for k in pk.split(','))}, sum(sign(b.value - a.value)) AS s
+       FROM {src} a JOIN {src} b ON {on} AND a.idx < b.idx GROUP BY ALL),
+tg AS (SELECT {pk}, value, count(*) AS t FROM {src} GROUP BY ALL),
+tv AS (SELECT {pk}, sum(t * (t - 1) * (2 * t + 5)) AS tv FROM tg GROUP BY ALL),
+nn AS (SELECT {pk}, count(*) AS n FROM {src} GROUP BY ALL),
+mk0 AS (SELECT nn.*, coalesce(pr.s, 0) AS s, (n * (n - 1) * (2 * n + 5) - tv.tv) / 18.0 AS var_s
+        FROM nn LEFT JOIN pr USING ({pk}) JOIN tv USING ({pk}))"""
+
+
+_MK_OUT = f"""SELECT series_id, col, n, CAST(s AS BIGINT) AS s, {rnd('var_s', 'var_s')},
+  {rnd('CASE WHEN s > 0 THEN (s - 1) / sqrt(var_s) WHEN s < 0 THEN (s + 1) / sqrt(var_s) ELSE 0 END', 'z')} FROM mk"""
+
+
+@register("d2_mann_kendall", _filled_long_sql() + _mk_sql("lng") + ",\nmk AS (SELECT * FROM mk0)\n" + _MK_OUT)
+def d2_mann_kendall(spark, sf):
+    """Mann-Kendall S, tie-corrected variance and z of every filled column."""
+    from ..operators.trend import mk_score, z_score
+    m = mk_score(filled_long(spark, sf))
+    return m.select("series_id", "col", "n", "s", "var_s", z_score(F.col("s"), F.col("var_s")).alias("z"))
+
+
+@register("d3_prewhitened_mk", _filled_long_sql() + f""",
+mm AS (SELECT series_id, col, avg(value) AS m FROM lng GROUP BY 1, 2),
+dv AS (SELECT l.*, l.value - mm.m AS d FROM lng l JOIN mm USING (series_id, col)),
+r1t AS (SELECT series_id, col, sum(d * dl) / sum(d * d) AS r1 FROM
+        (SELECT series_id, col, d, lag(d) OVER (PARTITION BY series_id, col ORDER BY idx) AS dl FROM dv) GROUP BY 1, 2),
+pw AS (SELECT l.series_id, l.col, l.idx, l.value - p.value * r.r1 AS value FROM lng l
+       JOIN lng p ON p.series_id = l.series_id AND p.col = l.col AND p.idx = l.idx - 1
+       JOIN r1t r ON r.series_id = l.series_id AND r.col = l.col)""" + _mk_sql("pw") + ",\nmk AS (SELECT * FROM mk0)\n" + _MK_OUT)
+def d3_prewhitened_mk(spark, sf):
+    """Mann-Kendall on the pre-whitened series y_t - r1 * y_{t-1}."""
+    from ..operators.trend import mk_score, prewhiten, z_score
+    lng = filled_long(spark, sf)
+    r1 = D.acf(lng, 1).select("series_id", "col", F.element_at("r", 2).alias("r1"))
+    m = mk_score(prewhiten(lng, r1))
+    return m.select("series_id", "col", "n", "s", "var_s", z_score(F.col("s"), F.col("var_s")).alias("z"))
+
+
+@register("d4_seasonal_mk", _filled_long_sql() + """,
+sl AS (SELECT series_id, col, CAST(idx % 24 AS VARCHAR) AS phase, idx // 24 AS idx, value FROM lng)"""
+          + _mk_sql("sl", "phase") + """,
+mk AS (SELECT series_id, col, sum(n) AS n, sum(s) AS s, sum(var_s) AS var_s FROM mk0 GROUP BY 1, 2)
+""" + _MK_OUT)
+def d4_seasonal_mk(spark, sf):
+    """Seasonal Mann-Kendall, period 24: S and variance summed over phases."""
+    from ..operators.trend import seasonal_mann_kendall
+    m = seasonal_mann_kendall(filled_long(spark, sf), 24)
+    return m.select("series_id", "col", F.col("n").cast("long"), F.col("s").cast("long"), "var_s", "z")
+
+
+@register("d2_trend_test")
+def d2_trend_test(spark, sf):
+    """check_trend without Sen's slope: S, z, two-sided normal p and the
+    trend flag (p < 0.05) of every filled column."""
+    from ..operators.trend import mann_kendall
+    return mann_kendall(filled_long(spark, sf))

@@ -81,3 +81,28 @@ def test_hannan_rissanen_matches_bruteforce(spark):
     f = {x["step"]: x["yhat"] for x in forecast(hannan_rissanen(df, m=15), 3).collect()}
     f1 = b[0] + b[1] * y[-1] + b[2] * e_last
     assert abs(f[1] - f1) < 1e-8 and abs(f[2] - (b[0] + b[1] * f1)) < 1e-8
+
+
+def _mk_brute(y):
+    n = len(y)
+    s = sum(np.sign(y[j] - y[i]) for i in range(n) for j in range(i + 1, n))
+    _, t = np.unique(y, return_counts=True)
+    var = (n * (n - 1) * (2 * n + 5) - (t * (t - 1) * (2 * t + 5)).sum()) / 18
+    return int(s), var
+
+
+def test_mann_kendall_matches_bruteforce(spark):
+    from swellcast.operators.trend import mk_score
+    rng = np.random.default_rng(3)
+    series = {
+        "rising": np.arange(60, dtype=float),
+        "noise": rng.normal(size=300).round(1),          # many ties
+        "heavy": np.where(rng.random(400) < 0.4, 1.0, rng.normal(size=400).round(2)),  # one hot value
+        "constant": np.ones(50),
+    }
+    got = {r["series_id"]: r for r in mk_score(_long(spark, series)).collect()}
+    for k, y in series.items():
+        s, var = _mk_brute(y)
+        assert got[k]["s"] == s, (k, got[k]["s"], s)
+        assert abs(got[k]["var_s"] - var) < 1e-6 * max(1, var)
+    assert got["rising"]["s"] == 60 * 59 // 2

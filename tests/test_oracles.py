@@ -23,4 +23,5 @@ def test_every_query_has_a_check():
     rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only <= {"d1_adf", "d7_pacf", "m4_arima", "m9_gbt_direct", "m8_gbt_recursive", "d11_hp_filter",
                          "d13_feature_matrix", "m12_random_search", "m11_grid_search", "s1_buoy_scan",
-                         "m5_model_impute", "m19_poly_detrend", "e1_run_log"}, rows_only
+                         "m5_model_impute", "m19_poly_detrend", "e1_run_log", "d2_trend_test",
+                         "m4_arima_blocks", "m4_arima_fit", "d11_hp_filter", "s8_model_store"}, rows_only
