@@ -75,3 +75,35 @@ def key_mismatch(expected: DataFrame, got: DataFrame, keys: list[str], key: str
     return n.join(missing, key, "left").join(extra, key, "left").select(
         key, "n_expected", F.coalesce("n_missing", F.lit(0).cast("long")).alias("n_missing"),
         F.coalesce("n_extra", F.lit(0).cast("long")).alias("n_extra"))
+
+
+def naive_grid_cv(df: DataFrame, cols: list[str], trials: list[dict[str, str]], window: int, horizon: int,
+                  step: int, key: str = KEY, idx: str = IDX) -> DataFrame:
+    """M11 for naive forecasters: every trial (a strategy per column) refit
+    on every sliding fold. The small trial table is joined on ``col``, so
+    all trials x folds x series are fitted by ONE grouped aggregate.
+    Returns pairs ``(series, trial_id, fold_id, col, idx, y, yhat)``."""
+    spark = df.sparkSession
+    tt = spark.createDataFrame([(i, c, s) for i, t in enumerate(trials) for c, s in t.items()],
+                               "trial_id int, col string, _strategy string")
+    member = sliding_folds(df.select(key, idx, *cols), window, horizon, step, key, idx)
+    long = to_long(member, cols, [key, idx, "fold_id", "role", "step"]).join(F.broadcast(tt), "col")
+    levels = long.where(F.col("role") == "train").groupBy(key, "trial_id", "fold_id", "col") \
+        .agg(_level(F.col("_strategy")).alias("yhat"))
+    test = long.where(F.col("role") == "test").select(key, "trial_id", "fold_id", "col", idx,
+                                                      F.col("value").alias("y"))
+    return test.join(levels, [key, "trial_id", "fold_id", "col"], "inner")
+
+
+def trial_objective(fold_scores_: DataFrame, key: str = KEY) -> DataFrame:
+    """Trial objective = mean over folds of the (column-averaged) first
+    score - not the best fold's score."""
+    return fold_scores_.groupBy(key, "trial_id").agg(F.avg("value").alias("objective"),
+                                                     F.count("*").alias("n_folds"))
+
+
+def best_trial(objectives: DataFrame, key: str = KEY) -> DataFrame:
+    """A10: the trial with the smallest objective (first trial on ties)."""
+    return objectives.groupBy(key).agg(
+        F.min_by(F.struct("trial_id", "objective"), F.struct("objective", "trial_id")).alias("_b")) \
+        .select(key, F.col("_b.trial_id").alias("best_trial"), F.col("_b.objective").alias("best_value"))

@@ -332,3 +332,45 @@ def m4_arima_fit(spark, sf):
     from ..operators.arima import hannan_rissanen
     from .q_diag import scaled_long
     return hannan_rissanen(scaled_long(spark, sf)).drop("last_idx")
+
+
+GRID = [{"WVHT": a, "APD": b} for a in ("last", "mean") for b in ("last", "mean")]
+
+
+def _grid_sql() -> str:
+    vals = ", ".join(f"({i}, '{c}', '{s}')" for i, t in enumerate(GRID) for c, s in t.items())
+    te = " UNION ALL ".join(f"SELECT series_id, fold_id, '{c}' AS col, idx, {c} AS y FROM te" for c in TARGETS)
+    trl = " UNION ALL ".join(f"SELECT series_id, fold_id, '{c}' AS col, idx, {c} AS value FROM tr" for c in TARGETS)
+    return _cv_sql() + f""",
+trials AS (SELECT * FROM (VALUES {vals}) t(trial_id, col, strategy)),
+trl AS ({trl}),
+glv AS (SELECT t.series_id, tr.trial_id, t.fold_id, t.col,
+        CASE WHEN tr.strategy = 'last' THEN arg_max(t.value, t.idx) ELSE avg(t.value) END AS yhat
+        FROM trl t JOIN trials tr ON tr.col = t.col GROUP BY t.series_id, tr.trial_id, t.fold_id, t.col, tr.strategy),
+gte AS ({te}),
+gp AS (SELECT gte.*, glv.trial_id, glv.yhat FROM gte JOIN glv USING (series_id, fold_id, col)),
+gc AS (SELECT series_id, trial_id, fold_id, col, avg(({_PE}) * ({_PE})) AS m FROM gp WHERE y IS NOT NULL GROUP BY ALL),
+gf AS (SELECT series_id, trial_id, fold_id, avg(m) AS value FROM gc GROUP BY ALL),
+obj AS (SELECT series_id, trial_id, avg(value) AS objective, count(*) AS n_folds FROM gf GROUP BY ALL)"""
+
+
+def grid_objectives(spark, sf):
+    f = bases.targets_filled(spark, sf)
+    pairs = cv.naive_grid_cv(f, TARGETS, GRID, FOLD_W, FOLD_H, FOLD_S)
+    fs = score(pairs, ["series_id", "trial_id", "fold_id"], ["mspe"])   # column-averaged per fold
+    return materialize(cv.trial_objective(fs))
+
+
+@register("m11_grid_search", _grid_sql() + f"\nSELECT series_id, trial_id, {rnd('objective', 'objective')}, n_folds FROM obj")
+def m11_grid_search(spark, sf):
+    """Grid search over the naive strategy per target (2 x 2 trials) scored
+    by sliding-window CV; A9 objective = mean MSPE over folds."""
+    return grid_objectives(spark, sf)
+
+
+@register("a10_best_trial", _grid_sql() + f"""
+SELECT series_id, arg_min(trial_id, (objective, trial_id)) AS best_trial, {rnd('min(objective)', 'best_value')}
+FROM obj GROUP BY 1""")
+def a10_best_trial(spark, sf):
+    """Best trial (smallest objective, first on ties) with its value."""
+    return cv.best_trial(grid_objectives(spark, sf))
