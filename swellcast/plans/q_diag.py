@@ -220,3 +220,15 @@ def d2_trend_test(spark, sf):
     trend flag (p < 0.05) of every filled column."""
     from ..operators.trend import mann_kendall
     return mann_kendall(filled_long(spark, sf))
+
+
+@register("d11_hp_filter")
+def d11_hp_filter(spark, sf):
+    """Hodrick-Prescott trend and cycle (lambda 1600) of every filled column
+    after normalising by the series maximum (P12)."""
+    from ..operators.filters import hp_filter
+    lng = filled_long(spark, sf)
+    mx = lng.groupBy("series_id", "col").agg(F.max("value").alias("_mx"))
+    norm = lng.join(mx, ["series_id", "col"]).select(
+        "series_id", "col", "idx", (F.col("value") / F.nullif(F.col("_mx"), F.lit(0.0))).alias("value"))
+    return hp_filter(norm.where(F.col("value").isNotNull()))
