@@ -51,3 +51,39 @@ def head(df: DataFrame, n: int, key: str = KEY, order: str = "ts") -> DataFrame:
     the feature)."""
     w = Window.partitionBy(key).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def poly_detrend(long: DataFrame, degree: int = 4, keys: list[str] | None = None, idx: str = IDX) -> DataFrame:
+    """Subtract a least-squares polynomial trend in time.
+
+    The normal equations need only sums of ``u^k`` and ``u^k y`` with
+    ``u`` the time index scaled to [-1, 1] per series (fitted values do not
+    depend on that scaling; it keeps the system well conditioned): one
+    grouped aggregate of ``3*degree + 2`` sums, a ``(degree+1)``-square
+    solve per series in a tiny grouped map, and a join back.
+    Returns ``(keys, idx, value, trend, detrended)``."""
+    import numpy as np
+    import pandas as pd
+    keys = keys or ["series_id", "col"]
+    rng = long.groupBy(*keys).agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"))
+    x = long.join(rng, keys).withColumn(
+        "_u", F.when(F.col("_hi") > F.col("_lo"),
+                     2.0 * (F.col(idx) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) - 1.0).otherwise(F.lit(0.0)))
+    sums = [F.sum(F.pow("_u", k)).alias(f"_p{k}") for k in range(2 * degree + 1)] + \
+           [F.sum(F.pow("_u", k) * F.col("value")).alias(f"_q{k}") for k in range(degree + 1)]
+    mom = x.where(F.col("value").isNotNull()).groupBy(*keys).agg(*sums)
+    d = degree
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        a = np.array([[r[f"_p{i + j}"] for j in range(d + 1)] for i in range(d + 1)], dtype=float)
+        b = np.array([r[f"_q{i}"] for i in range(d + 1)], dtype=float)
+        beta = np.linalg.lstsq(a, b, rcond=None)[0]
+        return pd.DataFrame({**{k: [r[k]] for k in keys}, "_beta": [beta.tolist()]})
+
+    schema = ", ".join([f"{k} string" for k in keys] + ["_beta array<double>"])
+    coef = mom.groupBy(*keys).applyInPandas(solve, schema)
+    trend = F.aggregate(F.sequence(F.lit(0), F.lit(d)), F.lit(0.0),
+                        lambda acc, k: acc + F.element_at("_beta", k + 1) * F.pow("_u", k))
+    out = x.join(coef, keys).withColumn("trend", trend)
+    return out.select(*keys, idx, "value", "trend", (F.col("value") - F.col("trend")).alias("detrended"))

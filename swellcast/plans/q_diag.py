@@ -232,3 +232,11 @@ def d11_hp_filter(spark, sf):
     norm = lng.join(mx, ["series_id", "col"]).select(
         "series_id", "col", "idx", (F.col("value") / F.nullif(F.col("_mx"), F.lit(0.0))).alias("value"))
     return hp_filter(norm.where(F.col("value").isNotNull()))
+
+
+@register("m19_poly_detrend")
+def m19_poly_detrend(spark, sf):
+    """Degree-4 polynomial detrending of every filled column (inactive in the
+    reference's pipelines, available as an operator)."""
+    from ..operators.seasonal import poly_detrend
+    return poly_detrend(filled_long(spark, sf), degree=4)

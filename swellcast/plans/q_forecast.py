@@ -374,3 +374,50 @@ FROM obj GROUP BY 1""")
 def a10_best_trial(spark, sf):
     """Best trial (smallest objective, first on ties) with its value."""
     return cv.best_trial(grid_objectives(spark, sf))
+
+
+@register("s8_model_store")
+def s8_model_store(spark, sf):
+    """Fit the direct boosted-tree model for WVHT, save it with MLlib's
+    writer under the checkpoint folder, load it back and predict the test
+    blocks with the loaded model (block scores)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+    from ..config import DIRECT_LAGS
+    from ..operators.metrics import aggregate_blocks, block_scores
+    from ..operators.models import direct_features
+    from .q_misc import scratch
+    f = bases.targets_filled(spark, sf)
+    feats_df, feats = direct_features(f, TARGETS, DIRECT_LAGS, HORIZON)
+    split = materialize(assign_blocks(train_test_split(feats_df, TEST_SIZE), HORIZON))
+    asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip")
+    tr = asm.transform(split.where(~F.col("is_test") & F.col("WVHT").isNotNull()))
+    model = GBTRegressor(featuresCol="_features", labelCol="WVHT", predictionCol="yhat", maxIter=20,
+                         maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(tr)
+    path = scratch(spark, "model")
+    model.write().save(path)
+    loaded = GBTRegressionModel.load(path)
+    pred = loaded.transform(asm.transform(split.where(F.col("block_id").isNotNull()))) \
+        .select("series_id", "idx", "block_id", F.lit("WVHT").alias("col"), "yhat")
+    truth = to_long(bases.met_hourly(spark, sf).select("series_id", "idx", "WVHT"), ["WVHT"], ["series_id", "idx"]) \
+        .withColumnRenamed("value", "y")
+    bs = block_scores(pred.join(truth, ["series_id", "idx", "col"]), ["rmspe", "mape"])
+    return bs.select("series_id", "metric", "value").unionByName(aggregate_blocks(bs))
+
+
+@register("s9_best_score", _grid_sql() + f""",
+best AS (SELECT series_id, arg_min(trial_id, (objective, trial_id)) AS best_trial, min(objective) AS best_value
+         FROM obj GROUP BY 1)
+SELECT 'grid/' || series_id AS run_id, 'best_value' AS key, {rnd('best_value', 'value')}, CAST(0 AS BIGINT) AS step FROM best
+UNION ALL SELECT 'grid/' || series_id, 'best_trial', {rnd('CAST(best_trial AS DOUBLE)', 'value')}, CAST(0 AS BIGINT) FROM best""")
+def s9_best_score(spark, sf):
+    """Append the best trial of the grid search as metric rows (run
+    'grid/<series>') to a metric table and read it back."""
+    from .q_misc import scratch
+    b = cv.best_trial(grid_objectives(spark, sf))
+    rows = b.select(F.concat(F.lit("grid/"), "series_id").alias("run_id"),
+                    F.expr("stack(2, 'best_value', best_value, 'best_trial', CAST(best_trial AS DOUBLE)) as (key, value)"),
+                    F.lit(0).cast("long").alias("step"))
+    path = scratch(spark, "metric")
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path)

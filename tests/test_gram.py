@@ -122,3 +122,13 @@ def test_hp_filter_chunked_matches_full_solve(spark):
     got = hp_filter(_long(spark, {"s": y}), chunk=150, halo=200).toPandas().sort_values("idx")
     assert len(got) == n
     assert np.max(np.abs(got["trend"].to_numpy() - full)) < 1e-7 * max(1.0, np.abs(full).max())
+
+
+def test_poly_detrend_matches_polyfit(spark):
+    from swellcast.operators.seasonal import poly_detrend
+    rng = np.random.default_rng(9)
+    t = np.arange(500, dtype=float)
+    y = 0.001 * (t - 250) ** 2 - 0.02 * t + rng.normal(size=500)
+    got = poly_detrend(_long(spark, {"s": y}), degree=4).toPandas().sort_values("idx")
+    want = np.polyval(np.polyfit(t, y, 4), t)
+    assert np.max(np.abs(got["trend"].to_numpy() - want)) < 1e-6
