@@ -8,21 +8,24 @@ from ..config import CHUNK, CLEAN_COLUMNS, TARGETS
 from ..operators.clean import preprocess
 from ..operators.grid import hourly_mean
 from ..operators.windows import ffill
-from ..session import materialize
+from ..session import shared
 from . import views
 
 
 def met_hourly(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     """P19 grid: ``(series_id, ts, idx, WSPD ... MWD_cos)``."""
-    return materialize(preprocess(views.met(spark, sf_dir), chunk=chunk))
+    return shared(spark, "met_hourly", lambda: preprocess(views.met(spark, sf_dir), chunk=chunk), sf_dir, chunk)
 
 
 def met_filled(spark: SparkSession, sf_dir: str, cols: list[str] | None = None,
                chunk: int = CHUNK) -> DataFrame:
     """``hourly_filled``: P19 grid, W7 forward fill (+ leading back-fill)."""
     cols = cols or CLEAN_COLUMNS
-    g = met_hourly(spark, sf_dir, chunk).select("series_id", "ts", "idx", *cols)
-    return materialize(ffill(g, cols, chunk=chunk))
+
+    def build():
+        g = met_hourly(spark, sf_dir, chunk).select("series_id", "ts", "idx", *cols)
+        return ffill(g, cols, chunk=chunk)
+    return shared(spark, "met_filled", build, sf_dir, tuple(cols), chunk)
 
 
 def targets_filled(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
@@ -30,8 +33,10 @@ def targets_filled(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> Data
 
 
 def obs_hourly(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
-    return materialize(hourly_mean(views.obs(spark, sf_dir), ["value"], chunk=chunk))
+    return shared(spark, "obs_hourly", lambda: hourly_mean(views.obs(spark, sf_dir), ["value"], chunk=chunk),
+                  sf_dir, chunk)
 
 
 def obs_filled(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
-    return materialize(ffill(obs_hourly(spark, sf_dir, chunk), ["value"], chunk=chunk))
+    return shared(spark, "obs_filled", lambda: ffill(obs_hourly(spark, sf_dir, chunk), ["value"], chunk=chunk),
+                  sf_dir, chunk)

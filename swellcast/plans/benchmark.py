@@ -30,7 +30,8 @@ NAIVE = {"WVHT": "last", "APD": "mean"}
 
 def prepared(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     """The shared prefix: met view -> P19 hourly grid."""
-    return materialize(preprocess(views.met(spark, sf_dir), chunk=chunk))
+    from .bases import met_hourly
+    return met_hourly(spark, sf_dir, chunk)
 
 
 def fit_naive(hourly: DataFrame, strategies: dict[str, str], test_size: int, horizon: int = HORIZON,

@@ -21,9 +21,13 @@ def scaled_long(spark, sf):
     """Every cleaned column, filled and z-scored over the whole series, in
     long form ``(series_id, col, idx, value)`` (materialised: it feeds all
     diagnostics)."""
-    f = bases.met_filled(spark, sf)
-    st = fit_scaler(f, CLEAN_COLUMNS)
-    return materialize(to_long(apply_scaler(f, st, CLEAN_COLUMNS), CLEAN_COLUMNS, ["series_id", "idx"]))
+    from ..session import shared
+
+    def build():
+        f = bases.met_filled(spark, sf)
+        st = fit_scaler(f, CLEAN_COLUMNS)
+        return to_long(apply_scaler(f, st, CLEAN_COLUMNS), CLEAN_COLUMNS, ["series_id", "idx"])
+    return shared(spark, "scaled_long", build, sf)
 
 
 def _long_sql() -> str:
@@ -150,8 +154,9 @@ def d1_adf(spark, sf):
 def filled_long(spark, sf):
     """Every cleaned column, filled, long form (trend tests are invariant to
     the positive scaling the reference applies first)."""
-    f = bases.met_filled(spark, sf)
-    return materialize(to_long(f, CLEAN_COLUMNS, ["series_id", "idx"]))
+    from ..session import shared
+    return shared(spark, "filled_long",
+                  lambda: to_long(bases.met_filled(spark, sf), CLEAN_COLUMNS, ["series_id", "idx"]), sf)
 
 
 def _filled_long_sql() -> str:

@@ -132,10 +132,14 @@ fsl AS (SELECT series_id, fold_id, col, 'test_MeanSquaredPercentageError' AS met
 def cv_scores(spark, sf):
     """Fold scores of the naive ensemble over the sliding folds (materialised:
     feeds the summary, the best-fold pick and the hold-out run)."""
-    f = bases.targets_filled(spark, sf)
-    pairs = cv.naive_cv(f, TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
-    fs = fold_scores(pairs, ["mspe", "mape"])
-    return materialize(fs.withColumn("metric", F.concat(F.lit("test_"), F.col("metric"))))
+    from ..session import shared
+
+    def build():
+        f = bases.targets_filled(spark, sf)
+        pairs = cv.naive_cv(f, TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
+        fs = fold_scores(pairs, ["mspe", "mape"])
+        return fs.withColumn("metric", F.concat(F.lit("test_"), F.col("metric")))
+    return shared(spark, "cv_scores", build, sf)
 
 
 @register("m10_cv_naive", _cv_sql() + f"\nSELECT series_id, fold_id, col, metric, {rnd('value', 'value')} FROM fsl")
@@ -355,10 +359,14 @@ obj AS (SELECT series_id, trial_id, avg(value) AS objective, count(*) AS n_folds
 
 
 def grid_objectives(spark, sf):
-    f = bases.targets_filled(spark, sf)
-    pairs = cv.naive_grid_cv(f, TARGETS, GRID, FOLD_W, FOLD_H, FOLD_S)
-    fs = score(pairs, ["series_id", "trial_id", "fold_id"], ["mspe"])   # column-averaged per fold
-    return materialize(cv.trial_objective(fs))
+    from ..session import shared
+
+    def build():
+        f = bases.targets_filled(spark, sf)
+        pairs = cv.naive_grid_cv(f, TARGETS, GRID, FOLD_W, FOLD_H, FOLD_S)
+        fs = score(pairs, ["series_id", "trial_id", "fold_id"], ["mspe"])   # column-averaged per fold
+        return cv.trial_objective(fs)
+    return shared(spark, "grid_objectives", build, sf)
 
 
 @register("m11_grid_search", _grid_sql() + f"\nSELECT series_id, trial_id, {rnd('objective', 'objective')}, n_folds FROM obj")
