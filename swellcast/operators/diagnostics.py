@@ -34,16 +34,40 @@ def acf(long: DataFrame, max_lag: int, keys: list[str] = KEYS, idx: str = "idx",
     Output ``(*keys, n, is_constant, r ARRAY<DOUBLE>)``."""
     mom = _moments(long, keys)
     x = long.join(mom.select(*keys, "_m"), keys, "inner").withColumn("_d", F.col("value") - F.col("_m"))
-    lagged = _bounded_multi(x.select(*keys, idx, "_d"), max_lag, list(keys), idx, chunk)
-    sums = lagged.groupBy(*keys).agg(
-        F.sum(F.col("_d") * F.col("_d")).alias("_c0"),
-        *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"_c{k}") for k in range(1, max_lag + 1)])
+    parts = _lag_products(x.select(*keys, idx, "_d"), max_lag, list(keys), idx, chunk)
+    sums = parts.groupBy(*keys).agg(*[F.sum(F.col(f"_c{k}")).alias(f"_c{k}") for k in range(0, max_lag + 1)])
     r = F.array(F.lit(1.0), *[F.col(f"_c{k}") / F.col("_c0") for k in range(1, max_lag + 1)])
     out = sums.join(mom.select(*keys, "n", "_lo", "_hi"), keys, "inner")
     return out.select(*keys, "n", (F.col("_lo") == F.col("_hi")).alias("is_constant"),
                       F.when(F.col("_lo") != F.col("_hi"), r).alias("r"))
 
 
+def _lag_products(df: DataFrame, max_lag: int, keys: list[str], idx: str, chunk: int) -> DataFrame:
+    """Per ``(keys, chunk)``: partial ``sum_t d_t * d_{t-k}`` over the chunk's
+    own rows for k = 0..max_lag, in one Arrow grouped map (the halo holds
+    the lagged rows). One row per chunk; Spark sums the chunks."""
+    i = F.col(idx)
+    own = F.floor(i / F.lit(chunk))
+    hi = F.floor((i + F.lit(max_lag)) / F.lit(chunk))
+    x = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, hi)))
+    out_cols = [f"_c{k}" for k in range(max_lag + 1)]
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx, kind="stable")
+        ix = pdf[idx].to_numpy()
+        d = pdf["_d"].to_numpy(dtype=float)
+        own_pos = np.nonzero(pdf["_own"].to_numpy() == pdf["_chunk"].to_numpy())[0]
+        row = {k: [pdf[k].iloc[0]] for k in keys}
+        for k in range(max_lag + 1):
+            p = own_pos[own_pos - k >= 0]
+            p = p[ix[p - k] == ix[p] - k]            # the lagged row exists (gap-free grid)
+            row[f"_c{k}"] = [float(np.dot(d[p], d[p - k]))]
+        return pd.DataFrame(row)
+
+    schema = ", ".join([f"{k} string" for k in keys] + [f"{c} double" for c in out_cols])
+    return x.groupBy(*keys, "_chunk").applyInPandas(fn, schema)
+
+
 def _bounded_multi(df: DataFrame, max_lag: int, keys: list[str], idx: str, chunk: int) -> DataFrame:
     """Chunk + halo lags of ``_d`` with a multi-column partition key."""
     from pyspark.sql import Window

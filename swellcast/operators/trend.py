@@ -55,18 +55,26 @@ def _increasing_pairs(values: np.ndarray) -> int:
     return int(total)
 
 
-def mk_score(long: DataFrame, keys: list[str] | None = None, idx: str = "idx") -> DataFrame:
+MIN_SIDE = 2048
+
+
+def mk_score(long: DataFrame, keys: list[str] | None = None, idx: str = "idx",
+             min_side: int = MIN_SIDE) -> DataFrame:
     """``(keys, n, s, var_s)`` per group of ``long(keys..., idx, value)``;
-    NULL values are skipped (as missing values are)."""
+    NULL values are skipped (as missing values are). Chunks and buckets hold
+    about ``max(sqrt(n), min_side)`` rows - a bounded group either way."""
     keys = keys or KEYS
     x = long.where(F.col("value").isNotNull()).select(*keys, idx, "value")
     n_tab = x.groupBy(*keys).agg(F.count("*").alias("n"))
     nmax = n_tab.agg(F.max("n")).first()[0] or 0          # one number to the driver
-    side = max(2, int(math.ceil(math.sqrt(nmax))))
-    n_buckets = side
+    side = max(min_side, int(math.ceil(math.sqrt(nmax))))
+    n_buckets = max(1, int(math.ceil(nmax / side)))
     probs = [k / n_buckets for k in range(1, n_buckets)]
     acc = max(10000, 20 * n_buckets)
-    bounds = x.groupBy(*keys).agg(F.percentile_approx("value", probs, acc).alias("_bd"))
+    if probs:
+        bounds = x.groupBy(*keys).agg(F.percentile_approx("value", probs, acc).alias("_bd"))
+    else:
+        bounds = x.select(*keys).distinct().withColumn("_bd", F.array().cast("array<double>"))
     v = F.col("value")
     below = F.size(F.filter("_bd", lambda b: b < v))
     bucket = 2 * below + F.when(F.array_contains("_bd", v), 1).otherwise(0)
@@ -134,12 +142,17 @@ def mann_kendall(long: DataFrame, alpha: float = 0.05, keys: list[str] | None =
     return x.withColumn("p_value", two_sided_p("z")).withColumn("trend", F.col("p_value") < alpha)
 
 
-def prewhiten(long: DataFrame, r1: DataFrame, keys: list[str] | None = None, idx: str = "idx") -> DataFrame:
-    """D3 input: ``y'_t = y_t - r1 * y_{t-1}`` for t >= 1 (equi-join on idx-1)."""
+def prewhiten(long: DataFrame, r1: DataFrame, keys: list[str] | None = None, idx: str = "idx",
+              tie_decimals: int = 12) -> DataFrame:
+    """D3 input: ``y'_t = y_t - r1 * y_{t-1}`` for t >= 1 (equi-join on idx-1).
+
+    ``y'`` is rounded to ``tie_decimals``: values built from a small set of
+    inputs (e.g. sines of whole degrees) produce near-ties whose equality
+    would otherwise depend on the last bit of ``r1``, i.e. on summation order."""
     keys = keys or KEYS
     prev = long.select(*keys, (F.col(idx) + 1).alias(idx), F.col("value").alias("_prev"))
     x = long.join(prev, [*keys, idx], "inner").join(r1, keys, "inner")
-    return x.select(*keys, idx, (F.col("value") - F.col("_prev") * F.col("r1")).alias("value"))
+    return x.select(*keys, idx, F.round(F.col("value") - F.col("_prev") * F.col("r1"), tie_decimals).alias("value"))
 
 
 def seasonal_long(long: DataFrame, period: int, keys: list[str] | None = None, idx: str = "idx") -> DataFrame:

@@ -34,20 +34,34 @@ def prepared(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     return met_hourly(spark, sf_dir, chunk)
 
 
-def fit_naive(hourly: DataFrame, strategies: dict[str, str], test_size: int, horizon: int = HORIZON,
-              chunk: int = CHUNK):
-    """Split, fill and scale the train rows, fit the naive ensemble on the
-    scaled values. Returns ``(split, state, model)``; ``split`` is
-    materialised (it feeds the fit, the truth and the block tables)."""
-    targets = list(strategies)
+def fit_base(hourly: DataFrame, targets: list[str], test_size: int, horizon: int = HORIZON,
+             chunk: int = CHUNK):
+    """Split, fill and scale the train rows once. Returns ``(split, state,
+    scaled_long)``; ``split`` and the filled train are materialised (they
+    feed the fit, the truth and the block tables)."""
     y = hourly.select(KEY, "idx", *targets)
     split = materialize(assign_blocks(train_test_split(y, test_size), horizon))
     train = split.where(~F.col("is_test")).select(KEY, "idx", *targets)
     filled = materialize(ffill(train, targets, chunk=chunk))
     state = fit_scaler(filled, targets)
     scaled = apply_scaler(filled, state, targets)
-    model = ensemble_fit(to_long(scaled, targets, [KEY, "idx"]), strategies)
-    return split, state, model
+    return split, state, to_long(scaled, targets, [KEY, "idx"])
+
+
+def fit_naive(hourly: DataFrame, strategies: dict[str, str], test_size: int, horizon: int = HORIZON,
+              chunk: int = CHUNK):
+    """:func:`fit_base` + the naive ensemble fitted on the scaled values.
+    Returns ``(split, state, model)``."""
+    split, state, scaled_long = fit_base(hourly, list(strategies), test_size, horizon, chunk)
+    return split, state, ensemble_fit(scaled_long, strategies)
+
+
+def score_blocks(split: DataFrame, state: DataFrame, model: DataFrame, targets: list[str],
+                 scorers: tuple[str, ...] = ("rmspe", "mape")) -> DataFrame:
+    """A6 + A7 for one fitted model: ``(series_id, metric, value)``."""
+    pred = forecast_rows(split, state, model, targets)
+    bs = block_scores(pred, list(scorers))
+    return bs.select(KEY, "metric", "value").unionByName(aggregate_blocks(bs))
 
 
 def forecast_rows(split: DataFrame, state: DataFrame, model: DataFrame, targets: list[str],
@@ -67,10 +81,7 @@ def block_benchmark(hourly: DataFrame, strategies: dict[str, str] | None = None,
     with ``block_{i}_{Scorer}``, ``avg_{Scorer}``, ``std_{Scorer}`` rows."""
     strategies = strategies or NAIVE
     split, state, model = fit_naive(hourly, strategies, horizon * n_blocks, horizon, chunk)
-    pred = forecast_rows(split, state, model, list(strategies))
-    bs = block_scores(pred, list(scorers))
-    agg = aggregate_blocks(bs)
-    return bs.select(KEY, "metric", "value").unionByName(agg)
+    return score_blocks(split, state, model, list(strategies), scorers)
 
 
 def run(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:

@@ -195,7 +195,7 @@ mm AS (SELECT series_id, col, avg(value) AS m FROM lng GROUP BY 1, 2),
 dv AS (SELECT l.*, l.value - mm.m AS d FROM lng l JOIN mm USING (series_id, col)),
 r1t AS (SELECT series_id, col, sum(d * dl) / sum(d * d) AS r1 FROM
         (SELECT series_id, col, d, lag(d) OVER (PARTITION BY series_id, col ORDER BY idx) AS dl FROM dv) GROUP BY 1, 2),
-pw AS (SELECT l.series_id, l.col, l.idx, l.value - p.value * r.r1 AS value FROM lng l
+pw AS (SELECT l.series_id, l.col, l.idx, ROUND(l.value - p.value * r.r1, 12) AS value FROM lng l
        JOIN lng p ON p.series_id = l.series_id AND p.col = l.col AND p.idx = l.idx - 1
        JOIN r1t r ON r.series_id = l.series_id AND r.col = l.col)""" + _mk_sql("pw") + ",\nmk AS (SELECT * FROM mk0)\n" + _MK_OUT)
 def d3_prewhitened_mk(spark, sf):

@@ -36,11 +36,14 @@ def tables(spark, sf):
 
 
 def _tables(spark, sf):
+    from ..config import TARGETS
+    from ..operators.forecast import ensemble_fit
     hourly = benchmark.prepared(spark, sf)
     series = hourly.groupBy("series_id").agg(F.min("ts").alias("t0"))
+    split, state, scaled_long = benchmark.fit_base(hourly, TARGETS, HORIZON * N_BLOCKS, HORIZON)
     mets, kids = [], []
     for num, (model, strat) in enumerate(MODELS, start=1):
-        out = benchmark.block_benchmark(hourly, strat, horizon=HORIZON, n_blocks=N_BLOCKS)
+        out = benchmark.score_blocks(split, state, ensemble_fit(scaled_long, strat), TARGETS)
         rid = F.concat(F.col("series_id"), F.lit("/" + model))
         mets.append(out.select(rid.alias("run_id"), F.col("metric").alias("key"), "value",
                                F.lit(0).cast("long").alias("step")))
