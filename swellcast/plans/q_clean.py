@@ -244,3 +244,11 @@ def p2_column_classes(spark, sf):
     """P1 + P2 on ``lineitem``: numeric / categorical, then discrete /
     continuous by distinct count (< 20)."""
     return profile.column_classes(views.read_table(spark, sf, "lineitem"))
+
+
+@register("p11_calendar_short", O.obs_filled_prefix() + f"""
+SELECT series_id, ts, {rnd('value', 'value')}, CAST(month(ts) AS BIGINT) AS month, CAST(hour(ts) AS BIGINT) AS hour
+FROM filled""")
+def p11_calendar_short(spark, sf):
+    """Short calendar features (month, hour), as the datetime encoders use."""
+    return clean.add_calendar(bases.obs_filled(spark, sf).select("series_id", "ts", "value"), cyclic=False)
