@@ -132,3 +132,15 @@ def test_poly_detrend_matches_polyfit(spark):
     got = poly_detrend(_long(spark, {"s": y}), degree=4).toPandas().sort_values("idx")
     want = np.polyval(np.polyfit(t, y, 4), t)
     assert np.max(np.abs(got["trend"].to_numpy() - want)) < 1e-6
+
+
+def test_pacf_matches_yule_walker():
+    from swellcast.operators.diagnostics import _durbin_levinson
+    rng = np.random.default_rng(2)
+    y = np.convolve(rng.normal(size=800), [1, 0.6, 0.3], mode="same")
+    d = y - y.mean()
+    r = np.array([np.dot(d[k:], d[:len(d) - k]) for k in range(11)]) / np.dot(d, d)
+    got = _durbin_levinson(r)
+    for k in range(1, 11):
+        toe = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
+        assert abs(got[k] - np.linalg.solve(toe, r[1:k + 1])[-1]) < 1e-10
