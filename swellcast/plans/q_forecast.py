@@ -429,3 +429,11 @@ def s9_best_score(spark, sf):
     path = scratch(spark, "metric")
     rows.write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+@register("m8_gbt_recursive")
+def m8_gbt_recursive(spark, sf):
+    """Recursive boosted trees with target-lag and exogenous features, one
+    pooled model per target, forecast 216 hours from the train end and
+    scored over the three 72-hour blocks."""
+    return benchmark.recursive_gbt_benchmark(benchmark.prepared(spark, sf))

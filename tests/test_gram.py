@@ -144,3 +144,19 @@ def test_pacf_matches_yule_walker():
     for k in range(1, 11):
         toe = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
         assert abs(got[k] - np.linalg.solve(toe, r[1:k + 1])[-1]) < 1e-10
+
+
+def test_tree_tables_score_like_mllib(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from swellcast.operators.recursive import score_trees, tree_tables
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = x[:, 0] * 2 - x[:, 1] ** 2 + rng.normal(size=400) * 0.1
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    v = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df)
+    m = GBTRegressor(featuresCol="f", labelCol="y", maxIter=10, maxDepth=4, seed=1).fit(v)
+    got = m.transform(v).select("a", "b", "c", "prediction").toPandas()
+    tabs = tree_tables(m)
+    for _, r in got.head(50).iterrows():
+        assert abs(score_trees(tabs, [r["a"], r["b"], r["c"]]) - r["prediction"]) < 1e-9
