@@ -43,7 +43,8 @@ def bounded(df: DataFrame, build: Callable[[Window], dict[str, Column]], back: i
     """Evaluate window expressions whose frame spans at most ``back`` rows
     behind and ``ahead`` rows in front, chunk-parallel."""
     x = with_halo(df, back, ahead, idx, chunk)
-    w = Window.partitionBy(key, "_chunk").orderBy(idx)
+    keys = list(key) if isinstance(key, (list, tuple)) else [key]
+    w = Window.partitionBy(*keys, "_chunk").orderBy(idx)
     x = x.withColumns(build(w))
     return x.where(F.col("_chunk") == F.col("_own")).drop("_chunk", "_own")
 

@@ -245,3 +245,16 @@ def m19_poly_detrend(spark, sf):
     reference's pipelines, available as an operator)."""
     from ..operators.seasonal import poly_detrend
     return poly_detrend(filled_long(spark, sf), degree=4)
+
+
+@register("m5_model_impute")
+def m5_model_impute(spark, sf):
+    """Model-based imputation of MWD_sin (the column the reference imputes
+    with AutoARIMA): d by ADF, ARMA(p<=3, q<=3) by AIC, gaps filled with
+    one-step predictions. Returns the imputed points only."""
+    from ..operators.impute import impute_arma
+    cols = ["MWD_sin"]
+    raw = to_long(bases.met_hourly(spark, sf).select("series_id", "idx", *cols), cols, ["series_id", "idx"])
+    filled = to_long(bases.met_filled(spark, sf).select("series_id", "idx", *cols), cols, ["series_id", "idx"])
+    out = impute_arma(raw, filled)
+    return out.where(F.col("imputed")).select("series_id", "col", "idx", "value")

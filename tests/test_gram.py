@@ -160,3 +160,27 @@ def test_tree_tables_score_like_mllib(spark):
     tabs = tree_tables(m)
     for _, r in got.head(50).iterrows():
         assert abs(score_trees(tabs, [r["a"], r["b"], r["c"]]) - r["prediction"]) < 1e-9
+
+
+def test_model_imputation_fills_gaps(spark):
+    from pyspark.sql import functions as F
+    from swellcast.operators.impute import impute_arma
+    from swellcast.operators.windows import ffill
+    rng = np.random.default_rng(8)
+    n = 1200
+    y = np.zeros(n)
+    for t in range(1, n):
+        y[t] = 1.0 + 0.7 * y[t - 1] + rng.normal()
+    raw = y.copy()
+    holes = [300, 301, 302, 650, 900]
+    raw[holes] = np.nan
+    rows = [("s", "y", i, None if np.isnan(v) else float(v)) for i, v in enumerate(raw)]
+    df = spark.createDataFrame(rows, "series_id string, col string, idx long, value double")
+    filled = ffill(df.withColumnRenamed("col", "c_").withColumn("col", F.col("c_")).drop("c_"), ["value"])
+    got = impute_arma(df, filled.select("series_id", "col", "idx", "value"), chunk=257, halo=50) \
+        .toPandas().sort_values("idx")
+    assert len(got) == n and got["value"].notna().all()
+    assert np.allclose(got.loc[~got["imputed"], "value"].to_numpy(), np.delete(y, holes))
+    v = got.set_index("idx")["value"]
+    # an isolated gap gets roughly c + phi * previous (phi ~ 0.7, c ~ 1)
+    assert abs(v[650] - (1.0 + 0.7 * v[649])) < 0.5
