@@ -170,3 +170,80 @@ def seasonal_mann_kendall(long: DataFrame, period: int, alpha: float = 0.05,
     tot = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("var_s").alias("var_s"))
     x = tot.withColumn("z", z_score(F.col("s"), F.col("var_s")))
     return x.withColumn("p_value", two_sided_p("z")).withColumn("trend", F.col("p_value") < alpha)
+
+
+def sen_slope(long: DataFrame, keys: list[str] | None = None, idx: str = "idx", candidates: int = 32,
+              rounds: int = 10, rel_tol: float = 1e-12) -> DataFrame:
+    """Sen's slope = median of the pairwise slopes ``(y_j - y_i)/(j - i)``,
+    found without forming pairs: the number of slopes <= theta equals
+    ``N - C(y - theta * t)`` (C = increasing pairs, counted by
+    :func:`mk_score`). Each round evaluates ``candidates`` thetas per series
+    at once and keeps the bracket holding the middle order statistic(s), so
+    the bracket shrinks by that factor per round (to ``rel_tol``). A median
+    of exactly 0 is detected and returned as 0 (the sign decides the
+    direction). Returns ``(keys, slope)``."""
+    keys = keys or KEYS
+    x = long.where(F.col("value").isNotNull()).select(*keys, idx, "value")
+    stats = x.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("value") - F.min("value")).alias("_rng"))
+    # order statistics of the median: k1 = k2 for an odd number of pairs
+    npairs = F.col("n") * (F.col("n") - 1) / 2
+    k1 = F.floor((npairs + 1) / 2)
+    k2 = F.floor(npairs / 2) + 1
+    br = stats.select(*keys, npairs.alias("_N"), k1.alias("_k1"), k2.alias("_k2"),
+                      (-F.col("_rng") - 1.0).alias("_lo1"), (F.col("_rng") + 1.0).alias("_hi1"),
+                      (-F.col("_rng") - 1.0).alias("_lo2"), (F.col("_rng") + 1.0).alias("_hi2"))
+
+    def count_le(thetas: DataFrame) -> DataFrame:
+        """``thetas(keys, cand, theta)`` -> ``(keys, cand, le)`` = #slopes <= theta."""
+        z = x.join(thetas, keys, "inner").select(
+            *keys, F.col("cand").cast("string").alias("cand"), idx,
+            (F.col("value") - F.col("theta") * F.col(idx).cast("double")).alias("value"))
+        sc = mk_score(z, [*keys, "cand"], idx)
+        # #{s <= theta} = #{i<j: z_i >= z_j} = N - C and S = 2C + E - N,
+        # so #{s <= theta} = (N - S + E) / 2 (E = tied pairs of z).
+        ties = z.groupBy(*keys, "cand", "value").agg(F.count("*").alias("t")) \
+            .groupBy(*keys, "cand").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("_E"))
+        n = F.col("n").cast("double")
+        return sc.join(ties, [*keys, "cand"]).select(
+            *keys, F.col("cand").cast("int").alias("cand"),
+            ((n * (n - 1) / 2 - F.col("s") + F.col("_E")) / 2).alias("le"))
+
+    from ..session import materialize
+    br = materialize(br)
+    K = candidates
+    for _ in range(rounds):
+        cands = br.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(2 * K + 1))).alias("cand"),
+                          "_lo1", "_hi1", "_lo2", "_hi2")
+        first = F.col("cand") <= K
+        j = F.when(first, F.col("cand")).otherwise(F.col("cand") - (K + 1)).cast("double")
+        lo = F.when(first, F.col("_lo1")).otherwise(F.col("_lo2"))
+        hi = F.when(first, F.col("_hi1")).otherwise(F.col("_hi2"))
+        thetas = cands.select(*keys, "cand", (lo + (hi - lo) * j / K).alias("theta"))
+        le = count_le(thetas).join(thetas, [*keys, "cand"])
+        le = le.join(br.select(*keys, "_k1", "_k2"), keys)
+        # smallest theta with #<= theta >= k (per order statistic), and the largest below it
+        sel1 = le.where(F.col("cand") <= K)
+        sel2 = le.where(F.col("cand") > K)
+        def bracket(sel, kcol, name):
+            ok = sel.where(F.col("le") >= F.col(kcol)).groupBy(*keys).agg(F.min("theta").alias(f"_hi{name}"))
+            bad = sel.where(F.col("le") < F.col(kcol)).groupBy(*keys).agg(F.max("theta").alias(f"_lo{name}"))
+            return ok.join(bad, keys, "left")
+        b1, b2 = bracket(sel1, "_k1", "1"), bracket(sel2, "_k2", "2")
+        new = br.select(*keys, "_N", "_k1", "_k2").join(b1, keys).join(b2, keys)
+        new = new.select(*keys, "_N", "_k1", "_k2",
+                         F.coalesce("_lo1", F.col("_hi1") - 1e-300).alias("_lo1"), "_hi1",
+                         F.coalesce("_lo2", F.col("_hi2") - 1e-300).alias("_lo2"), "_hi2")
+        br = materialize(new)
+        width = br.agg(F.max(F.greatest((F.col("_hi1") - F.col("_lo1")) / F.greatest(F.abs("_hi1"), F.lit(1e-300)),
+                                        (F.col("_hi2") - F.col("_lo2")) / F.greatest(F.abs("_hi2"), F.lit(1e-300)))))
+        if (width.first()[0] or 0.0) <= rel_tol:
+            break
+    # exact zero: #slopes <= 0 >= k and #slopes < 0 < k  <=>  the order statistic is 0
+    zero = count_le(br.select(*keys, F.lit(0).alias("cand"), F.lit(0.0).alias("theta")))
+    neg = count_le(br.select(*keys, F.lit(0).alias("cand"), F.lit(-1e-300).alias("theta"))) \
+        .withColumnRenamed("le", "le_neg")
+    z = zero.join(neg, [*keys, "cand"]).drop("cand")
+    out = br.join(z, keys)
+    s1 = F.when((F.col("le") >= F.col("_k1")) & (F.col("le_neg") < F.col("_k1")), F.lit(0.0)).otherwise(F.col("_hi1"))
+    s2 = F.when((F.col("le") >= F.col("_k2")) & (F.col("le_neg") < F.col("_k2")), F.lit(0.0)).otherwise(F.col("_hi2"))
+    return out.select(*keys, ((s1 + s2) / 2).alias("slope"))
