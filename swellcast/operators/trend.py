@@ -173,7 +173,32 @@ def seasonal_mann_kendall(long: DataFrame, period: int, alpha: float = 0.05,
 
 
 def sen_slope(long: DataFrame, keys: list[str] | None = None, idx: str = "idx", candidates: int = 32,
-              rounds: int = 10, rel_tol: float = 1e-12) -> DataFrame:
+              rounds: int = 10, rel_tol: float = 1e-12, small: int = MIN_SIDE) -> DataFrame:
+    """Sen's slope per group. Series with at most ``small`` values fit one
+    bounded chunk: their exact median slope is computed inside one task
+    (at most small*(small-1)/2 numbers in memory, never emitted as rows).
+    Longer series use :func:`sen_slope_search`."""
+    keys = keys or KEYS
+    x = long.where(F.col("value").isNotNull()).select(*keys, idx, "value")
+    n = x.groupBy(*keys).agg(F.count("*").alias("_n"))
+    x = x.join(n, keys)
+
+    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx, kind="stable")
+        y = pdf["value"].to_numpy(dtype=float)
+        t = pdf[idx].to_numpy(dtype=float)
+        iu, ju = np.triu_indices(len(y), 1)
+        slope = float(np.median((y[ju] - y[iu]) / (t[ju] - t[iu]))) if len(y) > 1 else float("nan")
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "slope": [slope]})
+
+    schema = ", ".join([f"{k} string" for k in keys] + ["slope double"])
+    short = x.where(F.col("_n") <= small).drop("_n").groupBy(*keys).applyInPandas(exact, schema)
+    long_ = x.where(F.col("_n") > small).drop("_n")
+    return short.unionByName(sen_slope_search(long_, keys, idx, candidates, rounds, rel_tol))
+
+
+def sen_slope_search(long: DataFrame, keys: list[str] | None = None, idx: str = "idx", candidates: int = 32,
+                     rounds: int = 10, rel_tol: float = 1e-12) -> DataFrame:
     """Sen's slope = median of the pairwise slopes ``(y_j - y_i)/(j - i)``,
     found without forming pairs: the number of slopes <= theta equals
     ``N - C(y - theta * t)`` (C = increasing pairs, counted by
@@ -236,7 +261,8 @@ def sen_slope(long: DataFrame, keys: list[str] | None = None, idx: str = "idx",
         br = materialize(new)
         width = br.agg(F.max(F.greatest((F.col("_hi1") - F.col("_lo1")) / F.greatest(F.abs("_hi1"), F.lit(1e-300)),
                                         (F.col("_hi2") - F.col("_lo2")) / F.greatest(F.abs("_hi2"), F.lit(1e-300)))))
-        if (width.first()[0] or 0.0) <= rel_tol:
+        w = width.first()[0]
+        if w is None or w <= rel_tol:
             break
     # exact zero: #slopes <= 0 >= k and #slopes < 0 < k  <=>  the order statistic is 0
     zero = count_le(br.select(*keys, F.lit(0).alias("cand"), F.lit(0.0).alias("theta")))

@@ -258,3 +258,17 @@ def m5_model_impute(spark, sf):
     filled = to_long(bases.met_filled(spark, sf).select("series_id", "idx", *cols), cols, ["series_id", "idx"])
     out = impute_arma(raw, filled)
     return out.where(F.col("imputed")).select("series_id", "col", "idx", "value")
+
+
+@register("d2_sen_slope", _filled_long_sql() + f""",
+sl AS (SELECT a.series_id, a.col, median((b.value - a.value) / (b.idx - a.idx)) AS slope
+       FROM lng a JOIN lng b ON a.series_id = b.series_id AND a.col = b.col AND a.idx < b.idx GROUP BY 1, 2)
+SELECT series_id, col, {rnd('slope', 'slope')}, CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction
+FROM sl""")
+def d2_sen_slope(spark, sf):
+    """Sen's slope (median pairwise slope) and the trend direction it sets,
+    for every filled column; no pair is ever materialised as a row."""
+    from ..operators.trend import sen_slope
+    s = sen_slope(filled_long(spark, sf))
+    return s.select("series_id", "col", "slope",
+                    F.when(F.col("slope") > 0, "increasing").otherwise("decreasing").alias("direction"))

@@ -192,7 +192,7 @@ def test_sen_slope_matches_median_of_pairs(spark):
     series = {"noise": rng.normal(size=120).round(2) + 0.01 * np.arange(120),
               "flat": np.where(rng.random(90) < 0.6, 2.0, rng.normal(size=90).round(1)),
               "odd": rng.normal(size=33)}
-    got = {r["series_id"]: r["slope"] for r in sen_slope(_long(spark, series)).collect()}
+    got = {r["series_id"]: r["slope"] for r in sen_slope(_long(spark, series), small=40).collect()}
     for k, y in series.items():
         n = len(y)
         s = [(y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n)]
