@@ -17,7 +17,7 @@ from .queries import register
 MODELS = [("Naive", {"WVHT": "last", "APD": "mean"}),
           ("NaiveLast", {"WVHT": "last", "APD": "last"}),
           ("NaiveMean", {"WVHT": "mean", "APD": "mean"})]
-TAGS = {"project": "Oceanwave Forecasting", "type": "Backtesting", "framework": "spark"}
+TAGS = {"project": "Hourly Forecasting", "type": "Backtesting", "framework": "spark"}
 N_BLOCKS = 3
 
 
@@ -249,7 +249,7 @@ def e11_run_analysis(spark, sf):
 cnt AS (SELECT experiment, count(*) AS n_runs, count_if(parent_run_id IS NULL) AS n_roots,
         count_if(status = 'FINISHED') AS n_finished FROM runs GROUP BY 1)
 SELECT e.name AS experiment, c.n_runs, c.n_roots, c.n_finished FROM exps e JOIN cnt c ON c.experiment = e.name
-WHERE e.tags['project'] = 'Oceanwave Forecasting'""")
+WHERE e.tags['project'] = 'Hourly Forecasting'""")
 def e12_overview(spark, sf):
     """Experiments selected by tag with their run counts."""
     exps, runs, _ = tables(spark, sf)
