@@ -119,17 +119,16 @@ def fill_leading(df: DataFrame, cols: list[str], key: str = KEY, idx: str = IDX)
     """
     if not cols:
         return df
-    aggs = []
-    for c in cols:
-        valid_idx = F.when(F.col(c).isNotNull(), F.col(idx))
-        aggs.append(F.min(valid_idx).alias(f"_fi_{c}"))
-        aggs.append(F.min_by(F.col(c), valid_idx).alias(f"_fv_{c}"))
+    # one min over (idx, value) structs per column gives the first valid
+    # position and its value together
+    aggs = [F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(c).alias("v"))))
+            .alias(f"_f_{c}") for c in cols]
     first = df.groupBy(key).agg(*aggs)
     out = df.join(first, key, "left")
     out = out.withColumns({
-        c: F.when(F.col(c).isNull() & (F.col(idx) < F.col(f"_fi_{c}")), F.col(f"_fv_{c}"))
+        c: F.when(F.col(c).isNull() & (F.col(idx) < F.col(f"_f_{c}.i")), F.col(f"_f_{c}.v"))
         .otherwise(F.col(c)) for c in cols})
-    return out.drop(*[f"_fi_{c}" for c in cols], *[f"_fv_{c}" for c in cols])
+    return out.drop(*[f"_f_{c}" for c in cols])
 
 
 # --------------------------------------------------------------- chunk + carry
