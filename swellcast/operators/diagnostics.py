@@ -68,18 +68,6 @@ def _lag_products(df: DataFrame, max_lag: int, keys: list[str], idx: str, chunk:
     return x.groupBy(*keys, "_chunk").applyInPandas(fn, schema)
 
 
-def _bounded_multi(df: DataFrame, max_lag: int, keys: list[str], idx: str, chunk: int) -> DataFrame:
-    """Chunk + halo lags of ``_d`` with a multi-column partition key."""
-    from pyspark.sql import Window
-    i = F.col(idx)
-    own = F.floor(i / F.lit(chunk))
-    hi = F.floor((i + F.lit(max_lag)) / F.lit(chunk))
-    x = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, hi)))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(idx)
-    x = x.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, max_lag + 1)})
-    return x.where(F.col("_chunk") == F.col("_own")).drop("_chunk", "_own")
-
-
 def local_maxima(r: Column) -> Column:
     """Lags k (1..K-1) with ``r[k] > r[k-1]`` and ``r[k] > r[k+1]``
     (strict on both sides, ends excluded). ``r`` is 0-based by lag."""

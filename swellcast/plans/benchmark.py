@@ -14,15 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CHUNK, HORIZON, TARGETS
+from ..config import CHUNK, HORIZON
 from ..operators.blocks import assign_blocks, train_test_split
-from ..operators.clean import preprocess
 from ..operators.forecast import ensemble_fit, naive_predict
 from ..operators.metrics import aggregate_blocks, block_scores
 from ..operators.scaling import apply_scaler, fit_scaler, to_long, unscale_long
 from ..operators.windows import ffill
 from ..session import materialize
-from . import views
 
 KEY = "series_id"
 NAIVE = {"WVHT": "last", "APD": "mean"}
@@ -96,7 +94,6 @@ def arima_benchmark(hourly: DataFrame, targets: list[str] | None = None, horizon
     terms, so seasonality comes only from the difference). Forecasts over
     the whole test span are un-differenced from the train end ('static'
     mode), unscaled and scored per block."""
-    from pyspark.sql import Window
 
     from ..operators.arima import forecast, hannan_rissanen
     from ..operators.windows import running_sum, seasonal_diff

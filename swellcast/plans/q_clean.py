@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLEAN_COLUMNS, SENTINELS, TARGETS
 from ..operators import clean, grid, profile
-from ..operators.blocks import train_test_split
-from ..operators.scaling import apply_scaler, fit_scaler, normalise_by_max, to_long
+from ..operators.scaling import normalise_by_max
 from . import bases, views
 from . import oracles as O
 from .oracles import rnd

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..config import CLEAN_COLUMNS, Z_975
 from ..operators import diagnostics as D
 from ..operators.scaling import apply_scaler, fit_scaler, to_long
-from ..session import materialize
 from . import bases
 from .oracles import rnd
 from .q_windows import _filled

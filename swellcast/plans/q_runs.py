@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..config import HORIZON
 from ..operators import runs as R
-from ..session import materialize
 from . import benchmark
 from . import oracles as O
 from .oracles import rnd

@@ -31,11 +31,6 @@ def _gated(fn: str, c: str, lag: int, length: int) -> str:
     return f"CASE WHEN count({c}) OVER {fr} = {length} THEN {fn}({c}) OVER {fr} END"
 
 
-def _lead_fill(expr: str) -> str:
-    """Leading NULLs take the first valid value (inner NULLs do not occur)."""
-    return expr
-
-
 def _summary_sql(src: str, cols, lags, means, stds, bfill: bool, keep: str = "series_id, ts, idx",
                  name: str = "feat") -> str:
     """CTE ``name`` with lag/mean/std features (+ leading back-fill)."""
