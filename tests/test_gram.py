@@ -198,3 +198,27 @@ def test_sen_slope_matches_median_of_pairs(spark):
         s = [(y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n)]
         want = float(np.median(s))
         assert abs(got[k] - want) <= 1e-9 * max(1.0, abs(want)), (k, got[k], want)
+
+
+def test_random_search_picks_min_objective(spark):
+    from pyspark.sql import functions as F
+    from swellcast.operators.tuning import random_search, sample_trials
+    rng = np.random.default_rng(21)
+    n = 260
+    t = np.arange(n)
+    rows = []
+    for s in ("a", "b"):
+        y = 5 + np.sin(t / 6.0) + rng.normal(size=n) * 0.1
+        for i in range(n):
+            rows.append((s, int(i), float(y[i]), float(y[i - 3]) if i >= 3 else None, float(np.sin(i / 6.0))))
+    df = spark.createDataFrame(rows, "series_id string, idx long, y double, f_lag double, f_sin double")
+    trials = sample_trials(2, seed=1)
+    assert trials == sample_trials(2, seed=1)                         # seeded
+    assert all(300 <= tr["n_estimators"] <= 1200 and 3 <= tr["max_depth"] <= 12 for tr in trials)
+    obj, best = random_search(df, ["f_lag", "f_sin"], ["y"], trials, window=120, horizon=24, step=60,
+                              workers=2, max_iter_cap=3)
+    o = {(r["series_id"], r["trial_id"]): r["objective"] for r in obj.collect()}
+    for r in best.collect():
+        cand = {k[1]: v for k, v in o.items() if k[0] == r["series_id"]}
+        assert r["best_value"] == min(cand.values())
+        assert r["best_trial"] == min(k for k, v in cand.items() if v == r["best_value"])
