@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, html, langid, packing, simhash, urls
+from . import bpe, exact, html, langid, lm, packing, simhash, urls
 from .common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+@query("op8_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    docs = read(spark, sf_dir, "documents")
+    scored = lm.score_documents(docs, ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 @query("op9_html")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
