@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, html, langid, lm, packing, simhash, urls
+from . import bpe, exact, html, langid, lm, near, packing, simhash, urls
 from .common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op4_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(read(spark, sf_dir, "documents"))
+
+
 @query("op5_langid")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
