@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, slices, stored, texts_of
+from .common import frame, slices, texts_of
 from .words import U, Words, hash_spans, mix, words
 
 DOCS_PER_LANGUAGE = 400
@@ -243,3 +243,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                                               pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
 
     return frame(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is found with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 8 << 20, text_col):
+            found = predict(texts_of(part, text_col), shared.value)
+            yield part.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

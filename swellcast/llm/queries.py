@@ -38,7 +38,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-@query("op4_minhash")
+@query("op4_minhash", near.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(read(spark, sf_dir, "documents"))
 
@@ -56,7 +56,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
-@query("op7_substring")
+@query("op7_substring", substring.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"))
 
