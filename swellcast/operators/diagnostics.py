@@ -8,8 +8,6 @@ which the remaining logic runs as Spark higher-order functions.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,8 +92,13 @@ def seasonality(acf_df: DataFrame, seasonal_period: int | None = None, confidenc
     ``mean(r1..) + z * var(r1..)`` (population variance, as the reference);
     the first candidate ``c`` with ``r[c] > bartlett(c-1) * band`` wins.
     """
-    if seasonal_period is not None and (not isinstance(seasonal_period, int) or seasonal_period < 2):
-        raise ValueError("seasonal_period must be an integer greater than 1.")
+    if seasonal_period is not None:
+        if not isinstance(seasonal_period, int) or seasonal_period < 2:
+            raise ValueError(f"a season needs a whole number of at least 2 steps, got {seasonal_period!r}")
+        # the lag count is a property of the ACF rows; a period beyond it fails when they are read
+        too_far = F.size("r") - 1 <= seasonal_period
+        acf_df = acf_df.withColumn("r", F.when(too_far, F.raise_error(F.concat(
+            F.lit(f"period {seasonal_period} needs autocorrelations beyond it, the last lag is "), F.size("r") - 1))).otherwise(F.col("r")))
     if abs(confidence - 0.05) > 1e-12 and z == Z_975:
         raise ValueError("pass the matching normal quantile z for a non-default confidence")
     r = F.col("r")
@@ -111,7 +114,7 @@ def seasonality(acf_df: DataFrame, seasonal_period: int | None = None, confidenc
     n = F.col("n").cast("double")
     ok = F.filter(cands, lambda c: F.element_at(r, c + 1) >
                   bartlett_se(r1, c - 1, n) * band)
-    first_ok = F.array_min(ok) if seasonal_period is None else F.element_at(ok, 1)
+    first_ok = F.array_min(ok)
     no_cand = F.size(local_maxima(r)) == 0
     seasonal = F.when(F.col("is_constant") | no_cand, F.lit(False)).otherwise(first_ok.isNotNull())
     if seasonal_period is None:
@@ -126,7 +129,7 @@ def seasonality(acf_df: DataFrame, seasonal_period: int | None = None, confidenc
                          F.array_min(local_maxima(r)).cast("long").alias("first_candidate"))
 
 
-def white_test(long: DataFrame, keys: list[str] = KEYS, idx: str = "idx") -> DataFrame:
+def white_test(long: DataFrame, keys: list[str] = KEYS, idx: str = "idx", confidence: float = 0.05) -> DataFrame:
     """OLS of y on the time index, then White's test of the squared
     residuals on ``[1, t, t^2]``.
 
@@ -134,11 +137,15 @@ def white_test(long: DataFrame, keys: list[str] = KEYS, idx: str = "idx") -> Dat
     (equal spacing makes u orthogonal to u^2), so
     ``R^2 = corr(e^2, u)^2 + corr(e^2, u^2)^2``; ``LM = n R^2``;
     with 2 degrees of freedom ``p_LM = exp(-LM/2)`` and
-    ``p_F = (1 - R^2)^((n-3)/2)`` in closed form.
+    ``p_F = (1 - R^2)^((n-3)/2)`` in closed form. A series with gaps or NULL
+    values is an error: the closed form needs equal steps.
     """
     t = F.col(idx).cast("double")
     p1 = long.groupBy(*keys).agg(F.regr_slope("value", t).alias("_b"), F.regr_intercept("value", t).alias("_a"),
-                                 F.count("value").alias("n"), F.avg(t).alias("_tm"))
+                                 F.count("value").alias("n"), F.avg(t).alias("_tm"),
+                                 (F.max(idx) - F.min(idx) + 1).alias("_span"), F.count(F.lit(1)).alias("_rows"), F.count_distinct(idx).alias("_steps"))
+    even = (F.col("n") == F.col("_rows")) & (F.col("_rows") == F.col("_span")) & (F.col("_steps") == F.col("_rows"))
+    p1 = p1.withColumn("n", F.when(even, F.col("n")).otherwise(F.raise_error(F.lit("the White test needs equally spaced values without NULLs"))))
     x = long.join(p1, keys, "inner")
     e2 = F.pow(F.col("value") - (F.col("_a") + F.col("_b") * t), 2)
     u = t - F.col("_tm")
@@ -147,7 +154,7 @@ def white_test(long: DataFrame, keys: list[str] = KEYS, idx: str = "idx") -> Dat
     lm = F.col("n") * r2
     p_lm = F.exp(-lm / 2)
     p_f = F.pow(F.lit(1.0) - r2, (F.col("n") - 3) / 2.0)
-    return p2.select(*keys, "n", ((p_lm < 0.05) & (p_f < 0.05)).alias("heteroscedastic"),
+    return p2.select(*keys, "n", ((p_lm < confidence) & (p_f < confidence)).alias("heteroscedastic"),
                      lm.alias("lm_statistic"), p_lm.alias("lm_p_value"), p_f.alias("f_p_value"))
 
 
@@ -182,6 +189,3 @@ def pacf(acf_df: DataFrame) -> DataFrame:
     biased ACF), lags 0..K."""
     return acf_df.select("series_id", "col", "n", pacf_from_acf(F.col("r")).alias("pacf"))
 
-
-def normal_sf(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
