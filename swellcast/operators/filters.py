@@ -4,9 +4,11 @@ The trend solves ``(I + lambda D'D) tau = y`` (D = second differences), a
 symmetric positive-definite pentadiagonal system. Each ``(series, col,
 chunk)`` group solves it over the chunk plus a two-sided halo of ``halo``
 rows with an O(n) banded Cholesky factorisation and keeps its own rows.
-The influence of far rows decays geometrically (about 3e-10 at 200 rows for
-lambda = 1600), so interior chunks agree with the full-series solve to that
-tolerance, and chunks touching a series end are exact at that end.
+The influence of far rows decays geometrically, by the modulus r(lambda) < 1
+of the characteristic roots a row, so the halo is the number of rows after
+which r has fallen under ``tolerance`` (about lambda ** 0.25 long): interior
+chunks agree with the full-series solve to that tolerance for every lambda,
+and chunks touching a series end are exact at that end.
 """
 
 from __future__ import annotations
@@ -25,19 +27,26 @@ KEYS = ["series_id", "col"]
 
 def hp_bands(n: int, lamb: float):
     """Diagonals (main, first, second) of ``I + lamb * D'D``."""
-    d0 = np.ones(n)
-    d1 = np.zeros(max(n - 1, 0))
-    d2 = np.zeros(max(n - 2, 0))
-    for r in range(n - 2):          # each second-difference row touches r, r+1, r+2
-        c = (1.0, -2.0, 1.0)
-        for a in range(3):
-            d0[r + a] += lamb * c[a] * c[a]
-        d1[r] += lamb * c[0] * c[1]
-        d1[r + 1] += lamb * c[1] * c[2]
-        d2[r] += lamb * c[0] * c[2]
+    d0, d1, d2 = np.ones(n), np.zeros(max(n - 1, 0)), np.zeros(max(n - 2, 0))
+    m = max(n - 2, 0)               # second-difference row r touches r, r+1, r+2
+    for a, c in enumerate((1.0, 4.0, 1.0)):
+        d0[a:a + m] += lamb * c
+    d1[:m] -= 2.0 * lamb
+    d1[1:m + 1] -= 2.0 * lamb
+    d2[:m] += lamb
     return d0, d1, d2
 
 
+def hp_halo(lamb: float, tolerance: float = 1e-13) -> int:
+    """Rows after which a value's influence on the trend is under ``tolerance``."""
+    if lamb <= 0:
+        return 2
+    # (1 - z)^4 = -z^2 / lamb, so (1 - z)^2 = i z / sqrt(lamb): the root inside the unit circle
+    b = 2.0 + 1j / math.sqrt(lamb)
+    z = min(abs((b - s * np.sqrt(b * b - 4.0)) / 2.0) for s in (1, -1))
+    return math.ceil(math.log(tolerance) / math.log(z)) + 2
+
+
 def solve_penta(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Solve a symmetric positive-definite pentadiagonal system (banded Cholesky)."""
     n = len(d0)
@@ -60,10 +69,11 @@ def solve_penta(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, b: np.ndarray) -
     return x
 
 
-def hp_filter(long: DataFrame, lamb: float = HP_LAMBDA, halo: int = 200, chunk: int = CHUNK,
+def hp_filter(long: DataFrame, lamb: float = HP_LAMBDA, halo: int | None = None, chunk: int = CHUNK,
               idx: str = "idx") -> DataFrame:
     """D11 on ``(series_id, col, idx, value)`` (gap-free, no NULLs):
     ``(series_id, col, idx, value, trend, cycle)``."""
+    halo = hp_halo(lamb) if halo is None else halo
     i = F.col(idx)
     own = F.floor(i / F.lit(chunk))
     lo = F.greatest(F.floor((i - F.lit(halo)) / F.lit(chunk)), F.lit(0).cast("long"))

@@ -9,17 +9,19 @@ AIC wins (ties: fewer parameters). Differencing order d comes from the ADF
 test (``d = 1`` when the unit root is not rejected); d = 1 series are filled
 on their differences and re-integrated from the last observed level.
 
-Filling: per ``(series, col, chunk)`` with a ``halo`` of earlier rows, the
-rows are walked in time order; a missing value gets
+Filling: the rows are walked in time order; a missing value gets
 ``c + sum phi_i y_{t-i} + sum theta_j e_{t-j}`` (its own residual is 0), an
-observed value keeps its value and its residual. A gap longer than the halo
-that crosses a chunk border starts its recursion from the halo start.
+observed value keeps its value and its residual. A step is an affine map of
+the state (the last p values, q residuals and the last level), so every chunk
+first yields its whole map, the maps of a series are composed in order (one
+small row per chunk), and every chunk is then walked from its exact state:
+gaps of any length are filled, whatever the chunks. Before the first
+observation the series is taken as that first value, which also fills a
+leading gap. A series without any value stays empty.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,62 +87,84 @@ def select_arma(filled_long: DataFrame, p_min: int = 1, p_max: int = 3, q_max: i
     return best.join(ar, KEYS, "inner")
 
 
-def fill_gaps(raw_long: DataFrame, model: DataFrame, m: int = 20, halo: int = 200,
-              chunk: int = CHUNK) -> DataFrame:
+def _walk(y: np.ndarray, state: np.ndarray, d: int, p: int, q: int, c0: float, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the rows ``y`` (NaN: missing) from ``state`` = [last p values,
+    newest first; last q residuals; last level; 1], given as a matrix whose
+    columns are combined linearly: the identity yields the affine map."""
+    w, e, level, one = state[:p].copy(), state[p:p + q].copy(), state[p + q].copy(), state[p + q + 1]
+    out = np.empty((len(y), state.shape[1]))
+    gap = np.isnan(y)
+    for t in range(len(y)):
+        pred = c0 * one + phi @ w + theta @ e
+        if gap[t]:
+            now, left = pred, 0.0 * one
+            value = pred + level if d else pred
+        else:
+            value = y[t] * one
+            now = value - level if d else value
+            left = now - pred
+        level = value
+        out[t] = value
+        if p:
+            w = np.vstack([now[None], w[:-1]])
+        if q:
+            e = np.vstack([left[None], e[:-1]])
+    return out, np.vstack([w, e, level[None], one[None]])
+
+
+def fill_gaps(raw_long: DataFrame, model: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Fill NULL values of ``raw_long(series_id, col, idx, value)`` with the
     model's one-step predictions; output ``(series_id, col, idx, value,
-    imputed)``. Rows before enough history exists keep the forward-filled
-    fallback."""
-    x = raw_long.join(model.select(*KEYS, "d", "p", "q", "c", "phi", "theta"), KEYS, "inner")
-    i = F.col("idx")
-    own = F.floor(i / F.lit(chunk))
-    lo = F.greatest(F.floor((i - F.lit(halo)) / F.lit(chunk)), F.lit(0).cast("long"))
-    hi = F.floor((i + F.lit(halo)) / F.lit(chunk))
-    x = x.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, hi))) \
-        .withColumn("_lo", lo).where(F.col("_chunk") >= F.col("_lo"))
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
-        c = int(pdf["_chunk"].iloc[0])
-        pdf = pdf[pdf["idx"] >= c * chunk - halo].reset_index(drop=True)
-        d, p, q = int(pdf["d"].iloc[0]), int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        c0 = float(pdf["c"].iloc[0])
-        phi = np.asarray(pdf["phi"].iloc[0], dtype=float)
-        theta = np.asarray(pdf["theta"].iloc[0], dtype=float)
-        y = pdf["value"].to_numpy(dtype=float).copy()
-        miss = np.isnan(y)
-        w = np.full(len(y), np.nan)          # modelled series: y (d = 0) or its first difference (d = 1)
-        e = np.zeros(len(y))
-        last = np.nan
-        for t in range(len(y)):
-            hist = w[t - p:t] if p and t >= p else None
-            pred = np.nan
-            if (p == 0 or (hist is not None and not np.isnan(hist).any())) and t >= max(p, q, d):
-                pred = c0 + (phi @ hist[::-1] if p else 0.0) + (theta @ e[t - q:t][::-1] if q else 0.0)
-            if miss[t]:
-                if math.isnan(pred) or (d == 1 and math.isnan(last)):
-                    y[t] = last                                   # forward-fill fallback
-                else:
-                    y[t] = pred if d == 0 else last + pred
-                w[t] = y[t] if d == 0 else (y[t] - last if not math.isnan(last) else np.nan)
-                e[t] = 0.0
-            else:
-                w[t] = y[t] if d == 0 else (y[t] - last if not math.isnan(last) else np.nan)
-                e[t] = (w[t] - pred) if not (math.isnan(pred) or math.isnan(w[t])) else 0.0
-            if not np.isnan(y[t]):
-                last = y[t]
-        keep = (pdf["_own"].to_numpy() == c)
-        out = pdf.loc[keep, KEYS + ["idx"]].copy()
-        out["value"] = y[keep]
-        out["imputed"] = miss[keep]
+    imputed)``. The result does not depend on ``chunk``."""
+    first = raw_long.where(F.col("value").isNotNull()).groupBy(*KEYS).agg(F.min("idx").alias("t0"), F.min_by("value", "idx").alias("y0"))
+    x = raw_long.join(model.select(*KEYS, "d", "p", "q", "c", "phi", "theta"), KEYS, "inner").join(first, KEYS, "left") \
+        .withColumn("_chunk", F.floor(F.col("idx") / F.lit(chunk)))
+
+    def parts(pdf: pd.DataFrame):
+        pdf = pdf.sort_values("idx", kind="stable")
+        r = pdf.iloc[0]
+        order = (int(r["d"]), int(r["p"]), int(r["q"]), float(r["c"]), np.asarray(r["phi"], float), np.asarray(r["theta"], float))
+        d, p, q = order[:3]
+        start = np.concatenate([np.full(p, 0.0 if d else r["y0"]), np.zeros(q), [r["y0"], 1.0]])[:, None]
+        after = pdf["idx"].to_numpy() > (r["t0"] if pd.notna(r["t0"]) else np.inf)
+        return pdf, order, start, after, pd.notna(r["t0"]) and r["idx"] <= r["t0"]
+
+    def chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, order, start, after, early = parts(pdf)
+        state = start if early else np.eye(len(start))
+        _, end = _walk(pdf["value"].to_numpy(float)[after], state, *order)
+        if early:  # the state here is known, whatever came before
+            end = np.hstack([np.zeros((len(start), len(start) - 1)), end])
+        return pd.DataFrame({**{k: [pdf[k].iat[0]] for k in KEYS}, "_chunk": [int(pdf["_chunk"].iat[0])], "map": [end.ravel().tolist()], "start": [start.ravel().tolist()]})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        state, states = np.asarray(pdf["start"].iat[0], float), []
+        for flat in pdf["map"]:
+            states.append(state.tolist())
+            state = np.asarray(flat, float).reshape(len(state), len(state)) @ state
+        return pdf[[*KEYS, "_chunk"]].assign(state=states)
+
+    maps = x.where(F.col("t0").isNotNull()).groupBy(*KEYS, "_chunk").applyInPandas(
+        chunk_map, "series_id string, col string, _chunk long, map array<double>, start array<double>")
+    states = maps.groupBy(*KEYS).applyInPandas(compose, "series_id string, col string, _chunk long, state array<double>")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, order, start, after, early = parts(pdf)
+        y = pdf["value"].to_numpy(float)
+        out = pdf[[*KEYS, "idx"]].assign(value=np.where(np.isnan(y), pdf["y0"].to_numpy(float), y), imputed=np.isnan(y))
+        known = pdf["state"].iat[0]
+        if known is not None:
+            state = start if early else np.asarray(known, float)[:, None]
+            out.loc[after, "value"] = _walk(y[after], state, *order)[0][:, 0]
         return out
 
-    return x.groupBy(*KEYS, "_chunk").applyInPandas(
-        fn, "series_id string, col string, idx long, value double, imputed boolean")
+    return x.join(states, [*KEYS, "_chunk"], "left").groupBy(*KEYS, "_chunk").applyInPandas(
+        fill, "series_id string, col string, idx long, value double, imputed boolean")
 
 
 def impute_arma(raw_long: DataFrame, filled_long: DataFrame, p_min: int = 1, p_max: int = 3, q_max: int = 3,
-                m: int = 20, halo: int = 200, chunk: int = CHUNK) -> DataFrame:
+                m: int = 20, chunk: int = CHUNK) -> DataFrame:
     """M5 end to end: d by ADF on the filled series, order by AIC on the
     (differenced) filled series, then :func:`fill_gaps` on the raw series."""
     from .adf import adf
@@ -152,4 +176,4 @@ def impute_arma(raw_long: DataFrame, filled_long: DataFrame, p_min: int = 1, p_m
     x = filled_long.join(d, KEYS).where(F.col("d") == 0).select(*KEYS, "idx", "value") \
         .unionByName(diffed.join(d, KEYS).where(F.col("d") == 1).select(*KEYS, "idx", "value"))
     model = select_arma(x, p_min, p_max, q_max, m, chunk).join(d, KEYS, "inner")
-    return fill_gaps(raw_long, model, m, halo, chunk)
+    return fill_gaps(raw_long, model, chunk)

@@ -4,7 +4,7 @@
 MLlib's distributed tree aggregation - no per-series loop, no driver-side
 data. Parameter mapping from the reference's XGBoost settings:
 n_estimators -> maxIter, learning_rate -> stepSize, max_depth -> maxDepth
-(MLlib caps depth at 30), subsample -> subsamplingRate, gamma -> minInfoGain.
+(MLlib refuses depths over 30), subsample -> subsamplingRate, gamma -> minInfoGain.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ def direct_features(df: DataFrame, targets: list[str], lags: list[int], horizon:
 def fit_predict_direct(train: DataFrame, test: DataFrame, feats: list[str], target: str,
                        max_iter: int = 20, max_depth: int = 5, step_size: float = 0.1,
                        subsampling_rate: float = 0.8, seed: int = 42) -> DataFrame:
-    """Fit one GBT on the train rows with complete features, predict ``test``;
-    returns ``test`` with ``yhat``."""
-    asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip")
-    tr = asm.transform(train.where(F.col(target).isNotNull()))
+    """Fit one GBT on the train rows with complete features (the first rows
+    have no lags yet), predict every row of ``test``, where a missing feature
+    is an error; returns ``test`` with ``yhat``."""
+    asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="error")
+    tr = asm.transform(train.na.drop(subset=[*feats, target]))
     gbt = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="yhat", maxIter=max_iter,
                        maxDepth=max_depth, stepSize=step_size, subsamplingRate=subsampling_rate, seed=seed)
     model = gbt.fit(tr)

@@ -4,24 +4,23 @@ Training: per target column one MLlib GBT on the target-lag summary
 (lags 1,2,3,4,24,48,72 and lagged means [1,24], [24,48]) of the scaled,
 seasonally differenced target plus the exogenous feature table.
 
-Prediction walks forward one step at a time for ALL series at once: the
-state is the last ``max_back`` values per (series, target) - a table of
-``#series x #targets x max_back`` rows, independent of the series length -
-the state of each series is co-grouped with its known future exogenous
-rows and the recursion runs inside one Arrow grouped map per series, scoring
-the fitted ensemble from its tree tables (read once from the MLlib model).
-One Spark job for all steps and all series; per-series work is bounded by the
-horizon, never by the series length. (A step-by-step loop of Spark jobs
-would pay a shuffle and a checkpoint per step.)
+Prediction walks forward one step at a time for ALL series at once. The state
+is one wide row per series: for every target an array of its last ``max_back``
+values, and the known future exogenous rows as an array over the horizon. A
+step is a narrow projection (features from the arrays) and the fitted model's
+own ``transform``; nothing is shuffled between steps, and the small state is
+checkpointed reliably every few steps to keep the plan short.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
 KEY = "series_id"
 
@@ -35,87 +34,53 @@ def fit_models(train: DataFrame, targets: list[str], exog_feats: list[str], lags
                subsampling_rate: float = 0.8, seed: int = 42) -> dict:
     """``train(series_id, col, label, lag_*, mean_*, *exog_feats)`` -> model per target."""
     feats = lag_features(lags, means) + exog_feats
-    asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip")
+    asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="error")
     models = {}
     for c in targets:
-        rows = asm.transform(train.where((F.col("col") == c) & F.col("label").isNotNull()))
+        rows = asm.transform(train.where(F.col("col") == c).na.drop(subset=[*feats, "label"]))
         models[c] = GBTRegressor(featuresCol="_features", labelCol="label", predictionCol="yhat",
                                  maxIter=max_iter, maxDepth=max_depth, stepSize=step_size,
                                  subsamplingRate=subsampling_rate, seed=seed).fit(rows)
     return {"models": models, "assembler": asm}
 
 
-def tree_tables(model) -> list[tuple[float, dict]]:
-    """The fitted ensemble as plain arrays (one dict per tree: feature,
-    threshold, left, right, value; -1 children mark leaves), read once on
-    the driver from the model's tree structure. Small: trees x nodes."""
-    out = []
-    for jt, w in zip(model._java_obj.trees(), model.treeWeights):
-        feat, thr, left, right, val = [], [], [], [], []
-
-        def add(node) -> int:
-            i = len(feat)
-            feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1)
-            val.append(float(node.prediction()))
-            if node.getClass().getSimpleName() == "InternalNode":
-                split = node.split()
-                feat[i] = int(split.featureIndex())
-                thr[i] = float(split.threshold())
-                left[i] = add(node.leftChild())
-                right[i] = add(node.rightChild())
-            return i
-        add(jt.rootNode())
-        out.append((float(w), {"feature": feat, "threshold": thr, "left": left, "right": right, "value": val}))
-    return out
-
-
-def score_trees(trees: list[tuple[float, dict]], x) -> float:
-    """Weighted sum of tree predictions (continuous splits: left if x <= t)."""
-    total = 0.0
-    for w, t in trees:
-        i = 0
-        while t["left"][i] >= 0:
-            i = t["left"][i] if x[t["feature"][i]] <= t["threshold"][i] else t["right"][i]
-        total += w * t["value"][i]
-    return total
-
-
 def predict_recursive(fitted: dict, state: DataFrame, exog_future: DataFrame, horizon: int,
-                      lags: list[int], means: list[tuple[int, int]], exog_feats: list[str]) -> DataFrame:
-    """Walk ``horizon`` steps for every series in ONE job: the bounded state
-    ``(series_id, col, r, value)`` (r <= 0) is co-grouped per series with the
-    known exogenous rows ``(series_id, r, *exog_feats)`` (r = 1..horizon);
-    each group runs its recursion with the ensemble's tree tables. Returns
-    ``(series_id, col, r, yhat)``."""
-    import numpy as np
-    import pandas as pd
-    tables = {c: tree_tables(m) for c, m in fitted["models"].items()}
-    targets = list(tables)
-
-    def run(st: pd.DataFrame, fx: pd.DataFrame) -> pd.DataFrame:
-        if st.empty or fx.empty:
-            return pd.DataFrame({KEY: [], "col": [], "r": [], "yhat": []})
-        sid = st[KEY].iloc[0]
-        hist = {c: dict(zip(st.loc[st["col"] == c, "r"].astype(int), st.loc[st["col"] == c, "value"]))
-                for c in targets}
-        fx = fx.set_index("r")
-        rows = []
-        for h in range(1, horizon + 1):
-            if h not in fx.index:
-                break
-            ex = fx.loc[h, exog_feats].to_numpy(dtype=float)
-            for c in targets:
-                hc = hist[c]
-                feats = [hc.get(h - k, np.nan) for k in lags]
-                for a, b in means:
-                    win = [hc.get(r) for r in range(h - (a + b - 1), h - a + 1)]
-                    feats.append(float(np.mean(win)) if all(v is not None for v in win) else np.nan)
-                x = np.concatenate([np.asarray(feats, dtype=float), ex])
-                y = score_trees(tables[c], x)
-                hc[h] = y
-                rows.append((sid, c, h, y))
-        return pd.DataFrame(rows, columns=[KEY, "col", "r", "yhat"])
-
-    out = state.groupBy(KEY).cogroup(exog_future.select(KEY, "r", *exog_feats).groupBy(KEY)) \
-        .applyInPandas(run, "series_id string, col string, r long, yhat double")
-    return out
+                      lags: list[int], means: list[tuple[int, int]], exog_feats: list[str],
+                      checkpoint_every: int = 24) -> DataFrame:
+    """Walk ``horizon`` steps for every series. ``state(series_id, col, r,
+    value)`` has the known values (r <= 0), ``exog_future(series_id, r,
+    *exog_feats)`` the exogenous rows of r = 1..horizon. A series that lacks
+    one of these rows or values is an error. Returns ``(series_id, col, r, yhat)``."""
+    models = fitted["models"]
+    back = max(lags + [a + b - 1 for a, b in means])
+    in_order = lambda c, kind: F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[kind])
+    known = state.where((F.col("r") > -back) & (F.col("r") <= 0)).groupBy(KEY).pivot("col", list(models)).agg(in_order(F.col("value").alias("v"), "v"))
+    ahead = exog_future.where((F.col("r") >= 1) & (F.col("r") <= horizon)) \
+        .select(KEY, "r", F.array(*[F.col(f).cast("double") for f in exog_feats]).alias("v")) \
+        .groupBy(KEY).agg(in_order("v", "v").alias("_ahead"))
+    x = known.join(ahead, KEY, "left")
+
+    def whole(c, size, what):
+        ok = F.size(F.col(c)) == size  # NULL array: not ok
+        return F.when(F.coalesce(ok, F.lit(False)), F.col(c)).otherwise(
+            F.raise_error(F.concat(F.lit(f"{what} of series "), F.col(KEY), F.lit(f" lack some of their {size} rows"))))
+
+    x = x.select(KEY, whole("_ahead", horizon, "future exogenous rows").alias("_ahead"),
+                 *[whole(c, back, f"known values of {c}").alias(c) for c in models],
+                 *[F.array().cast("array<double>").alias(f"_out_{c}") for c in models])
+    x = materialize(x)
+    for h in range(1, horizon + 1):
+        for c, model in models.items():
+            hist = F.col(c)
+            feats = [F.element_at(hist, back - k + 1) for k in lags]
+            feats += [F.aggregate(F.slice(hist, back - (a + b - 1) + 1, b), F.lit(0.0), lambda s, v: s + v) / F.lit(float(b)) for a, b in means]
+            x = model.transform(x.withColumn("_features", array_to_vector(F.concat(F.array(*feats), F.element_at("_ahead", h)))))
+            x = x.withColumns({c: F.concat(F.slice(hist, 2, back - 1), F.array("yhat")), f"_out_{c}": F.concat(F.col(f"_out_{c}"), F.array("yhat"))}) \
+                .drop("_features", "yhat")
+        if h % checkpoint_every == 0 or h == horizon:
+            x = materialize(x)
+    parts = [x.select(KEY, F.lit(c).alias("col"), F.posexplode(f"_out_{c}").alias("r", "yhat")) for c in models]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("r", (F.col("r") + 1).cast("long"))

@@ -1,6 +1,7 @@
 """Gram-based regressions against brute-force NumPy on hand-made series."""
 
 import numpy as np
+import pytest
 import pandas as pd
 
 from swellcast.operators.adf import adf
@@ -119,7 +120,7 @@ def test_hp_filter_chunked_matches_full_solve(spark):
     full = np.linalg.solve(np.eye(n) + 1600 * d.T @ d, y)
     d0, d1, d2 = hp_bands(n, 1600.0)
     assert np.allclose(np.diag(np.eye(n) + 1600 * d.T @ d), d0)
-    got = hp_filter(_long(spark, {"s": y}), chunk=150, halo=200).toPandas().sort_values("idx")
+    got = hp_filter(_long(spark, {"s": y}), chunk=150).toPandas().sort_values("idx")
     assert len(got) == n
     assert np.max(np.abs(got["trend"].to_numpy() - full)) < 1e-7 * max(1.0, np.abs(full).max())
 
@@ -146,20 +147,43 @@ def test_pacf_matches_yule_walker():
         assert abs(got[k] - np.linalg.solve(toe, r[1:k + 1])[-1]) < 1e-10
 
 
-def test_tree_tables_score_like_mllib(spark):
+def test_hp_halo_follows_lambda(spark):
+    from swellcast.operators.filters import hp_bands, hp_filter, hp_halo, solve_penta
+    rng = np.random.default_rng(6)
+    y = np.cumsum(rng.normal(size=6000))
+    for lamb in (129_600.0, 1e6):
+        full = solve_penta(*hp_bands(len(y), lamb), y)
+        got = hp_filter(_long(spark, {"s": y}), lamb=lamb, chunk=1000).toPandas().sort_values("idx")
+        assert np.max(np.abs(got["trend"].to_numpy() - full)) < 1e-6 * np.abs(full).max()
+    assert hp_halo(1600.0) < hp_halo(1e6) < hp_halo(1e8) < 5000
+
+
+def test_recursive_trees_equal_a_plain_loop(spark):
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    from swellcast.operators.recursive import score_trees, tree_tables
+    from swellcast.operators.recursive import fit_models, lag_features, predict_recursive
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(400, 3))
-    y = x[:, 0] * 2 - x[:, 1] ** 2 + rng.normal(size=400) * 0.1
-    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
-    v = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df)
-    m = GBTRegressor(featuresCol="f", labelCol="y", maxIter=10, maxDepth=4, seed=1).fit(v)
-    got = m.transform(v).select("a", "b", "c", "prediction").toPandas()
-    tabs = tree_tables(m)
-    for _, r in got.head(50).iterrows():
-        assert abs(score_trees(tabs, [r["a"], r["b"], r["c"]]) - r["prediction"]) < 1e-9
+    lags, means, horizon = [1, 3], [(1, 3)], 14
+    feats = lag_features(lags, means) + ["ex"]
+    rows = [(s, c, float(rng.normal()), *map(float, rng.normal(size=4))) for s in "ab" for c in ("u", "v") for _ in range(80)]
+    train = spark.createDataFrame(rows, "series_id string, col string, label double, " + ", ".join(f"{f} double" for f in feats))
+    fitted = fit_models(train, ["u", "v"], ["ex"], lags, means, max_iter=4, max_depth=3)
+    known = [(s, c, -r, float(rng.normal())) for s in "ab" for c in ("u", "v") for r in range(3)]
+    ahead = [(s, r, float(rng.normal())) for s in "ab" for r in range(1, horizon + 1)]
+    state = spark.createDataFrame(known, "series_id string, col string, r long, value double")
+    future = spark.createDataFrame(ahead, "series_id string, r long, ex double")
+    got = {(r["series_id"], r["col"], r["r"]): r["yhat"] for r in predict_recursive(fitted, state, future, horizon, lags, means, ["ex"], 5).collect()}
+    want, asm = {}, VectorAssembler(inputCols=feats, outputCol="_features")
+    hist = {(s, c, r): v for s, c, r, v in known}
+    ex = {(s, r): v for s, r, v in ahead}
+    for h in range(1, 4):
+        for s in "ab":
+            for c in ("u", "v"):
+                x = [hist[s, c, h - k] for k in lags] + [np.mean([hist[s, c, h - k] for k in (1, 2, 3)]), ex[s, h]]
+                one = asm.transform(spark.createDataFrame([tuple(map(float, x))], feats))
+                hist[s, c, h] = want[s, c, h] = fitted["models"][c].transform(one).first()["yhat"]
+    assert len(got) == 4 * horizon and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    with pytest.raises(Exception, match="lack some"):
+        predict_recursive(fitted, state, future.where("r <> 5"), horizon, lags, means, ["ex"]).collect()
 
 
 def test_model_imputation_fills_gaps(spark):
@@ -177,7 +201,7 @@ def test_model_imputation_fills_gaps(spark):
     rows = [("s", "y", i, None if np.isnan(v) else float(v)) for i, v in enumerate(raw)]
     df = spark.createDataFrame(rows, "series_id string, col string, idx long, value double")
     filled = ffill(df.withColumnRenamed("col", "c_").withColumn("col", F.col("c_")).drop("c_"), ["value"])
-    got = impute_arma(df, filled.select("series_id", "col", "idx", "value"), chunk=257, halo=50) \
+    got = impute_arma(df, filled.select("series_id", "col", "idx", "value"), chunk=257) \
         .toPandas().sort_values("idx")
     assert len(got) == n and got["value"].notna().all()
     assert np.allclose(got.loc[~got["imputed"], "value"].to_numpy(), np.delete(y, holes))
@@ -186,6 +210,31 @@ def test_model_imputation_fills_gaps(spark):
     assert abs(v[650] - (1.0 + 0.7 * v[649])) < 0.5
 
 
+def test_gaps_of_any_length_do_not_depend_on_chunks(spark):
+    from swellcast.operators.impute import fill_gaps
+    rng = np.random.default_rng(11)
+    n = 1400
+    y = np.cumsum(rng.normal(size=n))
+    y[:130] = np.nan                     # a leading gap over a chunk border
+    y[400:700] = np.nan                  # 300 hours
+    y[rng.choice(np.arange(750, n), 90, replace=False)] = np.nan
+    rows = [("s", c, i, None if np.isnan(v) else float(v)) for c in ("a", "b", "d") for i, v in enumerate(y)] + [("s", "none", i, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "series_id string, col string, idx long, value double")
+    model = spark.createDataFrame([("s", "a", 0, 2, 1, 0.1, [0.6, 0.2], [0.4]), ("s", "b", 0, 1, 0, 0.2, [0.8], []),
+                                   ("s", "d", 1, 1, 2, 0.0, [0.3], [0.2, -0.1]), ("s", "none", 0, 1, 0, 0.0, [0.5], [])],
+                                  "series_id string, col string, d int, p int, q int, c double, phi array<double>, theta array<double>")
+    got = {k: fill_gaps(df, model, chunk=k).toPandas().sort_values(["col", "idx"], ignore_index=True) for k in (100, 1000, 10_000)}
+    one = got[10_000]
+    assert one[one["col"] == "none"]["value"].isna().all()
+    assert one[one["col"] != "none"]["value"].notna().all() and (one[(one["col"] == "a") & (one["idx"] < 130)]["value"] == y[130]).all()
+    for k in (100, 1000):
+        assert np.allclose(got[k]["value"], one["value"], rtol=1e-9, atol=1e-9, equal_nan=True) and (got[k]["imputed"] == one["imputed"]).all()
+    # the AR(1) column against its plain recursion
+    b = one[one["col"] == "b"]["value"].to_numpy()
+    for t in range(131, n):
+        assert abs(b[t] - (0.2 + 0.8 * b[t - 1] if np.isnan(y[t]) else y[t])) < 1e-9
+
+
 def test_sen_slope_matches_median_of_pairs(spark):
     from swellcast.operators.trend import sen_slope
     rng = np.random.default_rng(12)
@@ -215,8 +264,9 @@ def test_random_search_picks_min_objective(spark):
     trials = sample_trials(2, seed=1)
     assert trials == sample_trials(2, seed=1)                         # seeded
     assert all(300 <= tr["n_estimators"] <= 1200 and 3 <= tr["max_depth"] <= 12 for tr in trials)
+    trials = [tr | {"n_estimators": 2 + i, "max_depth": 3} for i, tr in enumerate(trials)]  # small trials of this test's own
     obj, best = random_search(df, ["f_lag", "f_sin"], ["y"], trials, window=120, horizon=24, step=60,
-                              workers=2, max_iter_cap=3)
+                              workers=2)
     o = {(r["series_id"], r["trial_id"]): r["objective"] for r in obj.collect()}
     for r in best.collect():
         cand = {k[1]: v for k, v in o.items() if k[0] == r["series_id"]}
