@@ -52,15 +52,17 @@ def two_pi_over(period: float) -> Column:
     return F.lit(2.0 * math.pi / period)
 
 
-ROUND_BIAS = 3.7e-10
-
-
 def round_doubles(df, digits: int = 6):
     """Round every double column (used at the comparison boundary only).
 
-    A tiny fixed bias moves the rounding boundary off exact decimal ties, so
-    two engines whose sums differ in the last bit still agree."""
+    The value goes through an exact decimal of 11 places: decimal ties, common
+    in this data, then round half up however the last bit of a sum fell. NaN,
+    infinities and values beyond the decimal's range stay as they are."""
     from pyspark.sql import types as T
-    rep = {f.name: F.round(F.col(f.name) + F.lit(ROUND_BIAS), digits) for f in df.schema.fields
-           if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+
+    def rounded(c):
+        fits = F.abs(c) < 1e26
+        return F.when(fits, F.round(F.when(fits, c).cast("decimal(38,11)"), digits).cast("double")).otherwise(c)
+
+    rep = {f.name: rounded(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.withColumns(rep) if rep else df

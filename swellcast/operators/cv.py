@@ -64,16 +64,17 @@ def expanding_blocks(df: DataFrame, cols: list[str], strategies: dict[str, str],
         .agg(_level(F.col("_strategy")).alias("level"))
 
 
-def key_mismatch(expected: DataFrame, got: DataFrame, keys: list[str], key: str = KEY) -> DataFrame:
-    """Per series, rows expected but missing and rows produced but not
+def key_mismatch(expected: DataFrame, got: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """Per series (or ``by``), rows expected but missing and rows produced but not
     expected (``left_anti`` both ways). Both counts must be 0."""
-    missing = expected.select(*keys).join(got.select(*keys), keys, "left_anti").groupBy(key).count() \
+    by = by or [KEY]
+    missing = expected.select(*keys).join(got.select(*keys), keys, "left_anti").groupBy(*by).count() \
         .withColumnRenamed("count", "n_missing")
-    extra = got.select(*keys).join(expected.select(*keys), keys, "left_anti").groupBy(key).count() \
+    extra = got.select(*keys).join(expected.select(*keys), keys, "left_anti").groupBy(*by).count() \
         .withColumnRenamed("count", "n_extra")
-    n = expected.groupBy(key).count().withColumnRenamed("count", "n_expected")
-    return n.join(missing, key, "left").join(extra, key, "left").select(
-        key, "n_expected", F.coalesce("n_missing", F.lit(0).cast("long")).alias("n_missing"),
+    n = expected.groupBy(*by).count().withColumnRenamed("count", "n_expected")
+    return n.join(missing, by, "left").join(extra, by, "left").select(
+        *by, "n_expected", F.coalesce("n_missing", F.lit(0).cast("long")).alias("n_missing"),
         F.coalesce("n_extra", F.lit(0).cast("long")).alias("n_extra"))
 
 
@@ -87,7 +88,7 @@ def naive_grid_cv(df: DataFrame, cols: list[str], trials: list[dict[str, str]],
     tt = spark.createDataFrame([(i, c, s) for i, t in enumerate(trials) for c, s in t.items()],
                                "trial_id int, col string, _strategy string")
     member = sliding_folds(df.select(key, idx, *cols), window, horizon, step, key, idx)
-    long = to_long(member, cols, [key, idx, "fold_id", "role", "step"]).join(F.broadcast(tt), "col")
+    long = to_long(member, cols, [key, idx, "fold_id", "role", "step"]).join(tt, "col")
     levels = long.where(F.col("role") == "train").groupBy(key, "trial_id", "fold_id", "col") \
         .agg(_level(F.col("_strategy")).alias("yhat"))
     test = long.where(F.col("role") == "test").select(key, "trial_id", "fold_id", "col", idx,

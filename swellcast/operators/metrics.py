@@ -3,7 +3,9 @@ folds (A5, A8, A9) and trials (A10).
 
 A scorer is a per-column aggregate over ``pe = (y - yhat) / max(|y|, eps)``;
 multi-column scores are the plain mean over columns (uniform average).
-Pairs with a NULL truth are left out.
+Pairs with a NULL truth are left out and counted (``n_null_truth`` beside
+``n_scored``); a NULL prediction where there is a truth is an error, so no
+model gains by skipping hard rows.
 """
 
 from __future__ import annotations
@@ -27,26 +29,30 @@ SCORERS: dict[str, tuple[str, Callable[[Column], Column], Callable[[Column], Col
 
 
 def score(pairs: DataFrame, groups: list[str], scorers: list[str], y: str = "y",
-          yhat: str = "yhat", eps: float = EPS, per_column: bool = False) -> DataFrame:
+          yhat: str = "yhat", eps: float = EPS, per_column: bool = False, counts: bool = False) -> DataFrame:
     """Scores per ``groups`` (+ ``col`` when ``per_column``) in long form
     ``(*groups, [col,] metric, value)``. The column mean is taken after the
-    per-column root (A3)."""
-    p = pairs.where(F.col(y).isNotNull() & F.col(yhat).isNotNull()) \
-        .withColumn("_pe", pct_error(y, yhat, eps))
+    per-column root (A3). ``counts`` adds ``n_scored`` and ``n_null_truth``."""
+    missing = F.col(y).isNotNull() & F.col(yhat).isNull()
+    pe = F.when(missing, F.raise_error(F.lit("a truth has no prediction"))).otherwise(pct_error(y, yhat, eps))
+    p = pairs.withColumn("_pe", F.when(F.col(y).isNotNull(), pe))
     aggs, names = [], []
     for i, s in enumerate(scorers):
         name, agg, post = SCORERS[s]
         e = agg(F.col("_pe"))
         aggs.append((post(e) if post else e).alias(f"_s{i}"))
         names.append(name)
-    per_col = p.groupBy(*groups, "col").agg(*aggs)
+    n = [F.count("_pe").alias("n_scored"), (F.count(F.lit(1)) - F.count("_pe")).alias("n_null_truth")]
+    per_col = p.groupBy(*groups, "col").agg(*aggs, *n)
     if per_column:
         base, keys = per_col, [*groups, "col"]
     else:
-        base = per_col.groupBy(*groups).agg(*[F.avg(f"_s{i}").alias(f"_s{i}") for i in range(len(scorers))])
+        base = per_col.groupBy(*groups).agg(*[F.avg(f"_s{i}").alias(f"_s{i}") for i in range(len(scorers))],
+                                            F.sum("n_scored").alias("n_scored"), F.sum("n_null_truth").alias("n_null_truth"))
         keys = list(groups)
     stack = ", ".join(f"'{n}', _s{i}" for i, n in enumerate(names))
-    return base.select(*keys, F.expr(f"stack({len(names)}, {stack}) as (metric, value)"))
+    out = base.select(*keys, F.expr(f"stack({len(names)}, {stack}) as (metric, value)"), "n_scored", "n_null_truth")
+    return out if counts else out.drop("n_scored", "n_null_truth")
 
 
 def block_scores(pairs: DataFrame, scorers: list[str], key: str = KEY) -> DataFrame:

@@ -23,13 +23,10 @@ def to_long(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
 def fit_scaler(df: DataFrame, cols: list[str], key: str = KEY) -> DataFrame:
     """Fit: population mean and std per series and column (sklearn's
     StandardScaler divides by the n std); std 0 or undefined -> 1."""
-    long = to_long(df, cols, [key])
-    return long.groupBy(key, "col").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("_sd"),
-    ).select(key, "col", "mean",
-             F.when(F.col("_sd").isNull() | (F.col("_sd") == 0.0), F.lit(1.0))
-             .otherwise(F.col("_sd")).alias("std"))
+    wide = df.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
+    parts = ", ".join(f"'{c}', `_m_{c}`, `_s_{c}`" for c in cols)  # only the one state row a series is unpivoted
+    return wide.select(key, F.expr(f"stack({len(cols)}, {parts}) as (col, mean, _sd)")).select(
+        key, "col", "mean", F.when(F.col("_sd").isNull() | (F.col("_sd") == 0.0), F.lit(1.0)).otherwise(F.col("_sd")).alias("std"))
 
 
 def _wide_state(state: DataFrame, cols: list[str], key: str) -> DataFrame:

@@ -11,12 +11,12 @@ from .windows import bounded
 KEY, IDX = "series_id", "idx"
 
 
-def centred_trend(df: DataFrame, c: str, period: int, out: str = "_trend", **kw) -> DataFrame:
+def centred_trend(df: DataFrame, cols: list[str], period: int, prefix: str = "_trend_", **kw) -> DataFrame:
     """Centred moving average of one period (2 x p for even p, weights
     1/2p at both ends), NULL where the full window is not available."""
     h = period // 2
 
-    def build(w: Window) -> dict[str, Column]:
+    def trend(c: str, w: Window) -> Column:
         if period % 2 == 0:
             inner = w.rowsBetween(-(h - 1), h - 1)
             lo, hi = F.lag(c, h).over(w), F.lead(c, h).over(w)
@@ -26,8 +26,9 @@ def centred_trend(df: DataFrame, c: str, period: int, out: str = "_trend", **kw)
             frame = w.rowsBetween(-h, h)
             full = F.count(F.col(c)).over(frame) == period
             val = F.avg(c).over(frame)
-        return {out: F.when(full, val)}
-    return bounded(df, build, back=h, ahead=h, **kw)
+        return F.when(full, val)
+
+    return bounded(df, lambda w: {prefix + c: trend(c, w) for c in cols}, back=h, ahead=h, **kw)
 
 
 def deseasonalize(df: DataFrame, cols: list[str], period: int, key: str = KEY, idx: str = IDX,
@@ -37,13 +38,12 @@ def deseasonalize(df: DataFrame, cols: list[str], period: int, key: str = KEY, i
     (y - trend), centred to sum zero; output y - seasonal[phase]. Returns
     the input columns adjusted; the phase table is one row per series and phase."""
     out = df.withColumn("_ph", F.pmod(F.col(idx), F.lit(period)))
-    for c in cols:
-        t = centred_trend(out.select(key, idx, "_ph", c), c, period, key=key, idx=idx, chunk=chunk)
-        ph = t.groupBy(key, "_ph").agg(F.avg(F.col(c) - F.col("_trend")).alias("_raw"))
-        ph = ph.withColumn("_s", F.col("_raw") - F.avg("_raw").over(Window.partitionBy(key)))
-        out = out.join(ph.select(key, "_ph", F.col("_s").alias(f"_s_{c}")), [key, "_ph"], "left") \
-            .withColumn(c, F.col(c) - F.col(f"_s_{c}")).drop(f"_s_{c}")
-    return out.drop("_ph")
+    t = centred_trend(out.select(key, idx, "_ph", *cols), cols, period, key=key, idx=idx, chunk=chunk)
+    ph = t.groupBy(key, "_ph").agg(*[F.avg(F.col(c) - F.col(f"_trend_{c}")).alias(f"_raw_{c}") for c in cols])
+    every = Window.partitionBy(key)
+    ph = ph.select(key, "_ph", *[(F.col(f"_raw_{c}") - F.avg(f"_raw_{c}").over(every)).alias(f"_s_{c}") for c in cols])
+    out = out.join(ph, [key, "_ph"], "left").withColumns({c: F.col(c) - F.col(f"_s_{c}") for c in cols})
+    return out.drop("_ph", *[f"_s_{c}" for c in cols])
 
 
 def head(df: DataFrame, n: int, key: str = KEY, order: str = "ts") -> DataFrame:

@@ -188,21 +188,24 @@ def bfill(df: DataFrame, cols: list[str], key: str = KEY, idx: str = IDX,
     return _carry_fill(df, cols, False, key, idx, chunk)
 
 
-def running_sum(df: DataFrame, c: str, out: str, keys: list[str], idx: str = IDX,
+def running_sum(df: DataFrame, outs: dict[str, str], keys: list[str], idx: str = IDX,
                 chunk: int = CHUNK) -> DataFrame:
-    """Cumulative sum of ``c`` ordered by ``idx`` within ``keys`` (chunk + carry).
+    """Cumulative sums (column -> output name) ordered by ``idx`` within
+    ``keys`` (chunk + carry), all columns in one pass and one join.
 
     ``keys`` may include a derived partition (e.g. a phase) whose rows are
     spaced out in ``idx``; chunks are taken on ``idx`` all the same.
     """
     x = df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk)))
     w = Window.partitionBy(*keys, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(w))
-    tot = x.groupBy(*keys, "_chunk").agg(F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias("_t"))
+    value = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in outs}
+    tot = x.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(f"_t_{c}") for c, v in value.items()])
+    x = x.withColumns({f"_in_{c}": F.sum(v).over(w) for c, v in value.items()})
     wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(wc), F.lit(0.0)).alias("_cy"))
+    tot = tot.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{c}").over(wc), F.lit(0.0)).alias(f"_cy_{c}") for c in outs])
     x = x.join(tot, [*keys, "_chunk"], "left")
-    return x.withColumn(out, F.col("_in") + F.col("_cy")).drop("_chunk", "_in", "_cy")
+    return x.withColumns({out: F.col(f"_in_{c}") + F.col(f"_cy_{c}") for c, out in outs.items()}) \
+        .drop("_chunk", *[f"_in_{c}" for c in outs], *[f"_cy_{c}" for c in outs])
 
 
 # ------------------------------------------------------------ differencing
@@ -236,8 +239,7 @@ def inverse_seasonal_diff(diffs: DataFrame, seeds: DataFrame, cols: list[str], l
     seed_long = seeds.select(key, F.pmod(F.col(idx), F.lit(lag)).alias("_ph"),
                              *[F.col(c).alias(f"_seed_{c}") for c in cols])
     x = diffs.withColumn("_ph", F.pmod(F.col(idx), F.lit(lag)))
-    for c in cols:
-        x = running_sum(x, c, f"_cs_{c}", [key, "_ph"], idx, chunk)
+    x = running_sum(x, {c: f"_cs_{c}" for c in cols}, [key, "_ph"], idx, chunk)
     x = x.join(seed_long, [key, "_ph"], "left")
     x = x.withColumns({c: F.col(f"_seed_{c}") + F.col(f"_cs_{c}") for c in cols})
     return x.drop("_ph", *[f"_cs_{c}" for c in cols], *[f"_seed_{c}" for c in cols])

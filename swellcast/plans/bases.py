@@ -1,42 +1,46 @@
-"""Shared derived inputs for the registered queries (Spark side)."""
+"""Shared derived inputs for the registered queries: lazy frames, so that a
+query's filters and columns reach the scan."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..config import CHUNK, CLEAN_COLUMNS, TARGETS
+from ..config import CHUNK, CLEAN_COLUMNS, HORIZON, TARGETS
+from ..operators.blocks import train_test_split
 from ..operators.clean import preprocess
 from ..operators.grid import hourly_mean
 from ..operators.windows import ffill
-from ..session import shared
 from . import views
 
 
 def met_hourly(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     """P19 grid: ``(series_id, ts, idx, WSPD ... MWD_cos)``."""
-    return shared(spark, "met_hourly", lambda: preprocess(views.met(spark, sf_dir), chunk=chunk), sf_dir, chunk)
+    return preprocess(views.met(spark, sf_dir), chunk=chunk)
 
 
 def met_filled(spark: SparkSession, sf_dir: str, cols: list[str] | None = None,
                chunk: int = CHUNK) -> DataFrame:
     """``hourly_filled``: P19 grid, W7 forward fill (+ leading back-fill)."""
     cols = cols or CLEAN_COLUMNS
-
-    def build():
-        g = met_hourly(spark, sf_dir, chunk).select("series_id", "ts", "idx", *cols)
-        return ffill(g, cols, chunk=chunk)
-    return shared(spark, "met_filled", build, sf_dir, tuple(cols), chunk)
+    g = met_hourly(spark, sf_dir, chunk).select("series_id", "ts", "idx", *cols)
+    return ffill(g, cols, chunk=chunk)
 
 
 def targets_filled(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     return met_filled(spark, sf_dir, TARGETS, chunk)
 
 
+def targets_train(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
+    """The filled targets before the hold-out (T1): all that cross-validation
+    may see. Filling runs forward, so it takes nothing from the hold-out."""
+    f = train_test_split(targets_filled(spark, sf_dir, chunk), 3 * HORIZON)
+    return f.where(~F.col("is_test")).drop("n_rows", "test_start", "is_test")
+
+
 def obs_hourly(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
-    return shared(spark, "obs_hourly", lambda: hourly_mean(views.obs(spark, sf_dir), ["value"], chunk=chunk),
-                  sf_dir, chunk)
+    return hourly_mean(views.obs(spark, sf_dir), ["value"], chunk=chunk)
 
 
 def obs_filled(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
-    return shared(spark, "obs_filled", lambda: ffill(obs_hourly(spark, sf_dir, chunk), ["value"], chunk=chunk),
-                  sf_dir, chunk)
+    return ffill(obs_hourly(spark, sf_dir, chunk), ["value"], chunk=chunk)

@@ -34,13 +34,12 @@ def prepared(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
 
 def fit_base(hourly: DataFrame, targets: list[str], test_size: int, horizon: int = HORIZON,
              chunk: int = CHUNK):
-    """Split, fill and scale the train rows once. Returns ``(split, state,
-    scaled_long)``; ``split`` and the filled train are materialised (they
-    feed the fit, the truth and the block tables)."""
+    """Split, fill and scale the train rows. Returns ``(split, state,
+    scaled_long)``, all lazy."""
     y = hourly.select(KEY, "idx", *targets)
-    split = materialize(assign_blocks(train_test_split(y, test_size), horizon))
+    split = assign_blocks(train_test_split(y, test_size), horizon)
     train = split.where(~F.col("is_test")).select(KEY, "idx", *targets)
-    filled = materialize(ffill(train, targets, chunk=chunk))
+    filled = ffill(train, targets, chunk=chunk)
     state = fit_scaler(filled, targets)
     scaled = apply_scaler(filled, state, targets)
     return split, state, to_long(scaled, targets, [KEY, "idx"])
@@ -110,7 +109,7 @@ def arima_benchmark(hourly: DataFrame, targets: list[str] | None = None, horizon
     fc = forecast(coef, test_size)                                   # differenced, scaled
     # un-difference: level = last known level of the same phase + running sum of forecasts
     fc = fc.withColumn("_ph", F.pmod(F.col("idx"), F.lit(diff_lag)))
-    fc = running_sum(fc, "yhat", "_cs", [KEY, "col", "_ph"], "idx", chunk)
+    fc = running_sum(fc, {"yhat": "_cs"}, [KEY, "col", "_ph"], "idx", chunk)
     last = scaled.groupBy(KEY).agg(F.max("idx").alias("_T"))
     seeds = to_long(scaled.join(last, KEY).where(F.col("idx") > F.col("_T") - diff_lag), targets, [KEY, "idx"]) \
         .select(KEY, "col", F.pmod(F.col("idx"), F.lit(diff_lag)).alias("_ph"), F.col("value").alias("_seed"))
@@ -126,8 +125,7 @@ def arima_benchmark(hourly: DataFrame, targets: list[str] | None = None, horizon
 def recursive_gbt_benchmark(hourly: DataFrame, targets: list[str] | None = None, exog: list[str] | None = None,
                             horizon: int = HORIZON, n_blocks: int = 3, diff_lag: int = 24,
                             scorers: tuple[str, ...] = ("rmspe", "mape"), chunk: int = CHUNK,
-                            max_iter: int = 20, max_depth: int = 5, step_size: float = 0.1,
-                            checkpoint_every: int = 12) -> DataFrame:
+                            max_iter: int = 20, max_depth: int = 5, step_size: float = 0.1) -> DataFrame:
     """The benchmark's boosted-tree run (M8 recursive reduction with exogenous
     features, M7 transform set). Targets: fill + scale fitted on train, lag-24
     difference, target-lag summary. Exogenous: fill, scale, calendar +
@@ -179,7 +177,7 @@ def recursive_gbt_benchmark(hourly: DataFrame, targets: list[str] | None = None,
                                           TARGET_LAGS, LAGGED_MEANS, names))
     # un-difference from the train end, then unscale
     ph = F.pmod(F.col("r"), F.lit(diff_lag))
-    cs = running_sum(preds.withColumn("_ph", ph), "yhat", "_cs", [KEY, "col", "_ph"], "r", chunk)
+    cs = running_sum(preds.withColumn("_ph", ph), {"yhat": "_cs"}, [KEY, "col", "_ph"], "r", chunk)
     seeds = to_long(scaled, targets, [KEY, "idx"]).join(t0, KEY).withColumn("r", r) \
         .where(F.col("r") > -diff_lag).select(KEY, "col", ph.alias("_ph"), F.col("value").alias("_seed"))
     lv = cs.join(seeds, [KEY, "col", "_ph"], "inner").join(t0, KEY) \

@@ -12,14 +12,12 @@ from ..config import ANGLE_COLUMNS, CLEAN_COLUMNS, SENTINELS
 from .views import DAILY_SQL, MET_SQL, OBS_SQL
 
 R = 6  # rounding digits at the comparison boundary
-# Bias added before rounding, on both sides: exact decimal ties (x.xxxxxx5)
-# are common in this data and would otherwise round apart when the two
-# engines' sums differ in the last bit.
-BIAS = 3.7e-10
 
 
 def rnd(expr: str, alias: str) -> str:
-    return f"ROUND(({expr}) + {BIAS}, {R}) AS {alias}"
+    """Round as the Spark side does: through an exact decimal, so that decimal
+    ties (x.xxxxxx5, common in this data) fall the same way in both engines."""
+    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38, 11)), {R}) AS DOUBLE) AS {alias}"
 
 
 # ------------------------------------------------------------------ grids

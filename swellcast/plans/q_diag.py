@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CLEAN_COLUMNS, Z_975
@@ -18,15 +21,10 @@ PK = "PARTITION BY series_id, col ORDER BY idx"
 
 def scaled_long(spark, sf):
     """Every cleaned column, filled and z-scored over the whole series, in
-    long form ``(series_id, col, idx, value)`` (materialised: it feeds all
-    diagnostics)."""
-    from ..session import shared
-
-    def build():
-        f = bases.met_filled(spark, sf)
-        st = fit_scaler(f, CLEAN_COLUMNS)
-        return to_long(apply_scaler(f, st, CLEAN_COLUMNS), CLEAN_COLUMNS, ["series_id", "idx"])
-    return shared(spark, "scaled_long", build, sf)
+    long form ``(series_id, col, idx, value)``."""
+    f = bases.met_filled(spark, sf)
+    st = fit_scaler(f, CLEAN_COLUMNS)
+    return to_long(apply_scaler(f, st, CLEAN_COLUMNS), CLEAN_COLUMNS, ["series_id", "idx"])
 
 
 def _long_sql() -> str:
@@ -102,11 +100,15 @@ def d9_bartlett_band(spark, sf):
                     .alias("bartlett_se"), "band")
 
 
-@register("d10_seasonality", _acf_sql() + f""",
+def _seasonal_ctes() -> str:
+    return _acf_sql() + f""",
 sa AS (SELECT *, CASE WHEN r IS NOT NULL THEN {_CANDS} END AS cands,
        list_avg(list_slice(r, 2, {MAX_LAG + 1})) + {Z_975} * list_var_pop(list_slice(r, 2, {MAX_LAG + 1})) AS band FROM acf),
 sb AS (SELECT *, list_filter(cands, lambda c: r[c + 1] > (CASE WHEN c - 1 = 1 THEN sqrt(1.0 / n) ELSE sqrt((1 + 2 * coalesce(list_sum(
-       list_transform(list_slice(list_slice(r, 2, {MAX_LAG + 1}), 1, c - 2), lambda x: x * x)), 0)) / n) END) * band) AS ok FROM sa)
+       list_transform(list_slice(list_slice(r, 2, {MAX_LAG + 1}), 1, c - 2), lambda x: x * x)), 0)) / n) END) * band) AS ok FROM sa)"""
+
+
+@register("d10_seasonality", _seasonal_ctes() + """
 SELECT series_id, col, n, is_constant,
   CASE WHEN is_constant OR len(cands) = 0 THEN false ELSE list_min(ok) IS NOT NULL END AS seasonal,
   CAST(CASE WHEN is_constant OR len(cands) = 0 THEN 0 ELSE coalesce(list_min(ok), 0) END AS BIGINT) AS seasonal_period,
@@ -119,6 +121,25 @@ def d10_seasonality(spark, sf):
     return D.seasonality(D.acf(scaled_long(spark, sf), MAX_LAG))
 
 
+USER_PERIODS = (24, 17, 2)
+
+_USER_SQL = " UNION ALL ".join(f"""
+SELECT series_id, col, CAST({p} AS BIGINT) AS asked, n, is_constant,
+  CASE WHEN is_constant OR len(cands) = 0 OR NOT list_contains(cands, {p}) THEN false ELSE list_contains(ok, {p}) END AS seasonal,
+  CAST(CASE WHEN is_constant OR len(cands) = 0 THEN 0 WHEN NOT list_contains(cands, {p}) THEN {p}
+       WHEN list_contains(ok, {p}) THEN {p} ELSE 0 END AS BIGINT) AS seasonal_period FROM sb""" for p in USER_PERIODS)
+
+
+@register("d10_user_period", _seasonal_ctes() + _USER_SQL)
+def d10_user_period(spark, sf):
+    """Seasonality check of periods that the user asks for, members and
+    non-members of the candidates (J10)."""
+    a = D.acf(scaled_long(spark, sf), MAX_LAG)
+    parts = [D.seasonality(a, p).select("series_id", "col", F.lit(p).cast("long").alias("asked"), "n", "is_constant",
+                                        "seasonal", "seasonal_period") for p in USER_PERIODS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("d5_white_test", _long_sql() + f""",
 p1 AS (SELECT series_id, col, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a, count(value) AS n,
        avg(idx) AS tm FROM z GROUP BY 1, 2),
@@ -153,9 +174,7 @@ def d1_adf(spark, sf):
 def filled_long(spark, sf):
     """Every cleaned column, filled, long form (trend tests are invariant to
     the positive scaling the reference applies first)."""
-    from ..session import shared
-    return shared(spark, "filled_long",
-                  lambda: to_long(bases.met_filled(spark, sf), CLEAN_COLUMNS, ["series_id", "idx"]), sf)
+    return to_long(bases.met_filled(spark, sf), CLEAN_COLUMNS, ["series_id", "idx"])
 
 
 def _filled_long_sql() -> str:
@@ -248,11 +267,10 @@ def m19_poly_detrend(spark, sf):
 
 @register("m5_model_impute")
 def m5_model_impute(spark, sf):
-    """Model-based imputation of MWD_sin (the column the reference imputes
-    with AutoARIMA): d by ADF, ARMA(p<=3, q<=3) by AIC, gaps filled with
+    """Model-based imputation of the wave direction's sine and cosine: d by ADF, ARMA(p<=3, q<=3) by AIC, gaps filled with
     one-step predictions. Returns the imputed points only."""
     from ..operators.impute import impute_arma
-    cols = ["MWD_sin"]
+    cols = ["MWD_sin", "MWD_cos"]
     raw = to_long(bases.met_hourly(spark, sf).select("series_id", "idx", *cols), cols, ["series_id", "idx"])
     filled = to_long(bases.met_filled(spark, sf).select("series_id", "idx", *cols), cols, ["series_id", "idx"])
     out = impute_arma(raw, filled)

@@ -3,11 +3,14 @@ forecasts, block and fold scoring, CV, grid search, model store."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import HORIZON, TARGETS
 from ..operators import cv
-from ..operators.blocks import assign_blocks, train_test_split
+from ..operators.blocks import assign_blocks, series_length, train_test_split
 from ..operators.metrics import best_fold, cv_summary, fold_scores, score
 from ..operators.scaling import to_long
 from ..session import materialize
@@ -79,15 +82,15 @@ _PE = "(y - yhat) / greatest(abs(y), 2.220446049250313e-16)"
 
 @register("a2_a4_percentage_errors", _naive_sql(ENSEMBLE) + f""",
 s AS (SELECT series_id, col, avg(({_PE}) * ({_PE})) AS mspe, sqrt(avg(({_PE}) * ({_PE}))) AS rmspe,
-      avg(abs({_PE})) AS mape FROM pred WHERE y IS NOT NULL GROUP BY 1, 2)
-SELECT series_id, col, 'mspe' AS metric, {rnd('mspe', 'value')} FROM s UNION ALL
-SELECT series_id, col, 'rmspe', {rnd('rmspe', 'value')} FROM s UNION ALL
-SELECT series_id, col, 'mape', {rnd('mape', 'value')} FROM s""")
+      avg(abs({_PE})) AS mape, count(y) AS n_scored, count(*) - count(y) AS n_null_truth FROM pred GROUP BY 1, 2)
+SELECT series_id, col, 'mspe' AS metric, {rnd('mspe', 'value')}, n_scored, n_null_truth FROM s UNION ALL
+SELECT series_id, col, 'rmspe', {rnd('rmspe', 'value')}, n_scored, n_null_truth FROM s UNION ALL
+SELECT series_id, col, 'mape', {rnd('mape', 'value')}, n_scored, n_null_truth FROM s""")
 def a2_a4_percentage_errors(spark, sf):
     """MSPE, RMSPE, MAPE per series and target over all 216 test hours."""
     split, state, model = benchmark.fit_naive(benchmark.prepared(spark, sf), ENSEMBLE, TEST_SIZE)
     pairs = benchmark.forecast_rows(split, state, model, TARGETS, only_blocks=False)
-    parts = [score(pairs, ["series_id"], [m], per_column=True).withColumn("metric", F.lit(m)) for m in
+    parts = [score(pairs, ["series_id"], [m], per_column=True, counts=True).withColumn("metric", F.lit(m)) for m in
              ("mspe", "rmspe", "mape")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -113,11 +116,12 @@ def _cv_sql() -> str:
     te = " UNION ALL ".join(f"SELECT series_id, fold_id, '{c}' AS col, idx, step, {c} AS y FROM te" for c in TARGETS)
     return _filled() + f""",
 n AS (SELECT series_id, max(idx) + 1 AS n_rows FROM filled GROUP BY 1),
-k AS (SELECT series_id, CAST(floor((n_rows - {FOLD_H + FOLD_W}) / {FOLD_S}) + 1 AS BIGINT) AS nk FROM n),
+seen AS (SELECT filled.* FROM filled JOIN n USING (series_id) WHERE idx < n_rows - {TEST_SIZE}),
+k AS (SELECT series_id, CAST(floor((n_rows - {TEST_SIZE + FOLD_H + FOLD_W}) / {FOLD_S}) + 1 AS BIGINT) AS nk FROM n),
 f AS (SELECT series_id, range AS fold_id FROM k, range(0, nk)),
-tr AS (SELECT h.*, f.fold_id FROM filled h JOIN f ON h.series_id = f.series_id
+tr AS (SELECT h.*, f.fold_id FROM seen h JOIN f ON h.series_id = f.series_id
        AND h.idx >= f.fold_id * {FOLD_S} AND h.idx < f.fold_id * {FOLD_S} + {FOLD_W}),
-te AS (SELECT h.*, f.fold_id, h.idx - (f.fold_id * {FOLD_S} + {FOLD_W}) + 1 AS step FROM filled h JOIN f
+te AS (SELECT h.*, f.fold_id, h.idx - (f.fold_id * {FOLD_S} + {FOLD_W}) + 1 AS step FROM seen h JOIN f
        ON h.series_id = f.series_id AND h.idx >= f.fold_id * {FOLD_S} + {FOLD_W}
        AND h.idx < f.fold_id * {FOLD_S} + {FOLD_W + FOLD_H}),
 lv AS ({lv}),
@@ -130,16 +134,11 @@ fsl AS (SELECT series_id, fold_id, col, 'test_MeanSquaredPercentageError' AS met
 
 
 def cv_scores(spark, sf):
-    """Fold scores of the naive ensemble over the sliding folds (materialised:
-    feeds the summary, the best-fold pick and the hold-out run)."""
-    from ..session import shared
-
-    def build():
-        f = bases.targets_filled(spark, sf)
-        pairs = cv.naive_cv(f, TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
-        fs = fold_scores(pairs, ["mspe", "mape"])
-        return fs.withColumn("metric", F.concat(F.lit("test_"), F.col("metric")))
-    return shared(spark, "cv_scores", build, sf)
+    """Fold scores of the naive ensemble over sliding folds of the train rows:
+    the hold-out is split off before (T1), so no fold sees it."""
+    pairs = cv.naive_cv(bases.targets_train(spark, sf), TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
+    fs = fold_scores(pairs, ["mspe", "mape"])
+    return fs.withColumn("metric", F.concat(F.lit("test_"), F.col("metric")))
 
 
 @register("m10_cv_naive", _cv_sql() + f"\nSELECT series_id, fold_id, col, metric, {rnd('value', 'value')} FROM fsl")
@@ -167,12 +166,11 @@ def a8_best_fold(spark, sf):
 
 
 @register("j8_chosen_fold", _cv_sql() + f"""
-SELECT series_id, col, idx, step, {rnd('y', 'y')}, {rnd('yhat', 'yhat')} FROM pairs WHERE fold_id = 2""")
+SELECT series_id, col, idx, step, {rnd('y', 'y')}, {rnd('yhat', 'yhat')} FROM pairs WHERE fold_id = 1""")
 def j8_chosen_fold(spark, sf):
-    """Predictions and truth of fold 2, on the original scale."""
-    f = bases.targets_filled(spark, sf)
-    pairs = cv.naive_cv(f, TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
-    return pairs.where(F.col("fold_id") == 2).select("series_id", "col", "idx", "step", "y", "yhat")
+    """Predictions and truth of fold 1, on the original scale."""
+    pairs = cv.naive_cv(bases.targets_train(spark, sf), TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
+    return pairs.where(F.col("fold_id") == 1).select("series_id", "col", "idx", "step", "y", "yhat")
 
 
 def _holdout_sql() -> str:
@@ -188,23 +186,33 @@ def _holdout_sql() -> str:
     return _cv_sql() + _BEST_SQL + f""",
 lvb AS ({lvb}),
 ho AS ({ho}),
-hp AS (SELECT ho.*, lvb.yhat FROM ho JOIN lvb USING (series_id, col))"""
+path AS (SELECT b.series_id, lvb.col, unnest(range(b.best_fold * {FOLD_S} + {FOLD_W}, n.n_rows)) AS idx, lvb.yhat
+         FROM best b JOIN n USING (series_id) JOIN lvb USING (series_id)),
+hp AS (SELECT ho.*, path.yhat FROM ho LEFT JOIN path USING (series_id, col, idx))"""
 
 
-def holdout_pairs(spark, sf):
-    """M13 + M17: the best fold's model predicts every hour from its cutoff
-    + 1 to the last hold-out hour (flat for naive); only hold-out rows are
-    kept; truth is the raw hourly value."""
-    f = bases.targets_filled(spark, sf)
+def best_fold_path(spark, sf):
+    """The best fold's model forecasts every hour from its cutoff + 1
+    through the gap to the last hold-out hour: ``(series_id, col, idx, yhat)``.
+    Folds and fits see train rows only."""
+    f = bases.targets_train(spark, sf)
     b = best_fold(cv_scores(spark, sf), "test_MeanSquaredPercentageError")
     member = cv.sliding_folds(f, FOLD_W, FOLD_H, FOLD_S).where(F.col("role") == "train") \
         .join(b.select("series_id", F.col("best_fold").alias("fold_id")), ["series_id", "fold_id"], "left_semi")
     long = to_long(member, TARGETS, ["series_id", "idx"]).withColumn("_strategy", cv._strategy_col(ENSEMBLE))
-    model = long.groupBy("series_id", "col").agg(cv._level(F.col("_strategy")).alias("yhat"))
+    model = long.groupBy("series_id", "col").agg(cv._level(F.col("_strategy")).alias("yhat"), F.max("idx").alias("cutoff"))
+    n = series_length(bases.met_hourly(spark, sf).select("series_id", "idx"))
+    return model.join(n, "series_id").select(
+        "series_id", "col", F.explode(F.sequence(F.col("cutoff") + 1, F.col("n_rows") - 1)).alias("idx"), "yhat")
+
+
+def holdout_pairs(spark, sf):
+    """The forecast path reindexed to the hold-out hours; truth is the raw
+    hourly value."""
     h = bases.met_hourly(spark, sf).select("series_id", "idx", *TARGETS)
     ho = train_test_split(h, TEST_SIZE).where(F.col("is_test"))
     truth = to_long(ho, TARGETS, ["series_id", "idx"]).withColumnRenamed("value", "y")
-    return truth.join(model, ["series_id", "col"], "inner")
+    return truth.join(best_fold_path(spark, sf), ["series_id", "col", "idx"], "left")
 
 
 @register("m13_forecast_gap", _holdout_sql() + f"\nSELECT series_id, col, idx, {rnd('yhat', 'yhat')} FROM hp")
@@ -224,16 +232,32 @@ def m17_best_fold_holdout(spark, sf):
     return score(holdout_pairs(spark, sf), ["series_id"], ["mspe", "mape"])
 
 
-@register("j2_key_check", _holdout_sql() + """,
-exp AS (SELECT h.series_id, count(*) AS n_expected FROM hourly h JOIN n USING (series_id)
-        WHERE h.idx >= n.n_rows - 216 GROUP BY 1)
-SELECT series_id, n_expected, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM exp""")
+_CASES = {"whole": "true", "last hour missing": "idx < n_rows - 1", "from the cutoff": None}
+
+
+def _key_case(name, keep):
+    got = "SELECT DISTINCT path.series_id, path.idx, n.n_rows FROM path JOIN n USING (series_id) WHERE col = 'WVHT'" + (
+        f" AND idx >= n_rows - {TEST_SIZE} AND {keep}" if keep else "")
+    return f"""SELECT e.series_id, '{name}' AS "case", count(*) AS n_expected, count(*) FILTER (WHERE g.idx IS NULL) AS n_missing,
+  (SELECT count(*) FROM ({got}) x WHERE x.series_id = e.series_id AND x.idx < x.n_rows - {TEST_SIZE}) AS n_extra
+FROM exp e LEFT JOIN ({got}) g ON g.series_id = e.series_id AND g.idx = e.idx GROUP BY e.series_id"""
+
+
+@register("j2_key_check", _holdout_sql() + f""",
+exp AS (SELECT h.series_id, h.idx FROM hourly h JOIN n USING (series_id) WHERE h.idx >= n.n_rows - {TEST_SIZE})
+""" + " UNION ALL ".join(_key_case(*c) for c in _CASES.items()))
 def j2_key_check(spark, sf):
-    """Forecast keys must equal the hold-out keys exactly (both anti joins empty)."""
+    """Forecast keys against the hold-out keys, the former built from the fold's
+    cutoff: the hold-out part of the path, the same without its last hour, and
+    the whole path with the hours of the gap."""
     h = bases.met_hourly(spark, sf).select("series_id", "idx")
-    expected = train_test_split(h, TEST_SIZE).where(F.col("is_test")).select("series_id", "idx")
-    got = holdout_pairs(spark, sf).where(F.col("col") == TARGETS[0]).select("series_id", "idx")
-    return cv.key_mismatch(expected, got, ["series_id", "idx"])
+    split = train_test_split(h, TEST_SIZE)
+    expected = split.where(F.col("is_test")).select("series_id", "idx")
+    path = best_fold_path(spark, sf).where(F.col("col") == TARGETS[0]).join(series_length(h), "series_id")
+    inside, last = F.col("idx") >= F.col("n_rows") - TEST_SIZE, F.col("idx") == F.col("n_rows") - 1
+    cases = F.array_compact(F.array(F.when(inside, F.lit("whole")), F.when(inside & ~last, F.lit("last hour missing")), F.lit("from the cutoff")))
+    return cv.key_mismatch(expected.withColumn("case", F.explode(F.array(*map(F.lit, _CASES)))), path.withColumn("case", F.explode(cases)),
+                           ["series_id", "case", "idx"], ["series_id", "case"])
 
 
 @register("m16_predict_block", _naive_sql(ENSEMBLE) +
@@ -273,7 +297,7 @@ def m15_expanding_blocks(spark, sf):
     """Blocks one after another, each fitted on all actuals before it
     (forward-filled), scored per block."""
     h = benchmark.prepared(spark, sf).select("series_id", "idx", *TARGETS)
-    split = materialize(assign_blocks(train_test_split(h, TEST_SIZE), HORIZON))
+    split = assign_blocks(train_test_split(h, TEST_SIZE), HORIZON)
     filled = cv.expanding_blocks(
         benchmark.ffill(split.select("series_id", "idx", "test_start", "n_blocks", *TARGETS), TARGETS),
         TARGETS, ENSEMBLE, horizon=HORIZON)
@@ -287,7 +311,7 @@ def m15_expanding_blocks(spark, sf):
 @register("a13_run_facts", _naive_sql(ENSEMBLE) + f""",
 nb AS (SELECT series_id, count(DISTINCT block_id) AS n_blocks FROM sp GROUP BY 1)
 SELECT nb.series_id, nb.n_blocks, CAST({HORIZON} AS BIGINT) AS block_size,
-  CAST(floor((n.n_rows - {FOLD_H + FOLD_W}) / {FOLD_S}) + 1 AS BIGINT) AS n_folds
+  CAST(floor((n.n_rows - {TEST_SIZE + FOLD_H + FOLD_W}) / {FOLD_S}) + 1 AS BIGINT) AS n_folds
 FROM nb JOIN n USING (series_id)""")
 def a13_run_facts(spark, sf):
     """Number of blocks, block size and number of folds per series."""
@@ -297,7 +321,7 @@ def a13_run_facts(spark, sf):
     return b.groupBy("series_id").agg(F.count_distinct("block_id").alias("n_blocks"),
                                       F.max("n_rows").alias("_n")) \
         .select("series_id", "n_blocks", F.lit(HORIZON).cast("long").alias("block_size"),
-                n_folds(F.col("_n"), FOLD_W, FOLD_H, FOLD_S).alias("n_folds"))
+                n_folds(F.col("_n") - TEST_SIZE, FOLD_W, FOLD_H, FOLD_S).alias("n_folds"))
 
 
 @register("m9_gbt_direct")
@@ -359,14 +383,9 @@ obj AS (SELECT series_id, trial_id, avg(value) AS objective, count(*) AS n_folds
 
 
 def grid_objectives(spark, sf):
-    from ..session import shared
-
-    def build():
-        f = bases.targets_filled(spark, sf)
-        pairs = cv.naive_grid_cv(f, TARGETS, GRID, FOLD_W, FOLD_H, FOLD_S)
-        fs = score(pairs, ["series_id", "trial_id", "fold_id"], ["mspe"])   # column-averaged per fold
-        return cv.trial_objective(fs)
-    return shared(spark, "grid_objectives", build, sf)
+    pairs = cv.naive_grid_cv(bases.targets_train(spark, sf), TARGETS, GRID, FOLD_W, FOLD_H, FOLD_S)
+    fs = score(pairs, ["series_id", "trial_id", "fold_id"], ["mspe"])   # column-averaged per fold
+    return cv.trial_objective(fs)
 
 
 @register("m11_grid_search", _grid_sql() + f"\nSELECT series_id, trial_id, {rnd('objective', 'objective')}, n_folds FROM obj")
@@ -384,33 +403,34 @@ def a10_best_trial(spark, sf):
     return cv.best_trial(grid_objectives(spark, sf))
 
 
-@register("s8_model_store")
+@register("s8_model_store", _naive_sql(ENSEMBLE) + f"""
+SELECT series_id, block_id, count(*) AS n_rows, count(*) AS n_predicted, CAST(0 AS BIGINT) AS n_different
+FROM sp WHERE block_id IS NOT NULL GROUP BY ALL""")
 def s8_model_store(spark, sf):
     """Fit the direct boosted-tree model for WVHT, save it with MLlib's
-    writer under the checkpoint folder, load it back and predict the test
-    blocks with the loaded model (block scores)."""
+    writer under the checkpoint folder, load it back, and count per test
+    block the rows in which the loaded model's prediction differs."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
     from ..config import DIRECT_LAGS
-    from ..operators.metrics import aggregate_blocks, block_scores
     from ..operators.models import direct_features
     from .q_misc import scratch
     f = bases.targets_filled(spark, sf)
     feats_df, feats = direct_features(f, TARGETS, DIRECT_LAGS, HORIZON)
     split = materialize(assign_blocks(train_test_split(feats_df, TEST_SIZE), HORIZON))
-    asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip")
-    tr = asm.transform(split.where(~F.col("is_test") & F.col("WVHT").isNotNull()))
+    asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="error")
+    tr = asm.transform(split.where(~F.col("is_test")).na.drop(subset=[*feats, "WVHT"]))
     model = GBTRegressor(featuresCol="_features", labelCol="WVHT", predictionCol="yhat", maxIter=20,
                          maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(tr)
     path = scratch(spark, "model")
     model.write().save(path)
     loaded = GBTRegressionModel.load(path)
-    pred = loaded.transform(asm.transform(split.where(F.col("block_id").isNotNull()))) \
-        .select("series_id", "idx", "block_id", F.lit("WVHT").alias("col"), "yhat")
-    truth = to_long(bases.met_hourly(spark, sf).select("series_id", "idx", "WVHT"), ["WVHT"], ["series_id", "idx"]) \
-        .withColumnRenamed("value", "y")
-    bs = block_scores(pred.join(truth, ["series_id", "idx", "col"]), ["rmspe", "mape"])
-    return bs.select("series_id", "metric", "value").unionByName(aggregate_blocks(bs))
+    rows = asm.transform(split.where(F.col("block_id").isNotNull()))
+    keep = ["series_id", "idx", "block_id", "yhat"]
+    both = model.transform(rows).select(*keep).join(loaded.transform(rows).select(*keep[:3], F.col("yhat").alias("again")), keep[:3], "full")
+    return both.groupBy("series_id", "block_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("yhat").alias("n_predicted"),
+        F.sum((~F.col("yhat").eqNullSafe(F.col("again"))).cast("long")).alias("n_different"))
 
 
 @register("s9_best_score", _grid_sql() + f""",

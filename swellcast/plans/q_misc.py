@@ -31,7 +31,7 @@ def s1_buoy_scan(spark, sf):
     (two '#' header lines), then parse the files back with the buoy scanner."""
     path = scratch(spark, "buoy")
     text.write_buoy(views.met(spark, sf), path, RAW)
-    return text.read_buoy(spark, f"{path}/*/*.txt", series_pattern=r"series_id=([^/]+)/")
+    return text.read_buoy(spark, f"{path}/*/*/*.txt", series_pattern=r"series_id=([^/]+)/")
 
 
 @register("s2_dated_csv", f"""WITH daily AS ({DAILY_SQL})

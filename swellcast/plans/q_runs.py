@@ -22,19 +22,7 @@ N_BLOCKS = 3
 
 def tables(spark, sf):
     """``(experiments, runs, metrics)`` derived from the block benchmark of
-    every series and model (materialised once per session; every E-query
-    reads them)."""
-    from ..session import shared
-    built: dict = {}
-
-    def part(i: int):
-        if "t" not in built:
-            built["t"] = _tables(spark, sf)
-        return built["t"][i]
-    return tuple(shared(spark, f"run_tables_{i}", lambda i=i: part(i), sf) for i in range(3))
-
-
-def _tables(spark, sf):
+    every series and model, as lazy frames."""
     from ..config import TARGETS
     from ..operators.forecast import ensemble_fit
     hourly = benchmark.prepared(spark, sf)

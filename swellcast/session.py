@@ -83,23 +83,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 materialize = cut_lineage
-
-_SHARED: dict[tuple, DataFrame] = {}
-
-
-def shared(spark: SparkSession, name: str, build, *params) -> DataFrame:
-    """A derived table (the hourly grid, a filled grid, run tables ...)
-    computed and checkpointed once per Spark application and data folder,
-    then reused by every query that reads it - a session-scoped
-    materialised view. Keyed by application id, so a new session never sees
-    another one's checkpoints."""
-    key = (spark.sparkContext.applicationId, name) + tuple(params)
-    df = _SHARED.get(key)
-    if df is None:
-        df = materialize(build())
-        _SHARED[key] = df
-    return df
-
-
-def clear_shared() -> None:
-    _SHARED.clear()
