@@ -21,14 +21,14 @@ from ..operators.metrics import aggregate_blocks, block_scores
 from ..operators.scaling import apply_scaler, fit_scaler, to_long, unscale_long
 from ..operators.windows import ffill
 from ..session import materialize
+from .bases import QUERY_CHUNK, met_hourly
 
 KEY = "series_id"
 NAIVE = {"WVHT": "last", "APD": "mean"}
 
 
-def prepared(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
+def prepared(spark: SparkSession, sf_dir: str, chunk: int = QUERY_CHUNK) -> DataFrame:
     """The shared prefix: met view -> P19 hourly grid."""
-    from .bases import met_hourly
     return met_hourly(spark, sf_dir, chunk)
 
 
@@ -81,7 +81,7 @@ def block_benchmark(hourly: DataFrame, strategies: dict[str, str] | None = None,
     return score_blocks(split, state, model, list(strategies), scorers)
 
 
-def run(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, chunk: int = QUERY_CHUNK) -> DataFrame:
     return block_benchmark(prepared(spark, sf_dir, chunk), chunk=chunk)
 
 

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CLEAN_COLUMNS, Z_975
+from ..config import CF_HIGH, CF_LOW, CLEAN_COLUMNS, Z_975
 from ..operators import diagnostics as D
-from ..operators.scaling import apply_scaler, fit_scaler, to_long
+from ..operators.scaling import apply_scaler, fit_scaler, normalise_by_max, to_long
 from . import bases
 from .oracles import rnd
 from .q_windows import _filled
@@ -53,7 +53,7 @@ acf AS (SELECT sm.series_id, sm.col, mom.n, mom.lo = mom.hi AS is_constant,
 SELECT series_id, col, CAST(g.k AS BIGINT) AS lag, {rnd('r[g.k + 1]', 'r')} FROM acf, range(0, {MAX_LAG + 1}) g(k)""")
 def d6_acf(spark, sf):
     """Biased ACF, lags 0..72, of every z-scored column (long form)."""
-    a = D.acf(scaled_long(spark, sf), MAX_LAG)
+    a = D.acf(scaled_long(spark, sf), MAX_LAG, chunk=bases.QUERY_CHUNK)
     return a.select("series_id", "col", F.posexplode("r").alias("lag", "r")) \
         .withColumn("lag", F.col("lag").cast("long"))
 
@@ -65,7 +65,7 @@ _CANDS = f"list_filter(range(1, {MAX_LAG}), lambda k: r[k + 1] > r[k] AND r[k +
 SELECT series_id, col, CAST(unnest({_CANDS}) AS BIGINT) AS lag FROM acf WHERE r IS NOT NULL""")
 def d8_acf_maxima(spark, sf):
     """Local maxima of the ACF (strict, ends excluded)."""
-    a = D.acf(scaled_long(spark, sf), MAX_LAG)
+    a = D.acf(scaled_long(spark, sf), MAX_LAG, chunk=bases.QUERY_CHUNK)
     return a.where(F.col("r").isNotNull()).select("series_id", "col", F.explode(D.local_maxima(F.col("r"))).alias("lag")) \
         .withColumn("lag", F.col("lag").cast("long"))
 
@@ -87,7 +87,7 @@ SELECT series_id, col, CAST(c AS BIGINT) AS lag, {rnd('r[c + 1]', 'r')},
   {rnd('band', 'band')} FROM ex""")
 def d9_bartlett_band(spark, sf):
     """Bartlett standard error and significance band at every ACF candidate."""
-    a = D.acf(scaled_long(spark, sf), MAX_LAG).where(F.col("r").isNotNull())
+    a = D.acf(scaled_long(spark, sf), MAX_LAG, chunk=bases.QUERY_CHUNK).where(F.col("r").isNotNull())
     r = F.col("r")
     r1 = F.slice(r, 2, F.size(r) - 1)
     k = F.size(r1).cast("double")
@@ -118,7 +118,7 @@ def d10_seasonality(spark, sf):
     """Seasonality check (max lag 72, 5 %) of every z-scored column; includes
     the constant test (A12), candidate membership (J10) and the first
     admissible candidate (T6)."""
-    return D.seasonality(D.acf(scaled_long(spark, sf), MAX_LAG))
+    return D.seasonality(D.acf(scaled_long(spark, sf), MAX_LAG, chunk=bases.QUERY_CHUNK))
 
 
 USER_PERIODS = (24, 17, 2)
@@ -134,7 +134,7 @@ SELECT series_id, col, CAST({p} AS BIGINT) AS asked, n, is_constant,
 def d10_user_period(spark, sf):
     """Seasonality check of periods that the user asks for, members and
     non-members of the candidates (J10)."""
-    a = D.acf(scaled_long(spark, sf), MAX_LAG)
+    a = D.acf(scaled_long(spark, sf), MAX_LAG, chunk=bases.QUERY_CHUNK)
     parts = [D.seasonality(a, p).select("series_id", "col", F.lit(p).cast("long").alias("asked"), "n", "is_constant",
                                         "seasonal", "seasonal_period") for p in USER_PERIODS]
     return reduce(DataFrame.unionByName, parts)
@@ -158,7 +158,7 @@ def d5_white_test(spark, sf):
 @register("d7_pacf")
 def d7_pacf(spark, sf):
     """Partial autocorrelation to lag 72 (Durbin-Levinson on the ACF)."""
-    p = D.pacf(D.acf(scaled_long(spark, sf), MAX_LAG).where(F.col("r").isNotNull()))
+    p = D.pacf(D.acf(scaled_long(spark, sf), MAX_LAG, chunk=bases.QUERY_CHUNK).where(F.col("r").isNotNull()))
     return p.select("series_id", "col", F.posexplode("pacf").alias("lag", "pacf")).withColumn("lag", F.col("lag").cast("long"))
 
 
@@ -204,7 +204,7 @@ _MK_OUT = f"""SELECT series_id, col, n, CAST(s AS BIGINT) AS s, {rnd('var_s', 'v
 def d2_mann_kendall(spark, sf):
     """Mann-Kendall S, tie-corrected variance and z of every filled column."""
     from ..operators.trend import mk_score, z_score
-    m = mk_score(filled_long(spark, sf))
+    m = mk_score(filled_long(spark, sf), min_side=64)
     return m.select("series_id", "col", "n", "s", "var_s", z_score(F.col("s"), F.col("var_s")).alias("z"))
 
 
@@ -220,8 +220,8 @@ def d3_prewhitened_mk(spark, sf):
     """Mann-Kendall on the pre-whitened series y_t - r1 * y_{t-1}."""
     from ..operators.trend import mk_score, prewhiten, z_score
     lng = filled_long(spark, sf)
-    r1 = D.acf(lng, 1).select("series_id", "col", F.element_at("r", 2).alias("r1"))
-    m = mk_score(prewhiten(lng, r1))
+    r1 = D.acf(lng, 1, chunk=bases.QUERY_CHUNK).select("series_id", "col", F.element_at("r", 2).alias("r1"))
+    m = mk_score(prewhiten(lng, r1), min_side=64)
     return m.select("series_id", "col", "n", "s", "var_s", z_score(F.col("s"), F.col("var_s")).alias("z"))
 
 
@@ -254,7 +254,7 @@ def d11_hp_filter(spark, sf):
     mx = lng.groupBy("series_id", "col").agg(F.max("value").alias("_mx"))
     norm = lng.join(mx, ["series_id", "col"]).select(
         "series_id", "col", "idx", (F.col("value") / F.nullif(F.col("_mx"), F.lit(0.0))).alias("value"))
-    return hp_filter(norm.where(F.col("value").isNotNull()))
+    return hp_filter(norm.where(F.col("value").isNotNull()), chunk=bases.QUERY_CHUNK)
 
 
 @register("m19_poly_detrend")
@@ -273,7 +273,7 @@ def m5_model_impute(spark, sf):
     cols = ["MWD_sin", "MWD_cos"]
     raw = to_long(bases.met_hourly(spark, sf).select("series_id", "idx", *cols), cols, ["series_id", "idx"])
     filled = to_long(bases.met_filled(spark, sf).select("series_id", "idx", *cols), cols, ["series_id", "idx"])
-    out = impute_arma(raw, filled)
+    out = impute_arma(raw, filled, chunk=bases.QUERY_CHUNK)
     return out.where(F.col("imputed")).select("series_id", "col", "idx", "value")
 
 
@@ -289,3 +289,36 @@ def d2_sen_slope(spark, sf):
     s = sen_slope(filled_long(spark, sf))
     return s.select("series_id", "col", "slope",
                     F.when(F.col("slope") > 0, "increasing").otherwise("decreasing").alias("direction"))
+
+
+def _normalised_long(spark, sf):
+    """Every cleaned column, filled and divided by its maximum (P12), long."""
+    norm = to_long(normalise_by_max(bases.met_filled(spark, sf), CLEAN_COLUMNS), CLEAN_COLUMNS, ["series_id", "idx"])
+    return norm.where(F.col("value").isNotNull())
+
+
+@register("d12_cf_cycle", _filled_long_sql() + f""",
+mx AS (SELECT series_id, col, max(value) AS m FROM lng GROUP BY 1, 2),
+nl AS (SELECT l.series_id, l.col, l.idx, l.value / m AS value FROM lng l JOIN mx USING (series_id, col) WHERE m <> 0),
+e AS (SELECT series_id, col, count(*) AS n, arg_min(value, idx) AS x0, arg_max(value, idx) AS x1 FROM nl GROUP BY 1, 2),
+f AS (SELECT nl.*, e.n, e.x0, value - idx * (e.x1 - e.x0) / (e.n - 1) AS x FROM nl JOIN e USING (series_id, col)),
+b AS (SELECT range AS j, CASE WHEN range = 0 THEN 2.0 / {CF_LOW} - 2.0 / {CF_HIGH}
+      ELSE (sin(2 * pi() * range / {CF_LOW}) - sin(2 * pi() * range / {CF_HIGH})) / (pi() * range) END AS w FROM range(0, 2000)),
+ew AS (SELECT j, 0.5 * (2.0 / {CF_LOW} - 2.0 / {CF_HIGH}) - sum(w) OVER (ORDER BY j) AS w FROM b),
+s AS (SELECT y.series_id, y.col, y.idx, sum(b.w * t.x) AS inner_sum FROM f y JOIN f t ON t.series_id = y.series_id AND t.col = y.col
+      AND t.idx > 0 AND t.idx < t.n - 1 JOIN b ON b.j = abs(t.idx - y.idx) GROUP BY 1, 2, 3)
+SELECT f.series_id, f.col, f.idx, {rnd('f.value', 'value')},
+  {rnd(f"s.inner_sum + (l.w + r.w) * f.x0 + CASE WHEN f.idx IN (0, f.n - 1) THEN (2.0 / {CF_LOW} - 2.0 / {CF_HIGH}) * f.x ELSE 0 END", 'cycle')}
+FROM f JOIN s USING (series_id, col, idx) JOIN ew l ON l.j = greatest(f.idx - 1, 0) JOIN ew r ON r.j = greatest(f.n - 2 - f.idx, 0)""")
+def d12_cf_cycle(spark, sf):
+    """Christiano-Fitzgerald cycle of every normalised column, with chunks of
+    a week so that every series crosses chunk borders."""
+    from ..operators.cf import cf_cycle
+    return cf_cycle(_normalised_long(spark, sf), chunk=168)
+
+
+@register("d13_feature_matrix")
+def d13_feature_matrix(spark, sf):
+    """Normalised value, Hodrick-Prescott trend and Christiano-Fitzgerald cycle."""
+    from ..operators.cf import feature_matrix
+    return feature_matrix(_normalised_long(spark, sf))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import (CLEAN_COLUMNS, DIRECT_LAGS, EXOGENOUS, HORIZON, LAGGED_MEANS, TARGET_LAGS,
                       TARGETS, WINDOW)
-from ..operators import blocks, clean, windows
+from ..operators import blocks, clean, pipeline, windows
 from ..operators.scaling import apply_scaler, fit_scaler, to_long
 from . import bases
+from .bases import QUERY_CHUNK
 from . import oracles as O
 from .oracles import rnd
 from .queries import register
@@ -64,7 +65,7 @@ SELECT series_id, ts, idx, {', '.join(rnd(f"first_value({c} IGNORE NULLS) OVER (
 FROM hourly""")
 def w8_bfill(spark, sf):
     g = bases.met_hourly(spark, sf).select("series_id", "ts", "idx", *TARGETS)
-    return windows.bfill(g, TARGETS)
+    return windows.bfill(g, TARGETS, chunk=QUERY_CHUNK)
 
 
 # ---------------------------------------------------------------- features
@@ -74,7 +75,7 @@ _W1_SQL, _W1_N = _summary_sql("filled", TARGETS, TARGET_LAGS, [], [], False)
 @register("w1_lags", _filled() + ",\n" + _W1_SQL + f"\nSELECT series_id, ts, idx, {_round_all(_W1_N)} FROM feat")
 def w1_lags(spark, sf):
     f = bases.targets_filled(spark, sf)
-    return windows.lags(f, TARGETS, TARGET_LAGS).drop(*TARGETS)
+    return windows.lags(f, TARGETS, TARGET_LAGS, chunk=QUERY_CHUNK).drop(*TARGETS)
 
 
 _W2_SQL, _W2_N = _summary_sql("filled", TARGETS, [], LAGGED_MEANS, [], False)
@@ -83,7 +84,7 @@ _W2_SQL, _W2_N = _summary_sql("filled", TARGETS, [], LAGGED_MEANS, [], False)
 @register("w2_lagged_mean", _filled() + ",\n" + _W2_SQL + f"\nSELECT series_id, ts, idx, {_round_all(_W2_N)} FROM feat")
 def w2_lagged_mean(spark, sf):
     f = bases.targets_filled(spark, sf)
-    return windows.window_summary(f, TARGETS, mean=LAGGED_MEANS, truncate_bfill=False, replace=True)
+    return windows.window_summary(f, TARGETS, mean=LAGGED_MEANS, truncate_bfill=False, replace=True, chunk=QUERY_CHUNK)
 
 
 _W3_SQL, _W3_N = _summary_sql("filled", TARGETS, [], [], [(1, 4)], False)
@@ -92,7 +93,7 @@ _W3_SQL, _W3_N = _summary_sql("filled", TARGETS, [], [], [(1, 4)], False)
 @register("w3_lagged_std", _filled() + ",\n" + _W3_SQL + f"\nSELECT series_id, ts, idx, {_round_all(_W3_N)} FROM feat")
 def w3_lagged_std(spark, sf):
     f = bases.targets_filled(spark, sf)
-    return windows.window_summary(f, TARGETS, std=[(1, 4)], truncate_bfill=False, replace=True)
+    return windows.window_summary(f, TARGETS, std=[(1, 4)], truncate_bfill=False, replace=True, chunk=QUERY_CHUNK)
 
 
 _W4_SQL, _W4_N = _summary_sql("filled", TARGETS, TARGET_LAGS, LAGGED_MEANS, [], True)
@@ -103,7 +104,7 @@ def w4_target_summary(spark, sf):
     """Target lag summarizer: lags 1,2,3,4,24,48,72, means [1,24] [24,48],
     leading NULLs back-filled (truncate='bfill')."""
     f = bases.targets_filled(spark, sf)
-    return windows.window_summary(f, TARGETS, lag=TARGET_LAGS, mean=LAGGED_MEANS, replace=True)
+    return windows.window_summary(f, TARGETS, lag=TARGET_LAGS, mean=LAGGED_MEANS, replace=True, chunk=QUERY_CHUNK)
 
 
 _W5_SQL, _W5_N = _summary_sql("filled", EXOGENOUS, [1], LAGGED_MEANS, [], True)
@@ -115,7 +116,7 @@ def w5_exog_summary(spark, sf):
     """Exogenous lag summarizer routed to the listed (exogenous) columns,
     which are replaced by their features."""
     f = bases.met_filled(spark, sf).select("series_id", "ts", "idx", *EXOGENOUS)
-    return windows.window_summary(f, EXOGENOUS, lag=[1], mean=LAGGED_MEANS, replace=True)
+    return windows.window_summary(f, EXOGENOUS, lag=[1], mean=LAGGED_MEANS, replace=True, chunk=QUERY_CHUNK)
 
 
 # ------------------------------------------------------------ differencing
@@ -123,7 +124,7 @@ def w5_exog_summary(spark, sf):
 SELECT series_id, ts, idx, {', '.join(rnd(f"CASE WHEN idx < 24 THEN 0.0 ELSE {c} - {_lag(c, 24)} END", c) for c in TARGETS)}
 FROM filled""")
 def w9_seasonal_diff(spark, sf):
-    return windows.seasonal_diff(bases.targets_filled(spark, sf), TARGETS, 24, fill_zero=True)
+    return windows.seasonal_diff(bases.targets_filled(spark, sf), TARGETS, 24, fill_zero=True, chunk=QUERY_CHUNK)
 
 
 @register("w10_inverse_diff", _filled() + f"\nSELECT series_id, idx, {_round_all(TARGETS)} FROM filled WHERE idx >= 24")
@@ -131,9 +132,9 @@ def w10_inverse_diff(spark, sf):
     """Inverse of the lag-24 difference: levels rebuilt from the first 24
     levels (seed) and the differences of all later rows (identity check)."""
     f = bases.targets_filled(spark, sf).select("series_id", "idx", *TARGETS)
-    d = windows.seasonal_diff(f, TARGETS, 24, fill_zero=True)
+    d = windows.seasonal_diff(f, TARGETS, 24, fill_zero=True, chunk=QUERY_CHUNK)
     seeds = f.where(F.col("idx") < 24)
-    return windows.inverse_seasonal_diff(d.where(F.col("idx") >= 24), seeds, TARGETS, 24)
+    return windows.inverse_seasonal_diff(d.where(F.col("idx") >= 24), seeds, TARGETS, 24, chunk=QUERY_CHUNK)
 
 
 @register("w11_diff_dropna", _filled() + f"""
@@ -141,7 +142,7 @@ SELECT series_id, idx, {', '.join(rnd(f"{c} - {_lag(c, 24)}", c) for c in TARGET
 FROM filled QUALIFY idx >= 24""")
 def w11_diff_dropna(spark, sf):
     d = windows.seasonal_diff(bases.targets_filled(spark, sf).select("series_id", "idx", *TARGETS),
-                              TARGETS, 24, fill_zero=False)
+                              TARGETS, 24, fill_zero=False, chunk=QUERY_CHUNK)
     return d.dropna(subset=TARGETS)
 
 
@@ -155,7 +156,7 @@ for _c in TARGETS:
 @register("w12_rolling", _filled() + f"\nSELECT series_id, ts, idx, {', '.join(_ROLL)} FROM filled")
 def w12_rolling(spark, sf):
     f = bases.targets_filled(spark, sf)
-    return windows.rolling(f, TARGETS, 12).drop(*TARGETS)
+    return windows.rolling(f, TARGETS, 12, chunk=QUERY_CHUNK).drop(*TARGETS)
 
 
 _W13_WIN, _W13_H = WINDOW, HORIZON
@@ -171,19 +172,17 @@ FROM ex WHERE window_id >= 0 AND window_id + {_W13_WIN + _W13_H} <= n_rows""")
 def w13_sliding_pairs(spark, sf):
     """Sliding windows (win 504, horizon 72) in exploded form."""
     f = bases.obs_filled(spark, sf).select("series_id", "idx", "value")
-    return windows.sliding_pairs(f, ["value"], _W13_WIN, _W13_H)
+    return windows.sliding_pairs(f, ["value"], _W13_WIN, _W13_H, chunk=QUERY_CHUNK)
 
 
-_W15_N = [f"{c}_dlag_{k}" for c in TARGETS for k in DIRECT_LAGS]
-
-
-@register("w15_direct_lags", _filled() + f"""
-SELECT series_id, ts, idx, {', '.join(rnd(_lag(c, HORIZON - 1 + k), f"{c}_dlag_{k}") for c in TARGETS for k in DIRECT_LAGS)}
+@register("w15_direct_lags", _filled(CLEAN_COLUMNS) + f"""
+SELECT series_id, ts, idx, {', '.join(rnd(_lag(c, HORIZON - 1 + k), f"{c}_dlag_{k}") for c in CLEAN_COLUMNS for k in DIRECT_LAGS)}
 FROM filled""")
 def w15_direct_lags(spark, sf):
-    """Direct-horizon lags (1,2,3,24,48 counted back from a 72-step chunk start)."""
-    f = bases.targets_filled(spark, sf)
-    return windows.direct_lags(f, TARGETS, DIRECT_LAGS, HORIZON).drop(*TARGETS)
+    """Direct-horizon lags (1,2,3,24,48 counted back from a 72-step chunk start)
+    of the targets and every exogenous column."""
+    f = bases.met_filled(spark, sf)
+    return windows.direct_lags(f, CLEAN_COLUMNS, DIRECT_LAGS, HORIZON, chunk=QUERY_CHUNK).drop(*CLEAN_COLUMNS)
 
 
 # ------------------------------------------------------------ split, blocks
@@ -287,18 +286,32 @@ def m6_transform_pipelines(spark, sf):
     return scaled_targets(spark, sf, CLEAN_COLUMNS)
 
 
-@register("p20_before_after", _filled() + _scaler_sql(TARGETS) + ",\norig AS (" + " UNION ALL ".join(
-    f"SELECT series_id, ts, '{c}' AS col, {c} AS before FROM filled" for c in TARGETS) + "),\nafter_ AS (" + " UNION ALL ".join(
-    f"SELECT series_id, ts, is_test, '{c}' AS col, {c} AS after FROM scaled" for c in TARGETS) + f""")
+@register("p20_before_after", _filled(CLEAN_COLUMNS) + _scaler_sql(CLEAN_COLUMNS) + ",\norig AS (" + " UNION ALL ".join(
+    f"SELECT series_id, ts, '{c}' AS col, {c} AS before FROM filled" for c in CLEAN_COLUMNS) + "),\nafter_ AS (" + " UNION ALL ".join(
+    f"SELECT series_id, ts, is_test, '{c}' AS col, {c} AS after FROM scaled" for c in CLEAN_COLUMNS) + f""")
 SELECT o.series_id, o.ts, o.col, a.is_test, {rnd('o.before', 'before')}, {rnd('a.after', 'after')}
 FROM orig o JOIN after_ a ON a.series_id = o.series_id AND a.ts = o.ts AND a.col = o.col""")
 def p20_before_after(spark, sf):
-    """Original and transformed value of every target side by side."""
-    before = to_long(bases.targets_filled(spark, sf), TARGETS, ["series_id", "ts"]).withColumnRenamed("value", "before")
-    after = to_long(scaled_targets(spark, sf), TARGETS, ["series_id", "ts", "is_test"]).withColumnRenamed("value", "after")
+    """Original and transformed value of every column side by side."""
+    before = to_long(bases.met_filled(spark, sf), CLEAN_COLUMNS, ["series_id", "ts"]).withColumnRenamed("value", "before")
+    after = to_long(scaled_targets(spark, sf, CLEAN_COLUMNS), CLEAN_COLUMNS, ["series_id", "ts", "is_test"]).withColumnRenamed("value", "after")
     return before.join(after, ["series_id", "ts", "col"], "inner")
 
 
+@register("p17_routed_pipelines", _filled(CLEAN_COLUMNS) + _scaler_sql(CLEAN_COLUMNS) +
+          f"\nSELECT series_id, ts, idx, is_test, {_round_all(CLEAN_COLUMNS)} FROM scaled")
+def p17_routed_pipelines(spark, sf):
+    """The two transform pipelines built from steps: column groups routed to
+    their own chains (fill, then scale), each fitted on the train rows."""
+    sp = blocks.train_test_split(bases.met_hourly(spark, sf), TEST_SIZE)
+    fill = pipeline.apply_only(lambda df, cols: windows.ffill(df, cols, chunk=QUERY_CHUNK))
+    scale = pipeline.Step(lambda df, cols: fit_scaler(df, cols), lambda df, state, cols: apply_scaler(df, state, cols))
+    filled = pipeline.route([(fill, TARGETS), (fill, EXOGENOUS)])
+    scaled = pipeline.route([(pipeline.chain([scale]), TARGETS), (pipeline.chain([scale]), EXOGENOUS)])
+    out = pipeline.fit_apply(pipeline.chain([filled, scaled]), sp, CLEAN_COLUMNS, ~F.col("is_test"))
+    return out.select("series_id", "ts", "idx", "is_test", *CLEAN_COLUMNS)
+
+
 _CAL = ["month", "hour", "hr_sin", "hr_cos"]
 
 
@@ -321,7 +334,7 @@ def w6_feature_union(spark, sf):
     """Feature pipeline: calendar columns next to exogenous lag features,
     then a standard scaler fitted on the train rows."""
     x = scaled_targets(spark, sf, CLEAN_COLUMNS).select("series_id", "ts", "idx", "is_test", *EXOGENOUS)
-    feats = windows.window_summary(x, EXOGENOUS, lag=[1], mean=LAGGED_MEANS, replace=True)
+    feats = windows.window_summary(x, EXOGENOUS, lag=[1], mean=LAGGED_MEANS, replace=True, chunk=QUERY_CHUNK)
     feats = clean.add_calendar(feats).withColumns({"month": F.col("month").cast("double"),
                                                    "hour": F.col("hour").cast("double")})
     names = [c for c in feats.columns if c not in ("series_id", "ts", "idx", "is_test")]
@@ -389,4 +402,4 @@ def m18_deseasonalize(spark, sf):
     pipelines, available as an operator)."""
     from ..operators.seasonal import deseasonalize
     f = bases.targets_filled(spark, sf).select("series_id", "ts", "idx", *TARGETS)
-    return deseasonalize(f, TARGETS, 24)
+    return deseasonalize(f, TARGETS, 24, chunk=QUERY_CHUNK)

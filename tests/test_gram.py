@@ -272,3 +272,29 @@ def test_random_search_picks_min_objective(spark):
         cand = {k[1]: v for k, v in o.items() if k[0] == r["series_id"]}
         assert r["best_value"] == min(cand.values())
         assert r["best_trial"] == min(k for k, v in cand.items() if v == r["best_value"])
+
+
+def test_cf_cycle_equals_the_weighted_sums(spark):
+    from swellcast.operators.cf import cf_cycle, weights
+    rng = np.random.default_rng(3)
+    series = {"long": np.cumsum(rng.normal(size=333)), "two": np.array([1.0, 4.0]), "one": np.array([2.0]), "three": np.array([1.0, 0.0, 5.0])}
+    got = {c: cf_cycle(_long(spark, series), chunk=c).toPandas().sort_values(["series_id", "idx"], ignore_index=True) for c in (10, 333, 1000)}
+    for c in (10, 1000):
+        assert np.allclose(got[c]["cycle"], got[333]["cycle"], atol=1e-10)
+    for name, y in series.items():
+        n = len(y)
+        if n == 1:
+            want = np.zeros(1)
+        else:
+            x, b = y - np.arange(n) * (y[-1] - y[0]) / (n - 1), weights(n + 1, 6, 32)
+            want = np.empty(n)
+            for i in range(n):
+                w = np.array([b[abs(t - i)] for t in range(n)])
+                w[0] = w[-1] = 0.0
+                w[0] += -b[0] / 2 - b[1:max(i, 1)].sum()
+                w[-1] += -b[0] / 2 - b[1:max(n - 1 - i, 1)].sum()
+                w[i] += b[0] if i in (0, n - 1) else 0.0
+                want[i] = w @ x
+                assert abs(w.sum()) < 1e-9
+        own = got[10][got[10]["series_id"] == name]["cycle"].to_numpy()
+        assert np.allclose(own, want, atol=1e-9), name

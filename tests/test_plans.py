@@ -29,3 +29,32 @@ def test_slice_pushed_to_scan(spark):
     plan = _plan(QUERIES["p6_date_slice"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan or "GreaterThanOrEqual(ts" in plan
     assert "LessThan(ts" in plan
+
+
+@pytest.mark.parametrize("name", HEADLINE)
+def test_plans_reach_the_scan(spark, name):
+    """Queries are lazy: nothing is cut off by a checkpoint on the way to Parquet."""
+    plan = _plan(QUERIES[name](spark, SF_SMALL)).replace("ExistingRDD[trial_id", "")  # the small trial table
+    assert "ExistingRDD" not in plan and "parquet" in plan
+
+
+def test_unused_columns_are_not_read(spark):
+    plan = _plan(QUERIES["p9_target_split"](spark, SF_SMALL))
+    assert "ReadSchema" in plan and "props" not in plan and "user_id" not in plan
+
+
+@pytest.mark.parametrize("one,many", [("p15_standard_scale", "m6_transform_pipelines"), ("m18_deseasonalize", "m18_deseasonalize")])
+def test_reads_do_not_grow_with_columns(spark, one, many):
+    reads = [_plan(QUERIES[n](spark, SF_SMALL)).split("Initial Plan")[0].count("Scan parquet") for n in (one, many)]
+    assert reads[1] <= reads[0]
+
+
+def test_folds_end_before_the_hold_out(spark):
+    from pyspark.sql import functions as F
+    from swellcast.operators.blocks import series_length, sliding_folds
+    from swellcast.plans import bases
+    from swellcast.plans.q_forecast import TEST_SIZE
+    from swellcast.plans.q_windows import FOLD_H, FOLD_S, FOLD_W
+    n = series_length(bases.met_hourly(spark, SF_SMALL).select("series_id", "idx"))
+    last = sliding_folds(bases.targets_train(spark, SF_SMALL), FOLD_W, FOLD_H, FOLD_S).groupBy("series_id").agg(F.max("idx").alias("last"))
+    assert last.join(n, "series_id").where(F.col("last") >= F.col("n_rows") - TEST_SIZE).count() == 0
