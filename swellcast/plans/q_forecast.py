@@ -96,13 +96,13 @@ def a2_a4_percentage_errors(spark, sf):
 
 
 @register("a6_block_scores", O.block_benchmark_sql().replace(
-    "SELECT series_id, metric, ROUND", "SELECT * FROM (SELECT series_id, metric, ROUND") + ") WHERE metric LIKE 'block_%'")
+    "SELECT series_id, metric, CAST(ROUND", "SELECT * FROM (SELECT series_id, metric, CAST(ROUND") + ") WHERE metric LIKE 'block_%'")
 def a6_block_scores(spark, sf):
     return benchmark.run(spark, sf).where(F.col("metric").startswith("block_"))
 
 
 @register("a7_block_aggregate", O.block_benchmark_sql().replace(
-    "SELECT series_id, metric, ROUND", "SELECT * FROM (SELECT series_id, metric, ROUND") + ") WHERE metric NOT LIKE 'block_%'")
+    "SELECT series_id, metric, CAST(ROUND", "SELECT * FROM (SELECT series_id, metric, CAST(ROUND") + ") WHERE metric NOT LIKE 'block_%'")
 def a7_block_aggregate(spark, sf):
     return benchmark.run(spark, sf).where(~F.col("metric").startswith("block_"))
 
