@@ -10,12 +10,14 @@ probability of a similarity of at least the threshold, from a uniform prior,
 is P(Binomial(n + 1, threshold) <= m); the pair is pruned once that falls
 under ``MISS``. Survivors are verified on the words of both texts.
 
-A bucket never turns into all its pairs. First every member meets the bucket's
-smallest id; members that are now connected need no more pairs. While that
-finds links, a member of another component leads. What is then left (members
-of different components that have not met) is compared in memory, in tiles of
-bounded size, and only pairs that pass the posterior test are emitted. So
-every candidate pair of different components is judged, and no link between
+A bucket never turns into all its pairs. First every member meets the smallest
+id of its buckets, then, where a bucket still holds several components, a
+member of another one; one pair a member and round, and members that are
+connected need no more pairs. What is then left (members of different
+components in one bucket) is judged in memory, in tiles of bounded size: pairs
+that pass the posterior test are compared on their whole sets, and a tile emits
+only links that join two components, so at most one for each of its members.
+So every candidate pair of different components is judged, and no link between
 components is lost.
 
 Defined results: a null or empty text has an empty set and links with nothing;
@@ -123,7 +125,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     least = least_matches(percent / 100)
     signed = stored(sign(base, run), "signatures")
     usable = signed.where("n > 0 AND id IS NOT NULL")
-    classes = usable.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
+    classes = stored(usable.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = stored(usable.join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi")
                   .select("id", "sig").distinct(), "reps")
 
@@ -160,24 +162,34 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     def verified(pairs: DataFrame) -> DataFrame:
         return pairs.join(side(texts, "text", "a"), "a").join(side(texts, "text", "b"), "b").mapInPandas(exact, "a long, b long").distinct()
 
-    pairs = stored(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    met, links = pairs, stored(verified(pruned(pairs)), "links")
-    while True:
-        joined = components(links).withColumnRenamed("component", "c")
+    pairs = stored(members.where("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b")), "pairs")
+    links = stored(verified(pruned(pairs)), "links")
+
+    def connected(links: DataFrame) -> DataFrame:
+        return stored(components(links).withColumnRenamed("component", "c"), "components")
+
+    def still_open(joined: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with the bucket's
+        size and its member of the largest component number as new leader."""
         placed = members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-        split = (placed.groupBy("key").agg(F.min("c").alias("low"), F.max(F.struct("c", "id")).alias("top"), F.count(F.lit(1)).alias("size"))
-                 .where("low < top.c AND size > 2"))
-        open_ = stored(placed.join(split.select("key", F.col("top.c").alias("lead_c"), F.col("top.id").alias("lead"), "size"), "key"), "open")
-        pairs = stored(open_.where("c <> lead_c").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-                       .join(met, ["a", "b"], "left_anti"), "pairs")
-        fresh = stored(verified(pruned(pairs)), "links")
-        met = met.unionByName(pairs)
-        if fresh.isEmpty():
-            break
+        split = (placed.groupBy("key").agg(F.min("c").alias("low"), F.max(F.struct("c", "id")).alias("top"), F.count(F.lit(1)).alias("size"),
+                                           F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("content"))
+                 .where("low < top.c")
+                 .groupBy("content", "size", "top").agg(F.min("key").alias("key")))  # buckets of the same members count once
+        return stored(placed.join(split.select("key", F.col("top.c").alias("lead_c"), F.col("top.id").alias("lead"), "size"), "key"), "open")
+
+    joined = connected(links)
+    open_ = still_open(joined)
+    pairs = (open_.where("c <> lead_c AND size > 2").groupBy("id").agg(F.min("lead").alias("lead"))
+             .select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct())
+    fresh = stored(verified(pruned(pairs)), "links")
+    if not fresh.isEmpty():
         links = links.unionByName(fresh)
-    left = stored(verified(_tiles(open_, sigs, least).join(met, ["a", "b"], "left_anti")), "links")
+        joined = connected(links)
+        open_ = still_open(joined)
+    left = stored(verified(_tiles(open_, sigs.join(texts, "id"), least, percent, run)), "links")
     if not left.isEmpty():
-        joined = components(links.unionByName(left)).withColumnRenamed("component", "c")
+        joined = connected(links.unionByName(left))
     rows = signed.select("id", "n", "k1", "k2")
     return (rows.join(classes, ["k1", "k2", "n"], "left").withColumn("node", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")))
             .join(joined.select(F.col("id").alias("node"), "c"), "node", "left")
@@ -185,31 +197,40 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
-def _tiles(open_: DataFrame, sigs: DataFrame, least: dict[int, int]) -> DataFrame:
-    """Pairs of members of one bucket and different components that pass the
-    posterior test. A bucket's members are dealt into sides of about ``TILE``;
-    each pair of sides is one tile, compared in memory."""
+def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: int, run: int = RUN) -> DataFrame:
+    """Links that join different components of one bucket. ``known`` has id,
+    sig and text. A bucket's members are dealt into sides of about ``TILE``;
+    each pair of sides is one tile, judged in memory, and emits a forest."""
     sides = F.ceil(F.col("size") / TILE).cast("int")
     dealt = open_.select("key", "id", "c", sides.alias("sides")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
     tiles = (dealt.select("key", "id", "c", "side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
              .select("key", "id", "c", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side").distinct()
-             .join(sigs, "id"))
-    count = open_.count()
-    groups = max(8, count // 4_000)
+             .join(known, "id"))
+    groups = max(8, open_.count() // 500)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, i, j), tile in pdf.groupby(["key", "i", "j"], sort=False):
-            ids, comp, sig = tile["id"].to_numpy(), tile["c"].to_numpy(), _signatures(tile["sig"])
+            ids, sig, sets = tile["id"].to_numpy(), _signatures(tile["sig"]), {}
+            _, comp = np.unique(tile["c"].to_numpy(), return_inverse=True)  # merged as links are found
             x, y = (np.arange(len(tile)),) * 2 if i == j else (np.flatnonzero(tile["side"] == i), np.flatnonzero(tile["side"] == j))
-            if not len(x) or not len(y):
-                continue
+
+            def members(at: int) -> np.ndarray:
+                if at not in sets:
+                    sets[at] = shingle_set(words([tile["text"].iat[at]], lower=True).hashes(), run)
+                return sets[at]
+
             for at in x:
                 to = y[(comp[y] != comp[at]) & (ids[y] > ids[at] if i == j else True)]
-                hit = to[alive(np.broadcast_to(sig[at], (len(to), HASHES)), sig[to], least)]
-                out.append(np.stack([np.minimum(ids[hit], ids[at]), np.maximum(ids[hit], ids[at])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+                for b in to[alive(np.broadcast_to(sig[at], (len(to), HASHES)), sig[to], least)]:
+                    if comp[b] == comp[at]:
+                        continue
+                    s, t = members(at), members(b)
+                    inter = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * inter >= percent * (len(s) + len(t) - inter):
+                        comp[comp == comp[b]] = comp[at]
+                        out.append((min(ids[at], ids[b]), max(ids[at], ids[b])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return (tiles.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).groupBy("group")
             .applyInPandas(compare, "a long, b long").distinct())

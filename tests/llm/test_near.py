@@ -38,13 +38,21 @@ def test_components_equal_all_pairs(spark, seed, percent):
 
 def test_tiles_judge_every_open_pair(spark):
     """One bucket of many members without links to its leader."""
-    rng = np.random.default_rng(5)
-    sigs = rng.integers(0, 1 << 32, (60, near.HASHES), dtype=np.uint32)
-    sigs[40:50] = sigs[10:20]  # ten pairs that pass
-    table = spark.createDataFrame(pd.DataFrame({"id": range(60), "sig": [s.tobytes() for s in sigs]}), "id long, sig binary")
-    members = spark.createDataFrame(pd.DataFrame({"key": 7, "id": range(60), "c": range(60), "size": 60 * near.TILE // 20}), "key long, id long, c long, size long")
-    got = {(r.a, r.b) for r in near._tiles(members, table, near.least_matches(0.85)).collect()}
-    assert got == {(i, i + 30) for i in range(10, 20)}
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefghijkl") + rnd.choice("mnopq") for _ in range(60)) for _ in range(60)]
+    texts[40:50] = [t + " more" for t in texts[10:20]]  # ten links
+    texts[50] = texts[10] + " other"  # a triangle: two of its three links join it
+    sig = [near.signature(near.shingle_set(near.words([t]).hashes())).tobytes() for t in texts]
+    known = spark.createDataFrame(pd.DataFrame({"id": range(60), "sig": sig, "text": texts}), "id long, sig binary, text string")
+    members = spark.createDataFrame(pd.DataFrame({"key": 7, "id": range(60), "c": range(60), "size": 60}), "key long, id long, c long, size long")
+    for tile in (256, 7):
+        near.TILE, before = tile, near.TILE
+        try:
+            links = near._tiles(members, known, near.least_matches(0.85), 85)
+            got = {r.id: r.component for r in graph.components(links).collect()}
+        finally:
+            near.TILE = before
+        assert got == {i: i for i in range(10, 20)} | {i + 30: i for i in range(10, 20)} | {50: 10}
 
 
 def test_pruning_keeps_similar_pairs():
