@@ -42,6 +42,9 @@ UNWANTED = re.compile(r"""(?ix)(?:^|[\s_-])(?:ad|ads|advert\w*|adv|banner|sponso
 newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|side-?bar|aside|widget\w*|related|recommend\w*|
 footer\w*|header\w*|masthead|share|sharing|social\w*|comment\w*|disqus|respon[ds]e?s?|reply|replies|discussion|remark\w*|feedback|toolbar|
 pagination|pager|copyright|legal|disclaimer|form|search\w*|hidden|skip\w*)(?:$|[\s_-])""")
+# "has-sidebar" says something of the page, not that the element is a sidebar
+MODIFIER = re.compile(r"(?i)(?:has|with|without|no|is|js|layout)[-_]")
+WANTED = re.compile(r"(?i)(?:article|post|entry|story|main|content|page|text|body)(?:[-_]|$)")
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -64,8 +67,11 @@ def unwanted(tag: str, attrs: str) -> bool:
         return False
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and UNWANTED.search(value):
-            return True
+        if name in ("class", "id"):
+            names = [v for v in value.split() if not MODIFIER.match(v)]
+            bad = [v for v in names if UNWANTED.search(v)]
+            if bad and not any(WANTED.match(v) for v in names if v not in bad):
+                return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):

@@ -15,6 +15,13 @@ def test_boilerplate_goes():
     assert main_text(page) == "\n".join(["Head & line", f"First one. {LONG}", f"Second <b> one, linked. {LONG}", "item one", "item two", "Quoted words"])
 
 
+def test_class_names():
+    for kept in ("article has-sidebar", "post share-enabled", "no-ads", "main-content", "headline"):
+        assert main_text(f'<div class="{kept}"><p>{LONG}</p></div>') == LONG, kept
+    for cut in ("sidebar-content", "comment-body", "ad", "cookie-consent", "site-footer", "main_menu", "post-comments"):
+        assert main_text(f'<div><p>{LONG}</p><div class="{cut}"><p>{LONG} {LONG}</p></div></div>') == LONG, cut
+
+
 def test_broken_markup():
     assert main_text(f"<article><p><b>{LONG}<br><p>{LONG}</article><div>&copy; site") == f"{LONG}\n{LONG}"
     assert main_text("<p>unclosed <b>bold <!-- never closed") == "unclosed bold"
