@@ -13,8 +13,6 @@ SENTINELS = {
 }
 
 # --- fixed values: column roles ----------------------------------------------
-BUOY_COLUMNS = ["WDIR", "WSPD", "GST", "WVHT", "DPD", "APD", "MWD", "PRES",
-                "ATMP", "WTMP", "DEWP", "VIS", "TIDE"]
 ANGLE_COLUMNS = ["WDIR", "MWD"]
 DROP_COLUMNS = ["TIDE", "VIS", "DPD"]
 TARGETS = ["WVHT", "APD"]
@@ -23,15 +21,11 @@ CLEAN_COLUMNS = ["WSPD", "GST", "WVHT", "APD", "PRES", "ATMP", "WTMP", "DEWP",
 EXOGENOUS = [c for c in CLEAN_COLUMNS if c not in TARGETS]
 
 # --- fixed values: time constants (hours) ------------------------------------
-ONE_DAY = 24
-ONE_WEEK = 168
 HORIZON = 72
 WINDOW = 504
-START_DATE, END_DATE = "2024-01-01", "2024-06-30"
 
 # --- fixed values: feature recipes --------------------------------------------
 TARGET_LAGS = [1, 2, 3, 4, 24, 48, 72]
-EXOG_LAGS = [1]
 LAGGED_MEANS = [(1, 24), (24, 48)]
 DIRECT_LAGS = [1, 2, 3, 24, 48]
 

@@ -17,11 +17,11 @@ def mark_missing(df: DataFrame, missing_map: dict) -> DataFrame:
     """Sentinel value(s) -> NULL per column; unknown columns are skipped
     with a warning; a non-dict map is a ``ValueError``."""
     if not isinstance(missing_map, dict):
-        raise ValueError("missing_map must be a dict: {col_name: sentinel or [sentinels]}")
+        raise ValueError(f"markers must be given as a dict from column to value(s), got {type(missing_map).__name__}")
     rep = {}
     for c, vals in missing_map.items():
         if c not in df.columns:
-            warnings.warn(f"column '{c}' not in DataFrame; skipping")
+            warnings.warn(f"no column {c!r} to mark missing values in")
             continue
         vals = list(vals) if isinstance(vals, (list, tuple, set)) else [vals]
         rep[c] = F.when(F.col(c).isin(*[F.lit(float(v)) for v in vals]), F.lit(None)) \
@@ -33,11 +33,11 @@ def degrees_to_cyclic(df: DataFrame, columns) -> DataFrame:
     """Values outside [0, 360] -> NULL, add ``c_sin``/``c_cos`` at the end,
     drop ``c``. Missing columns are skipped; non-list argument -> ``ValueError``."""
     if not isinstance(columns, (list, tuple)):
-        raise ValueError("`columns` must be a list or tuple of column names")
+        raise ValueError(f"angle columns must be a list or tuple, got {type(columns).__name__}")
     out = df
     for c in columns:
         if c not in out.columns:
-            warnings.warn(f"column '{c}' not found; skipping")
+            warnings.warn(f"no angle column {c!r}")
             continue
         good = F.when(F.col(c).between(0.0, 360.0), F.col(c))
         rad = F.radians(good)

@@ -97,4 +97,4 @@ def assert_no_nulls(df: DataFrame, cols: list[str]) -> None:
     """Raise when any listed column holds a NULL (one aggregate job)."""
     bad = [r["column_name"] for r in null_counts(df, cols).where("n_null > 0").collect()]
     if bad:
-        raise AssertionError(f"`y` should not have any nan values: {bad}")
+        raise AssertionError(f"NULL values in {bad}")

@@ -1,4 +1,4 @@
-"""Argument errors kept from the reference's transformers and helpers."""
+"""Argument errors of the operators."""
 
 import pytest
 
