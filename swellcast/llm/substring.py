@@ -181,8 +181,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # a copy has the anchors of its first text, so it changes no minimum
     every = stored(base.mapInArrow(find, "id long, tid int, anchor long, pos int, low int, high int"), "anchors")
-    origin = (every.groupBy("anchor").agg(F.min("id").alias("ref"), F.max("id").alias("most"), F.min_by("pos", "id").alias("ref_pos"))
-              .where("ref < most").select("anchor", "ref", "ref_pos"))
+    # (stored: a join on a plain scan can be split where an anchor is hot)
+    origin = stored(every.groupBy("anchor").agg(F.min("id").alias("ref"), F.max("id").alias("most"), F.min_by("pos", "id").alias("ref_pos"))
+                    .where("ref < most").select("anchor", "ref", "ref_pos"), "origins")
     uses = (every.join(origin, "anchor").join(copies, ["id", "tid"], "left_anti")
             .groupBy("id", "tid").agg(F.collect_list(F.struct("pos", "low", "high", "ref", "ref_pos")).alias("uses")))
 
@@ -224,7 +225,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     matched = stored(segments.join(blocks, ["ref", "block"]).mapInArrow(factor, "id long, tid int, lo long, hi long, k1 long, k2 long"), "factors")
     border = matched.where("k1 IS NOT NULL")
-    again = border.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    again = stored(border.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"), "windows")
     spans = (matched.where("k1 IS NULL").select("id", "tid", "lo", "hi")
              .unionByName(border.join(again, ["k1", "k2"]).where("id > least").select("id", "tid", "lo", "hi")))
     flagged = parsed.select("id", "tid", "n_words", "whole", "body").join(copies.withColumn("copy", F.lit(True)), ["id", "tid"], "left")
