@@ -24,6 +24,7 @@ other; other columns are never read; an empty table gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -38,26 +39,27 @@ from .words import words
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 PIECES_PER_GROUP = 20_000
-TRIAL = 64  # distinct waiting lengths looked at for a trial fill of one bin
+TRIAL = LENGTHS[-1]  # pieces of a token that a bin can hold; bounds the plain scans of the tests, nothing here
 
 
-def open_length(first: int, waiting: list[int], lengths: Sequence[int], overhead: float) -> int:
+def open_length(first: int, waiting: list[int], count: list[int], lengths: Sequence[int], overhead: float) -> int:
     """The permitted length with the least cost per token when a bin is opened
     for ``first``: a trial fill takes, again and again, the longest waiting
-    piece (``waiting`` is ascending) that still fits."""
+    piece (``waiting`` has the distinct sizes, ascending, and ``count`` how many
+    wait of each) that still fits, until none does; equal pieces are taken at once."""
     best, best_cost = lengths[-1], float("inf")
     for length in lengths:
         if length < first:
             continue
-        room, used, hi, steps = length - first, first, len(waiting), 0
-        while room and hi and steps < TRIAL:
-            hi = min(hi, bisect_left(waiting, room + 1))
+        room, used, hi = length - first, first, len(waiting)
+        while room and hi:
+            hi = bisect_left(waiting, room + 1, 0, hi)
             if not hi:
                 break
             hi -= 1
-            room -= waiting[hi]
-            used += waiting[hi]
-            steps += 1
+            taken = min(count[hi], room // waiting[hi]) * waiting[hi]
+            room -= taken
+            used += taken
         cost = (length + overhead) / used
         if cost < best_cost:
             best, best_cost = length, cost
@@ -69,18 +71,23 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: float
     length. Pieces must not exceed the largest length."""
     lengths = sorted(lengths)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    waiting = sorted(sizes)
+    waiting = sorted(set(sizes))
+    number = Counter(sizes)
+    count = [number[s] for s in waiting]
     room: list[tuple[int, int]] = []  # (free tokens, bin), ascending
     filled: list[int] = []
     where, offset = [0] * len(sizes), [0] * len(sizes)
     for i in order:
         size = sizes[i]
-        waiting.pop()
+        count[-1] -= 1  # the longest that waits
+        if not count[-1]:
+            waiting.pop()
+            count.pop()
         k = bisect_left(room, (size, -1))
         if k < len(room):
             free, b = room.pop(k)
         else:
-            b, free = len(filled), open_length(size, waiting, lengths, overhead)
+            b, free = len(filled), open_length(size, waiting, count, lengths, overhead)
             filled.append(0)
         where[i], offset[i] = b, filled[b]
         filled[b] += size

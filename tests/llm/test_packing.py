@@ -58,3 +58,25 @@ def test_every_token_is_packed_once(spark):
 def test_lengths_must_be_positive(spark):
     with pytest.raises(ValueError):
         packing.pack_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), ())
+
+
+def test_a_long_bin_of_many_short_pieces():
+    """4096 + 16 for 512 pieces of 8 tokens is the least cost a token."""
+    where, _, length = packing.pack([8] * 5_000)
+    assert length[:9] == [4096] * 9 and sum(x + 16 for x in length) / 40_000 < 1.02  # bins of 512 only: 1.043
+    assert [where.count(b) for b in range(9)] == [512] * 9
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trial_fill_runs_to_its_end(seed):
+    rnd = random.Random(seed)
+    waiting = sorted(rnd.choice([1, 2, 3, 8, rnd.randint(1, 40)]) for _ in range(rnd.choice([90, 900, 2_500])))
+    first, cost = waiting[-1], []
+    for length in packing.LENGTHS:
+        room, left = length - first, list(waiting)
+        while any(x <= room for x in left):
+            at = max(k for k, x in enumerate(left) if x <= room)
+            room -= left.pop(at)
+        cost.append(((length + 16) / (length - room), length))
+    distinct = sorted(set(waiting))
+    assert packing.open_length(first, distinct, [waiting.count(x) for x in distinct], packing.LENGTHS, 16) == min(cost)[1]
