@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from swellcast.llm import exact, langid, near, packing, substring
 from swellcast.llm.common import read, stored
 
-MIN_LANGUAGE_SCORE = 0.4  # below, no language fits the text
+MIN_LANGUAGE_SCORE = 0.4  # below, no language fits the text, nor do several fit its words
 
 
 def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents in which no learned language is found."""
+    """Drop the documents in which no learned language is found; those in
+    several languages stay."""
     return langid.keep_identified(docs, langid.train(docs, F.lit(True)), MIN_LANGUAGE_SCORE)
 
 

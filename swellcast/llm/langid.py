@@ -37,6 +37,7 @@ TABLE = 1 << 17  # hashed features
 LEXICON = 20_000  # frequent sample words that are features themselves
 NGRAMS = 5
 EPOCHS, BATCH, RATE = 6, 64, 0.1
+CONFIDENT = 0.8  # a word whose label is this probable is recognised
 UNDETERMINED = "und"
 
 
@@ -194,9 +195,11 @@ def label_words(texts: list[str], model: Model) -> tuple[Words, np.ndarray]:
     return w, marginals(emissions(ids, owners, len(one), model.weight)[back], w.ptr, model.step, model.first)
 
 
-def predict(texts: list[str], model: Model) -> list[tuple[str, float]]:
+def judged(texts: list[str], model: Model) -> list[tuple[str, float, float]]:
+    """Language, its mean probability, and the share of the words that are
+    recognised, each in whatever language."""
     if not model.labels:
-        return [(UNDETERMINED, 0.0)] * len(texts)
+        return [(UNDETERMINED, 0.0, 0.0)] * len(texts)
     w, p = label_words(texts, model)
     # bytes of letters: ASCII letters or any non-ASCII byte stand for a worded token
     buf = w.buf
@@ -206,15 +209,20 @@ def predict(texts: list[str], model: Model) -> list[tuple[str, float]]:
     out = []
     for i, text in enumerate(texts):
         if not any(map(str.isalpha, text)):
-            out.append((UNDETERMINED, 0.0))
+            out.append((UNDETERMINED, 0.0, 0.0))
             continue
         own = slice(w.ptr[i], w.ptr[i + 1])
-        mean = p[own][worded[own]].mean(0, dtype=np.float64) if worded[own].any() else p[own].mean(0, dtype=np.float64)
+        each = p[own][worded[own]] if worded[own].any() else p[own]
+        mean = each.mean(0, dtype=np.float64)
         best = int(mean.argmax())
-        out.append((model.labels[best], float(min(1.0, mean[best]))))
+        out.append((model.labels[best], float(min(1.0, mean[best])), float((each.max(1) >= CONFIDENT).mean())))
     return out
 
 
+def predict(texts: list[str], model: Model) -> list[tuple[str, float]]:
+    return [(lang, score) for lang, score, _ in judged(texts, model)]
+
+
 def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Fit on a hash sample of the ``usable`` rows that have a label."""
@@ -246,12 +254,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is found with at least ``min_score``."""
+    """The rows, with all their columns, whose language is found with at least
+    ``min_score``, or of whose words at least that share is recognised: a text
+    in several languages has no language of a high mean."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 8 << 20, text_col):
-            found = predict(texts_of(part, text_col), shared.value)
-            yield part.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
+            found = judged(texts_of(part, text_col), shared.value)
+            yield part.filter(pa.array([lang != UNDETERMINED and max(score, known) >= min_score for lang, score, known in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

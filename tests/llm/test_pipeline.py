@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as p
 from brute import near_components, without_repeats
 from pyspark.sql import functions as F
@@ -47,3 +49,15 @@ def test_awkward_rows(spark):
             out = stored(stage(spark, out, SF), name)
         assert sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == want
         assert p.pack(spark, out, SF).count() == len(want)
+
+
+def test_texts_in_several_languages_stay(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = given.select("doc_id", "text", "lang")
+    by = {r.lang: r.text.split()[:40] for r in given.where("n_chars between 800 and 2000").dropDuplicates(["lang"]).collect()}
+    rnd = random.Random(1)
+    letters = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 10))) for _ in range(200))
+    rows = [(-1, " ".join(by["en"] + by["de"] + by["fr"]), None), (-2, " ".join(sum(by.values(), [])), None), (-3, letters, None)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = {r.doc_id for r in p.language_id(spark, more, SF).where("doc_id < 0").collect()}
+    assert len(by) == 4 and got == {-1, -2}
