@@ -10,6 +10,13 @@ with few links. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are cut out by tag, role, class and id
 before scoring.
 
+A class or id alone is weak evidence ("discussion" names a chapter as well as a
+forum). It never cuts a heading. Inside an article or main element it cuts
+nothing of running text, tables' cells or paragraphs; a section or list item only
+if most of its text is linked, and any other element if that is so or its text is
+short; reader comments are cut by name alone. Lists of links stay inside the
+chosen container, unless that is the whole page.
+
 Defined results: null html counts as empty and gives an empty text; a page
 without any paragraph-like block gives the text of its largest remaining
 container; character references are decoded once; white space inside a block
@@ -44,6 +51,10 @@ footer\w*|header\w*|masthead|share|sharing|social\w*|comment\w*|disqus|respon[ds
 pagination|pager|copyright|legal|disclaimer|form|search\w*|hidden|skip\w*)(?:$|[\s_-])""")
 # "has-sidebar" says something of the page, not that the element is a sidebar
 MODIFIER = re.compile(r"(?i)(?:has|with|without|no|is|js|layout)[-_]")
+COMMENTS = re.compile(r"(?i)(?:^|[\s_-])(?:comment\w*|disqus|respond|reply|replies)(?:$|[\s_-])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = frozenset("p pre blockquote figcaption caption table thead tbody tfoot tr td th dt dd".split()) | HEADINGS
+SHORT, LINKED = 80, 0.5  # characters, and share of them in links, of an element that its name calls unwanted
 WANTED = re.compile(r"(?i)(?:article|post|entry|story|main|content|page|text|body)(?:[-_]|$)")
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -52,38 +63,86 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "bad", "score", "depth")
+    __slots__ = ("tag", "parent", "kids", "bad", "doubted", "inside", "score", "depth")
 
     def __init__(self, tag: str, parent: "Node | None", bad: bool) -> None:
-        self.tag, self.parent, self.bad = tag, parent, bad
+        self.tag, self.parent, self.bad, self.doubted = tag, parent, bad, False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.kids: list = []  # nodes and strings in page order
         self.score, self.depth = 0.0, parent.depth + 1 if parent else 0
 
 
-def unwanted(tag: str, attrs: str) -> bool:
+NO, BY_NAME, COMMENT, YES = range(4)
+
+
+def unwanted(tag: str, attrs: str) -> int:
+    """Whether an element is cut: not, by its class or id, as reader comments,
+    or by its tag, role or style."""
     if tag in DROPPED:
-        return True
+        return YES
     if not attrs or tag in KEEPERS:
-        return False
+        return NO
+    found = NO
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             names = [v for v in value.split() if not MODIFIER.match(v)]
             bad = [v for v in names if UNWANTED.search(v)]
             if bad and not any(WANTED.match(v) for v in names if v not in bad):
-                return True
+                found = max(found, COMMENT if any(COMMENTS.search(v) for v in bad) else BY_NAME)
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return YES
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return YES
+    return found
+
+
+def opened(tag: str, attrs: str, at: Node) -> Node:
+    """The element's node, cut where its name is enough, doubted where its
+    contents decide (see :func:`settle`)."""
+    node, why = Node(tag, at, False), unwanted(tag, attrs)
+    if why == YES:
+        node.bad = True
+    elif why and tag not in HEADINGS:
+        if not node.inside:
+            node.bad = True
+        elif tag not in RUNNING:
+            up = at
+            while up.tag not in BLOCK:
+                up = up.parent
+            if tag in BLOCK or up.tag not in RUNNING and up.tag != "li":
+                node.bad, node.doubted = why == COMMENT, why == BY_NAME
+    return node
+
+
+def settle(root: Node) -> None:
+    """Cut the doubted elements that look like boilerplate, inner ones first."""
+    stack: list = [(root, iter(root.kids), False, [0, 0])]
+    while stack:
+        at, kids, link, total = stack[-1]
+        for kid in kids:
+            if isinstance(kid, str):
+                n = len(SPACE.sub(" ", unescape(kid)).strip())
+                total[0] += n
+                total[1] += n if link else 0
+            elif not kid.bad:
+                stack.append((kid, iter(kid.kids), link or kid.tag == "a", [0, 0]))
+                break
+        else:
+            stack.pop()
+            n, linked = total
+            if at.doubted:
+                at.bad = linked > LINKED * n or n < SHORT and at.tag not in ("section", "li")
+            if stack and not at.bad:
+                stack[-1][3][0] += n
+                stack[-1][3][1] += linked
 
 
 def parse(html: str) -> Node:
     """Lenient tree: a block start closes an open paragraph, an end tag closes
     back to its nearest opener within the same block, stray ends are ignored."""
     root = Node("html", None, False)
-    at, pos, n = root, 0, len(html)
+    at, pos, n, doubts = root, 0, len(html), False
     while pos < n:
         m = TOKEN.search(html, pos)
         if not m:
@@ -124,7 +183,8 @@ def parse(html: str) -> Node:
         if tag in VOID:
             at.kids.append(Node(tag, at, False))
             continue
-        node = Node(tag, at, unwanted(tag, m[3]))
+        node = opened(tag, m[3], at)
+        doubts |= node.doubted
         at.kids.append(node)
         if m[3].endswith("/"):
             continue
@@ -135,6 +195,8 @@ def parse(html: str) -> Node:
             pos = end.end() if end else n
             continue
         at = node
+    if doubts:
+        settle(root)
     return root
 
 
@@ -232,7 +294,8 @@ def main_text(html: str | None) -> str:
         up = owner
         while up is not None and up not in keep:
             up = up.parent
-        if up is not None and not (owner.tag in ("li", "ul", "ol", "div") and linked > 0.8 * len(text)):
+        inside = up is best and best.tag not in ("html", "body")
+        if up is not None and (inside or not (owner.tag in ("li", "ul", "ol", "div") and linked > 0.8 * len(text))):
             kept.append(text)
     return "\n".join(kept)
 

@@ -37,3 +37,24 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*?)</article>", html[r.page_id], re.S)[1].replace("<br>", " ")
         blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"</?b>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_names_inside_an_article():
+    kept = [f'<section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section>', '<h2 id="related-work">Related work</h2>', '<h2 id="search">Search</h2>',
+            f'<section id="legal"><p>{LONG}</p><p>Short one.</p></section>', '<p class="notice">Mind the gap.</p>', f'<div id="feedback"><p>{LONG}</p></div>',
+            '<p>One <span class="search-term">found</span> word, <a class="related" href=x>linked</a>.</p>', '<ul><li class="notice">An item</li></ul>',
+            '<table class="legal"><tr><td class="form">Cell</td></tr></table>', '<ol><li><a href=x>First reference</a></li><li><a href=y>Second reference</a></li></ol>',
+            '<div><a href=z>A linked line</a></div>']
+    cut = ['<div class="share"><a href=x>Share this page with all of your friends, with your family and with everybody else on earth</a></div>',
+           '<section id="related"><h3>More</h3><ul><li><a href=x>Another story</a></li><li><a href=y>Yet another story</a></li></ul></section>',
+           '<div class="ad-slot">Buy now, cheap</div>', f'<section id="comments"><p>{LONG} {LONG}</p></section>', f'<aside class="related">{LONG}</aside>']
+    for tag in ("article", "main"):
+        got = main_text(f"<body><{tag}><h1>Title</h1><p>{LONG}</p>" + "".join(kept + cut) + f"</{tag}></body>").split("\n")
+        assert got == ["Title", LONG, "Discussion", LONG, "Related work", "Search", LONG, "Short one.", "Mind the gap.", LONG, "One found word, linked.", "An item", "Cell",
+                       "First reference", "Second reference", "A linked line"]
+
+
+def test_names_inside_a_plain_container():
+    links = "".join(f"<li><a href=x>Reference {k}</a></li>" for k in range(3))
+    got = main_text(f'<body><div id="content"><h2 id="related-work">Related work</h2><p>{LONG}</p><p>{LONG}</p><ul>{links}</ul></div><div class="sidebar"><p>{LONG}</p></div></body>')
+    assert got == f"Related work\n{LONG}\n{LONG}\nReference 0\nReference 1\nReference 2"
