@@ -14,9 +14,12 @@ A bucket never turns into all its pairs. First every member meets the smallest
 id of its buckets, then, where a bucket still holds several components, a
 member of another one; one pair a member and round, and members that are
 connected need no more pairs. What is then left (members of different
-components in one bucket) is judged in memory, in tiles of bounded size: pairs
-that pass the posterior test are compared on their whole sets, and a tile emits
-only links that join two components, so at most one for each of its members.
+components in one bucket) is judged in memory, in tiles of bounded size, and so
+many tiles at a time as fit a bounded number of bytes. Tiles first get
+signatures alone and name the members that pass the posterior test with
+another; only these members' texts go to the tile, where the pairs that pass are
+compared on their whole sets, and a tile emits only links that join two
+components, so at most one for each of its members.
 So every candidate pair of different components is judged, and no link between
 components is lost.
 
@@ -47,6 +50,8 @@ HASHES = BANDS * ROWS
 BATCH = 32  # hashes compared at a time
 MISS = 1e-7
 TILE = 256  # members of a tile's side
+GROUP_BYTES = 16 << 20  # of the tiles that one task call holds
+ROW_BYTES = 1_000  # of a tile's row without its text
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=U) * U(2) + U(1)
@@ -187,7 +192,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         links = links.unionByName(fresh)
         joined = connected(links)
         open_ = still_open(joined)
-    left = stored(verified(_tiles(open_, sigs.join(texts, "id"), least, percent, run)), "links")
+    left = stored(verified(_tiles(open_, sigs, least, percent, run, texts)), "links")
     if not left.isEmpty():
         joined = connected(links.unionByName(left))
     rows = signed.select("id", "n", "k1", "k2")
@@ -197,23 +202,56 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
-def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: int, run: int = RUN) -> DataFrame:
-    """Links that join different components of one bucket. ``known`` has id,
-    sig and text. A bucket's members are dealt into sides of about ``TILE``;
-    each pair of sides is one tile, judged in memory, and emits a forest."""
+def _groups(rows: int, texts: int = 0) -> int:
+    """Groups for so many tile rows and bytes of text in them."""
+    return max(8, -(-(rows * ROW_BYTES + texts) // GROUP_BYTES))
+
+
+def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: int, run: int = RUN, texts: DataFrame | None = None) -> DataFrame:
+    """Links that join different components of one bucket. ``known`` has id and
+    sig, and ``texts`` (or else ``known``) id and text. A bucket's members are
+    dealt into sides of about ``TILE``; each pair of sides is one tile, judged in
+    memory, and emits a forest."""
+    texts = known.select("id", "text") if texts is None else texts
+    sigs = known.select("id", "sig")
     sides = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = open_.select("key", "id", "c", sides.alias("sides")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    dealt = open_.select("key", "id", "c", sides.alias("sides")).distinct().withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
     tiles = (dealt.select("key", "id", "c", "side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
-             .select("key", "id", "c", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side").distinct()
-             .join(known, "id"))
-    groups = max(8, open_.count() // 500)
+             .select("key", "id", "c", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"))
+    members_, rows = open_.agg(F.count(F.lit(1)), F.sum(sides.cast("long"))).first()
+
+    def grouped(tiles: DataFrame, groups: int):
+        return tiles.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(groups, members_ // 500)))).groupBy("group")
+
+    def halves(tile: pd.DataFrame, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        if i == j:
+            return (np.arange(len(tile)),) * 2
+        return np.flatnonzero(tile["side"] == i), np.flatnonzero(tile["side"] == j)
+
+    def screen(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The members that pass with one of another component in their tile."""
+        out = [pdf.iloc[:0]]
+        for (_, i, j), tile in pdf.groupby(["key", "i", "j"], sort=False):
+            ids, comp, sig = tile["id"].to_numpy(), tile["c"].to_numpy(), _signatures(tile["sig"])
+            x, y = halves(tile, i, j)
+            hit = np.zeros(len(tile), bool)
+            for at in x:
+                to = y[(comp[y] != comp[at]) & (ids[y] > ids[at] if i == j else True)]
+                to = to[alive(np.broadcast_to(sig[at], (len(to), HASHES)), sig[to], least)]
+                hit[to] = True
+                hit[at] |= len(to) > 0
+            out.append(tile[hit])
+        return pd.concat(out)[["key", "id", "c", "i", "j", "side"]]
+
+    passed = stored(grouped(tiles.join(sigs, "id"), _groups(rows or 0)).applyInPandas(screen, "key long, id long, c long, i int, j int, side int"), "passed")
+    rows, size = passed.join(texts.select("id", F.octet_length("text").alias("size")), "id").agg(F.count(F.lit(1)), F.sum(F.col("size").cast("long"))).first()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, i, j), tile in pdf.groupby(["key", "i", "j"], sort=False):
             ids, sig, sets = tile["id"].to_numpy(), _signatures(tile["sig"]), {}
             _, comp = np.unique(tile["c"].to_numpy(), return_inverse=True)  # merged as links are found
-            x, y = (np.arange(len(tile)),) * 2 if i == j else (np.flatnonzero(tile["side"] == i), np.flatnonzero(tile["side"] == j))
+            x, y = halves(tile, i, j)
 
             def members(at: int) -> np.ndarray:
                 if at not in sets:
@@ -232,8 +270,7 @@ def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: i
                         out.append((min(ids[at], ids[b]), max(ids[at], ids[b])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return (tiles.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).groupBy("group")
-            .applyInPandas(compare, "a long, b long").distinct())
+    return grouped(passed.join(sigs, "id").join(texts, "id"), _groups(rows, size or 0)).applyInPandas(compare, "a long, b long").distinct()
 
 
 # DuckDB, over all shared shingles; for comparing on small tables

@@ -69,3 +69,23 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 200)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)} | {200: 200, 300: 200}
+
+
+def test_groups_of_tiles_are_bounded_and_texts_go_where_pairs_pass(spark, monkeypatch):
+    """Members of one hot bucket that are nothing like each other, but for two."""
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcdefghijkl") + rnd.choice("mnopq") for _ in range(60)) for _ in range(600)]
+    texts[1] = texts[0] + " more"
+    sig = [near.signature(near.shingle_set(near.words([t]).hashes())).tobytes() for t in texts]
+    known = spark.createDataFrame(pd.DataFrame({"id": range(600), "sig": sig}), "id long, sig binary")
+    body = spark.createDataFrame(pd.DataFrame({"id": range(600), "text": texts}), "id long, text string")
+    members = spark.createDataFrame(pd.DataFrame({"key": 7, "id": range(600), "c": range(600), "size": 600}), "key long, id long, c long, size long")
+    asked, groups, stored, kept = [], near._groups, near.stored, []
+    monkeypatch.setattr(near, "TILE", 60)
+    monkeypatch.setattr(near, "GROUP_BYTES", 100_000)
+    monkeypatch.setattr(near, "_groups", lambda *x: asked.append((x, groups(*x))) or asked[-1][1])
+    monkeypatch.setattr(near, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    assert [tuple(r) for r in near._tiles(members, known, near.least_matches(0.85), 85, texts=body).collect()] == [(0, 1)]
+    assert {r.id for r in kept[0].collect()} == {0, 1}
+    assert asked[0] == ((6_000,), 60)  # tile rows: each of 600 members in ten tiles; 600 // 500 groups would hold thousands of rows
+    assert asked[1][0][0] == 2 and asked[1][0][1] == len(texts[0]) + len(texts[1])
