@@ -5,8 +5,9 @@ url's path starts with the rule's path, and the longest fitting rule decides.
 Urls without a rule are judged by boosted trees on lexical features (lengths,
 depth, digit ratio, character entropy, hyphens, host labels, parameter counts,
 and how often the suffix of the host and the first path part are blocked among
-the labelled urls). The trees are trained on labelled urls - here those that a
-rule decides - of which a hash sample of about ``max_train`` rows is read.
+the labelled urls). The labelled urls are here those that a rule decides. The
+block rates count all of them; the trees are fitted to a hash sample of about
+``max_train`` rows.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
 fits no rule and is judged by the trees; without labelled urls of both kinds
@@ -29,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 MAX_TRAIN = 20_000
 TREES, DEPTH, RATE = 20, 4, 0.2
+KEYS = ("k_suffix", "k_domain", "k_part")
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -62,6 +66,13 @@ def entropy(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def keys(host: Column, path: Column) -> list[Column]:
+    """The keys of the block rates."""
+    labels = F.split(host, r"\.")
+    return [F.element_at(labels, -1).alias("k_suffix"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("k_domain"),
+            F.regexp_extract(path, r"^/([^/]*)", 1).alias("k_part")]
+
+
 def lexical(urls: DataFrame, url: str, host: str, path: str) -> DataFrame:
     """Add the lexical feature columns ``f_*`` and the keys ``k_*`` of the
     suffix statistics."""
@@ -80,9 +91,7 @@ def lexical(urls: DataFrame, url: str, host: str, path: str) -> DataFrame:
         F.size(labels).alias("f_labels"), F.coalesce(longest, F.lit(0)).alias("f_longest_label"),
         F.size(F.filter(F.split(query, "&"), lambda x: x != "")).alias("f_parameters"), F.length(query).alias("f_query_length"),
         u.startswith("https:").cast("int").alias("f_https"), u.contains("#").cast("int").alias("f_fragment"),
-        F.element_at(labels, -1).alias("k_suffix"),
-        F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("k_domain"),
-        F.regexp_extract(p, r"^/([^/]*)", 1).alias("k_part"))
+        *keys(h, p))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
@@ -108,21 +117,16 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: st
     share = min(1.0, max_train / n)
     sample = lexical(known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share * 1_000_000), "url", "host", "path")
     prior = blocked / n
-    stats = {k: {r[0]: (r[1] + 4 * prior) / (r[2] + 4) for r in sample.groupBy(k).agg(F.sum("label"), F.count(F.lit(1))).collect()}
-             for k in ("k_suffix", "k_domain", "k_part")}  # at most max_train keys each
-    shared = pages.sparkSession.sparkContext.broadcast((stats, prior))
-
-    def rate(kind: str) -> Column:
-        @F.pandas_udf("double")
-        def look(key: pd.Series) -> pd.Series:
-            table, default = shared.value
-            return key.map(lambda k: table[kind].get(k, default)).astype("float64")
-        return look(F.coalesce(F.col(kind), F.lit("")))
+    # block rates of every key over all labelled urls; the tables stay distributed
+    keyed = stored(known.select("label", *keys(F.col("host"), F.col("path"))), "keys")
+    stats = {k: stored(keyed.groupBy(k).agg(((F.sum("label") + 4 * prior) / (F.count(F.lit(1)) + 4)).alias(f"f_{k[2:]}_rate")), f"rates-{k[2:]}") for k in KEYS}
 
     def featured(df: DataFrame) -> DataFrame:
-        return df.withColumns({f"f_{k[2:]}_rate": rate(k) for k in stats})
+        for k, table in stats.items():
+            df = df.join(table, k, "left")
+        return df.fillna(prior, [f"f_{k[2:]}_rate" for k in KEYS])
 
-    names = [c for c in sample.columns if c.startswith("f_")] + [f"f_{k[2:]}_rate" for k in stats]
+    names = [c for c in sample.columns if c.startswith("f_")] + [f"f_{k[2:]}_rate" for k in KEYS]
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=7, labelCol="label")
     model = trees.fit(assemble.transform(featured(sample)).select("features", "label"))

@@ -43,3 +43,27 @@ def test_held_out_labelled_urls(spark):
 def test_one_kind_only(spark):
     df = spark.createDataFrame([(1, "http://a.com/"), (2, "http://b.org/"), (3, None)], "page_id long, url string")
     assert {r.verdict for r in urls.judge(df).collect()} == {"allow"}
+
+
+def test_block_rates_count_labelled_urls_outside_the_sample(spark):
+    """Hosts whose labelled urls the sample of the fit hardly meets."""
+    rows = [(f"http://{kind}{k}.org/{x}", verdict) for kind, verdict in (("a", "allow"), ("b", "block")) for k in range(150) for x in range(6)]
+    labels = spark.createDataFrame([(u.replace("/a", "/h").replace("/b", "/g") if k % 2 else u, v) for k, (u, v) in enumerate(rows)], "url string, verdict string")
+    seen = {}
+    keep = urls.VectorAssembler.transform
+
+    def spy(self, df, *args):
+        seen.setdefault("frames", []).append(df)
+        return keep(self, df, *args)
+
+    urls.VectorAssembler.transform = spy
+    try:
+        pages = labels.selectExpr("CAST(row_number() OVER (ORDER BY url) AS LONG) AS page_id", "url")
+        urls.judge(pages, rules=(("nowhere.invalid/", "allow"),), labels=labels, max_train=200)
+    finally:
+        urls.VectorAssembler.transform = keep
+    want = {}
+    for u, v in (tuple(r) for r in labels.collect()):
+        want.setdefault(u.split("/")[2], []).append(v == "block")
+    got = {r.host: r.f_domain_rate for r in seen["frames"][1].select("host", "f_domain_rate").distinct().collect()}
+    assert got.keys() == want.keys() and all(abs(got[h] - (sum(x) + 2) / (len(x) + 4)) < 1e-9 for h, x in want.items())
