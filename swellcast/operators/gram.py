@@ -43,7 +43,7 @@ def partial_gram(df: DataFrame, build: Callable[[pd.DataFrame], np.ndarray | Non
         pdf = pdf.sort_values(idx, kind="stable").reset_index(drop=True)
         z = build(pdf)
         if z is None or len(z) == 0:
-            return pd.DataFrame({"series_id": [], "col": [], "i": [], "j": [], "v": []})
+            return pd.DataFrame({"series_id": np.zeros(0, object), "col": np.zeros(0, object), "i": np.zeros(0, "int32"), "j": np.zeros(0, "int32"), "v": np.zeros(0)})
         g = z.T @ z
         ii, jj = np.triu_indices(g.shape[0])
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "col": pdf["col"].iloc[0],

@@ -17,7 +17,8 @@ first yields its whole map, the maps of a series are composed in order (one
 small row per chunk), and every chunk is then walked from its exact state:
 gaps of any length are filled, whatever the chunks. Before the first
 observation the series is taken as that first value, which also fills a
-leading gap. A series without any value stays empty.
+leading gap. A series too short for a model is filled with its mean (order 0).
+A series without any value stays empty; its rows are kept, NULL and flagged.
 """
 
 from __future__ import annotations
@@ -116,9 +117,12 @@ def fill_gaps(raw_long: DataFrame, model: DataFrame, chunk: int = CHUNK) -> Data
     """Fill NULL values of ``raw_long(series_id, col, idx, value)`` with the
     model's one-step predictions; output ``(series_id, col, idx, value,
     imputed)``. The result does not depend on ``chunk``."""
-    first = raw_long.where(F.col("value").isNotNull()).groupBy(*KEYS).agg(F.min("idx").alias("t0"), F.min_by("value", "idx").alias("y0"))
-    x = raw_long.join(model.select(*KEYS, "d", "p", "q", "c", "phi", "theta"), KEYS, "inner").join(first, KEYS, "left") \
-        .withColumn("_chunk", F.floor(F.col("idx") / F.lit(chunk)))
+    first = raw_long.where(F.col("value").isNotNull()).groupBy(*KEYS).agg(F.min("idx").alias("t0"), F.min_by("value", "idx").alias("y0"), F.avg("value").alias("mean"))
+    none = F.array().cast("array<double>")
+    x = raw_long.join(model.select(*KEYS, "d", "p", "q", "c", "phi", "theta"), KEYS, "left").join(first, KEYS, "left") \
+        .withColumns({"c": F.coalesce("c", "mean"), "phi": F.coalesce("phi", none), "theta": F.coalesce("theta", none),
+                      **{k: F.coalesce(k, F.lit(0)) for k in ("d", "p", "q")}}) \
+        .drop("mean").withColumn("_chunk", F.floor(F.col("idx") / F.lit(chunk)))
 
     def parts(pdf: pd.DataFrame):
         pdf = pdf.sort_values("idx", kind="stable")

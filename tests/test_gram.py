@@ -298,3 +298,16 @@ def test_cf_cycle_equals_the_weighted_sums(spark):
                 assert abs(w.sum()) < 1e-9
         own = got[10][got[10]["series_id"] == name]["cycle"].to_numpy()
         assert np.allclose(own, want, atol=1e-9), name
+
+
+def test_impute_arma_keeps_series_without_a_model(spark):
+    from swellcast.operators.impute import impute_arma
+    short = [("short", "v", i, None if i in (0, 4, 5) else float(i)) for i in range(10)]
+    empty = [("empty", "v", i, None) for i in range(30)]
+    schema = "series_id string, col string, idx long, value double"
+    seen = [x[3] for x in short if x[3] is not None]
+    filled = [(*x[:3], x[3] if x[3] is not None else 1.0) for x in short] + empty
+    got = impute_arma(spark.createDataFrame(short + empty, schema), spark.createDataFrame(filled, schema), chunk=7).collect()
+    one = {r.idx: (r.value, r.imputed) for r in got if r.series_id == "short"}
+    assert one == {i: (v, False) if v is not None else (1.0 if i == 0 else pytest.approx(sum(seen) / len(seen)), True) for _, _, i, v in short}
+    assert sorted((r.idx, r.value, r.imputed) for r in got if r.series_id == "empty") == [(i, None, True) for i in range(30)]
