@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, html, langid, lm, near, packing, simhash, substring, urls
+from . import bpe, exact, html, langid, lm, near, packing, repair, shards, simhash, substring, urls, whiten
 from .common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,18 @@ def tokenizer_path() -> str:
 @query("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten_table(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_token_shards")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.write_and_read(read(spark, sf_dir, "documents"), tokenizer_path())
