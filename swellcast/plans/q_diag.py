@@ -208,14 +208,17 @@ def d2_mann_kendall(spark, sf):
     return m.select("series_id", "col", "n", "s", "var_s", z_score(F.col("s"), F.col("var_s")).alias("z"))
 
 
-@register("d3_prewhitened_mk", _filled_long_sql() + f""",
+_PW_SQL = """,
 mm AS (SELECT series_id, col, avg(value) AS m FROM lng GROUP BY 1, 2),
 dv AS (SELECT l.*, l.value - mm.m AS d FROM lng l JOIN mm USING (series_id, col)),
 r1t AS (SELECT series_id, col, sum(d * dl) / sum(d * d) AS r1 FROM
         (SELECT series_id, col, d, lag(d) OVER (PARTITION BY series_id, col ORDER BY idx) AS dl FROM dv) GROUP BY 1, 2),
 pw AS (SELECT l.series_id, l.col, l.idx, ROUND(l.value - p.value * r.r1, 12) AS value FROM lng l
        JOIN lng p ON p.series_id = l.series_id AND p.col = l.col AND p.idx = l.idx - 1
-       JOIN r1t r ON r.series_id = l.series_id AND r.col = l.col)""" + _mk_sql("pw") + ",\nmk AS (SELECT * FROM mk0)\n" + _MK_OUT)
+       JOIN r1t r ON r.series_id = l.series_id AND r.col = l.col)"""
+
+
+@register("d3_prewhitened_mk", _filled_long_sql() + _PW_SQL + _mk_sql("pw") + ",\nmk AS (SELECT * FROM mk0)\n" + _MK_OUT)
 def d3_prewhitened_mk(spark, sf):
     """Mann-Kendall on the pre-whitened series y_t - r1 * y_{t-1}."""
     from ..operators.trend import mk_score, prewhiten, z_score
@@ -239,8 +242,7 @@ def d4_seasonal_mk(spark, sf):
 
 @register("d2_trend_test")
 def d2_trend_test(spark, sf):
-    """check_trend without Sen's slope: S, z, two-sided normal p and the
-    trend flag (p < 0.05) of every filled column."""
+    """S, z, two-sided normal p and the trend flag (p < 0.05) of every filled column."""
     from ..operators.trend import mann_kendall
     return mann_kendall(filled_long(spark, sf))
 
@@ -277,9 +279,12 @@ def m5_model_impute(spark, sf):
     return out.where(F.col("imputed")).select("series_id", "col", "idx", "value")
 
 
-@register("d2_sen_slope", _filled_long_sql() + f""",
+_SLOPE_SQL = """
 sl AS (SELECT a.series_id, a.col, median((b.value - a.value) / (b.idx - a.idx)) AS slope
-       FROM lng a JOIN lng b ON a.series_id = b.series_id AND a.col = b.col AND a.idx < b.idx GROUP BY 1, 2)
+       FROM lng a JOIN lng b ON a.series_id = b.series_id AND a.col = b.col AND a.idx < b.idx GROUP BY 1, 2)"""
+
+
+@register("d2_sen_slope", _filled_long_sql() + f""",{_SLOPE_SQL}
 SELECT series_id, col, {rnd('slope', 'slope')}, CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction
 FROM sl""")
 def d2_sen_slope(spark, sf):
@@ -291,6 +296,43 @@ def d2_sen_slope(spark, sf):
                     F.when(F.col("slope") > 0, "increasing").otherwise("decreasing").alias("direction"))
 
 
+def _check_sql(test: str, slope: str) -> str:
+    z = "CASE WHEN s > 0 THEN (s - 1) / sqrt(var_s) WHEN s < 0 THEN (s + 1) / sqrt(var_s) ELSE 0 END"
+    return f"""
+SELECT mk.series_id, mk.col, {test} AS test, CAST(mk.n AS BIGINT) AS n, CAST(s AS BIGINT) AS s, {rnd('var_s', 'var_s')}, {rnd(z, 'z')},
+  abs({z}) > {Z_975} AS trend, CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, {rnd('slope', 'slope')}
+FROM mk JOIN {slope} USING (series_id, col)"""
+
+
+def _check(spark, sf, **how):
+    from ..operators.trend import check_trend
+    return check_trend(filled_long(spark, sf), **how).select("series_id", "col", "test", F.col("n").cast("long"), F.col("s").cast("long"),
+                                                             "var_s", "z", "trend", "direction", "slope")
+
+
+@register("d2_check_trend", _filled_long_sql() + _PW_SQL + f""",
+cnt AS (SELECT series_id, col, count(*) AS rows_all FROM lng GROUP BY 1, 2),
+src AS (SELECT l.* FROM lng l JOIN cnt USING (series_id, col) WHERE rows_all >= 50
+        UNION ALL SELECT p.* FROM pw p JOIN cnt USING (series_id, col) WHERE rows_all < 50),{_SLOPE_SQL}""" + _mk_sql("src")
+          + ",\nmk AS (SELECT * FROM mk0 JOIN cnt USING (series_id, col))" + _check_sql("CASE WHEN rows_all < 50 THEN 'pre-whitened' ELSE 'original' END", "sl"))
+def d2_check_trend(spark, sf):
+    """The trend check as one row per series and column: the test that the
+    length asks for, S, its variance, z, significance at 5 %, Sen's slope and
+    direction."""
+    return _check(spark, sf)
+
+
+@register("d4_check_trend", _filled_long_sql() + """,
+sl0 AS (SELECT series_id, col, CAST(idx % 24 AS VARCHAR) AS phase, idx // 24 AS idx, value FROM lng),
+ss AS (SELECT a.series_id, a.col, median((b.value - a.value) / (b.idx - a.idx)) AS slope FROM sl0 a JOIN sl0 b
+       ON a.series_id = b.series_id AND a.col = b.col AND a.phase = b.phase AND a.idx < b.idx GROUP BY 1, 2)""" + _mk_sql("sl0", "phase") + """,
+mk AS (SELECT series_id, col, sum(n) AS n, sum(s) AS s, sum(var_s) AS var_s FROM mk0 GROUP BY 1, 2)""" + _check_sql("'seasonal'", "ss"))
+def d4_check_trend(spark, sf):
+    """The seasonal trend check, period 24, in one row: S and variance over the
+    phases, and the median of the slopes between days at the same hour."""
+    return _check(spark, sf, period=24)
+
+
 def _normalised_long(spark, sf):
     """Every cleaned column, filled and divided by its maximum (P12), long."""
     norm = to_long(normalise_by_max(bases.met_filled(spark, sf), CLEAN_COLUMNS), CLEAN_COLUMNS, ["series_id", "idx"])

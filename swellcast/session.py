@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,9 @@ DEFAULT_CONF = {
     # the shared checkpoint folder does not grow without bound
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
+    # what a long session keeps on the driver about finished queries
+    "spark.sql.ui.retainedExecutions": "20",
+    "spark.sql.maxPlanStringLength": "200000",
 }
 
 
@@ -83,3 +87,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 materialize = cut_lineage
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it
+    back: an intermediate table that several jobs read is computed once, prunes
+    columns when it is re-read and survives lost executors. The folder is
+    removed when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/saved-{uuid.uuid4().hex[:12]}-{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

@@ -235,20 +235,6 @@ def test_gaps_of_any_length_do_not_depend_on_chunks(spark):
         assert abs(b[t] - (0.2 + 0.8 * b[t - 1] if np.isnan(y[t]) else y[t])) < 1e-9
 
 
-def test_sen_slope_matches_median_of_pairs(spark):
-    from swellcast.operators.trend import sen_slope
-    rng = np.random.default_rng(12)
-    series = {"noise": rng.normal(size=120).round(2) + 0.01 * np.arange(120),
-              "flat": np.where(rng.random(90) < 0.6, 2.0, rng.normal(size=90).round(1)),
-              "odd": rng.normal(size=33)}
-    got = {r["series_id"]: r["slope"] for r in sen_slope(_long(spark, series), small=40).collect()}
-    for k, y in series.items():
-        n = len(y)
-        s = [(y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n)]
-        want = float(np.median(s))
-        assert abs(got[k] - want) <= 1e-9 * max(1.0, abs(want)), (k, got[k], want)
-
-
 def test_random_search_picks_min_objective(spark):
     from pyspark.sql import functions as F
     from swellcast.operators.tuning import random_search, sample_trials

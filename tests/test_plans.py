@@ -49,6 +49,25 @@ def test_reads_do_not_grow_with_columns(spark, one, many):
     assert reads[1] <= reads[0]
 
 
+@pytest.mark.parametrize("name", ["d2_mann_kendall", "d3_prewhitened_mk", "d4_seasonal_mk"])
+def test_trend_tests_read_their_input_a_few_times(spark, name):
+    """Bounds (asked for by both passes, run once), chunks and buckets;
+    pre-whitening joins the series with itself."""
+    from swellcast.plans import bases, q_diag
+    one = _plan(q_diag.filled_long(spark, SF_SMALL)).split("Initial Plan")[0].count("Scan parquet")
+    rows = 1 if name != "d3_prewhitened_mk" else 5  # the series, the one before, its mean and the deviations of both
+    assert _plan(QUERIES[name](spark, SF_SMALL)).split("Initial Plan")[0].count("Scan parquet") <= 4 * rows * one
+
+
+def test_building_a_trend_test_runs_no_job(spark):
+    """But for the one that reads the schema of the given table."""
+    tracker, names = spark.sparkContext.statusTracker(), ("d2_mann_kendall", "d3_prewhitened_mk", "d4_seasonal_mk", "d2_trend_test")
+    before = len(tracker.getJobIdsForGroup(None))
+    for name in names:
+        QUERIES[name](spark, SF_SMALL)
+    assert len(tracker.getJobIdsForGroup(None)) <= before + len(names)
+
+
 def test_folds_end_before_the_hold_out(spark):
     from pyspark.sql import functions as F
     from swellcast.operators.blocks import series_length, sliding_folds
