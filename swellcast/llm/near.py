@@ -11,15 +11,15 @@ is P(Binomial(n + 1, threshold) <= m); the pair is pruned once that falls
 under ``MISS``. Survivors are verified on the words of both texts.
 
 A bucket never turns into all its pairs. First every member meets the smallest
-id of its buckets, then, where a bucket still holds several components, a
-member of another one; one pair a member and round, and members that are
-connected need no more pairs. What is then left (members of different
-components in one bucket) is judged in memory, in tiles of bounded size, and so
-many tiles at a time as fit a bounded number of bytes. Tiles first get
-signatures alone and name the members that pass the posterior test with
-another; only these members' texts go to the tile, where the pairs that pass are
-compared on their whole sets, and a tile emits only links that join two
-components, so at most one for each of its members.
+id of its buckets; members that are connected need no more pairs. What is then
+left (members of different components in one bucket) is judged in memory, in
+tiles of bounded size, and so many tiles at a time as fit a bounded number of
+bytes. A pair belongs to the first band that it agrees on, so of the buckets it
+shares one judges it. Tiles first get signatures alone, packed into one row a
+side, and name the members that pass the posterior test with another; only
+these members' texts go to the tile, where the pairs that pass are compared on
+their whole sets, and a tile emits only links that join two components, so at
+most one for each of its members.
 So every candidate pair of different components is judged, and no link between
 components is lost.
 
@@ -107,6 +107,21 @@ def _signatures(sig) -> np.ndarray:
     return np.frombuffer(b"".join(sig), np.uint32).reshape(-1, HASHES)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket of each signature in each band."""
+    s = sig.astype(U)
+    key = np.tile(np.arange(BANDS, dtype=U), (len(s), 1))
+    for r in range(ROWS):
+        key = mix(key * U(0x9E3779B97F4A7C15) ^ s[:, r::ROWS])
+    return key.view(np.int64)
+
+
+def _first_here(key: int, keys: np.ndarray, at: int, to: np.ndarray) -> np.ndarray:
+    """Those of ``to`` that share no band with ``at`` before the one of this bucket."""
+    band = np.flatnonzero(keys[at] == key)
+    return to[~(keys[to, :band[0]] == keys[at, :band[0]]).any(axis=1)] if band.size and len(to) else to
+
+
 def sign(docs: DataFrame, run: int) -> DataFrame:
     """id, n (set size), k1, k2 (identity of the set) and signature."""
 
@@ -136,11 +151,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
 
     def banded(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            s = _signatures(pdf["sig"]).astype(U)
-            key = np.tile(np.arange(BANDS, dtype=U), (len(s), 1))
-            for r in range(ROWS):
-                key = mix(key * U(0x9E3779B97F4A7C15) ^ s[:, r::ROWS])
-            yield pd.DataFrame({"key": key.ravel().view(np.int64), "id": np.repeat(pdf["id"].to_numpy(), BANDS)})
+            yield pd.DataFrame({"key": band_keys(_signatures(pdf["sig"])).ravel(), "id": np.repeat(pdf["id"].to_numpy(), BANDS)})
 
     bands = reps.mapInPandas(banded, "key long, id long")
     shared = bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("lead < most").select("key", "lead")
@@ -174,24 +185,11 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         return stored(components(links).withColumnRenamed("component", "c"), "components")
 
     def still_open(joined: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components, with the bucket's
-        size and its member of the largest component number as new leader."""
-        placed = members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-        split = (placed.groupBy("key").agg(F.min("c").alias("low"), F.max(F.struct("c", "id")).alias("top"), F.count(F.lit(1)).alias("size"),
-                                           F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("content"))
-                 .where("low < top.c")
-                 .groupBy("content", "size", "top").agg(F.min("key").alias("key")))  # buckets of the same members count once
-        return stored(placed.join(split.select("key", F.col("top.c").alias("lead_c"), F.col("top.id").alias("lead"), "size"), "key"), "open")
+        """Members of the buckets that hold several components, with the bucket's size."""
+        return _several(members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c")), "open")
 
     joined = connected(links)
     open_ = still_open(joined)
-    pairs = (open_.where("c <> lead_c AND size > 2").groupBy("id").agg(F.min("lead").alias("lead"))
-             .select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct())
-    fresh = stored(verified(pruned(pairs)), "links")
-    if not fresh.isEmpty():
-        links = links.unionByName(fresh)
-        joined = connected(links)
-        open_ = still_open(joined)
     left = stored(verified(_tiles(open_, sigs, least, percent, run, texts)), "links")
     if not left.isEmpty():
         joined = connected(links.unionByName(left))
@@ -202,6 +200,13 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
+def _several(placed: DataFrame, name: str) -> DataFrame:
+    """Rows (key, id, c) of the buckets that hold several components, with the bucket's size."""
+    split = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("top"), F.count(F.lit(1)).alias("size"))
+                   .where("low < top").select("key", "size"), f"{name}-buckets")
+    return stored(placed.join(split, "key"), name)
+
+
 def _groups(rows: int, texts: int = 0) -> int:
     """Groups for so many tile rows and bytes of text in them."""
     return max(8, -(-(rows * ROW_BYTES + texts) // GROUP_BYTES))
@@ -215,11 +220,21 @@ def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: i
     texts = known.select("id", "text") if texts is None else texts
     sigs = known.select("id", "sig")
     sides = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = open_.select("key", "id", "c", sides.alias("sides")).distinct().withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-    tiles = (dealt.select("key", "id", "c", "side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
-             .select("key", "id", "c", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"))
     members_, rows = open_.agg(F.count(F.lit(1)), F.sum(sides.cast("long"))).first()
+    dealt = open_.select("key", "id", "c", sides.alias("sides")).distinct().withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+
+    groups_of_members = max(8, -(-(members_ or 0) * ROW_BYTES // GROUP_BYTES))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One row for each side: its members' ids, components and signatures."""
+        out = [(key, side, part["sides"].iat[0], *(part[c].to_numpy(np.int64).tobytes() for c in ("id", "c")), b"".join(part["sig"]))
+               for (key, side), part in pdf.groupby(["key", "side"], sort=False)]
+        return pd.DataFrame(out, columns=["key", "side", "sides", "ids", "comps", "sigs"])
 
+    packed = (dealt.join(sigs, "id").withColumn("deal", F.pmod(F.xxhash64("key", "side"), F.lit(groups_of_members)))
+              .groupBy("deal").applyInPandas(pack, "key long, side int, sides int, ids binary, comps binary, sigs binary"))
+    tiles = (packed.select("key", "side", "ids", "comps", "sigs", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
+             .select("key", "ids", "comps", "sigs", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"))
     def grouped(tiles: DataFrame, groups: int):
         return tiles.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(groups, members_ // 500)))).groupBy("group")
 
@@ -230,26 +245,30 @@ def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: i
 
     def screen(pdf: pd.DataFrame) -> pd.DataFrame:
         """The members that pass with one of another component in their tile."""
-        out = [pdf.iloc[:0]]
-        for (_, i, j), tile in pdf.groupby(["key", "i", "j"], sort=False):
-            ids, comp, sig = tile["id"].to_numpy(), tile["c"].to_numpy(), _signatures(tile["sig"])
+        out = [pd.DataFrame({c: [] for c in ("key", "id", "c", "i", "j", "side", "sig")}, dtype=object)]
+        for (key, i, j), sides in pdf.groupby(["key", "i", "j"], sort=False):
+            ids, comp = (np.frombuffer(b"".join(sides[c]), np.int64) for c in ("ids", "comps"))
+            sig = _signatures(sides["sigs"])
+            tile = pd.DataFrame({"key": key, "id": ids, "c": comp, "i": i, "j": j, "side": np.repeat(sides["side"].to_numpy(), sides["ids"].map(len) // 8)})
+            tile["sig"] = [row.tobytes() for row in sig]
             x, y = halves(tile, i, j)
-            hit = np.zeros(len(tile), bool)
+            hit, keys = np.zeros(len(tile), bool), band_keys(sig)
             for at in x:
                 to = y[(comp[y] != comp[at]) & (ids[y] > ids[at] if i == j else True)]
-                to = to[alive(np.broadcast_to(sig[at], (len(to), HASHES)), sig[to], least)]
+                to = _first_here(key, keys, at, to[alive(np.broadcast_to(sig[at], (len(to), HASHES)), sig[to], least)])
                 hit[to] = True
                 hit[at] |= len(to) > 0
             out.append(tile[hit])
-        return pd.concat(out)[["key", "id", "c", "i", "j", "side"]]
+        return pd.concat(out)[["key", "id", "c", "i", "j", "side", "sig"]]
 
-    passed = stored(grouped(tiles.join(sigs, "id"), _groups(rows or 0)).applyInPandas(screen, "key long, id long, c long, i int, j int, side int"), "passed")
+    passed = stored(grouped(tiles, _groups(rows or 0)).applyInPandas(screen, "key long, id long, c long, i int, j int, side int, sig binary"), "passed")
     rows, size = passed.join(texts.select("id", F.octet_length("text").alias("size")), "id").agg(F.count(F.lit(1)), F.sum(F.col("size").cast("long"))).first()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, i, j), tile in pdf.groupby(["key", "i", "j"], sort=False):
+        for (key, i, j), tile in pdf.groupby(["key", "i", "j"], sort=False):
             ids, sig, sets = tile["id"].to_numpy(), _signatures(tile["sig"]), {}
+            keys = band_keys(sig)
             _, comp = np.unique(tile["c"].to_numpy(), return_inverse=True)  # merged as links are found
             x, y = halves(tile, i, j)
 
@@ -260,7 +279,7 @@ def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: i
 
             for at in x:
                 to = y[(comp[y] != comp[at]) & (ids[y] > ids[at] if i == j else True)]
-                for b in to[alive(np.broadcast_to(sig[at], (len(to), HASHES)), sig[to], least)]:
+                for b in _first_here(key, keys, at, to[alive(np.broadcast_to(sig[at], (len(to), HASHES)), sig[to], least)]):
                     if comp[b] == comp[at]:
                         continue
                     s, t = members(at), members(b)
@@ -270,7 +289,7 @@ def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: i
                         out.append((min(ids[at], ids[b]), max(ids[at], ids[b])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return grouped(passed.join(sigs, "id").join(texts, "id"), _groups(rows, size or 0)).applyInPandas(compare, "a long, b long").distinct()
+    return grouped(passed.join(texts, "id"), _groups(rows, size or 0)).applyInPandas(compare, "a long, b long").distinct()
 
 
 # DuckDB, over all shared shingles; for comparing on small tables
