@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHUNK
@@ -39,8 +39,9 @@ def _ar_design(pdf: pd.DataFrame, m: int) -> np.ndarray:
 
 def _residuals(y: np.ndarray, a: np.ndarray, m: int) -> np.ndarray:
     e = np.full(len(y), np.nan)
-    for t in range(m, len(y)):
-        e[t] = y[t] - (a[0] + a[1:] @ y[t - m:t][::-1])
+    if len(y) > m:
+        past = np.lib.stride_tricks.sliding_window_view(y[:-1], m)  # row t - m: y_{t-m} .. y_{t-1}
+        e[m:] = y[m:] - (a[0] + past @ a[:0:-1])
     return e
 
 
@@ -100,15 +101,19 @@ def hannan_rissanen(long: DataFrame, m: int = 20, chunk: int = CHUNK) -> DataFra
     return coef.join(st, KEYS, "inner")
 
 
+def ahead(step: Column) -> Column:
+    """``step`` hours after the last fitted row, closed form, from the columns
+    ``c, phi, theta, y_last, e_last``."""
+    h = step.cast("double")
+    f1 = F.col("c") + F.col("phi") * F.col("y_last") + F.col("theta") * F.col("e_last")
+    mu = F.col("c") / (F.lit(1.0) - F.nullif(F.col("phi"), F.lit(1.0)))
+    return F.when(F.col("phi") == 1.0, f1 + (h - 1) * F.col("c")).otherwise(mu + F.pow(F.col("phi"), h - 1) * (f1 - mu))
+
+
 def forecast(coef: DataFrame, horizon: int) -> DataFrame:
     """Rows ``(series_id, col, step, idx, yhat)`` for steps 1..horizon after
     each series' last fitted row (closed form, no recursion over rows)."""
-    h = F.col("step").cast("double")
-    f1 = F.col("c") + F.col("phi") * F.col("y_last") + F.col("theta") * F.col("e_last")
-    mu = F.col("c") / (F.lit(1.0) - F.col("phi"))
-    far = F.when(F.col("phi") == 1.0, f1 + (h - 1) * F.col("c")) \
-        .otherwise(mu + F.pow(F.col("phi"), h - 1) * (f1 - mu))
     x = coef.select(*KEYS, "c", "phi", "theta", "y_last", "e_last", "last_idx",
                     F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     return x.select(*KEYS, F.col("step").cast("long"), (F.col("last_idx") + F.col("step")).alias("idx"),
-                    far.alias("yhat"))
+                    ahead(F.col("step")).alias("yhat"))

@@ -11,6 +11,8 @@ model gains by skipping hard rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,42 +22,78 @@ from ..functions.exprs import pct_error
 
 KEY = "series_id"
 
-# name -> (reported name, per-column aggregate of pe, post transform)
-SCORERS: dict[str, tuple[str, Callable[[Column], Column], Callable[[Column], Column] | None]] = {
-    "mspe": ("MeanSquaredPercentageError", lambda pe: F.avg(pe * pe), None),
-    "rmspe": ("MeanSquaredPercentageError", lambda pe: F.avg(pe * pe), F.sqrt),
-    "mape": ("MeanAbsolutePercentageError", lambda pe: F.avg(F.abs(pe)), None),
+@dataclass(frozen=True)
+class Scorer:
+    """A score of one column: ``aggregate(y, yhat, pe)`` gives an aggregate
+    Column over the scored pairs - of built-in functions, or of a grouped-aggregate
+    pandas UDF, which is then marked ``pandas`` as Spark runs it apart. ``post``
+    is applied to the aggregate."""
+
+    name: str
+    aggregate: Callable[[Column, Column, Column], Column]
+    post: Callable[[Column], Column] | None = None
+    pandas: bool = False
+
+
+SCORERS: dict[str, Scorer] = {
+    "mspe": Scorer("MeanSquaredPercentageError", lambda y, yhat, pe: F.avg(pe * pe)),
+    "rmspe": Scorer("MeanSquaredPercentageError", lambda y, yhat, pe: F.avg(pe * pe), F.sqrt),
+    "mape": Scorer("MeanAbsolutePercentageError", lambda y, yhat, pe: F.avg(F.abs(pe))),
 }
 
 
-def score(pairs: DataFrame, groups: list[str], scorers: list[str], y: str = "y",
+def register_scorer(key: str, scorer: Scorer) -> None:
+    """Make a scorer known by ``key``; a known key is not replaced silently."""
+    if SCORERS.get(key, scorer) != scorer:
+        raise ValueError(f"scorer {key!r} exists already")
+    SCORERS[key] = scorer
+
+
+def _scorer(s: str | Scorer) -> Scorer:
+    if isinstance(s, Scorer):
+        return s
+    if s not in SCORERS:
+        raise ValueError(f"unknown scorer {s!r}; known: {sorted(SCORERS)}")
+    return SCORERS[s]
+
+
+def score(pairs: DataFrame, groups: list[str], scorers: list[str | Scorer], y: str = "y",
           yhat: str = "yhat", eps: float = EPS, per_column: bool = False, counts: bool = False) -> DataFrame:
     """Scores per ``groups`` (+ ``col`` when ``per_column``) in long form
-    ``(*groups, [col,] metric, value)``. The column mean is taken after the
-    per-column root (A3). ``counts`` adds ``n_scored`` and ``n_null_truth``."""
+    ``(*groups, [col,] metric, value)``. ``scorers`` are registered keys or
+    :class:`Scorer` objects. The column mean is taken after the per-column root
+    (A3). ``counts`` adds ``n_scored`` and ``n_null_truth``."""
+    own = [_scorer(s) for s in scorers]
     missing = F.col(y).isNotNull() & F.col(yhat).isNull()
     pe = F.when(missing, F.raise_error(F.lit("a truth has no prediction"))).otherwise(pct_error(y, yhat, eps))
     p = pairs.withColumn("_pe", F.when(F.col(y).isNotNull(), pe))
-    aggs, names = [], []
-    for i, s in enumerate(scorers):
-        name, agg, post = SCORERS[s]
-        e = agg(F.col("_pe"))
-        aggs.append((post(e) if post else e).alias(f"_s{i}"))
-        names.append(name)
+    p = p.withColumn("_yhat", F.when(F.col(y).isNotNull(), F.col(yhat)))
+    by = [*groups, "col"]
+
+    def aggs(pandas: bool) -> list[Column]:
+        raw = [(i, s, s.aggregate(F.col(y), F.col("_yhat"), F.col("_pe"))) for i, s in enumerate(own) if s.pandas == pandas]
+        return [(s.post(e) if s.post and not pandas else e).alias(f"_s{i}") for i, s, e in raw]
+
     n = [F.count("_pe").alias("n_scored"), (F.count(F.lit(1)) - F.count("_pe")).alias("n_null_truth")]
-    per_col = p.groupBy(*groups, "col").agg(*aggs, *n)
+    per_col = p.groupBy(*by).agg(*aggs(False), *n)
+    if any(s.pandas for s in own):
+        apart = p.where(F.col(y).isNotNull()).groupBy(*by).agg(*aggs(True))
+        apart = apart.select(*[F.col(c).alias(f"_k_{c}") for c in by],
+                             *[(s.post(F.col(f"_s{i}")) if s.post else F.col(f"_s{i}")).alias(f"_s{i}") for i, s in enumerate(own) if s.pandas])
+        same = reduce(lambda a, b: a & b, [per_col[c].eqNullSafe(apart[f"_k_{c}"]) for c in by])
+        per_col = per_col.join(apart, same, "left").drop(*[f"_k_{c}" for c in by])
     if per_column:
-        base, keys = per_col, [*groups, "col"]
+        base, keys = per_col, by
     else:
-        base = per_col.groupBy(*groups).agg(*[F.avg(f"_s{i}").alias(f"_s{i}") for i in range(len(scorers))],
+        base = per_col.groupBy(*groups).agg(*[F.avg(f"_s{i}").alias(f"_s{i}") for i in range(len(own))],
                                             F.sum("n_scored").alias("n_scored"), F.sum("n_null_truth").alias("n_null_truth"))
         keys = list(groups)
-    stack = ", ".join(f"'{n}', _s{i}" for i, n in enumerate(names))
-    out = base.select(*keys, F.expr(f"stack({len(names)}, {stack}) as (metric, value)"), "n_scored", "n_null_truth")
+    stack = ", ".join(f"'{s.name}', _s{i}" for i, s in enumerate(own))
+    out = base.select(*keys, F.expr(f"stack({len(own)}, {stack}) as (metric, value)"), "n_scored", "n_null_truth")
     return out if counts else out.drop("n_scored", "n_null_truth")
 
 
-def block_scores(pairs: DataFrame, scorers: list[str], key: str = KEY) -> DataFrame:
+def block_scores(pairs: DataFrame, scorers: list[str | Scorer], key: str = KEY) -> DataFrame:
     """Score per ``(series, block_id)``; metric names ``block_{i}_{Name}``."""
     s = score(pairs, [key, "block_id"], scorers)
     return s.select(key, "block_id", F.col("metric").alias("scorer"),
@@ -69,7 +107,7 @@ def aggregate_blocks(bscores: DataFrame, key: str = KEY) -> DataFrame:
     return g.select(key, F.expr("stack(2, concat('avg_', scorer), _a, concat('std_', scorer), _s) as (metric, value)"))
 
 
-def fold_scores(pairs: DataFrame, scorers: list[str], key: str = KEY) -> DataFrame:
+def fold_scores(pairs: DataFrame, scorers: list[str | Scorer], key: str = KEY) -> DataFrame:
     """A5 step 1: per fold, scorer and target column ``(series, fold_id, col, metric, value)``."""
     return score(pairs, [key, "fold_id"], scorers, per_column=True)
 

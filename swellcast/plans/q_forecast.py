@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import HORIZON, TARGETS
-from ..operators import cv
+from ..config import CLEAN_COLUMNS, HORIZON, TARGETS
+from ..operators import cv, segments
 from ..operators.blocks import assign_blocks, series_length, train_test_split
 from ..operators.metrics import best_fold, cv_summary, fold_scores, score
 from ..operators.scaling import to_long
-from ..session import materialize
+from ..operators.windows import ffill
+from ..session import materialize, saved
 from . import bases, benchmark
 from . import oracles as O
 from .oracles import rnd
@@ -133,10 +134,10 @@ fsl AS (SELECT series_id, fold_id, col, 'test_MeanSquaredPercentageError' AS met
         UNION ALL SELECT series_id, fold_id, col, 'test_MeanAbsolutePercentageError', mape FROM fs)"""
 
 
-def cv_scores(spark, sf):
+def cv_scores(spark, sf, train=None):
     """Fold scores of the naive ensemble over sliding folds of the train rows:
     the hold-out is split off before (T1), so no fold sees it."""
-    pairs = cv.naive_cv(bases.targets_train(spark, sf), TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
+    pairs = cv.naive_cv(bases.targets_train(spark, sf) if train is None else train, TARGETS, ENSEMBLE, FOLD_W, FOLD_H, FOLD_S)
     fs = fold_scores(pairs, ["mspe", "mape"])
     return fs.withColumn("metric", F.concat(F.lit("test_"), F.col("metric")))
 
@@ -191,28 +192,34 @@ path AS (SELECT b.series_id, lvb.col, unnest(range(b.best_fold * {FOLD_S} + {FOL
 hp AS (SELECT ho.*, path.yhat FROM ho LEFT JOIN path USING (series_id, col, idx))"""
 
 
-def best_fold_path(spark, sf):
+def hourly_targets(spark, sf):
+    """The grid's targets, written once: the folds, the fits and the hold-out
+    truth of one query all read it."""
+    return saved(bases.met_hourly(spark, sf).select("series_id", "ts", "idx", *TARGETS), "grid")
+
+
+def best_fold_path(hourly):
     """The best fold's model forecasts every hour from its cutoff + 1
     through the gap to the last hold-out hour: ``(series_id, col, idx, yhat)``.
     Folds and fits see train rows only."""
-    f = bases.targets_train(spark, sf)
-    b = best_fold(cv_scores(spark, sf), "test_MeanSquaredPercentageError")
-    member = cv.sliding_folds(f, FOLD_W, FOLD_H, FOLD_S).where(F.col("role") == "train") \
-        .join(b.select("series_id", F.col("best_fold").alias("fold_id")), ["series_id", "fold_id"], "left_semi")
-    long = to_long(member, TARGETS, ["series_id", "idx"]).withColumn("_strategy", cv._strategy_col(ENSEMBLE))
-    model = long.groupBy("series_id", "col").agg(cv._level(F.col("_strategy")).alias("yhat"), F.max("idx").alias("cutoff"))
-    n = series_length(bases.met_hourly(spark, sf).select("series_id", "idx"))
-    return model.join(n, "series_id").select(
-        "series_id", "col", F.explode(F.sequence(F.col("cutoff") + 1, F.col("n_rows") - 1)).alias("idx"), "yhat")
+    filled = train_test_split(ffill(hourly, TARGETS, chunk=bases.QUERY_CHUNK), TEST_SIZE)
+    train = filled.where(~F.col("is_test")).select("series_id", "idx", *TARGETS)
+    b = best_fold(cv_scores(None, None, train), "test_MeanSquaredPercentageError").select("series_id", F.col("best_fold").alias("fold_id"))
+    folds = segments.sliding(train, FOLD_W, FOLD_H, FOLD_S).join(b, ["series_id", "fold_id"], "left_semi")
+    levels = segments.fold_levels(to_long(train, TARGETS, ["series_id", "idx"]), folds, segments.sliding_cut(FOLD_W, FOLD_S))
+    yhat = F.when(cv._strategy_col(ENSEMBLE) == "last", F.col("last")).otherwise(F.col("mean"))
+    n = series_length(hourly.select("series_id", "idx"))
+    return levels.join(folds.select("series_id", "fold_id", "hi"), ["series_id", "fold_id"]).join(n, "series_id").select(
+        "series_id", "col", F.explode(F.sequence(F.col("hi"), F.col("n_rows") - 1)).alias("idx"), yhat.alias("yhat"))
 
 
 def holdout_pairs(spark, sf):
     """The forecast path reindexed to the hold-out hours; truth is the raw
     hourly value."""
-    h = bases.met_hourly(spark, sf).select("series_id", "idx", *TARGETS)
+    h = hourly_targets(spark, sf)
     ho = train_test_split(h, TEST_SIZE).where(F.col("is_test"))
     truth = to_long(ho, TARGETS, ["series_id", "idx"]).withColumnRenamed("value", "y")
-    return truth.join(best_fold_path(spark, sf), ["series_id", "col", "idx"], "left")
+    return truth.join(best_fold_path(h), ["series_id", "col", "idx"], "left")
 
 
 @register("m13_forecast_gap", _holdout_sql() + f"\nSELECT series_id, col, idx, {rnd('yhat', 'yhat')} FROM hp")
@@ -250,10 +257,11 @@ def j2_key_check(spark, sf):
     """Forecast keys against the hold-out keys, the former built from the fold's
     cutoff: the hold-out part of the path, the same without its last hour, and
     the whole path with the hours of the gap."""
-    h = bases.met_hourly(spark, sf).select("series_id", "idx")
+    grid = hourly_targets(spark, sf)
+    h = grid.select("series_id", "idx")
     split = train_test_split(h, TEST_SIZE)
     expected = split.where(F.col("is_test")).select("series_id", "idx")
-    path = best_fold_path(spark, sf).where(F.col("col") == TARGETS[0]).join(series_length(h), "series_id")
+    path = best_fold_path(grid).where(F.col("col") == TARGETS[0]).join(series_length(h), "series_id")
     inside, last = F.col("idx") >= F.col("n_rows") - TEST_SIZE, F.col("idx") == F.col("n_rows") - 1
     cases = F.array_compact(F.array(F.when(inside, F.lit("whole")), F.when(inside & ~last, F.lit("last hour missing")), F.lit("from the cutoff")))
     return cv.key_mismatch(expected.withColumn("case", F.explode(F.array(*map(F.lit, _CASES)))), path.withColumn("case", F.explode(cases)),
@@ -326,13 +334,14 @@ def a13_run_facts(spark, sf):
 
 @register("m9_gbt_direct")
 def m9_gbt_direct(spark, sf):
-    """Direct boosted trees (one pooled MLlib GBT per target, W15 lags +
-    calendar) scored over the three 72-hour test blocks."""
+    """Direct boosted trees (one pooled MLlib GBT per target, W15 lags of the
+    targets and of every exogenous column + calendar) scored over the three
+    72-hour test blocks."""
     from ..config import DIRECT_LAGS
     from ..operators.metrics import aggregate_blocks, block_scores
     from ..operators.models import direct_features, fit_predict_direct
-    f = bases.targets_filled(spark, sf)
-    feats_df, feats = direct_features(f, TARGETS, DIRECT_LAGS, HORIZON)
+    f = bases.met_filled(spark, sf)
+    feats_df, feats = direct_features(f, CLEAN_COLUMNS, DIRECT_LAGS, HORIZON)
     split = materialize(assign_blocks(train_test_split(feats_df, TEST_SIZE), HORIZON))
     truth = bases.met_hourly(spark, sf).select("series_id", "idx", *TARGETS)
     parts = []
@@ -457,3 +466,141 @@ def m8_gbt_recursive(spark, sf):
     pooled model per target, forecast 216 hours from the train end and
     scored over the three 72-hour blocks."""
     return benchmark.recursive_gbt_benchmark(benchmark.prepared(spark, sf))
+
+
+# ----------------------------------------------- fitted models and exogenous columns
+EXOG = "WSPD"
+
+
+def train_with_exog(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Filled targets and the exogenous column: the train rows, and all rows."""
+    keep = ["series_id", "idx", *TARGETS, EXOG]
+    f = saved(bases.met_filled(spark, sf, [*TARGETS, EXOG]).select(*keep), "filled")  # fits and forecasts read it several times
+    f = train_test_split(f, TEST_SIZE)
+    return f.where(~F.col("is_test")).select(*keep), f.select(*keep, "is_test", "n_rows")
+
+
+@register("m10_cv_arima")
+def m10_cv_arima(spark, sf):
+    """ARIMA(1,0,1) refitted on every sliding fold (segment Grams): score per
+    fold, metric and target. Held against single refits by the tests."""
+    pairs = cv.arima_cv(bases.targets_train(spark, sf), TARGETS, FOLD_W, FOLD_H, FOLD_S, chunk=bases.QUERY_CHUNK)
+    return fold_scores(pairs, ["mspe", "mape"]).withColumn("metric", F.concat(F.lit("test_"), F.col("metric")))
+
+
+@register("m15_expanding_arima")
+def m15_expanding_arima(spark, sf):
+    """ARIMA(1,0,1) refitted before every test block on all hours before it,
+    scored per block against the raw hourly truth."""
+    from ..operators.metrics import aggregate_blocks, block_scores
+    split = assign_blocks(train_test_split(bases.targets_filled(spark, sf), TEST_SIZE), HORIZON)
+    pred = cv.expanding_arima(split, TARGETS, horizon=HORIZON, chunk=bases.QUERY_CHUNK).drop("y")
+    truth = to_long(bases.met_hourly(spark, sf).select("series_id", "idx", *TARGETS), TARGETS, ["series_id", "idx"]).withColumnRenamed("value", "y")
+    bs = block_scores(pred.join(truth, ["series_id", "col", "idx"]), ["rmspe", "mape"])
+    return bs.select("series_id", "metric", "value").unionByName(aggregate_blocks(bs))
+
+
+def _exog_cv_sql() -> str:
+    coef = " UNION ALL ".join(f"SELECT series_id, fold_id, '{c}' AS col, regr_slope({c}, {EXOG}) AS b, regr_intercept({c}, {EXOG}) AS a FROM tr GROUP BY 1, 2"
+                              for c in TARGETS)
+    te = " UNION ALL ".join(f"SELECT series_id, fold_id, '{c}' AS col, {c} AS y, {EXOG} AS x FROM te" for c in TARGETS)
+    return _filled([*TARGETS, EXOG]) + f""",
+n AS (SELECT series_id, max(idx) + 1 AS n_rows FROM filled GROUP BY 1),
+seen AS (SELECT filled.* FROM filled JOIN n USING (series_id) WHERE idx < n_rows - {TEST_SIZE}),
+k AS (SELECT series_id, CAST(floor((n_rows - {TEST_SIZE + FOLD_H + FOLD_W}) / {FOLD_S}) + 1 AS BIGINT) AS nk FROM n),
+f AS (SELECT series_id, range AS fold_id FROM k, range(0, nk)),
+tr AS (SELECT h.*, f.fold_id FROM seen h JOIN f ON h.series_id = f.series_id
+       AND h.idx >= f.fold_id * {FOLD_S} AND h.idx < f.fold_id * {FOLD_S} + {FOLD_W}),
+te AS (SELECT h.*, f.fold_id FROM seen h JOIN f ON h.series_id = f.series_id AND h.idx >= f.fold_id * {FOLD_S} + {FOLD_W}
+       AND h.idx < f.fold_id * {FOLD_S} + {FOLD_W + FOLD_H}),
+coef AS ({coef}),
+tl AS ({te}),
+pairs AS (SELECT tl.*, a + b * x AS yhat FROM tl JOIN coef USING (series_id, fold_id, col)),
+fs AS (SELECT series_id, fold_id, col, avg(({_PE}) * ({_PE})) AS mspe, avg(abs({_PE})) AS mape
+       FROM pairs WHERE y IS NOT NULL GROUP BY 1, 2, 3),
+fsl AS (SELECT series_id, fold_id, col, 'test_MeanSquaredPercentageError' AS metric, mspe AS value FROM fs
+        UNION ALL SELECT series_id, fold_id, col, 'test_MeanAbsolutePercentageError', mape FROM fs)"""
+
+
+def exog_cv_scores(train):
+    pairs = cv.regression_cv(train, TARGETS, [EXOG], FOLD_W, FOLD_H, FOLD_S, chunk=bases.QUERY_CHUNK)
+    return fold_scores(pairs, ["mspe", "mape"]).withColumn("metric", F.concat(F.lit("test_"), F.col("metric")))
+
+
+@register("m10_cv_exog", _exog_cv_sql() + f"\nSELECT series_id, fold_id, col, metric, {rnd('value', 'value')} FROM fsl")
+def m10_cv_exog(spark, sf):
+    """Regression on an exogenous column, refitted on every sliding fold and
+    predicted from the test rows' own exogenous values."""
+    return exog_cv_scores(train_with_exog(spark, sf)[0])
+
+
+@register("m13_forecast_exog", _exog_cv_sql() + _BEST_SQL + f""",
+bc AS (SELECT c.* FROM coef c JOIN best b ON b.series_id = c.series_id AND b.best_fold = c.fold_id)
+SELECT f.series_id, bc.col, f.idx, {rnd(f'a + b * f.{EXOG}', 'yhat')} FROM filled f JOIN n USING (series_id) JOIN bc USING (series_id)
+WHERE f.idx >= n.n_rows - {TEST_SIZE}""")
+def m13_forecast_exog(spark, sf):
+    """The best fold's regression forecasts from its cutoff through the gap to
+    the end of the hold-out, with the exogenous rows of train and test stitched
+    and reindexed; the hold-out hours are returned."""
+    from ..operators.forecaster import Fitted, Regression, forecast_with_exog
+    train, rows = train_with_exog(spark, sf)
+    folds = segments.sliding(train.select("series_id", "idx"), FOLD_W, FOLD_H, FOLD_S)
+    long = to_long(train, TARGETS, ["series_id", "idx", EXOG])
+    models = segments.fold_regression(long, [EXOG], folds, segments.sliding_cut(FOLD_W, FOLD_S), chunk=bases.QUERY_CHUNK)
+    best = best_fold(exog_cv_scores(train), "test_MeanSquaredPercentageError").select("series_id", F.col("best_fold").alias("fold_id"))
+    table = models.join(best, ["series_id", "fold_id"]).join(folds.select("series_id", "fold_id", (F.col("hi") - 1).alias("cutoff")), ["series_id", "fold_id"])
+    x = rows.select("series_id", "idx", EXOG, "is_test")
+    return forecast_with_exog(Fitted(Regression([EXOG]), table.drop("fold_id")), x.where("NOT is_test").drop("is_test"), x.where("is_test").drop("is_test"))
+
+
+def fit_on_train(spark, sf, forecaster):
+    """The forecaster fitted on the filled train rows, and the exogenous rows."""
+    train, rows = train_with_exog(spark, sf)
+    x = rows.select("series_id", "idx", EXOG)
+    return forecaster.fit(to_long(train, TARGETS, ["series_id", "idx"]), x.join(train.select("series_id", "idx"), ["series_id", "idx"])), x, rows
+
+
+_LINE = " UNION ALL ".join(f"SELECT series_id, '{c}' AS col, regr_slope({c}, {EXOG}) AS b, regr_intercept({c}, {EXOG}) AS a FROM seen GROUP BY 1" for c in TARGETS)
+
+
+@register("m16_predict_block_exog", _exog_cv_sql() + f""",
+line AS ({_LINE})
+SELECT f.series_id, l.col, f.idx, {rnd(f'a + b * f.{EXOG}', 'yhat')} FROM filled f JOIN n USING (series_id) JOIN line l USING (series_id)
+WHERE f.idx >= n.n_rows - {TEST_SIZE - HORIZON} AND f.idx < n.n_rows - {TEST_SIZE - 2 * HORIZON}""")
+def m16_predict_block_exog(spark, sf):
+    """One block (block 2) forecast at its absolute times with the block's
+    exogenous rows picked by key (J5)."""
+    from ..operators.forecaster import Regression, predict_block
+    fitted, x, rows = fit_on_train(spark, sf, Regression([EXOG], bases.QUERY_CHUNK))
+    start = F.col("n_rows") - TEST_SIZE + HORIZON
+    block = rows.where((F.col("idx") >= start) & (F.col("idx") < start + HORIZON)).select("series_id", "idx")
+    return predict_block(fitted, block, x, use_exog=True)
+
+
+@register("m16_all_forecasters")
+def m16_all_forecasters(spark, sf):
+    """Naive ensemble, ARIMA, regression and boosted trees fitted through one
+    protocol, each forecasting the hold-out once, scored per forecaster."""
+    from ..operators.forecaster import Arima, Naive, Regression, Trees, forecast_with_exog
+    train, rows = train_with_exog(spark, sf)
+    y, x = to_long(train, TARGETS, ["series_id", "idx"]), rows.select("series_id", "idx", EXOG, "is_test")
+    x_train, x_test = x.where("NOT is_test").drop("is_test"), x.where("is_test").drop("is_test")
+    truth = to_long(rows.where("is_test"), TARGETS, ["series_id", "idx"]).withColumnRenamed("value", "y")
+    parts = []
+    for name, forecaster in {"naive": Naive(ENSEMBLE), "arima": Arima(chunk=bases.QUERY_CHUNK), "regression": Regression([EXOG], bases.QUERY_CHUNK),
+                             "trees": Trees([EXOG])}.items():
+        pred = forecast_with_exog(forecaster.fit(y, x_train), x_train, x_test)
+        parts.append(score(truth.join(pred, ["series_id", "col", "idx"]), ["series_id"], ["mspe", "mape"]).withColumn("forecaster", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("a4_custom_scorer", _naive_sql(ENSEMBLE) + f"""
+SELECT series_id, col, 'MedianAbsolutePercentageError' AS metric, {rnd(f'median(abs({_PE}))', 'value')} FROM pred WHERE y IS NOT NULL GROUP BY 1, 2""")
+def a4_custom_scorer(spark, sf):
+    """A scorer of the user's own beside the built-in ones: the median of the
+    absolute percentage errors per series and target."""
+    from ..operators.metrics import Scorer
+    split, state, model = benchmark.fit_naive(benchmark.prepared(spark, sf), ENSEMBLE, TEST_SIZE)
+    pairs = benchmark.forecast_rows(split, state, model, TARGETS, only_blocks=False)
+    median = Scorer("MedianAbsolutePercentageError", lambda y, yhat, pe: F.median(F.abs(pe)))
+    return score(pairs, ["series_id"], [median], per_column=True)

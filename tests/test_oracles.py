@@ -23,4 +23,5 @@ def test_every_query_has_a_check():
     against brute force elsewhere); keep that list exact."""
     assert set(QUERIES) - set(ORACLES) == {
         "d1_adf", "d2_trend_test", "d7_pacf", "d11_hp_filter", "d13_feature_matrix", "m19_poly_detrend",
-        "m4_arima_blocks", "m4_arima_fit", "m5_model_impute", "m8_gbt_recursive", "m9_gbt_direct"}
+        "m4_arima_blocks", "m4_arima_fit", "m5_model_impute", "m8_gbt_recursive", "m9_gbt_direct",
+        "m10_cv_arima", "m15_expanding_arima", "m16_all_forecasters"}
