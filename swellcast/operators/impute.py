@@ -92,85 +92,128 @@ def _walk(y: np.ndarray, state: np.ndarray, d: int, p: int, q: int, c0: float, p
     """Values of the rows ``y`` (NaN: missing) from ``state`` = [last p values,
     newest first; last q residuals; last level; 1], given as a matrix whose
     columns are combined linearly: the identity yields the affine map."""
-    w, e, level, one = state[:p].copy(), state[p:p + q].copy(), state[p + q].copy(), state[p + q + 1]
-    out = np.empty((len(y), state.shape[1]))
+    n, wide = len(y), state.shape[1]
+    # values and residuals in one growing table, newest last: no row is copied
+    w, e = np.empty((p + n, wide)), np.empty((q + n, wide))
+    w[:p], e[:q] = state[:p][::-1], state[p:p + q][::-1]
+    level, one, out = state[p + q].copy(), state[p + q + 1], np.empty((n, wide))
+    back_phi, back_theta, const = phi[::-1], theta[::-1], c0 * one
     gap = np.isnan(y)
-    for t in range(len(y)):
-        pred = c0 * one + phi @ w + theta @ e
-        if gap[t]:
-            now, left = pred, 0.0 * one
-            value = pred + level if d else pred
-        else:
-            value = y[t] * one
-            now = value - level if d else value
-            left = now - pred
-        level = value
-        out[t] = value
-        if p:
-            w = np.vstack([now[None], w[:-1]])
-        if q:
-            e = np.vstack([left[None], e[:-1]])
-    return out, np.vstack([w, e, level[None], one[None]])
+    for t in range(n):
+        pred = const + back_phi @ w[t:t + p] + back_theta @ e[t:t + q]
+        value = (pred + level if d else pred) if gap[t] else y[t] * one
+        now = value - level if d else value
+        w[p + t], e[q + t] = now, 0.0 if gap[t] else now - pred
+        out[t] = level = value
+    return out, np.vstack([w[n:][::-1], e[n:][::-1], level[None], one[None]])
 
 
-def fill_gaps(raw_long: DataFrame, model: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Fill NULL values of ``raw_long(series_id, col, idx, value)`` with the
-    model's one-step predictions; output ``(series_id, col, idx, value,
-    imputed)``. The result does not depend on ``chunk``."""
-    first = raw_long.where(F.col("value").isNotNull()).groupBy(*KEYS).agg(F.min("idx").alias("t0"), F.min_by("value", "idx").alias("y0"), F.avg("value").alias("mean"))
+FITTED = ["d", "p", "q", "c", "phi", "theta", "t0", "y0"]
+
+
+def with_start(model: DataFrame, raw_long: DataFrame) -> DataFrame:
+    """The model table with each series' first observation: ``t0, y0``. Series
+    without a model get order 0 around their mean, series without values NULLs."""
+    first = raw_long.groupBy(*KEYS).agg(F.min(F.when(F.col("value").isNotNull(), F.col("idx"))).alias("t0"),
+                                        F.min_by("value", F.when(F.col("value").isNotNull(), F.col("idx"))).alias("y0"), F.avg("value").alias("mean"))
     none = F.array().cast("array<double>")
-    x = raw_long.join(model.select(*KEYS, "d", "p", "q", "c", "phi", "theta"), KEYS, "left").join(first, KEYS, "left") \
+    return first.join(model.select(*KEYS, "d", "p", "q", "c", "phi", "theta"), KEYS, "left") \
         .withColumns({"c": F.coalesce("c", "mean"), "phi": F.coalesce("phi", none), "theta": F.coalesce("theta", none),
-                      **{k: F.coalesce(k, F.lit(0)) for k in ("d", "p", "q")}}) \
-        .drop("mean").withColumn("_chunk", F.floor(F.col("idx") / F.lit(chunk)))
+                      **{k: F.coalesce(k, F.lit(0)) for k in ("d", "p", "q")}}).select(*KEYS, *FITTED)
 
-    def parts(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("idx", kind="stable")
-        r = pdf.iloc[0]
-        order = (int(r["d"]), int(r["p"]), int(r["q"]), float(r["c"]), np.asarray(r["phi"], float), np.asarray(r["theta"], float))
-        d, p, q = order[:3]
-        start = np.concatenate([np.full(p, 0.0 if d else r["y0"]), np.zeros(q), [r["y0"], 1.0]])[:, None]
-        after = pdf["idx"].to_numpy() > (r["t0"] if pd.notna(r["t0"]) else np.inf)
-        return pdf, order, start, after, pd.notna(r["t0"]) and r["idx"] <= r["t0"]
+
+def _order(r) -> tuple:
+    return int(r["d"]), int(r["p"]), int(r["q"]), float(r["c"]), np.asarray(r["phi"], float), np.asarray(r["theta"], float)
+
+
+def _start(r) -> np.ndarray:
+    d, p, q = (int(r[k]) for k in "dpq")
+    return np.concatenate([np.full(p, 0.0 if d else r["y0"]), np.zeros(q), [r["y0"], 1.0]])
+
+
+def _chunk_states(raw_long: DataFrame, fitted: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their model and chunk, and the state before every chunk and
+    after the last one. ``fitted`` may carry ``cut`` and ``state``: rows that begin
+    right behind ``cut`` go on from that state."""
+    resumes = [c for c in ("cut", "state") if c in fitted.columns]
+    x = raw_long.join(fitted.select(*KEYS, *FITTED, *resumes), KEYS, "left").withColumn("_chunk", F.floor(F.col("idx") / F.lit(chunk)))
 
     def chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, order, start, after, early = parts(pdf)
-        state = start if early else np.eye(len(start))
-        _, end = _walk(pdf["value"].to_numpy(float)[after], state, *order)
-        if early:  # the state here is known, whatever came before
+        pdf = pdf.sort_values("idx", kind="stable")
+        r = pdf.iloc[0]
+        start, begins = _start(r), int(r["idx"])
+        early = begins <= r["t0"]  # the state here is known, whatever came before
+        state = start[:, None] if early else np.eye(len(start))
+        _, end = _walk(pdf["value"].to_numpy(float)[pdf["idx"].to_numpy() > r["t0"]], state, *_order(r))
+        if early:
             end = np.hstack([np.zeros((len(start), len(start) - 1)), end])
-        return pd.DataFrame({**{k: [pdf[k].iat[0]] for k in KEYS}, "_chunk": [int(pdf["_chunk"].iat[0])], "map": [end.ravel().tolist()], "start": [start.ravel().tolist()]})
+        saved = r["state"] if resumes else None
+        return pd.DataFrame({**{k: [pdf[k].iat[0]] for k in KEYS}, "_chunk": [int(r["_chunk"])], "begins": [begins], "t0": [int(r["t0"])],
+                             "cut": [int(r["cut"]) if resumes and pd.notna(r["cut"]) else -1], "map": [end.ravel().tolist()],
+                             "start": [start.tolist()], "saved": [None if saved is None else list(saved)]})
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
-        state, states = np.asarray(pdf["start"].iat[0], float), []
+        r, chunks, states = pdf.iloc[0], [*pdf["_chunk"], int(pdf["_chunk"].iat[-1]) + 1], []
+        if r["begins"] <= r["t0"]:
+            state = np.asarray(r["start"], float)
+        elif r["saved"] is not None and r["begins"] == r["cut"] + 1:
+            state = np.asarray(r["saved"], float)
+        else:
+            raise ValueError(f"rows of {r['series_id']}/{r['col']} begin at {r['begins']}: neither at the series' start nor right behind the fitted rows")
         for flat in pdf["map"]:
             states.append(state.tolist())
             state = np.asarray(flat, float).reshape(len(state), len(state)) @ state
-        return pdf[[*KEYS, "_chunk"]].assign(state=states)
+        states.append(state.tolist())
+        return pd.DataFrame({**{k: [pdf[k].iat[0]] * len(chunks) for k in KEYS}, "_chunk": chunks, "_state": states})
 
     maps = x.where(F.col("t0").isNotNull()).groupBy(*KEYS, "_chunk").applyInPandas(
-        chunk_map, "series_id string, col string, _chunk long, map array<double>, start array<double>")
-    states = maps.groupBy(*KEYS).applyInPandas(compose, "series_id string, col string, _chunk long, state array<double>")
+        chunk_map, "series_id string, col string, _chunk long, begins long, t0 long, cut long, map array<double>, start array<double>, saved array<double>")
+    return x, maps.groupBy(*KEYS).applyInPandas(compose, "series_id string, col string, _chunk long, _state array<double>")
+
+
+def apply_imputer(raw_long: DataFrame, fitted: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Fill NULL values of ``raw_long(series_id, col, idx, value)`` with the
+    fitted model's one-step predictions; output ``(series_id, col, idx, value,
+    imputed)``. The rows are whole series, or those right behind the fitted rows.
+    The result does not depend on ``chunk``."""
+    x, states = _chunk_states(raw_long, fitted, chunk)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, order, start, after, early = parts(pdf)
-        y = pdf["value"].to_numpy(float)
+        pdf = pdf.sort_values("idx", kind="stable")
+        r, y = pdf.iloc[0], pdf["value"].to_numpy(float)
         out = pdf[[*KEYS, "idx"]].assign(value=np.where(np.isnan(y), pdf["y0"].to_numpy(float), y), imputed=np.isnan(y))
-        known = pdf["state"].iat[0]
+        known = r["_state"]
         if known is not None:
-            state = start if early else np.asarray(known, float)[:, None]
-            out.loc[after, "value"] = _walk(y[after], state, *order)[0][:, 0]
+            after = pdf["idx"].to_numpy() > r["t0"]
+            state = _start(r) if r["idx"] <= r["t0"] else np.asarray(known, float)
+            out.loc[after, "value"] = _walk(y[after], state[:, None], *_order(r))[0][:, 0]
         return out
 
     return x.join(states, [*KEYS, "_chunk"], "left").groupBy(*KEYS, "_chunk").applyInPandas(
         fill, "series_id string, col string, idx long, value double, imputed boolean")
 
 
-def impute_arma(raw_long: DataFrame, filled_long: DataFrame, p_min: int = 1, p_max: int = 3, q_max: int = 3,
+def fill_gaps(raw_long: DataFrame, model: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """:func:`apply_imputer` with each series' first observation taken from the
+    rows themselves."""
+    return apply_imputer(raw_long, with_start(model, raw_long), chunk)
+
+
+def fit_imputer(train_long: DataFrame, filled_long: DataFrame, p_min: int = 1, p_max: int = 3, q_max: int = 3,
                 m: int = 20, chunk: int = CHUNK) -> DataFrame:
-    """M5 end to end: d by ADF on the filled series, order by AIC on the
-    (differenced) filled series, then :func:`fill_gaps` on the raw series."""
+    """M6: the imputer's state after the train rows, one row per ``(series_id,
+    col)``: model, first observation, last row ``cut`` and the recursion's
+    ``state`` there. ``filled_long`` is the train series without gaps."""
+    model = with_start(select_model(filled_long, p_min, p_max, q_max, m, chunk), train_long)
+    _, states = _chunk_states(train_long, model, chunk)
+    last = states.groupBy(*KEYS).agg(F.max_by("_state", "_chunk").alias("state"))
+    cut = train_long.groupBy(*KEYS).agg(F.max("idx").alias("cut"))
+    return model.join(cut, KEYS).join(last, KEYS, "left")
+
+
+def select_model(filled_long: DataFrame, p_min: int = 1, p_max: int = 3, q_max: int = 3, m: int = 20, chunk: int = CHUNK) -> DataFrame:
+    """d by ADF, then order and coefficients by AIC on the (differenced) series."""
     from .adf import adf
     from .windows import seasonal_diff
     d = adf(filled_long, maxlag=min(50, m), regression="c", chunk=chunk) \
@@ -179,5 +222,11 @@ def impute_arma(raw_long: DataFrame, filled_long: DataFrame, p_min: int = 1, p_m
                            key=KEYS, chunk=chunk).where(F.col("value").isNotNull())
     x = filled_long.join(d, KEYS).where(F.col("d") == 0).select(*KEYS, "idx", "value") \
         .unionByName(diffed.join(d, KEYS).where(F.col("d") == 1).select(*KEYS, "idx", "value"))
-    model = select_arma(x, p_min, p_max, q_max, m, chunk).join(d, KEYS, "inner")
-    return fill_gaps(raw_long, model, chunk)
+    return select_arma(x, p_min, p_max, q_max, m, chunk).join(d, KEYS, "inner")
+
+
+def impute_arma(raw_long: DataFrame, filled_long: DataFrame, p_min: int = 1, p_max: int = 3, q_max: int = 3,
+                m: int = 20, chunk: int = CHUNK) -> DataFrame:
+    """M5 end to end on one table: model choice on the filled series, then
+    :func:`fill_gaps` on the raw one."""
+    return fill_gaps(raw_long, select_model(filled_long, p_min, p_max, q_max, m, chunk), chunk)

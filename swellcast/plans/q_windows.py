@@ -9,6 +9,7 @@ from ..config import (CLEAN_COLUMNS, DIRECT_LAGS, EXOGENOUS, HORIZON, LAGGED_MEA
                       TARGETS, WINDOW)
 from ..operators import blocks, clean, pipeline, windows
 from ..operators.scaling import apply_scaler, fit_scaler, to_long
+from ..session import saved
 from . import bases
 from .bases import QUERY_CHUNK
 from . import oracles as O
@@ -315,6 +316,80 @@ def p17_routed_pipelines(spark, sf):
 _CAL = ["month", "hour", "hr_sin", "hr_cos"]
 
 
+MODELLED = ["MWD_sin"]  # imputed by a model, so beyond SQL
+_SQL_EXOG = [c for c in EXOGENOUS if c not in MODELLED]
+
+
+def _grid(spark, sf):
+    """The cleaned grid, written once, with its test rows marked."""
+    return blocks.train_test_split(saved(bases.met_hourly(spark, sf), "grid"), TEST_SIZE)
+
+
+def _saved_and_loaded(spark, fitted):
+    """The pipeline as its saved files say."""
+    from pyspark.ml import PipelineModel
+    from .q_misc import scratch
+    path = scratch(spark, "pipeline")
+    fitted.write().save(path)
+    return PipelineModel.load(path)
+
+
+@register("m6_model_pipelines", _filled(CLEAN_COLUMNS) + _scaler_sql(_SQL_EXOG) + f"""
+SELECT s.series_id, s.ts, s.idx, s.is_test, h.MWD_sin IS NULL AS was_missing, CASE WHEN h.MWD_sin IS NOT NULL THEN {rnd('h.MWD_sin', 'x').removesuffix(' AS x')} END AS MWD_sin,
+  {', '.join(rnd('s.' + c, c) for c in _SQL_EXOG)}
+FROM scaled s JOIN hourly h USING (series_id, idx)""")
+def m6_model_pipelines(spark, sf):
+    """The X pipeline whose groups take different steps: the wave direction's
+    sine is imputed by its own model, the others are forward-filled, all are
+    scaled, each fitted on the train rows. The modelled column comes back on its
+    own scale where it was observed; where it was not, it must have a value."""
+    from ..operators.transformers import exogenous_pipeline
+    sp = _grid(spark, sf)
+    fitted = exogenous_pipeline(EXOGENOUS, MODELLED, QUERY_CHUNK).fit(sp.where(~F.col("is_test")).drop("n_rows", "test_start", "is_test"))
+    out = fitted.transform(sp)
+    back = apply_scaler(out.select("series_id", "idx", *MODELLED), fitted.stages[-1].state, MODELLED, inverse=True)
+    was = sp.select("series_id", "idx", F.col("MWD_sin").isNull().alias("was_missing"))
+    value = F.when(F.col("MWD_sin").isNull(), F.raise_error(F.lit("a gap was not imputed")).cast("double")).when(~F.col("was_missing"), F.col("MWD_sin"))
+    both = out.drop(*MODELLED).join(back, ["series_id", "idx"]).join(was, ["series_id", "idx"])
+    return both.select("series_id", "ts", "idx", "is_test", "was_missing", value.alias("MWD_sin"), *_SQL_EXOG)
+
+
+def _m7_sql() -> str:
+    x_sql, x_names = _summary_sql("scaled", _SQL_EXOG, [1], LAGGED_MEANS, [], True, keep="series_id, ts, idx, is_test", name="xf")
+    y_sql, y_names = _summary_sql("yd", TARGETS, TARGET_LAGS, LAGGED_MEANS, [], True, keep="series_id, idx", name="yf")
+    cal = ("CAST(month(ts) AS DOUBLE) AS month, CAST(hour(ts) AS DOUBLE) AS hour, "
+           "sin(2 * pi() * hour(ts) / 24.0) AS hr_sin, cos(2 * pi() * hour(ts) / 24.0) AS hr_cos")
+    names = [*_CAL, *x_names]
+    st = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in names)
+    diff = ", ".join(f"CASE WHEN idx < 24 THEN 0 ELSE {c} - {_lag(c, 24)} END AS {c}" for c in TARGETS)
+    return _filled(CLEAN_COLUMNS) + _scaler_sql([*_SQL_EXOG, *TARGETS]) + f""",
+{x_sql},
+xc AS (SELECT *, {cal} FROM xf),
+xst AS (SELECT series_id, {st} FROM xc WHERE NOT is_test GROUP BY 1),
+yd AS (SELECT series_id, idx, {diff} FROM scaled),
+{y_sql}
+SELECT xc.series_id, xc.ts, xc.idx, xc.is_test, {', '.join(rnd(f'(xc.{c} - xst.m_{c}) / xst.s_{c}', c) for c in names)},
+  {', '.join(rnd('yd.' + c, c) for c in TARGETS)}, {', '.join(rnd('yf.' + c, c) for c in y_names)}
+FROM xc JOIN xst USING (series_id) JOIN yd USING (series_id, idx) JOIN yf USING (series_id, idx)"""
+
+
+@register("m7_transform_set", _m7_sql())
+def m7_transform_set(spark, sf):
+    """All five transforms fitted in order on the train rows, saved, loaded and
+    applied to train and test rows: scaled exogenous columns (one imputed by a
+    model), their calendar and lag features scaled again, and the differenced
+    targets with their lags. The modelled column's features are left out of the
+    rows, as SQL has none to compare."""
+    from ..operators.transformers import transform_set
+    sp = _grid(spark, sf)
+    train = sp.where(~F.col("is_test"))
+    pipes = transform_set(EXOGENOUS, TARGETS, MODELLED, 24, QUERY_CHUNK)
+    x_cols, y_cols = ["series_id", "ts", "idx", *EXOGENOUS], ["series_id", "idx", *TARGETS]
+    x = _saved_and_loaded(spark, pipes["x"].fit(train.select(*x_cols))).transform(sp.select(*x_cols, "is_test"))
+    y = _saved_and_loaded(spark, pipes["y"].fit(train.select(*y_cols))).transform(sp.select(*y_cols))
+    out = x.join(y, ["series_id", "idx"])
+    return out.drop(*[c for c in out.columns if c.startswith("MWD_sin")])
+
 def _w6_sql() -> str:
     feat_sql, names = _summary_sql("xs", EXOGENOUS, [1], LAGGED_MEANS, [], True, keep="series_id, ts, idx, is_test")
     allf = _CAL + names
