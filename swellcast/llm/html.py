@@ -1,21 +1,29 @@
 """Main-text extraction from web pages by tree scoring.
 
-The page is parsed leniently into a tree (unclosed and stray tags are legal).
-Every paragraph passes points to its ancestors: one, one more per comma, one
-more per 100 characters up to three; the parent gets them whole, the
-grandparent half, farther ancestors a third and less by depth. A container's
-points are discounted by its link density. The best container is kept, with
-those siblings that score at least a fifth of it or are long paragraphs
-with few links. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are cut out by tag, role, class and id
-before scoring.
+The page is parsed leniently into a tree (unclosed and stray tags are legal) in
+one pass: a tag is read by a scanner that gives up at the next ``<`` outside a
+quoted value, and what it gives up is text. Every paragraph passes points to its
+ancestors: one, one more per comma, one more per 100 characters up to three; the
+parent gets them whole, the grandparent half, the ``LEVELS`` nearest ancestors
+above a third and less by depth. A container's points are discounted by its link
+density. The best container is kept, with those siblings that score at least a
+fifth of it or are long paragraphs with few links, and with the text that stands
+directly beside it. An article element (or else main) that scores a quarter of
+the best container or more is preferred to it, whatever stands beside it, and of
+several the best one and its sibling articles are kept. Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are cut
+out by tag, role, class and id before scoring.
 
 A class or id alone is weak evidence ("discussion" names a chapter as well as a
-forum). It never cuts a heading. Inside an article or main element it cuts
-nothing of running text, tables' cells or paragraphs; a section or list item only
-if most of its text is linked, and any other element if that is so or its text is
-short; reader comments are cut by name alone. Lists of links stay inside the
-chosen container, unless that is the whole page.
+forum). It never cuts a heading, and never what holds the page's text: where
+less than a fifth of the paragraph text is left beside an element that its name
+(or a form around the page) cut, that element is put back. Inside an article or
+main element a name cuts nothing of running text, tables' cells or paragraphs; a
+section or list item only if most of its text is linked, and any other element
+if that is so or its text is short; reader comments are cut by name alone. An
+article's own header keeps its headings and paragraphs; labels and buttons in
+running text are words of it. Lists of links stay inside the chosen container,
+unless that is the whole page.
 
 Defined results: null html counts as empty and gives an empty text; a page
 without any paragraph-like block gives the text of its largest remaining
@@ -27,8 +35,10 @@ Rows may repeat, null ids and urls stay null, other columns are never read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,22 +67,37 @@ RUNNING = frozenset("p pre blockquote figcaption caption table thead tbody tfoot
 SHORT, LINKED = 80, 0.5  # characters, and share of them in links, of an element that its name calls unwanted
 WANTED = re.compile(r"(?i)(?:article|post|entry|story|main|content|page|text|body)(?:[-_]|$)")
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?>[^<>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>""")
+INLINE = frozenset("label button".split())  # words of the text where they stand in running text
+LEVELS = 32  # ancestors that a paragraph passes points to
+LEFT = 0.2  # share of the paragraph text that must be left beside an element for its name to cut it
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
+SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = frozenset("ul ol menu dl table select".split())
+
+
+NO, BY_NAME, COMMENT, YES = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "bad", "doubted", "inside", "score", "depth")
+    __slots__ = ("tag", "parent", "kids", "bad", "doubted", "inside", "depth", "named", "chars", "linked", "mark")
 
     def __init__(self, tag: str, parent: "Node | None", bad: bool) -> None:
         self.tag, self.parent, self.bad, self.doubted = tag, parent, bad, False
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.kids: list = []  # nodes and strings in page order
-        self.score, self.depth = 0.0, parent.depth + 1 if parent else 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.named = NO  # why it may be put back
+        self.chars = self.linked = 0
+        self.mark = False
 
 
-NO, BY_NAME, COMMENT, YES = range(4)
+def running(at: Node) -> bool:
+    """Whether text here is part of a paragraph, item or cell."""
+    while at.tag not in BLOCK:
+        at = at.parent
+    return at.tag in RUNNING or at.tag == "li"
 
 
 def unwanted(tag: str, attrs: str) -> int:
@@ -102,19 +127,61 @@ def opened(tag: str, attrs: str, at: Node) -> Node:
     contents decide (see :func:`settle`)."""
     node, why = Node(tag, at, False), unwanted(tag, attrs)
     if why == YES:
-        node.bad = True
+        node.bad = not (tag in INLINE and running(at)) and not (tag == "header" and node.inside)
+        node.named = BY_NAME if tag == "form" else NO
     elif why and tag not in HEADINGS:
         if not node.inside:
-            node.bad = True
-        elif tag not in RUNNING:
-            up = at
-            while up.tag not in BLOCK:
-                up = up.parent
-            if tag in BLOCK or up.tag not in RUNNING and up.tag != "li":
-                node.bad, node.doubted = why == COMMENT, why == BY_NAME
+            node.bad, node.named = True, why
+        elif tag not in RUNNING and (tag in BLOCK or not running(at)):
+            node.bad, node.doubted = why == COMMENT, why == BY_NAME
     return node
 
 
+def put_back(root: Node) -> None:
+    """Undo cuts by name until enough of the page's paragraph text is left: the
+    cut element with the most of it (reader comments last), outermost first; a
+    deep nest of cut elements is put back as one."""
+    for turn in count(1):
+        left, cut = 0, []
+        stack: list = [(root, None)]
+        while stack:
+            at, under = stack.pop()
+            for kid in at.kids:
+                if isinstance(kid, str):
+                    n = len(kid) - kid.count(" ") if kid and not kid.isspace() and not in_link(at) else 0
+                    if under is None:
+                        left += n
+                    else:
+                        cut[under][0] += n
+                elif not kid.bad:
+                    stack.append((kid, under))
+                elif kid.named and under is None:
+                    cut.append([0, kid.named != COMMENT, kid])
+                    stack.append((kid, len(cut) - 1))
+                elif kid.named:
+                    stack.append((kid, under))
+        most = max(cut, key=lambda c: (c[1] and left < LEFT * c[0], c[0]), default=None)
+        if most is None or not most[0] or left >= LEFT * most[0] or not most[1] and left:
+            return
+        most[2].bad = False
+        if turn % 16 == 0:
+            stack = [most[2]]
+            while stack:
+                at = stack.pop()
+                nodes = [k for k in at.kids if not isinstance(k, str)]
+                for k in nodes:
+                    k.bad = k.bad and k.named != BY_NAME
+                stack += [k for k in nodes if not k.bad]
+
+
+def in_link(at: Node) -> bool:
+    while at is not None and at.tag not in BLOCK:
+        if at.tag == "a":
+            return True
+        at = at.parent
+    return False
+
+
 def settle(root: Node) -> None:
     """Cut the doubted elements that look like boilerplate, inner ones first."""
     stack: list = [(root, iter(root.kids), False, [0, 0])]
@@ -142,49 +209,75 @@ def parse(html: str) -> Node:
     """Lenient tree: a block start closes an open paragraph, an end tag closes
     back to its nearest opener within the same block, stray ends are ignored."""
     root = Node("html", None, False)
-    at, pos, n, doubts = root, 0, len(html), False
+    at, pos, n, doubts, named, declared = root, 0, len(html), False, False, True
+    open_: Counter = Counter(["html"])
+
+    def close(up: Node) -> Node:
+        """Leave ``up``, counting what is left open no more."""
+        node = at
+        while node is not up.parent:
+            open_[node.tag] -= 1
+            node = node.parent
+        return node
+
     while pos < n:
-        m = TOKEN.search(html, pos)
-        if not m:
+        lt = html.find("<", pos)
+        if lt < 0:
             at.kids.append(html[pos:])
             break
-        if m.start() > pos:
-            at.kids.append(html[pos:m.start()])
-        pos = m.end()
-        if m[2] is None:
+        m = TAG.match(html, lt)
+        if m is None:
+            end = -1
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                end = n if end < 0 else end + 3
+            elif html.startswith(("<!", "<?"), lt) and declared:
+                end = html.find("]]>", lt) + 3 if html.startswith("<![CDATA[", lt) else 0
+                end = end if end > 2 else html.find(">", lt) + 1
+                declared = end > 0  # no ">" follows any more: the rest has no declaration
+                end = end or -1
+            if end < 0:  # a stray "<" is text
+                at.kids.append(html[pos:lt + 1])
+                pos = lt + 1
+                continue
+            if lt > pos:
+                at.kids.append(html[pos:lt])
+            pos = end
             continue
+        if lt > pos:
+            at.kids.append(html[pos:lt])
+        pos = m.end()
         tag = m[2].lower()
         if m[1]:
-            up = at
+            up = at if open_[tag] > 0 else None
             while up is not None and up.tag != tag:
                 if tag not in BLOCK and up.tag in BLOCK and up.tag != "p":
                     up = None  # an inline end does not reach out of its block
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                at = up.parent
+                at = close(up)
             continue
         if tag == "html" or tag == "body" and at.tag == "body":
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_["p"] > 0:
             up = at  # a block ends the open paragraph, and inline tags left open in it
             while up is not None and (up.tag not in BLOCK):
                 up = up.parent
             if up is not None and up.tag == "p" and up.parent is not None:
-                at = up.parent
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
-            stop = ("ul", "ol", "menu", "dl", "table", "select")
-            up = at
-            while up is not None and up.tag not in same and up.tag not in stop:
+                at = close(up)
+        if same := SAME.get(tag):
+            up = at if any(open_[t] > 0 for t in same) else None
+            while up is not None and up.tag not in same and up.tag not in LISTS:
                 up = up.parent
             if up is not None and up.tag in same and up.parent is not None:
-                at = up.parent
+                at = close(up)
         if tag in VOID:
             at.kids.append(Node(tag, at, False))
             continue
         node = opened(tag, m[3], at)
         doubts |= node.doubted
+        named |= bool(node.named)
         at.kids.append(node)
         if m[3].endswith("/"):
             continue
@@ -195,6 +288,9 @@ def parse(html: str) -> Node:
             pos = end.end() if end else n
             continue
         at = node
+        open_[tag] += 1
+    if named:
+        put_back(root)
     if doubts:
         settle(root)
     return root
@@ -207,7 +303,7 @@ def blocks_of(node: Node) -> list[tuple[str, Node, int]]:
 
     def flush(owner: Node) -> None:
         text = SPACE.sub(" ", unescape("".join(t for t, _ in run))).strip()
-        if text:
+        if text and (owner.tag in HEADINGS or owner.tag == "p" or not in_header(owner)):
             linked = len(SPACE.sub(" ", "".join(t for t, a in run if a)).strip())
             out.append((text, owner, min(linked, len(text))))
         run.clear()
@@ -238,64 +334,91 @@ def blocks_of(node: Node) -> list[tuple[str, Node, int]]:
     return out
 
 
+def in_header(at: Node) -> bool:
+    """Within an article's own header."""
+    while at is not None and at.inside:
+        if at.tag == "header":
+            return True
+        at = at.parent
+    return False
+
+
 PARAGRAPHS = frozenset("p pre blockquote td li dd div article section main".split())
 
 
+def weight(level: int) -> float:
+    return 1 if level == 0 else 1 / 2 if level == 1 else 1 / (3 * level)
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks joined by newlines."""
     root = parse(html or "")
     blocks = blocks_of(root)
     if not blocks:
         return ""
-    chars: dict[Node, list[int]] = {}
+    order, stack = [], [root]  # parents before their children
+    while stack:
+        at = stack.pop()
+        order.append(at)
+        stack += [k for k in at.kids if not isinstance(k, str) and not k.bad]
     scored: dict[Node, float] = {}
-    for text, owner, linked in blocks:
-        up = owner
-        while up is not None:
-            c = chars.setdefault(up, [0, 0])
-            c[0] += len(text)
-            c[1] += linked
+
+    def pass_points(up: Node | None, points: float) -> None:
+        for level in range(LEVELS):
+            if up is None:
+                break
+            scored[up] = scored.get(up, 0.0) + points * weight(level)
             up = up.parent
-        if owner.tag not in PARAGRAPHS or len(text) < 25 or linked > len(text) // 2:
-            continue
-        points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) // 100, 3)
-        up, level = owner.parent if owner.tag in ("p", "pre", "td", "li", "dd") and owner.parent else owner, 0
-        while up is not None:
-            scored[up] = scored.get(up, 0.0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+
+    for text, owner, linked in blocks:
+        owner.chars += len(text)
+        owner.linked += linked
+        if owner.tag in PARAGRAPHS and len(text) >= 25 and linked <= len(text) // 2:
+            points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) // 100, 3)
+            pass_points(owner.parent if owner.tag in ("p", "pre", "td", "li", "dd") and owner.parent else owner, points)
     if not scored:
         for text, owner, linked in blocks:  # short pages: points by characters alone
-            up, level = owner.parent or owner, 0
-            while up is not None:
-                scored[up] = scored.get(up, 0.0) + (len(text) - linked) / 100 / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                up, level = up.parent, level + 1
-    final = {n: s * (1 - chars[n][1] / max(1, chars[n][0])) for n, s in scored.items()}
+            pass_points(owner.parent or owner, (len(text) - linked) / 100)
+    for at in reversed(order):
+        if at.parent is not None:
+            at.parent.chars += at.chars
+            at.parent.linked += at.linked
+    final = {n: s * (1 - n.linked / max(1, n.chars)) for n, s in scored.items()}
     best = max(final, key=lambda n: (final[n], -n.depth))
-    up = best  # an enclosing article or main element is the article
-    while up is not None:
-        if up.tag in ("article", "main"):
+    for tag in ("article", "main"):  # an element that says it is the article is, unless next to nothing is in it
+        own = [n for n in final if n.tag == tag and final[n] >= 0.25 * final[best]]
+        if own:
+            best = max(own, key=lambda n: (final[n], n.depth))
+            break
+        up = best
+        while up is not None and up.tag != tag:
+            up = up.parent
+        if up is not None:
             best = up
             break
-        up = up.parent
-    keep = {best}
+    keep, beside = {best}, None
     if best.parent is not None and best.tag not in ("article", "main", "body"):
+        beside = best.parent if best.parent.tag not in ("html", "body") else None
         for kid in best.parent.kids:
-            if isinstance(kid, Node) and not kid.bad and kid in chars:
-                n, linked = chars[kid]
-                density = linked / max(1, n)
-                long_text = kid.tag in ("p", "pre", "blockquote") and (n > 80 and density < 0.25 or n <= 80 and density == 0 and n > 0)
-                if long_text or re.fullmatch("h[1-6]", kid.tag) and density == 0 or final.get(kid, 0.0) >= max(3.0, 0.2 * final[best]):
+            if isinstance(kid, Node) and not kid.bad and kid.chars:
+                n = kid.chars
+                density = kid.linked / n
+                long_text = kid.tag in ("p", "pre", "blockquote") and (n > 80 and density < 0.25 or n <= 80 and density == 0)
+                if long_text or kid.tag in HEADINGS and density == 0 or final.get(kid, 0.0) >= max(3.0, 0.2 * final[best]):
                     keep.add(kid)
     elif best.tag == "article" and best.parent is not None:  # a page of several articles keeps them all
         keep |= {k for k in best.parent.kids if isinstance(k, Node) and k.tag == "article" and not k.bad
                  and final.get(k, 0.0) >= 0.2 * final.get(best, 0.0)}
+    inner: set[Node] = set()  # within the best container
+    for at in order:
+        at.mark = at in keep or at.parent is not None and at.parent.mark
+        if at is best or at.parent in inner:
+            inner.add(at)
+    whole = best.tag in ("html", "body")
     kept = []
     for text, owner, linked in blocks:
-        up = owner
-        while up is not None and up not in keep:
-            up = up.parent
-        inside = up is best and best.tag not in ("html", "body")
-        if up is not None and (inside or not (owner.tag in ("li", "ul", "ol", "div") and linked > 0.8 * len(text))):
+        listed = owner.tag in ("li", "ul", "ol", "div") and linked > 0.8 * len(text)
+        if owner.mark and (owner in inner and not whole or not listed) or owner is beside and not linked:
             kept.append(text)
     return "\n".join(kept)
 

@@ -58,3 +58,41 @@ def test_names_inside_a_plain_container():
     links = "".join(f"<li><a href=x>Reference {k}</a></li>" for k in range(3))
     got = main_text(f'<body><div id="content"><h2 id="related-work">Related work</h2><p>{LONG}</p><p>{LONG}</p><ul>{links}</ul></div><div class="sidebar"><p>{LONG}</p></div></body>')
     assert got == f"Related work\n{LONG}\n{LONG}\nReference 0\nReference 1\nReference 2"
+
+
+def test_a_name_never_cuts_what_holds_the_text():
+    assert main_text(f'<div class="post-form"><p>{LONG}') == LONG
+    assert main_text(f'<div id="promotion-theory"><p>{LONG}') == LONG
+    assert main_text(f'<body class="search-results"><div class="search-content"><p>{LONG}') == LONG
+    assert main_text(f'<body><form action=x><div class="wrapper"><p>{LONG}</p><p>{LONG}</p></div></form></body>') == f"{LONG}\n{LONG}"
+    assert main_text(f'<div class="sidebar"><div class="promo"><p>{LONG}</p></div></div>') == LONG
+    assert main_text(f'<div><p>{LONG}</p></div><div class="comments"><p>{LONG * 9}</p></div>') == LONG
+
+
+def test_text_beside_the_container_and_titles_stay():
+    got = main_text(f'<div class="entry">Line one<br>Line two <b>bold</b><div>{LONG}</div></div>')
+    assert got == f"Line one Line two bold\n{LONG}"
+    got = main_text(f'<article><header><h1>Title</h1><p>Standfirst.</p><ul><li><a href=x>Share</a></li></ul></header><p>{LONG}</p></article>')
+    assert got == f"Title\nStandfirst.\n{LONG}"
+    assert main_text(f"<article><p>Use the <label>Name</label> field, press <button>Save</button> now. {LONG}</p><label>Search</label></article>") == \
+        f"Use the Name field, press Save now. {LONG}"
+
+
+def test_the_article_beats_its_neighbours():
+    assert main_text(f'<article><p>{LONG}</p></article><div class="reviews"><p>{LONG} {LONG}</p></div>') == LONG
+    assert main_text(f"<main><article><p>{LONG} First.</p></article><section><article><p>{LONG}</p></article></section></main>") == f"{LONG} First."
+    assert main_text(f"<main><article><p>{LONG}</p></article><article><p>{LONG} Two.</p></article></main>") == f"{LONG}\n{LONG} Two."
+    teaser = f'<div id="content"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class="box"><article><p>Only this one short teaser.</p></article></div>'
+    assert main_text(teaser) == "\n".join([LONG] * 5)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+    began = time.perf_counter()
+    for junk in ("i <b and c ", '<a "', '<a b="', "<a b='x\" ", "<", "<!", "</p", "<b ", "<i><p>", "</b></i>", "&lt;"):
+        text = main_text(f"<article><p>{LONG}</p></article>" + junk * (1_000_000 // len(junk)))
+        assert text.startswith(LONG), junk
+    for nest in (f"{'<div>' * 4000}{LONG}{'</div>' * 4000}", f"{'<b>' * 4000}{LONG}", "".join(f"<div><p>{LONG}</p>" for _ in range(4000)), "<ul>" + "<li>item <b>x" * 20_000,
+                 '<div class="ad">' * 3000 + LONG, "".join(f'<div class="ad">{LONG}</div>' for _ in range(4000))):
+        assert main_text(nest)
+    assert time.perf_counter() - began < 40
