@@ -31,6 +31,7 @@ never read. A damaged frame, table or footer is an error when it is read.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -46,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .bpe import SPLIT
 from .common import frame, slices, stored, texts_of
 
 # fixed values of the public seekable format
@@ -59,6 +61,7 @@ LEVEL = 3
 FRAME_BYTES = 8 << 20  # of ids in a frame
 FILE_BYTES = 32 << 20  # of ids in a file; a single larger document is a file of its own
 END_ID = 0
+WORDS = 250_000  # remembered by a task; bounds its memory
 
 
 def checksum(data: bytes) -> int:
@@ -173,6 +176,56 @@ class SeekableReader:
         return list(range(nulls + int(np.searchsorted(own, doc_id, "left")), nulls + int(np.searchsorted(own, doc_id, "right"))))
 
 
+# --------------------------------------------------------------------- encoder
+
+class WordCoder:
+    """The tokenizers library, asked once for every distinct word. A byte-level
+    tokenizer cuts a text into words before anything else and encodes each by
+    itself, so a word's ids are the same in every text. Texts that hold an added
+    token's string, and all texts of tokenizers of another kind, are encoded
+    whole. At most ``WORDS`` words are remembered (a bound on memory only)."""
+
+    def __init__(self, spec: str) -> None:
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import regex
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_str(spec)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        form = json.loads(spec)
+        pre = form.get("pre_tokenizer") or {}
+        self.by_word = (not form.get("normalizer") and form["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel"
+                        and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+        self.added = [a["content"] for a in form.get("added_tokens", [])]
+        self.cut = regex.compile(SPLIT).findall
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, fresh: list[str]) -> None:
+        for lo in range(0, len(fresh), 1000):
+            part = fresh[lo:lo + 1000]
+            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+            self.words.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends.tolist()], ends.tolist()))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        whole = [k for k, t in enumerate(texts) if not self.by_word or any(a in t for a in self.added)]
+        for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        rest = sorted(set(range(len(texts))).difference(whole))
+        if len(self.words) > WORDS:
+            self.words.clear()
+        cut = [self.cut(texts[k]) for k in rest]
+        self._learn(list(set().union(*cut).difference(self.words)))
+        get = self.words.__getitem__
+        for k, words in zip(rest, cut):
+            out[k] = b"".join(map(get, words))
+        return out
+
+
 # ------------------------------------------------------------------------ Spark
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
@@ -183,14 +236,9 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-        coder = Tokenizer.from_str(held.value)
-        coder.no_truncation()
-        coder.no_padding()
+        coder = WordCoder(held.value)
         for part in slices(batches, 1 << 20):
-            done = [compress(np.array(e.ids, "<u4").tobytes() + tail) for e in coder.encode_batch_fast(texts_of(part), add_special_tokens=False)]
+            done = [compress(ids + tail) for ids in coder.encode(texts_of(part))]
             yield pa.RecordBatch.from_arrays([
                 part.column("id"), part.column("tie"), pa.array([int(t[:, 1].sum(dtype=np.int64)) for _, t in done], pa.int64()),
                 pa.array([b for b, _ in done], pa.binary()), pa.array([t.astype("<u4").tobytes() for _, t in done], pa.binary())], ["id", "tie", "size", "data", "frames"])

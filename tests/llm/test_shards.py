@@ -79,6 +79,20 @@ def test_readers_decompress_only_what_is_asked_for(spark, coder):
     assert {r.doc_id: r.ids for r in some} == {d: coder.encode(f"document number {d} " * (d + 1), add_special_tokens=False).ids + [0] for d in (7, 31)}
 
 
+def test_words_encode_as_whole_texts_do(coder):
+    import random
+    rnd = random.Random(3)
+    pieces = ["the", " The", "naïve", " 漢字", "🙂", "'s", "'ll", "I'm", "  ", "\n", "\t ", "\u00a0", "\u2003", "\x85", "12", " 3.5", "--", "<|endoftext|>", "e\u0301", "\x00", "ſ", "'S", " '", "x" * 40]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(40))) for _ in range(3000)] + ["", " ", "a" * 5000]
+    mine = shards.WordCoder(open(PATH, encoding="utf-8").read())
+    assert mine.by_word
+    for lo in range(0, len(texts), 100):
+        assert mine.encode(texts[lo:lo + 100]) == [np.array(coder.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[lo:lo + 100]]
+    other = shards.WordCoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.by_word and other.encode(texts[:50]) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:50]]
+
+
 def damaged_file():
     entries = [shards.Entry(i, *shards.compress(np.arange(i * 50, i * 50 + 50, dtype="<u4").tobytes(), 80)) for i in range(6)]
     return entries, shards.file_bytes(entries, 0, 0)
