@@ -1,6 +1,7 @@
 """Augmented Dickey-Fuller test (D1), distributed.
 
-Regression of ``dy_t`` on ``[trend terms, y_{t-1}, dy_{t-1} .. dy_{t-p}]``.
+Regression of ``dy_t`` on ``[trend terms, y_{t-1}, dy_{t-1} .. dy_{t-p}]``: no
+trend term (``n``), a constant (``c``), a line (``ct``) or a parabola (``ctt``).
 Pass 1: Gram over the common sample (``t > maxlag``) -> every lag order
 0..maxlag is a nested sub-block; pick the order with the smallest AIC
 (ties -> fewer lags). Pass 2: Gram over the refit sample of the chosen
@@ -23,11 +24,16 @@ from .gram import KEYS, aic, ols_from_gram, partial_gram, to_matrix
 # --- fixed values: MacKinnon (1994) response-surface coefficients, N = 1 ----
 # regression -> (tau_max, tau_min, tau_star, small-p coefficients, large-p coefficients)
 MACKINNON = {
+    "n": (math.inf, -19.04, -1.04, [0.6344, 1.2378, 0.032496], [0.4797, 0.93557, -0.06999, 0.033066]),
     "c": (2.74, -18.83, -1.61, [2.1659, 1.4412, 0.038269], [1.7339, 0.93202, -0.12745, -0.010368]),
     "ct": (0.7, -16.18, -2.89, [3.2512, 1.6047, 0.049588], [2.5261, 0.61654, -0.37956, -0.060285]),
+    "ctt": (0.54, -17.17, -3.21, [4.0003, 1.658, 0.048288], [3.0778, 0.49529, -0.41477, -0.059359]),
 }
 
 
+TIME_UNIT = 1000.0
+
+
 def mackinnon_p(stat: float, regression: str = "c") -> float:
     tmax, tmin, tstar, small, large = MACKINNON[regression]
     if not np.isfinite(stat):
@@ -42,7 +48,7 @@ def mackinnon_p(stat: float, regression: str = "c") -> float:
 
 
 def _n_trend(regression: str) -> int:
-    return {"c": 1, "ct": 2}[regression]
+    return {"n": 0, "c": 1, "ct": 2, "ctt": 3}[regression]
 
 
 def _design(pdf: pd.DataFrame, n_lags: int, first: int, regression: str, idx: str = "idx") -> np.ndarray | None:
@@ -52,11 +58,9 @@ def _design(pdf: pd.DataFrame, n_lags: int, first: int, regression: str, idx: st
     if len(y) > 1 and np.any(np.diff(ix) != 1):
         raise ValueError("ADF needs a gap-free grid (fill gaps first)")
     dy = np.concatenate([[np.nan], np.diff(y)])
-    cols = []
-    if regression in ("c", "ct"):
-        cols.append(np.ones(len(y)))
-    if regression == "ct":
-        cols.append(ix.astype(float))
+    cols = [np.ones(len(y))]  # counts the rows, also where the regression has no constant
+    u = ix / TIME_UNIT  # the test does not depend on the unit; the squares keep their digits
+    cols += [u ** k for k in range(1, _n_trend(regression))]
     cols.append(np.concatenate([[np.nan], y[:-1]]))                      # y_{t-1}
     for k in range(1, n_lags + 1):
         cols.append(np.concatenate([np.full(k, np.nan), dy[:-k]]) if k < len(dy) else np.full(len(dy), np.nan))
@@ -73,18 +77,15 @@ def adf(long: DataFrame, maxlag: int = 50, regression: str = "c", autolag: bool
     """D1 on long series ``(series_id, col, idx, value)`` (gap-free, no NULLs).
     Output ``(series_id, col, adf_stat, p_value, used_lag, nobs, ic_best, stationary)``."""
     if regression not in MACKINNON:
-        raise ValueError("regression must be 'c' or 'ct'")
+        raise ValueError(f"regression must be one of {sorted(MACKINNON)}")
     nt = _n_trend(regression)
+    skip = int(nt == 0)  # the column that only counts
     first = maxlag + 1
 
     def _fit(g, k):
-        """OLS on the first k columns of the Gram ``g`` (response last)."""
-        sub = np.zeros((k + 1, k + 1))
-        sub[:k, :k] = g[:k, :k]
-        sub[:k, k] = g[:k, -1]
-        sub[k, :k] = g[-1, :k]
-        sub[k, k] = g[-1, -1]
-        return ols_from_gram(sub, k, 0)
+        """OLS on the first k regressors of the Gram ``g`` (response last)."""
+        use = [*range(skip, skip + k), g.shape[0] - 1]
+        return ols_from_gram(g[np.ix_(use, use)], k, 0)
 
     g1 = partial_gram(long, lambda p: _design(p, maxlag, first, regression), back=maxlag + 1, chunk=chunk)
 
@@ -117,9 +118,9 @@ def adf(long: DataFrame, maxlag: int = 50, regression: str = "c", autolag: bool
 
     def stat(pdf: pd.DataFrame) -> pd.DataFrame:
         g = to_matrix(pdf)
-        k = g.shape[0] - 1
+        k = g.shape[0] - 1 - skip
         nobs = g[0, 0]
-        beta, ssr, inv = ols_from_gram(g, k, nobs)
+        beta, ssr, inv = _fit(g, k)
         sigma2 = ssr / (nobs - k)
         j = nt                                   # position of y_{t-1}
         t = beta[j] / math.sqrt(sigma2 * inv[j, j]) if sigma2 > 0 and inv[j, j] > 0 else float("nan")

@@ -147,15 +147,51 @@ def test_pacf_matches_yule_walker():
         assert abs(got[k] - np.linalg.solve(toe, r[1:k + 1])[-1]) < 1e-10
 
 
-def test_hp_halo_follows_lambda(spark):
-    from swellcast.operators.filters import hp_bands, hp_filter, hp_halo, solve_penta
+@pytest.mark.parametrize("lamb,close", [(1600.0, 1e-9), (129_600.0, 1e-9), (1e8, 1e-6)])
+def test_hp_filter_does_not_depend_on_chunks(spark, lamb, close):
+    from swellcast.operators.filters import hp_bands, hp_filter, solve_penta
     rng = np.random.default_rng(6)
-    y = np.cumsum(rng.normal(size=6000))
-    for lamb in (129_600.0, 1e6):
-        full = solve_penta(*hp_bands(len(y), lamb), y)
-        got = hp_filter(_long(spark, {"s": y}), lamb=lamb, chunk=1000).toPandas().sort_values("idx")
-        assert np.max(np.abs(got["trend"].to_numpy() - full)) < 1e-6 * np.abs(full).max()
-    assert hp_halo(1600.0) < hp_halo(1e6) < hp_halo(1e8) < 5000
+    series = {"long": np.cumsum(rng.normal(size=1203)), "short": rng.normal(size=5), "three": np.array([1.0, 5.0, 2.0]), "one": np.array([4.0])}
+    want = {}
+    for k, y in series.items():
+        n = len(y)
+        d = np.zeros((max(n - 2, 0), n))
+        for r in range(n - 2):
+            d[r, r:r + 3] = [1, -2, 1]
+        want[k] = np.linalg.solve(np.eye(n) + lamb * d.T @ d, y)
+        assert np.allclose(solve_penta(*hp_bands(n, lamb), y), want[k], rtol=0, atol=close * np.abs(y).max())
+    for chunk in (4, 7, 100, 1203, 5000):
+        got = hp_filter(_long(spark, series), lamb=lamb, chunk=chunk).toPandas().sort_values(["series_id", "idx"])
+        for k, y in series.items():
+            own = got[got["series_id"] == k]
+            assert np.max(np.abs(own["trend"].to_numpy() - want[k])) < close * np.abs(y).max(), (k, chunk)
+            assert np.allclose(own["cycle"].to_numpy() + own["trend"].to_numpy(), y)
+
+
+def test_adf_forms_equal_plain_regressions(spark):
+    from swellcast.operators.adf import adf
+    rng = np.random.default_rng(4)
+    n, lag = 400, 3
+    y = np.cumsum(rng.normal(size=n)) + 0.01 * np.arange(n)
+    dy = np.diff(y)
+    t = np.arange(lag + 1, n)
+    for form, trend in {"n": 0, "c": 1, "ct": 2, "ctt": 3}.items():
+        z = np.column_stack([*(t.astype(float) ** k for k in range(trend)), y[t - 1], *(dy[t - 1 - k] for k in range(1, lag + 1))])
+        beta, _, _, _ = np.linalg.lstsq(z, dy[t - 1], rcond=None)
+        left = dy[t - 1] - z @ beta
+        cov = np.linalg.inv(z.T @ z) * (left @ left) / (len(t) - z.shape[1])
+        r = adf(_long(spark, {"s": y}), maxlag=lag, regression=form, autolag=False, chunk=90).first()
+        assert r.nobs == len(t) and r.adf_stat == pytest.approx(beta[trend] / np.sqrt(cov[trend, trend]), rel=1e-6), form
+        assert 0 <= r.p_value <= 1
+    with pytest.raises(ValueError, match="ctt"):
+        adf(_long(spark, {"s": y}), regression="x")
+
+
+def test_mackinnon_levels():
+    """Asymptotic 5 % critical values of the four forms lie near p = 0.05."""
+    from swellcast.operators.adf import mackinnon_p
+    for form, critical in {"n": -1.941, "c": -2.862, "ct": -3.411, "ctt": -3.832}.items():
+        assert abs(mackinnon_p(critical, form) - 0.05) < 0.002, form
 
 
 def test_recursive_trees_equal_a_plain_loop(spark):
