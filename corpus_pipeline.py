@@ -3,7 +3,7 @@ and read again as the next one's input. All but the last keep the input's
 columns; every stage works on all rows that the stage before kept.
 
 Null ids, null and empty texts pass as the operators define: the language
-stage drops texts without letters, duplicates of null ids are dropped like any
+stage drops texts without letters, exact copies without id are dropped like any
 others, and rows that repeat id and text count as copies.
 """
 
@@ -19,9 +19,15 @@ MIN_LANGUAGE_SCORE = 0.4  # below, no language fits the text, nor do several fit
 
 
 def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id was kept; of rows that repeat id and text, one."""
-    ids = judged.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    """The rows of ``docs`` that were kept; of rows that repeat id and text, one.
+    A decision that names the text (``text_sha256``) holds for that text alone,
+    so rows without id, or with a repeated one, are judged one by one; any other
+    holds for all rows of the id."""
+    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id"), *(["text_sha256"] if "text_sha256" in judged.columns else [])).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"])
+    if "text_sha256" in kept.columns:
+        same = same & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == kept["text_sha256"])
+    out = docs.join(kept, same, "left_semi")
     if not judged.groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
@@ -39,7 +45,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of every group of near-duplicates."""
+    """Keep the smallest id of every group of near-duplicates. Rows that repeat
+    an id are one document; rows without id are never near copies (their exact
+    copies went before)."""
     return _keep(docs, stored(near.near_dedup(docs, percent=80), "near"))
 
 
