@@ -245,7 +245,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 8 << 20):
+        for part in slices(batches):
             found = predict(texts_of(part), shared.value)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([f[0] for f in found], pa.string()),
                                               pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
@@ -260,7 +260,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 8 << 20, text_col):
+        for part in slices(batches, col=text_col):
             found = judged(texts_of(part, text_col), shared.value)
             yield part.filter(pa.array([lang != UNDETERMINED and max(score, known) >= min_score for lang, score, known in found], pa.bool_()))
 

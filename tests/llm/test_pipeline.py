@@ -61,3 +61,10 @@ def test_texts_in_several_languages_stay(spark):
     more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
     got = {r.doc_id for r in p.language_id(spark, more, SF).where("doc_id < 0").collect()}
     assert len(by) == 4 and got == {-1, -2}
+
+
+def test_copies_of_rows_without_or_with_a_repeated_id(spark):
+    x, y, z = (f"{w} the cat sat on the mat and saw a dog" for w in ("first", "second", "third"))
+    docs = spark.createDataFrame([(None, x), (7, x), (None, z), (5, y), (9, y), (5, z + " again")], "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in p.exact_dedup(spark, docs, SF).collect())
+    assert got == sorted([(7, x), (-1, z), (9, y), (5, z + " again")])
