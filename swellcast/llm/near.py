@@ -50,7 +50,7 @@ HASHES = BANDS * ROWS
 BATCH = 32  # hashes compared at a time
 MISS = 1e-7
 TILE = 256  # members of a tile's side
-GROUP_BYTES = 16 << 20  # of the tiles that one task call holds
+GROUP_BYTES = 8 << 20  # of the tiles that one task call holds
 ROW_BYTES = 1_000  # of a tile's row without its text
 
 _rng = np.random.default_rng(20240229)
@@ -250,7 +250,6 @@ def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: i
             ids, comp = (np.frombuffer(b"".join(sides[c]), np.int64) for c in ("ids", "comps"))
             sig = _signatures(sides["sigs"])
             tile = pd.DataFrame({"key": key, "id": ids, "c": comp, "i": i, "j": j, "side": np.repeat(sides["side"].to_numpy(), sides["ids"].map(len) // 8)})
-            tile["sig"] = [row.tobytes() for row in sig]
             x, y = halves(tile, i, j)
             hit, keys = np.zeros(len(tile), bool), band_keys(sig)
             for at in x:
@@ -258,11 +257,13 @@ def _tiles(open_: DataFrame, known: DataFrame, least: dict[int, int], percent: i
                 to = _first_here(key, keys, at, to[alive(np.broadcast_to(sig[at], (len(to), HASHES)), sig[to], least)])
                 hit[to] = True
                 hit[at] |= len(to) > 0
-            out.append(tile[hit])
+            out.append(tile[hit].assign(sig=[row.tobytes() for row in sig[hit]]))
         return pd.concat(out)[["key", "id", "c", "i", "j", "side", "sig"]]
 
     passed = stored(grouped(tiles, _groups(rows or 0)).applyInPandas(screen, "key long, id long, c long, i int, j int, side int, sig binary"), "passed")
-    rows, size = passed.join(texts.select("id", F.octet_length("text").alias("size")), "id").agg(F.count(F.lit(1)), F.sum(F.col("size").cast("long"))).first()
+    times = passed.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    rows, size = times.join(texts.select("id", F.octet_length("text").cast("long").alias("size")), "id").agg(F.sum("times"), F.sum(F.col("times") * F.col("size"))).first()
+    rows = rows or 0
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
