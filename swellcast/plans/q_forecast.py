@@ -412,6 +412,42 @@ def a10_best_trial(spark, sf):
     return cv.best_trial(grid_objectives(spark, sf))
 
 
+def tree_features(spark, sf):
+    """Train rows with what is known of an hour a horizon ahead: direct lags of the
+    targets (W15), the calendar and the exogenous column."""
+    from ..config import DIRECT_LAGS
+    from ..operators.models import direct_features
+    f = train_test_split(bases.met_filled(spark, sf, [*TARGETS, EXOG]), TEST_SIZE).where(~F.col("is_test"))
+    rows, names = direct_features(f.select("series_id", "ts", "idx", *TARGETS, EXOG), TARGETS, DIRECT_LAGS, HORIZON)
+    names = [*names, EXOG]
+    return saved(rows.select("series_id", "idx", *TARGETS, *names), "features"), names
+
+
+def _tree_search(spark, sf, trials):
+    from ..operators.tuning import random_search, with_settings
+    rows, names = tree_features(spark, sf)
+    objectives, best = random_search(rows, names, TARGETS, trials, FOLD_W, FOLD_H, FOLD_S)
+    return with_settings(objectives.join(best.withColumnRenamed("best_trial", "trial_id").select("series_id", "trial_id", F.lit(True).alias("is_best")),
+                                         ["series_id", "trial_id"], "left").fillna(False, ["is_best"]), trials)
+
+
+@register("m11_grid_trees")
+def m11_grid_trees(spark, sf):
+    """Grid search over trees x rate x depth (27 trials at the full tree counts),
+    refitted on every sliding fold: the trial table with settings, objective and
+    the best trial of each series. Held against plain fits by the tests."""
+    from ..operators.tuning import grid_trials
+    return _tree_search(spark, sf, grid_trials())
+
+
+@register("m12_random_search")
+def m12_random_search(spark, sf):
+    """Random search: ten seeded trials over trees, depth, gamma, alpha and lambda,
+    refitted on every sliding fold; the same trial table."""
+    from ..operators.tuning import sample_trials
+    return _tree_search(spark, sf, sample_trials())
+
+
 @register("s8_model_store", _naive_sql(ENSEMBLE) + f"""
 SELECT series_id, block_id, count(*) AS n_rows, count(*) AS n_predicted, CAST(0 AS BIGINT) AS n_different
 FROM sp WHERE block_id IS NOT NULL GROUP BY ALL""")
