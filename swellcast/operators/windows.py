@@ -258,27 +258,33 @@ def rolling(df: DataFrame, cols: list[str], window: int = 12, **kw) -> DataFrame
     return bounded(df, build, back=window - 1, **kw)
 
 
+def sliding_windows(df: DataFrame, cols: list[str], win: int, horizon: int, step: int = 1,
+                    key: str = KEY, idx: str = IDX, chunk: int = CHUNK) -> DataFrame:
+    """Training pairs as arrays, one row per window: ``x`` holds ``win`` and
+    ``y`` the next ``horizon`` rows, each an array of structs of ``cols`` (so NULLs
+    keep their place). Window ``window_id`` starts at ``idx = window_id``; only
+    windows fully inside the series are kept (``N = T - win - horizon + 1``, every
+    ``step``-th of them). Range frames over chunk + halo: nothing is exploded."""
+    span = win + horizon
+    row = F.struct(*cols)
+    x = bounded(df.select(key, idx, *cols), lambda w: {
+        "_x": F.collect_list(row).over(w.rowsBetween(-(span - 1), -horizon)),
+        "_y": F.collect_list(row).over(w.rowsBetween(-(horizon - 1), 0))}, back=span - 1, key=key, idx=idx, chunk=chunk)
+    start = F.col(idx) - (span - 1)
+    return x.where((start >= 0) & (start % step == 0)).select(key, start.alias("window_id"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+
+
 def sliding_pairs(df: DataFrame, cols: list[str], win: int, horizon: int,
                   key: str = KEY, idx: str = IDX, chunk: int = CHUNK) -> DataFrame:
-    """Training pairs of ``win`` input rows and ``horizon`` target rows.
-
-    Exploded form: one row per ``(window_id, part, step)`` where window
-    ``window_id`` starts at ``idx = window_id``; ``part='x'`` steps 0..win-1,
-    ``part='y'`` steps 0..horizon-1. Only windows fully inside the series are
-    kept (``N = T - win - horizon + 1``). Each grid row fans out to the
-    ``win + horizon`` windows containing it by arithmetic - an equi-explode,
-    never a theta join.
-    """
-    span = win + horizon
-    n = df.groupBy(key).agg((F.max(idx) + 1).alias("_n"))
-    x = df.select(key, idx, *cols).withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(span - 1))))
-    x = x.withColumn("window_id", F.col(idx) - F.col("_off")).where(F.col("window_id") >= 0)
-    x = x.join(n, key, "inner").where(F.col("window_id") + span <= F.col("_n"))
-    return x.select(
+    """W13 in exploded form: one row per ``(window_id, part, step)``, ``part='x'``
+    steps 0..win-1 and ``part='y'`` steps 0..horizon-1 of :func:`sliding_windows`."""
+    w = sliding_windows(df, cols, win, horizon, key=key, idx=idx, chunk=chunk)
+    rows = w.select(key, "window_id", F.posexplode(F.concat("x", "y")).alias("_off", "_row"))
+    return rows.select(
         key, "window_id",
         F.when(F.col("_off") < win, F.lit("x")).otherwise(F.lit("y")).alias("part"),
         F.when(F.col("_off") < win, F.col("_off")).otherwise(F.col("_off") - win).alias("step"),
-        *cols)
+        *[F.col("_row")[c].alias(c) for c in cols])
 
 
 def direct_lags(df: DataFrame, cols: list[str], lags_: list[int], horizon: int, **kw) -> DataFrame:
