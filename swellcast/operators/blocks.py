@@ -26,9 +26,12 @@ def series_length(df: DataFrame, key: str = KEY, idx: str = IDX) -> DataFrame:
 
 def train_test_split(df: DataFrame, test_size: int, key: str = KEY, idx: str = IDX) -> DataFrame:
     """The last ``test_size`` rows of each series are test.
-    Adds ``n_rows``, ``test_start`` and ``is_test``."""
+    Adds ``n_rows``, ``test_start`` and ``is_test``. A series that would keep no
+    train row is an error."""
+    short = F.raise_error(F.concat(F.lit("series "), F.col(key).cast("string"), F.lit(" has "), F.col("n_rows").cast("string"),
+                                   F.lit(f" rows, too few for {test_size} test rows"))).cast("long")
     x = df.join(series_length(df, key, idx), key, "inner")
-    return x.withColumn("test_start", F.col("n_rows") - F.lit(test_size)) \
+    return x.withColumn("test_start", F.when(F.col("n_rows") > test_size, F.col("n_rows") - F.lit(test_size)).otherwise(short)) \
         .withColumn("is_test", F.col(idx) >= F.col("test_start"))
 
 

@@ -10,8 +10,9 @@ aggregate, so they stay correct at any size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def log_runs(runs: DataFrame, metrics: DataFrame, path: str) -> None:
@@ -22,6 +23,14 @@ def log_runs(runs: DataFrame, metrics: DataFrame, path: str) -> None:
     metrics.join(exp, "run_id", "inner").write.mode("append").partitionBy("experiment").parquet(f"{path}/metric")
 
 
+def logged(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The ``run`` or ``metric`` table of all batches appended at ``path``; the
+    experiment is a string even where every folder name looks like a number."""
+    fields = spark.read.parquet(f"{path}/{table}").schema.fields
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "experiment" else f.dataType) for f in fields])
+    return spark.read.schema(schema).parquet(f"{path}/{table}")
+
+
 def run_actions(planned: DataFrame, runs: DataFrame) -> DataFrame:
     """Start / resume / skip. ``planned(experiment, run_number)`` left
     joined to the newest existing run with that number: FINISHED -> skip,

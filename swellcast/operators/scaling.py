@@ -66,22 +66,30 @@ def unscale_long(df: DataFrame, state: DataFrame, value: str, key: str = KEY) ->
         .withColumn(value, F.col(value) * F.col("_s") + F.col("_m")).drop("_m", "_s")
 
 
+def fingerprint(df: DataFrame, cols: list[str], keys: list[str]) -> str:
+    """Fingerprint of the rows that a state is fitted on: their number and two
+    sums of row hashes over keys and columns, whatever their order or
+    partitioning. One map-side-combined pass."""
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), *keys, *cols).cast("decimal(20,0)"))
+    r = df.agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(2).alias("b")).first()
+    return f"{r['n']}|{r['a']}|{r['b']}"
+
+
 def state_path(base: str, cols: list[str], fingerprint: str = "") -> str:
-    """S6 key: the state folder is named by a hash of the columns and a
-    caller fingerprint (e.g. the train time range), so a changed input never
-    reuses a stale state (the reference reuses whatever file exists)."""
+    """S6 key: the state folder is named by a hash of the columns and the
+    :func:`fingerprint` of the fitted rows, so a changed input never reuses a
+    stale state (the reference reuses whatever file exists)."""
     import hashlib
     h = hashlib.sha1(("|".join(cols) + "#" + fingerprint).encode()).hexdigest()[:16]
     return f"{base.rstrip('/')}/scaler-{h}"
 
 
 def fit_or_load_scaler(df: DataFrame, cols: list[str], path: str, key: str = KEY) -> DataFrame:
-    """Reuse the saved scaler state at ``path`` if present, else fit on
-    ``df``, save it as Parquet and return what was written."""
-    from pyspark.errors import AnalysisException
+    """Reuse the saved scaler state at ``path`` if it was written whole, else
+    fit on ``df``, save it as Parquet and return what was written. A folder that
+    an ended job left incomplete is written anew; an unreadable one is an error."""
     spark = df.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        fit_scaler(df, cols, key).write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        fit_scaler(df, cols, key).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

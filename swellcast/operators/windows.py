@@ -73,7 +73,7 @@ def lags(df: DataFrame, cols: list[str], ks: list[int], **kw) -> DataFrame:
                    back=max(ks), **kw)
 
 
-def window_summary(df: DataFrame, cols: list[str], lag: list[int] | None = None,
+def window_summary(df: DataFrame, cols: list[str] | None = None, lag: list[int] | None = None,
                    mean: list[tuple[int, int]] | None = None,
                    std: list[tuple[int, int]] | None = None,
                    truncate_bfill: bool = True, replace: bool = False, **kw) -> DataFrame:
@@ -83,8 +83,12 @@ def window_summary(df: DataFrame, cols: list[str], lag: list[int] | None = None,
     until the frame is full; std uses n-1. With ``truncate_bfill`` the
     leading NULLs of every feature take its first valid value (W4).
     ``replace`` drops the source columns (W5 routing: listed columns are
-    replaced by their features, the others pass through).
+    replaced by their features, the others pass through). Without a list only
+    the first column that is not the series, its index or a time is summarized.
     """
+    if cols is None:
+        held = {kw.get("key", KEY), kw.get("idx", IDX)}
+        cols = [f.name for f in df.schema.fields if f.name not in held and not f.dataType.typeName().startswith(("timestamp", "date"))][:1]
     lag, mean, std = lag or [], mean or [], std or []
     back = max([0] + list(lag) + [a + b - 1 for a, b in list(mean) + list(std)])
 

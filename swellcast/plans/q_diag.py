@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CF_HIGH, CF_LOW, CLEAN_COLUMNS, Z_975
+from ..config import CF_HIGH, CF_LOW, CLEAN_COLUMNS, TARGETS, Z_975
 from ..operators import diagnostics as D
 from ..operators.scaling import apply_scaler, fit_scaler, normalise_by_max, to_long
 from . import bases
@@ -16,6 +16,7 @@ from .q_windows import _filled
 from .queries import register
 
 MAX_LAG = 72
+PLOT_LAG, DIFF_LAG = 80, 24
 PK = "PARTITION BY series_id, col ORDER BY idx"
 
 
@@ -157,8 +158,40 @@ def d5_white_test(spark, sf):
 
 @register("d7_pacf")
 def d7_pacf(spark, sf):
-    """Partial autocorrelation to lag 72 (Durbin-Levinson on the ACF)."""
-    p = D.pacf(D.acf(scaled_long(spark, sf), MAX_LAG, chunk=bases.QUERY_CHUNK).where(F.col("r").isNotNull()))
+    """Partial autocorrelation to lag 80 (Durbin-Levinson on the ACF)."""
+    p = D.pacf(D.acf(scaled_long(spark, sf), PLOT_LAG, chunk=bases.QUERY_CHUNK).where(F.col("r").isNotNull()))
+    return p.select("series_id", "col", F.posexplode("pacf").alias("lag", "pacf")).withColumn("lag", F.col("lag").cast("long"))
+
+
+def diffed_long(spark, sf):
+    """The z-scored targets after the lag-24 difference (W11), in long form."""
+    from ..operators.windows import seasonal_diff
+    f = bases.targets_filled(spark, sf)
+    x = apply_scaler(f, fit_scaler(f, TARGETS), TARGETS)
+    d = seasonal_diff(x, TARGETS, DIFF_LAG, chunk=bases.QUERY_CHUNK).where(F.col("idx") >= DIFF_LAG)
+    return to_long(d, TARGETS, ["series_id", "idx"])
+
+
+def _diffed_acf_sql() -> str:
+    held = ", ".join(f"'{c}'" for c in TARGETS)
+    return _acf_sql(PLOT_LAG).replace("mom AS (SELECT series_id, col, count(value)", f"""zd AS (SELECT series_id, col, idx, value - lag(value, {DIFF_LAG}) OVER ({PK}) AS value FROM z WHERE col IN ({held})),
+mom AS (SELECT series_id, col, count(value)""").replace("max(value) AS hi FROM z GROUP", f"max(value) AS hi FROM zd WHERE idx >= {DIFF_LAG} GROUP") \
+        .replace("z.value - mom.m AS d FROM z JOIN mom USING (series_id, col)", f"z.value - mom.m AS d FROM zd z JOIN mom USING (series_id, col) WHERE idx >= {DIFF_LAG}")
+
+
+@register("d6_acf_diffed", _diffed_acf_sql() + f"""
+SELECT series_id, col, CAST(g.k AS BIGINT) AS lag, {rnd('r[g.k + 1]', 'r')} FROM acf, range(0, {PLOT_LAG + 1}) g(k)""")
+def d6_acf_diffed(spark, sf):
+    """Biased ACF to lag 80 of the 24-differenced, z-scored targets."""
+    a = D.acf(diffed_long(spark, sf), PLOT_LAG, chunk=bases.QUERY_CHUNK)
+    return a.select("series_id", "col", F.posexplode("r").alias("lag", "r")).withColumn("lag", F.col("lag").cast("long"))
+
+
+@register("d7_pacf_diffed")
+def d7_pacf_diffed(spark, sf):
+    """Partial autocorrelation to lag 80 of the 24-differenced targets. Held
+    against a direct solve of the Yule-Walker equations by the tests."""
+    p = D.pacf(D.acf(diffed_long(spark, sf), PLOT_LAG, chunk=bases.QUERY_CHUNK).where(F.col("r").isNotNull()))
     return p.select("series_id", "col", F.posexplode("pacf").alias("lag", "pacf")).withColumn("lag", F.col("lag").cast("long"))
 
 

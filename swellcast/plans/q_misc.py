@@ -58,13 +58,14 @@ def s6_scaler_state(spark, sf):
     back (a second call reuses it) and apply it: equals P15."""
     from ..config import HORIZON, TARGETS
     from ..operators.blocks import train_test_split
-    from ..operators.scaling import apply_scaler, fit_or_load_scaler, state_path
+    from ..operators.scaling import apply_scaler, fingerprint, fit_or_load_scaler, state_path
     from . import bases
     f = bases.targets_filled(spark, sf)
     sp = train_test_split(f, HORIZON * 3)
-    path = state_path(scratch(spark, "state"), TARGETS, f"{sf}|train")
-    fit_or_load_scaler(sp.where(~F.col("is_test")), TARGETS, path)
-    state = fit_or_load_scaler(sp.where(~F.col("is_test")), TARGETS, path)   # reused, not refitted
+    train = sp.where(~F.col("is_test"))
+    path = state_path(scratch(spark, "state"), TARGETS, fingerprint(train, TARGETS, ["series_id", "ts"]))
+    fit_or_load_scaler(train, TARGETS, path)
+    state = fit_or_load_scaler(train, TARGETS, path)   # reused, not refitted
     return apply_scaler(sp, state, TARGETS).select("series_id", "ts", "idx", "is_test", *TARGETS)
 
 

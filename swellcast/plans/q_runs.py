@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import HORIZON
 from ..operators import runs as R
+from ..session import saved
 from . import benchmark
 from . import oracles as O
 from .oracles import rnd
@@ -114,8 +115,16 @@ EXP1 = "Backtesting_click"
 
 @register("e1_metric_log", RUNS_SQL + f"\nSELECT run_id, key, {rnd('value', 'value')}, step FROM mets")
 def e1_metric_log(spark, sf):
-    """The metric table: every logged value (step 0) and per-block history."""
-    return tables(spark, sf)[2]
+    """The metric table: every logged value (step 0) and per-block history,
+    appended in two batches (parent and child runs) and read back."""
+    from ..operators.runs import log_runs, logged
+    from .q_misc import scratch
+    _, runs, metrics = tables(spark, sf)
+    runs, metrics = saved(runs, "runs"), saved(metrics, "metrics")  # both batches read them
+    path = scratch(spark, "runs")
+    for batch in (runs.where("parent_run_id IS NULL"), runs.where("parent_run_id IS NOT NULL")):
+        log_runs(batch, metrics, path)
+    return logged(spark, path, "metric").select(*metrics.columns)
 
 
 @register("e2_run_action", RUNS_SQL + """,

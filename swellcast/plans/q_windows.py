@@ -120,6 +120,18 @@ def w5_exog_summary(spark, sf):
     return windows.window_summary(f, EXOGENOUS, lag=[1], mean=LAGGED_MEANS, replace=True, chunk=QUERY_CHUNK)
 
 
+_W5D_SQL, _W5D_N = _summary_sql("filled", ["WSPD"], [1, 24, 28], [(1, 24)], [], True)
+
+
+@register("w5_default_column", _filled(CLEAN_COLUMNS) + ",\n" + _W5D_SQL +
+          f"\nSELECT f.series_id, f.ts, f.idx, {rnd('f.GST', 'GST')}, {_round_all(_W5D_N)} FROM feat JOIN filled f USING (series_id, idx)")
+def w5_default_column(spark, sf):
+    """Lag summarizer without a column list: the first column (WSPD) is replaced
+    by lags 1, 24, 28 and the mean [1, 24], the others (here GST) pass."""
+    f = bases.met_filled(spark, sf).select("series_id", "ts", "idx", "WSPD", "GST")
+    return windows.window_summary(f, lag=[1, 24, 28], mean=[(1, 24)], replace=True, chunk=QUERY_CHUNK)
+
+
 # ------------------------------------------------------------ differencing
 @register("w9_seasonal_diff", _filled() + f"""
 SELECT series_id, ts, idx, {', '.join(rnd(f"CASE WHEN idx < 24 THEN 0.0 ELSE {c} - {_lag(c, 24)} END", c) for c in TARGETS)}
@@ -176,6 +188,28 @@ def w13_sliding_pairs(spark, sf):
     return windows.sliding_pairs(f, ["value"], _W13_WIN, _W13_H, chunk=QUERY_CHUNK)
 
 
+def _arrays_sql() -> str:
+    w = "PARTITION BY series_id ORDER BY idx"
+    parts = [f"{rnd(c, f'{c}_x_first')}, {rnd(f'lead({c}, {_W13_WIN - 1}) OVER ({w})', f'{c}_x_last')}, "
+             f"{rnd(f'lead({c}, {_W13_WIN}) OVER ({w})', f'{c}_y_first')}, "
+             f"{rnd(f'sum({c}) OVER ({w} ROWS BETWEEN {_W13_WIN} FOLLOWING AND {_W13_WIN + _W13_H - 1} FOLLOWING)', f'{c}_y_sum')}" for c in TARGETS]
+    return _filled() + f""",
+n AS (SELECT series_id, max(idx) + 1 AS n_rows FROM filled GROUP BY 1),
+w AS (SELECT series_id, idx AS window_id, {', '.join(parts)} FROM filled)
+SELECT w.*, {_W13_WIN} AS n_x, {_W13_H} AS n_y FROM w JOIN n USING (series_id) WHERE window_id + {_W13_WIN + _W13_H} <= n_rows"""
+
+
+@register("w13_sliding_arrays", _arrays_sql())
+def w13_sliding_arrays(spark, sf):
+    """Sliding windows of both targets as array columns, one row per window;
+    shown by their sizes, ends and sums."""
+    w = windows.sliding_windows(bases.targets_filled(spark, sf), TARGETS, _W13_WIN, _W13_H, chunk=QUERY_CHUNK)
+    total = lambda c: F.aggregate(F.col(f"y.{c}"), F.lit(0.0), lambda a, v: a + v)
+    return w.select("series_id", "window_id", F.size("x").alias("n_x"), F.size("y").alias("n_y"),
+                    *[e.alias(f"{c}_{n}") for c in TARGETS for n, e in {
+                        "x_first": F.col(f"x.{c}")[0], "x_last": F.col(f"x.{c}")[_W13_WIN - 1], "y_first": F.col(f"y.{c}")[0], "y_sum": total(c)}.items()])
+
+
 @register("w15_direct_lags", _filled(CLEAN_COLUMNS) + f"""
 SELECT series_id, ts, idx, {', '.join(rnd(_lag(c, HORIZON - 1 + k), f"{c}_dlag_{k}") for c in CLEAN_COLUMNS for k in DIRECT_LAGS)}
 FROM filled""")
