@@ -4,6 +4,9 @@ naive model), and the tracking queries on them (E1-E12, T4, T5, T7, F11-F14)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import HORIZON
@@ -21,25 +24,30 @@ TAGS = {"project": "Hourly Forecasting", "type": "Backtesting", "framework": "sp
 N_BLOCKS = 3
 
 
-def tables(spark, sf):
-    """``(experiments, runs, metrics)`` derived from the block benchmark of
-    every series and model, as lazy frames."""
-    from ..config import TARGETS
-    from ..operators.forecast import ensemble_fit
-    hourly = benchmark.prepared(spark, sf)
-    series = hourly.groupBy("series_id").agg(F.min("ts").alias("t0"))
-    split, state, scaled_long = benchmark.fit_base(hourly, TARGETS, HORIZON * N_BLOCKS, HORIZON)
-    mets, kids = [], []
-    for num, (model, strat) in enumerate(MODELS, start=1):
-        out = benchmark.score_blocks(split, state, ensemble_fit(scaled_long, strat), TARGETS)
+def _starts(spark, sf):
+    """First hour of every series."""
+    return benchmark.prepared(spark, sf).groupBy("series_id").agg(F.min("ts").alias("t0"))
+
+
+def experiments(spark, sf):
+    """One experiment per series."""
+    tag_map = F.create_map(*[x for k, v in TAGS.items() for x in (F.lit(k), F.lit(v))])
+    return _starts(spark, sf).select(F.concat(F.lit("Backtesting_"), "series_id").alias("name"), tag_map.alias("tags"))
+
+
+def run_table(spark, sf):
+    """A parent run per series and a child run per model."""
+    series = saved(_starts(spark, sf), "series")  # read once per kind of run
+    parent = series.select(
+        F.concat(F.lit("Backtesting_"), "series_id").alias("experiment"),
+        F.concat(F.col("series_id"), F.lit("/sweep")).alias("run_id"), F.lit(0).cast("long").alias("run_number"),
+        F.lit("sweep_000").alias("run_name"), F.lit("RUNNING").alias("status"), F.col("t0").alias("start_ts"),
+        F.lit(None).cast("string").alias("parent_run_id"),
+        F.create_map(F.lit("run_number"), F.lit("0"), F.lit("model_name"), F.lit("sweep")).alias("params"))
+    runs = parent
+    for num, (model, _) in enumerate(MODELS, start=1):
         rid = F.concat(F.col("series_id"), F.lit("/" + model))
-        mets.append(out.select(rid.alias("run_id"), F.col("metric").alias("key"), "value",
-                               F.lit(0).cast("long").alias("step")))
-        hist = out.where(F.col("metric").startswith("block_")).select(
-            rid.alias("run_id"), F.regexp_extract("metric", r"^block_\d+_(.*)$", 1).alias("key"), "value",
-            F.regexp_extract("metric", r"^block_(\d+)_", 1).cast("long").alias("step"))
-        mets.append(hist)
-        kids.append(series.select(
+        runs = runs.unionByName(series.select(
             F.concat(F.lit("Backtesting_"), "series_id").alias("experiment"), rid.alias("run_id"),
             F.lit(num).cast("long").alias("run_number"),
             F.format_string("%s_%03d", F.lit(model), F.lit(num)).alias("run_name"),
@@ -49,21 +57,25 @@ def tables(spark, sf):
             F.create_map(F.lit("run_number"), F.lit(str(num)), F.lit("model_type"), F.lit(model),
                          F.lit("targets"), F.lit("WVHT,APD"), F.lit("n_blocks"), F.lit(str(N_BLOCKS)),
                          F.lit("block_size"), F.lit(str(HORIZON))).alias("params")))
-    parent = series.select(
-        F.concat(F.lit("Backtesting_"), "series_id").alias("experiment"),
-        F.concat(F.col("series_id"), F.lit("/sweep")).alias("run_id"), F.lit(0).cast("long").alias("run_number"),
-        F.lit("sweep_000").alias("run_name"), F.lit("RUNNING").alias("status"), F.col("t0").alias("start_ts"),
-        F.lit(None).cast("string").alias("parent_run_id"),
-        F.create_map(F.lit("run_number"), F.lit("0"), F.lit("model_name"), F.lit("sweep")).alias("params"))
-    runs = parent
-    for k in kids:
-        runs = runs.unionByName(k)
-    metrics = mets[0]
-    for m in mets[1:]:
-        metrics = metrics.unionByName(m)
-    tag_map = F.create_map(*[x for k, v in TAGS.items() for x in (F.lit(k), F.lit(v))])
-    exps = series.select(F.concat(F.lit("Backtesting_"), "series_id").alias("name"), tag_map.alias("tags"))
-    return exps, runs, metrics
+    return runs
+
+
+def metric_table(spark, sf):
+    """Block scores of every child run. The hourly targets are written once for the
+    fits and truths of all models, the scores once for both kinds of metric rows."""
+    from ..config import TARGETS
+    from ..operators.forecast import ensemble_fit
+    hourly = saved(benchmark.prepared(spark, sf).select("series_id", "idx", *TARGETS), "hourly")
+    split, state, scaled_long = benchmark.fit_base(hourly, TARGETS, HORIZON * N_BLOCKS, HORIZON)
+    split, state, scaled_long = saved(split, "split"), saved(state, "state"), saved(scaled_long, "scaled")
+    out = saved(reduce(DataFrame.unionByName, [
+        benchmark.score_blocks(split, state, ensemble_fit(scaled_long, strat), TARGETS)
+        .withColumn("run_id", F.concat(F.col("series_id"), F.lit("/" + model))) for model, strat in MODELS]), "scores")
+    last = out.select("run_id", F.col("metric").alias("key"), "value", F.lit(0).cast("long").alias("step"))
+    hist = out.where(F.col("metric").startswith("block_")).select(
+        "run_id", F.regexp_extract("metric", r"^block_\d+_(.*)$", 1).alias("key"), "value",
+        F.regexp_extract("metric", r"^block_(\d+)_", 1).cast("long").alias("step"))
+    return last.unionByName(hist)
 
 
 def _runs_sql() -> str:
@@ -119,8 +131,7 @@ def e1_metric_log(spark, sf):
     appended in two batches (parent and child runs) and read back."""
     from ..operators.runs import log_runs, logged
     from .q_misc import scratch
-    _, runs, metrics = tables(spark, sf)
-    runs, metrics = saved(runs, "runs"), saved(metrics, "metrics")  # both batches read them
+    runs, metrics = run_table(spark, sf), metric_table(spark, sf)
     path = scratch(spark, "runs")
     for batch in (runs.where("parent_run_id IS NULL"), runs.where("parent_run_id IS NOT NULL")):
         log_runs(batch, metrics, path)
@@ -137,7 +148,7 @@ SELECT p.experiment, p.run_number, n.run_id,
 FROM planned p LEFT JOIN newest n USING (experiment, run_number)""")
 def e2_run_action(spark, sf):
     """Start / resume / skip for planned run numbers 0..4 of every experiment."""
-    exps, runs, _ = tables(spark, sf)
+    exps, runs = experiments(spark, sf), run_table(spark, sf)
     planned = exps.select(F.col("name").alias("experiment"),
                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("run_number"))
     return R.run_actions(planned, runs)
@@ -155,7 +166,7 @@ SELECT r.name, r.name AS experiment, NOT EXISTS (SELECT 1 FROM exps e WHERE e.na
 FROM req r""")
 def e3_experiment_name(spark, sf):
     """Get-or-create experiment names (exact match wins) and the first free suffixed name."""
-    return R.experiment_name(_E3_NAMES, tables(spark, sf)[0])
+    return R.experiment_name(_E3_NAMES, experiments(spark, sf))
 
 
 @register("e4_run_lookup", RUNS_SQL + f"""
@@ -163,25 +174,25 @@ SELECT run_id, run_name, status FROM runs WHERE experiment = '{EXP1}' AND run_nu
 ORDER BY start_ts DESC, run_id LIMIT 1""")
 def e4_run_lookup(spark, sf):
     """Newest run with run number 2 in one experiment (top-1 by start time)."""
-    return R.latest_run(tables(spark, sf)[1], EXP1, 2).select("run_id", "run_name", "status")
+    return R.latest_run(run_table(spark, sf), EXP1, 2).select("run_id", "run_name", "status")
 
 
 @register("e5_metric_history", RUNS_SQL + f"""
 SELECT step, {rnd('value', 'value')} FROM mets WHERE run_id = 'click/Naive' AND key = 'MeanAbsolutePercentageError'""")
 def e5_metric_history(spark, sf):
     """Block-by-block history of one metric of one run, by step."""
-    return R.metric_history(tables(spark, sf)[2], "click/Naive", "MeanAbsolutePercentageError").select("step", "value")
+    return R.metric_history(metric_table(spark, sf), "click/Naive", "MeanAbsolutePercentageError").select("step", "value")
 
 
 @register("e6_experiments_by_tag", RUNS_SQL + "\nSELECT name FROM exps WHERE tags['type'] = 'Backtesting'")
 def e6_experiments_by_tag(spark, sf):
-    return R.experiments_by_tag(tables(spark, sf)[0], "type", "Backtesting").select("name")
+    return R.experiments_by_tag(experiments(spark, sf), "type", "Backtesting").select("name")
 
 
 @register("e7_runs_of_experiment", RUNS_SQL + f"""
 SELECT run_id, run_name, run_number, status, start_ts FROM runs WHERE experiment = '{EXP1}'""")
 def e7_runs_of_experiment(spark, sf):
-    r = tables(spark, sf)[1]
+    r = run_table(spark, sf)
     return r.where(F.col("experiment") == EXP1).select("run_id", "run_name", "run_number", "status", "start_ts")
 
 
@@ -195,7 +206,7 @@ tree AS (SELECT * FROM (WITH RECURSIVE t(experiment, run_id, run_name, status, d
 SELECT experiment, run_id, run_name, status, CAST(depth AS BIGINT) AS depth, path, orphan FROM tree""")
 def e8_run_tree(spark, sf):
     """Parent/child run tree with depth and path (recursive CTE)."""
-    return R.run_tree(spark, tables(spark, sf)[1])
+    return R.run_tree(spark, run_table(spark, sf))
 
 
 @register("e9_run_report", RUNS_SQL + """,
@@ -208,7 +219,7 @@ SELECT r.experiment, r.run_id, CAST(r.params['run_number'] AS BIGINT) AS run_num
 FROM runs r LEFT JOIN nm USING (run_id)""")
 def e9_run_report(spark, sf):
     """Runs by integer run number with model name, other params, metric count."""
-    _, runs, mets = tables(spark, sf)
+    runs, mets = run_table(spark, sf), metric_table(spark, sf)
     return R.run_report(runs, mets)
 
 
@@ -225,7 +236,7 @@ SELECT r.experiment, r.run_id, coalesce(r.params['model_type'], r.params['model_
 FROM runs r LEFT JOIN pm USING (run_id) WHERE r.run_number IN (1, 2, 3)""")
 def e10_model_comparison(spark, sf):
     """Aggregated scores of runs 1-3 side by side (pivot by metric)."""
-    _, runs, mets = tables(spark, sf)
+    runs, mets = run_table(spark, sf), metric_table(spark, sf)
     return R.model_comparison(runs, mets, [1, 2, 3])
 
 
@@ -238,7 +249,7 @@ SELECT run_id, count_if(starts_with(key, 'avg_') OR starts_with(key, 'std_')) AS
   count(DISTINCT CASE WHEN regexp_extract(key, '^block_(\\d+)_', 1) <> '' THEN regexp_extract(key, '^block_(\\d+)_', 1) END) AS n_blocks
 FROM m GROUP BY 1""")
 def e11_run_analysis(spark, sf):
-    return R.run_analysis(tables(spark, sf)[2])
+    return R.run_analysis(metric_table(spark, sf))
 
 
 @register("e12_overview", RUNS_SQL + """,
@@ -248,7 +259,7 @@ SELECT e.name AS experiment, c.n_runs, c.n_roots, c.n_finished FROM exps e JOIN
 WHERE e.tags['project'] = 'Hourly Forecasting'""")
 def e12_overview(spark, sf):
     """Experiments selected by tag with their run counts."""
-    exps, runs, _ = tables(spark, sf)
+    exps, runs = experiments(spark, sf), run_table(spark, sf)
     sel = R.experiments_by_tag(exps, "project", TAGS["project"]).select(F.col("name").alias("experiment"))
     cnt = runs.groupBy("experiment").agg(F.count("*").alias("n_runs"),
                                          F.count_if(F.col("parent_run_id").isNull()).alias("n_roots"),
