@@ -32,11 +32,13 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import BinaryIO
 
 import numpy as np
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .bpe import SPLIT
+from .bpe import SPLIT, byte_letters
 from .common import frame, slices, stored, texts_of
 
 # fixed values of the public seekable format
@@ -61,7 +63,8 @@ LEVEL = 3
 FRAME_BYTES = 8 << 20  # of ids in a frame
 FILE_BYTES = 32 << 20  # of ids in a file; a single larger document is a file of its own
 END_ID = 0
-WORDS = 250_000  # remembered by a task; bounds its memory
+WORDS = 125_000  # in each of two sets that a Python worker remembers; bounds its memory
+LONGEST = 256  # of a word that is remembered
 
 
 def checksum(data: bytes) -> int:
@@ -84,9 +87,9 @@ class Entry:
     frames: np.ndarray  # n x 3, uint32
 
 
-def compress(ids: bytes, frame_bytes: int = FRAME_BYTES) -> tuple[bytes, np.ndarray]:
+def compress(ids: bytes, frame_bytes: int = FRAME_BYTES, coder: zstandard.ZstdCompressor | None = None) -> tuple[bytes, np.ndarray]:
     out, table = [], []
-    coder = zstandard.ZstdCompressor(level=LEVEL)
+    coder = coder or zstandard.ZstdCompressor(level=LEVEL)
     for lo in range(0, len(ids), frame_bytes):
         raw = ids[lo:lo + frame_bytes]
         out.append(coder.compress(raw))
@@ -178,17 +181,53 @@ class SeekableReader:
 
 # --------------------------------------------------------------------- encoder
 
+def splitter() -> Callable[[str], list[str]]:
+    """``SPLIT`` as a search of all words of a text. The standard library's
+    patterns take a third of the time where a class has no character beyond the
+    basic plane; texts with such characters go to the regex package."""
+    import regex
+    plane = "".join(map(chr, range(0x10000)))
+    letter, digit, space = ("".join(f"\\u{ord(m[0]):04x}-\\u{ord(m[-1]):04x}" for m in regex.findall(rf"\p{{{kind}}}+", plane))
+                            for kind in ("L", "N", "White_Space"))
+    basic = re.compile(f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    every, beyond = regex.compile(SPLIT).findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: every(text) if beyond(text) else basic(text)
+
+
+class Words(dict):
+    """Ids of words by the library's model, which is asked when a word is not
+    remembered. Words that come again stay: when one set of ``WORDS`` is full
+    the next begins, and only those not seen since the last change are left
+    behind. Words beyond ``LONGEST`` are never kept, as in the library itself."""
+
+    def __init__(self, tokenize: Callable) -> None:
+        self.tokenize = tokenize
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            found = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordCoder:
-    """The tokenizers library, asked once for every distinct word. A byte-level
-    tokenizer cuts a text into words before anything else and encodes each by
-    itself, so a word's ids are the same in every text. Texts that hold an added
-    token's string, and all texts of tokenizers of another kind, are encoded
-    whole. At most ``WORDS`` words are remembered (a bound on memory only)."""
+    """The tokenizers library, asked once for a word that is remembered. A
+    byte-level tokenizer cuts a text into words before anything else and its
+    model encodes each by itself, so a word's ids are the same in every text.
+    Texts that hold an added token's string, and all texts of tokenizers of
+    another kind, are encoded whole."""
 
     def __init__(self, spec: str) -> None:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
@@ -198,16 +237,8 @@ class WordCoder:
         self.by_word = (not form.get("normalizer") and form["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel"
                         and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         self.added = [a["content"] for a in form.get("added_tokens", [])]
-        self.cut = regex.compile(SPLIT).findall
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, fresh: list[str]) -> None:
-        for lo in range(0, len(fresh), 1000):
-            part = fresh[lo:lo + 1000]
-            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
-            self.words.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends.tolist()], ends.tolist()))
+        self.cut = splitter()
+        self.words = Words(self.tok.model.tokenize)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -215,17 +246,19 @@ class WordCoder:
         whole = [k for k, t in enumerate(texts) if not self.by_word or any(a in t for a in self.added)]
         for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
             out[k] = np.array(e.ids, "<u4").tobytes()
-        rest = sorted(set(range(len(texts))).difference(whole))
-        if len(self.words) > WORDS:
-            self.words.clear()
-        cut = [self.cut(texts[k]) for k in rest]
-        self._learn(list(set().union(*cut).difference(self.words)))
         get = self.words.__getitem__
-        for k, words in zip(rest, cut):
-            out[k] = b"".join(map(get, words))
+        for k in sorted(set(range(len(texts))).difference(whole)):
+            out[k] = b"".join(map(get, self.cut(texts[k])))
         return out
 
 
+@lru_cache(1)
+def word_coder(spec: str) -> WordCoder:
+    """One coder for all tasks of a Python worker: what one has learned, the
+    next ones know."""
+    return WordCoder(spec)
+
+
 # ------------------------------------------------------------------------ Spark
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
@@ -236,9 +269,9 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(held.value)
+        coder, packer = word_coder(held.value), zstandard.ZstdCompressor(level=LEVEL)
         for part in slices(batches, 1 << 20):
-            done = [compress(ids + tail) for ids in coder.encode(texts_of(part))]
+            done = [compress(ids + tail, coder=packer) for ids in coder.encode(texts_of(part))]
             yield pa.RecordBatch.from_arrays([
                 part.column("id"), part.column("tie"), pa.array([int(t[:, 1].sum(dtype=np.int64)) for _, t in done], pa.int64()),
                 pa.array([b for b, _ in done], pa.binary()), pa.array([t.astype("<u4").tobytes() for _, t in done], pa.binary())], ["id", "tie", "size", "data", "frames"])

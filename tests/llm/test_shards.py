@@ -93,6 +93,39 @@ def test_words_encode_as_whole_texts_do(coder):
     assert not other.by_word and other.encode(texts[:50]) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:50]]
 
 
+def test_splitter_cuts_as_the_pattern_does():
+    import random
+    import regex
+    cut, want = shards.splitter(), regex.compile(shards.SPLIT).findall
+    rnd = random.Random(7)
+    kinds = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for between in ("", " ", "  ", "a", "1", "'", "'s", "\n"):
+        text = between.join(kinds)
+        assert cut(text) == want(text)
+    some = ["a", "É", "漢", "7", "½", "_", "'", "'s", "'ll", "'RE", " ", " ", "  ", "\x1c", "\x85", "\u00a0", "\u3000", "\n", "\t", "e\u0301", "\x00", "🙂", "𝒜", "𝟙"]
+    for _ in range(20_000):
+        text = "".join(rnd.choices(some, k=rnd.randrange(12)))
+        assert cut(text) == want(text)
+
+
+def test_a_word_that_comes_again_is_asked_for_once(coder, monkeypatch):
+    """Also by the next task of a worker, and beyond the words that are remembered."""
+    spec = open(PATH, encoding="utf-8").read()
+    mine = shards.word_coder(spec)
+    assert shards.word_coder(spec) is mine
+    monkeypatch.setattr(shards, "WORDS", 50)
+    asked = []
+    words = shards.Words(lambda letters: asked.append(letters) or coder.model.tokenize(letters))
+    monkeypatch.setattr(mine, "words", words)
+    long = "y" * 3000
+    for k in range(400):
+        text = f"often naïve v{k:03}x" if k % 100 else f"often naïve {long}"
+        assert mine.encode([text]) == [np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(words) <= 50 and len(words.older) <= 50
+    assert asked.count("often") == 1 and asked.count("ĠnaÃ¯ve") == 1  # in spite of 400 words between
+    assert all(len(w) <= shards.LONGEST for w in [*words, *words.older])
+
+
 def damaged_file():
     entries = [shards.Entry(i, *shards.compress(np.arange(i * 50, i * 50 + 50, dtype="<u4").tobytes(), 80)) for i in range(6)]
     return entries, shards.file_bytes(entries, 0, 0)
