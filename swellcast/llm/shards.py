@@ -36,6 +36,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -63,8 +64,8 @@ LEVEL = 3
 FRAME_BYTES = 8 << 20  # of ids in a frame
 FILE_BYTES = 32 << 20  # of ids in a file; a single larger document is a file of its own
 END_ID = 0
-WORDS = 125_000  # in each of two sets that a Python worker remembers; bounds its memory
-LONGEST = 256  # of a word that is remembered
+WORDS = 250_000  # in each of two sets that a Python worker remembers; bounds its memory
+LONGEST = 64  # of a word that is remembered
 
 
 def checksum(data: bytes) -> int:
@@ -190,15 +191,16 @@ def splitter() -> Callable[[str], list[str]]:
     letter, digit, space = ("".join(f"\\u{ord(m[0]):04x}-\\u{ord(m[-1]):04x}" for m in regex.findall(rf"\p{{{kind}}}+", plane))
                             for kind in ("L", "N", "White_Space"))
     basic = re.compile(f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-    every, beyond = regex.compile(SPLIT).findall, re.compile("[\U00010000-\U0010ffff]").search
-    return lambda text: every(text) if beyond(text) else basic(text)
+    every = regex.compile(SPLIT).findall
+    # UTF-16 has two bytes for each character of the basic plane, four for others
+    return lambda text: basic(text) if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else every(text)
 
 
 class Words(dict):
     """Ids of words by the library's model, which is asked when a word is not
     remembered. Words that come again stay: when one set of ``WORDS`` is full
     the next begins, and only those not seen since the last change are left
-    behind. Words beyond ``LONGEST`` are never kept, as in the library itself."""
+    behind. Words beyond ``LONGEST`` are never kept."""
 
     def __init__(self, tokenize: Callable) -> None:
         self.tokenize = tokenize
@@ -208,8 +210,11 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            found = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            ids = struct.pack(f"<{len(found)}I", *found)
+            if word.isascii() and word.isprintable():  # all but the space stand for themselves
+                letters = word.replace(" ", self.letters[32])
+            else:
+                letters = word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= WORDS:
                 self.older = dict(self)
